@@ -188,3 +188,23 @@ def eps_cagr_table(fundamentals: DataFrame, years: int = 5, as_of=None) -> DataF
     f = latest_features(q, years)
     return f.select("ticker", eps_cagr(set(f.columns), years).alias("eps_cagr"))
 
+
+
+def yoy_growth(fundamentals: DataFrame, column: str, as_of=None) -> DataFrame:
+    """(ticker, <column>_growth): newest quarter vs the fifth-newest, positional (D7).
+
+    Needs 5 quarters; null when the older value is null or 0 or the newer is null.
+    """
+    from pyspark.sql import Window
+    q = fundamentals
+    if as_of is not None:
+        q = q.where(F.col("fiscal_period") <= F.lit(as_of).cast("date"))
+    if column not in q.columns:
+        return q.select("ticker").distinct().withColumn(f"{column}_growth", NULL)
+    w = Window.partitionBy("ticker").orderBy("fiscal_period")
+    total = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding,
+                                                 Window.unboundedFollowing))
+    f = q.select("ticker", F.row_number().over(w).alias("n_quarters"), total.alias("_t"),
+                 F.col(column).alias("_q1"), F.lag(column, 4).over(w).alias("_q5"))
+    return (f.where(F.col("n_quarters") == F.col("_t"))
+            .select("ticker", _growth("_q1", "_q5").alias(f"{column}_growth")))

@@ -93,6 +93,13 @@ def with_bridge(body: str, density: str = "dense", with_eps: bool = False,
     return f"WITH {ctes}\n{body}"
 
 
+def xround(expr: str, n: int) -> str:
+    """Spark's ``round`` on a DOUBLE: HALF_UP applied to the shortest decimal
+    string of the value (so 2.675 -> 2.68, 1.005 -> 1.01), never -0.0."""
+    return (f"(CAST(round(TRY_CAST(CAST(CAST(({expr}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), "
+            f"{n}) AS DOUBLE) + 0.0)")
+
+
 def osum(col: str, ranks, rn: str = "rn") -> str:
     """Fixed-order sum of the values at newest-first positions ``ranks`` (nulls as 0)."""
     return " + ".join(f"coalesce(max(CASE WHEN {rn} = {k} THEN {col} END), 0)" for k in ranks)
@@ -134,21 +141,22 @@ def ratio_select(f: str = "f", close: str = "close", years: int = 5,
     """The nine ratio expressions over a feature row ``f`` and a close column."""
     eps = ttm_eps or (f"CASE WHEN {f}.ttm_shares_outstanding > 0 THEN "
                       f"{f}.ttm_net_income / {f}.ttm_shares_outstanding END")
-    pe = f"round({close} / NULLIF({eps}, 0), 2)"
+    pe = xround(f"{close} / NULLIF({eps}, 0)", 2)
     cagr = (f"CASE WHEN {f}.n_quarters >= {4 * years} AND {f}.eps_ttm_now > 0 AND "
-            f"{f}.eps_ttm_past > 0 THEN round(pow({f}.eps_ttm_now / {f}.eps_ttm_past, "
-            f"CAST(1 AS DOUBLE) / {years}) - 1.0, 4) END")
+            f"{f}.eps_ttm_past > 0 THEN " + xround(
+                f"pow({f}.eps_ttm_now / {f}.eps_ttm_past, CAST(1 AS DOUBLE) / {years}) - 1.0", 4)
+            + " END")
 
     def m(num, absolute=False):
         n = f"abs({f}.ttm_{num})" if absolute else f"{f}.ttm_{num}"
-        return f"round({n} / NULLIF({f}.ttm_revenue, 0), 4)"
+        return xround(f"{n} / NULLIF({f}.ttm_revenue, 0)", 4)
 
     def g(a, b):
-        return (f"CASE WHEN {f}.n_quarters >= 5 THEN round(({f}.{a} - {f}.{b}) / "
-                f"NULLIF(abs({f}.{b}), 0), 4) END")
+        return (f"CASE WHEN {f}.n_quarters >= 5 THEN "
+                + xround(f"({f}.{a} - {f}.{b}) / NULLIF(abs({f}.{b}), 0)", 4) + " END")
 
     return f"""{pe} AS pe_ratio,
-    CASE WHEN {pe} > 0 AND ({cagr}) > 0 THEN round({pe} / (({cagr}) * 100.0), 2) END AS peg_ratio,
+    CASE WHEN {pe} > 0 AND ({cagr}) > 0 THEN {xround(f"{pe} / (({cagr}) * 100.0)", 2)} END AS peg_ratio,
     {m('operating_income')} AS operating_margin,
     {m('net_income')} AS net_profit_margin,
     {m('gross_profit')} AS gross_margin,
@@ -163,15 +171,41 @@ RATIO_NAMES = ["pe_ratio", "peg_ratio", "operating_margin", "net_profit_margin",
 
 
 def ratio_table_sql(density: str = "sparse", as_of: str | None = None, years: int = 5,
-                    tickers_cte: str | None = None) -> str:
-    """Latest (or as-of) ratio table for every ticker of the price table."""
+                    universe: str = "SELECT DISTINCT ticker FROM prices",
+                    final: str = "SELECT * FROM ratios", with_eps: bool = False) -> str:
+    """Latest (or as-of) ratio table for every ticker of ``universe``."""
     where = f"fiscal_period <= DATE '{as_of}'" if as_of else ""
     pcond = f"WHERE date <= DATE '{as_of}'" if as_of else ""
     label = f"'{as_of}'" if as_of else "'latest'"
-    extra = feature_cte(years=years, where=where) + f""",
-universe AS (SELECT DISTINCT ticker FROM prices),
+    eps_col = "eps" if with_eps else None
+    summed = SUMMED_Q + (["eps"] if with_eps else [])
+    ttm_eps = "f.ttm_eps" if with_eps else None
+    extra = feature_cte(years=years, where=where, eps_col=eps_col, summed=summed) + f""",
+universe AS ({universe}),
 px AS (SELECT ticker, arg_max(close, date) AS close FROM prices {pcond} GROUP BY ticker),
 ratios AS (
-  SELECT u.ticker, {label} AS as_of_date, {ratio_select('f', 'px.close', years)}
+  SELECT u.ticker, {label} AS as_of_date, {ratio_select('f', 'px.close', years, ttm_eps)}
   FROM universe u LEFT JOIN px USING (ticker) LEFT JOIN feat f ON f.ticker = u.ticker)"""
+    return with_bridge(final, density, with_eps=with_eps, extra=extra)
+
+
+def dates_cte(dates) -> str:
+    vals = ", ".join(f"(DATE '{d}')" for d in dates)
+    return f"dates AS (SELECT * FROM (VALUES {vals}) t(as_of_date))"
+
+
+def ratio_panel_sql(density: str, dates, years: int = 5) -> str:
+    """Brute force: every quarter / price row joined to every as-of date on or after it."""
+    extra = dates_cte(dates) + """,
+fq AS (SELECT f.*, dt.as_of_date FROM fund_q f JOIN dates dt ON f.fiscal_period <= dt.as_of_date),
+""" + feature_cte(src="fq", part="ticker, as_of_date", years=years) + f""",
+universe AS (SELECT DISTINCT ticker FROM prices),
+px AS (SELECT p.ticker, dt.as_of_date, arg_max(p.close, p.date) AS close
+       FROM prices p JOIN dates dt ON p.date <= dt.as_of_date GROUP BY ALL),
+ratios AS (
+  SELECT u.ticker, strftime(dt.as_of_date, '%Y-%m-%d') AS as_of_date,
+    {ratio_select('f', 'px.close', years)}
+  FROM universe u CROSS JOIN dates dt
+  LEFT JOIN px ON px.ticker = u.ticker AND px.as_of_date = dt.as_of_date
+  LEFT JOIN feat f ON f.ticker = u.ticker AND f.as_of_date = dt.as_of_date)"""
     return with_bridge("SELECT * FROM ratios", density, extra=extra)

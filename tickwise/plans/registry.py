@@ -1,8 +1,9 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 Every query reads the driver's tables through the bridge (so its work grows
-with the scale factor) and has a DuckDB SQL twin in ``SQL`` unless the
-operator cannot be phrased in SQL.
+with the scale factor) and has a DuckDB SQL twin in ``SQL``. Sink queries
+write to a fresh folder under the session's checkpoint directory and return
+the table read back, so their twin is plain SQL over the sources.
 """
 
 from __future__ import annotations
@@ -10,14 +11,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickwise.functions import scalar as S
+from tickwise.operators import filters as FL
+from tickwise.operators import metrics as M
+from tickwise.operators import prices as P
+from tickwise.operators import quality as Q
 from tickwise.operators import ratios as R
+from tickwise.operators import sets as ST
+from tickwise.operators import ttm as T
+from tickwise.plans import datasets as D
 from tickwise.plans import oracle as O
+from tickwise.session import shared_dir
+from tickwise.sources import extracts as X
+from tickwise.sources import ingest as I
 from tickwise.sources.bridge import Bridge
+from tickwise.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Query parameters (not data subsets: every query still reads whole tables).
+AS_OF = "1999-12-31"
+PANEL_DATES = ["1995-06-30", "1995-12-31", "1997-03-31", "1999-12-31", "2001-11-30"]
+REQUIRED = ["B1", "B7", "B13", "B25", "ZZZ"]
+REF_TICKER = "B7"
+CUT = "1998-06-30"
+W = O.with_bridge
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
@@ -28,8 +50,847 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# --------------------------------------------------------------------------- ratios
+def _b(spark, sf_dir, density="dense") -> Bridge:
+    return Bridge(spark, sf_dir, density)
+
+
+def _store(spark, name) -> Store:
+    return Store(spark, shared_dir(spark, f"store-{name}"))
+
+
+def _ratios(spark, sf_dir, density, **kw) -> DataFrame:
+    b = _b(spark, sf_dir, density)
+    return R.ratio_table(b.prices(), b.fundamentals(), **kw)
+
+
+def _companies_plus(spark, sf_dir, extra=("ZZZ",)) -> DataFrame:
+    c = _b(spark, sf_dir).companies().select("ticker")
+    return c.unionByName(ST.ticker_frame(spark, list(extra)))
+
+
+_UNIVERSE_PLUS = "SELECT ticker FROM companies UNION SELECT 'ZZZ'"
+_REQ_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in REQUIRED) + ") r(ticker)"
+_PCOLS = "ticker, date, open, high, low, close, adjusted_close, volume, year"
+
+
+# =========================================================================== 2.1 scans / sources
+@register("scan_prices", W("SELECT ticker, date, close, volume FROM prices "
+                           "WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"))
+def q_scan_prices(spark, sf_dir):
+    st = _store(spark, "scan_prices")
+    st.write_prices(_b(spark, sf_dir).prices())
+    return st.scan_prices(start_date="1997-01-01", end_date="1999-12-31",
+                          columns=["close", "volume", "no_such_column"])
+
+
+@register("scan_fundamentals_quarterly",
+          W("SELECT ticker, revenue, net_income FROM fund_q", "medium"))
+def q_scan_fq(spark, sf_dir):
+    st = _store(spark, "scan_fq")
+    st.write_fundamentals(_b(spark, sf_dir, "medium").fundamentals(), "quarterly")
+    return st.scan_fundamentals_quarterly(columns=["revenue", "net_income"])
+
+
+@register("scan_fundamentals_annual", W("SELECT * FROM fund_a"))
+def q_scan_fa(spark, sf_dir):
+    st = _store(spark, "scan_fa")
+    st.write_fundamentals(_b(spark, sf_dir).fundamentals("annual"), "annual")
+    return st.scan_fundamentals_annual()
+
+
+@register("read_metadata", W("SELECT * FROM companies"))
+def q_read_metadata(spark, sf_dir):
+    st = _store(spark, "read_metadata")
+    st.write_metadata(_b(spark, sf_dir).companies(), "companies")
+    return st.read_metadata("companies")
+
+
+@register("scan_empty_table",
+          W("SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS quarterly_rows FROM prices"))
+def q_scan_empty(spark, sf_dir):
+    st = _store(spark, "scan_empty")
+    st.write_prices(_b(spark, sf_dir).prices())
+    q = st.scan_fundamentals_quarterly()           # never written: empty, with schema
+    counts = q.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+    return (st.list_tickers("prices").join(counts, "ticker", "left")
+            .select("ticker", F.coalesce("n", F.lit(0)).cast("bigint").alias("quarterly_rows")))
+
+
+def _vendor_csv(df: DataFrame, mapping: dict, path: str, extra: dict | None = None) -> str:
+    inverse = {v: k for k, v in mapping.items() if k != "research_development"}
+    out = df
+    for c, e in (extra or {}).items():
+        out = out.withColumn(c, e)
+    out = out.select(*[F.col(c).alias(inverse.get(c, c)) for c in out.columns])
+    out.write.mode("overwrite").option("header", "true").option("sep", ";").csv(path)
+    return path
+
+
+@register("load_prices_extract", W(
+    "SELECT ticker, date, open, high, low, close, adjusted_close, volume FROM prices"))
+def q_load_prices(spark, sf_dir):
+    from tickwise.schemas import PRICE_COLUMN_MAP
+    path = _vendor_csv(_b(spark, sf_dir).prices().drop("year"), PRICE_COLUMN_MAP,
+                       shared_dir(spark, "vendor-prices"))
+    return X.load_prices_extract(spark, path)
+
+
+_LABEL = "'Q' || CAST(quarter(fiscal_period) AS VARCHAR) AS fiscal_label"
+
+
+@register("load_income_extract", W(f"SELECT *, {_LABEL} FROM income_q", "medium"))
+def q_load_income(spark, sf_dir):
+    from tickwise.schemas import INCOME_COLUMN_MAP
+    inc = _b(spark, sf_dir, "medium").income()
+    path = _vendor_csv(inc, INCOME_COLUMN_MAP, shared_dir(spark, "vendor-income"),
+                       {"fiscal_label": F.concat(F.lit("Q"), F.quarter("fiscal_period")
+                                                 .cast("string"))})
+    return X.load_income_extract(spark, path)
+
+
+@register("load_balance_extract", W(f"SELECT *, {_LABEL} FROM balance_q", "medium"))
+def q_load_balance(spark, sf_dir):
+    from tickwise.schemas import BALANCE_COLUMN_MAP
+    bal = _b(spark, sf_dir, "medium").balance()
+    path = _vendor_csv(bal, BALANCE_COLUMN_MAP, shared_dir(spark, "vendor-balance"),
+                       {"fiscal_label": F.concat(F.lit("Q"), F.quarter("fiscal_period")
+                                                 .cast("string"))})
+    return X.load_balance_extract(spark, path)
+
+
+@register("load_cashflow_extract", W(f"SELECT *, {_LABEL} FROM cashflow_q", "medium"))
+def q_load_cashflow(spark, sf_dir):
+    from tickwise.schemas import CASHFLOW_COLUMN_MAP
+    cf = _b(spark, sf_dir, "medium").cashflow()
+    path = _vendor_csv(cf, CASHFLOW_COLUMN_MAP, shared_dir(spark, "vendor-cashflow"),
+                       {"fiscal_label": F.concat(F.lit("Q"), F.quarter("fiscal_period")
+                                                 .cast("string"))})
+    return X.load_cashflow_extract(spark, path)
+
+
+@register("load_companies_extract", W("SELECT * FROM companies"))
+def q_load_companies(spark, sf_dir):
+    path = _vendor_csv(_b(spark, sf_dir).companies(), {"Ticker": "ticker"},
+                       shared_dir(spark, "vendor-companies"))
+    return X.load_companies_extract(spark, path)
+
+
+# =========================================================================== 2.2 sinks
+@register("write_prices", W(
+    "SELECT ticker, date, open, high, low, CASE WHEN year = 1999 THEN close + 1 ELSE close END "
+    "AS close, adjusted_close, volume, year FROM prices"))
+def q_write_prices(spark, sf_dir):
+    st = _store(spark, "write_prices")
+    px = _b(spark, sf_dir).prices()
+    st.write_prices(px)
+    st.write_prices(px.where(F.col("year") == 1999).withColumn("close", F.col("close") + 1))
+    return st.scan_prices()
+
+
+_REPLACED = ("SELECT * FROM {t} WHERE fiscal_year >= 2000 OR ticker NOT IN "
+             "(SELECT ticker FROM {t} WHERE fiscal_year >= 2000)")
+
+
+@register("write_fundamentals_quarterly", W(_REPLACED.format(t="fund_q"), "medium"))
+def q_write_fq(spark, sf_dir):
+    st = _store(spark, "write_fq")
+    fq = _b(spark, sf_dir, "medium").fundamentals()
+    st.write_fundamentals_quarterly(fq)
+    st.write_fundamentals_quarterly(fq.where(F.col("fiscal_year") >= 2000))
+    return st.scan_fundamentals_quarterly()
+
+
+@register("write_fundamentals_annual", W(_REPLACED.format(t="fund_a")))
+def q_write_fa(spark, sf_dir):
+    st = _store(spark, "write_fa")
+    fa = _b(spark, sf_dir).fundamentals("annual")
+    st.write_fundamentals_annual(fa)
+    st.write_fundamentals_annual(fa.where(F.col("fiscal_year") >= 2000))
+    return st.scan_fundamentals_annual()
+
+
+@register("write_metadata", W("SELECT ticker, lower(company_name) AS company_name, sector "
+                              "FROM companies"))
+def q_write_metadata(spark, sf_dir):
+    st = _store(spark, "write_metadata")
+    c = _b(spark, sf_dir).companies()
+    st.write_metadata(c, "companies")
+    st.write_metadata(c.withColumn("company_name", F.lower("company_name")), "companies")
+    return st.read_metadata("companies")
+
+
+# split of prices at a per-ticker cut day: stored rows up to it, a feed from it on
+_CUTS = f"cuts AS (SELECT ticker, max(date) AS cut FROM prices WHERE date <= DATE '{CUT}' GROUP BY ticker)"
+
+
+def _split(px: DataFrame):
+    cuts = (px.where(F.col("date") <= F.lit(CUT).cast("date"))
+            .groupBy("ticker").agg(F.max("date").alias("cut")))
+    j = px.join(cuts, "ticker", "left")
+    stored = j.where(F.col("date") <= F.col("cut")).drop("cut")
+    feed = (j.where(F.col("cut").isNull() | (F.col("date") >= F.col("cut")))
+            .withColumn("close", F.when(F.col("date") == F.col("cut"), F.col("close") + 1)
+                        .otherwise(F.col("close"))).drop("cut"))
+    return stored, feed
+
+
+@register("append_prices", W(
+    "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
+    "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "
+    "FROM prices p LEFT JOIN cuts c USING (ticker)", extra=_CUTS))
+def q_append_prices(spark, sf_dir):
+    st = _store(spark, "append_prices")
+    stored, feed = _split(_b(spark, sf_dir).prices())
+    st.write_prices(stored)
+    st.append_prices(feed)
+    return st.scan_prices()
+
+
+@register("ingest_incremental", W(
+    f"SELECT {_PCOLS} FROM prices WHERE ticker IN (SELECT ticker FROM cuts)", extra=_CUTS))
+def q_ingest_incremental(spark, sf_dir):
+    st = _store(spark, "ingest_incremental")
+    stored, feed = _split(_b(spark, sf_dir).prices())
+    st.write_prices(stored)
+    I.ingest_incremental(st, feed)
+    return st.scan_prices()
+
+
+@register("delete_ticker", W(
+    f"SELECT {_PCOLS}, 3 AS tables_affected FROM prices "
+    "WHERE ticker NOT IN (SELECT ticker FROM companies WHERE sector = 'SEC0')"))
+def q_delete_ticker(spark, sf_dir):
+    st = _store(spark, "delete_ticker")
+    b = _b(spark, sf_dir)
+    st.write_prices(b.prices())
+    st.write_fundamentals(b.fundamentals(), "quarterly")
+    st.write_fundamentals(b.fundamentals("annual"), "annual")
+    doomed = [r[0] for r in b.companies().where("sector = 'SEC0'").select("ticker").collect()]
+    n = st.delete_ticker(doomed)
+    return st.scan_prices().withColumn("tables_affected", F.lit(n))
+
+
+@register("ingest_full", W("""SELECT
+  (SELECT count(DISTINCT ticker) FROM prices) AS tickers_processed,
+  (SELECT count(*) FROM prices WHERE date >= DATE '1997-01-01') AS prices_written,
+  (SELECT count(*) FROM fund_q) AS fundamentals_written,
+  (SELECT count(*) FROM prices WHERE date >= DATE '1997-01-01') AS stored_price_rows,
+  (SELECT count(*) FROM fund_q) AS stored_quarterly_rows,
+  (SELECT count(*) FROM fund_a) AS stored_annual_rows""", "medium"))
+def q_ingest_full(spark, sf_dir):
+    st = _store(spark, "ingest_full")
+    b = _b(spark, sf_dir, "medium")
+    s = I.ingest_full(st, b.prices(), b.fundamentals(), b.fundamentals("annual"),
+                      start_date="1997-01-01")
+
+    def n(df, name):
+        return df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(1))
+    head = spark.createDataFrame(
+        [(s["tickers_processed"], s["prices_written"], s["fundamentals_written"], 1)],
+        "tickers_processed bigint, prices_written bigint, fundamentals_written bigint, _k int")
+    return (head.join(n(st.read("prices"), "stored_price_rows"), "_k")
+            .join(n(st.read("quarterly"), "stored_quarterly_rows"), "_k")
+            .join(n(st.read("annual"), "stored_annual_rows"), "_k").drop("_k"))
+
+
+# =========================================================================== 2.3 filters
+@register("filter_ticker", W(f"SELECT * FROM prices WHERE ticker = '{REF_TICKER}'"))
+def q_filter_ticker(spark, sf_dir):
+    return FL.filter_ticker(_b(spark, sf_dir).prices(), REF_TICKER)
+
+
+@register("filter_date_range", W("SELECT * FROM prices WHERE date BETWEEN DATE '1998-01-01' "
+                                 "AND DATE '1998-12-31'", "sparse"))
+def q_filter_date_range(spark, sf_dir):
+    return FL.filter_date_range(_b(spark, sf_dir, "sparse").prices(), "1998-01-01", "1998-12-31")
+
+
+@register("filter_as_of", W("SELECT * FROM fund_q WHERE fiscal_period <= DATE '1998-12-31'",
+                            "sparse"))
+def q_filter_as_of(spark, sf_dir):
+    return FL.filter_as_of(_b(spark, sf_dir, "sparse").fundamentals(), "1998-12-31")
+
+
+@register("project_columns", W("SELECT ticker, date, volume, close FROM prices", "medium"))
+def q_project_columns(spark, sf_dir):
+    return FL.project_columns(_b(spark, sf_dir, "medium").prices(),
+                              ["volume", "close", "no_such_column"])
+
+
+@register("screen_stocks", O.ratio_table_sql(
+    "sparse", final="SELECT * FROM ratios WHERE pe_ratio >= 0 AND pe_ratio <= 25 "
+                    "AND operating_margin >= 0.1"))
+def q_screen(spark, sf_dir):
+    return FL.screen_stocks(_ratios(spark, sf_dir, "sparse"),
+                            {"pe_ratio": (0, 25), "operating_margin": (0.1, None),
+                             "no_such_ratio": (1, 2)})
+
+
+@register("compare_tickers", O.ratio_table_sql(
+    "dense", universe=_UNIVERSE_PLUS, final="SELECT ticker, pe_ratio, gross_margin FROM ratios"))
+def q_compare(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    r = R.ratio_table(b.prices(), b.fundamentals(), tickers=_companies_plus(spark, sf_dir))
+    return M.compare_tickers(r, ["pe_ratio", "gross_margin", "no_such_metric"])
+
+
+@register("filter_not_null", O.ratio_table_sql(
+    "sparse", final="SELECT ticker, peg_ratio FROM ratios WHERE peg_ratio IS NOT NULL"))
+def q_filter_not_null(spark, sf_dir):
+    return FL.filter_not_null(_ratios(spark, sf_dir, "sparse"), "peg_ratio").select(
+        "ticker", "peg_ratio")
+
+
+_HAS_DATA = """WITH {d},
+{m},
+u AS (SELECT ticker FROM d_companies UNION SELECT DISTINCT ticker FROM m_prices)
+SELECT u.ticker,
+  u.ticker IN (SELECT ticker FROM d_prices) AS prices,
+  u.ticker IN (SELECT ticker FROM m_fund_q) AS quarterly,
+  u.ticker IN (SELECT ticker FROM d_fund_a) AS annual
+FROM u"""
+
+
+def _prefixed(density: str, prefix: str) -> str:
+    """Bridge CTEs with every CTE name prefixed (two densities in one statement)."""
+    import re
+    text = O.bridge_ctes(density)
+    names = ["base", "prices", "income_q", "balance_q", "cashflow_q", "fund_q", "income_a",
+             "balance_a", "cashflow_a", "fund_a", "companies"]
+    for n in names:
+        text = re.sub(rf"\b{n}\b(?= AS \()", f"{prefix}{n}", text)
+        text = re.sub(rf"(FROM|JOIN) {n}\b(?! AS \()", rf"\1 {prefix}{n}", text)
+    return text
+
+
+@register("has_data", _HAS_DATA.format(d=_prefixed("dense", "d_"), m=_prefixed("medium", "m_")))
+def q_has_data(spark, sf_dir):
+    d, m = _b(spark, sf_dir), _b(spark, sf_dir, "medium")
+    u = d.companies().select("ticker").unionByName(m.prices().select("ticker")).distinct()
+    return I.has_data(u, d.prices(), m.fundamentals(), d.fundamentals("annual"))
+
+
+# =========================================================================== 2.4 joins
+@register("combine_statements", W("SELECT * FROM fund_q", "medium"))
+def q_combine(spark, sf_dir):
+    b = _b(spark, sf_dir, "medium")
+    from tickwise.operators.statements import combine_statements
+    return combine_statements(b.income(), b.balance(), b.cashflow())
+
+
+@register("price_as_of", W(
+    f"SELECT ticker, date, open, high, low, close, adjusted_close, volume, year FROM prices "
+    f"WHERE date <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY ticker "
+    f"ORDER BY date DESC) = 1", "sparse"))
+def q_price_as_of(spark, sf_dir):
+    return P.price_as_of(_b(spark, sf_dir, "sparse").prices(), AS_OF)
+
+
+@register("price_x_ttm", W(
+    "SELECT p.ticker, p.date, p.close, f.ttm_revenue, f.ttm_net_income, f.quarters_included "
+    "FROM (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date "
+    "DESC) = 1) p LEFT JOIN feat f USING (ticker)", extra=O.feature_cte()))
+def q_price_x_ttm(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    lp = P.latest_price(b.prices()).select("ticker", "date", "close")
+    ttm = T.ttm_fundamentals(b.fundamentals()).select(
+        "ticker", F.col("revenue").alias("ttm_revenue"),
+        F.col("net_income").alias("ttm_net_income"), "quarters_included")
+    return lp.join(ttm, "ticker", "left")
+
+
+_ALIASES = {"B5": "S1", "B10": "S999999"}
+
+
+@register("resolve_universe", _HAS_DATA.split("u AS")[0].format(
+    d=_prefixed("dense", "d_"), m=_prefixed("medium", "m_")) + """avail AS (
+  SELECT ticker FROM d_prices WHERE ticker NOT IN (SELECT ticker FROM d_companies WHERE sector = 'SEC0')
+  UNION SELECT ticker FROM m_prices),
+want AS (SELECT ticker FROM d_companies),
+amap AS (SELECT * FROM (VALUES ('B5', 'S1'), ('B10', 'S999999')) t(ticker, alias))
+SELECT ticker FROM want WHERE ticker IN (SELECT ticker FROM avail)
+UNION
+SELECT a.alias FROM amap a JOIN want w USING (ticker)
+WHERE a.ticker NOT IN (SELECT ticker FROM avail) AND a.alias IN (SELECT ticker FROM avail)""")
+def q_resolve_universe(spark, sf_dir):
+    d, m = _b(spark, sf_dir), _b(spark, sf_dir, "medium")
+    sec0 = d.companies().where("sector = 'SEC0'").select("ticker")
+    avail = (d.prices().select("ticker").join(sec0, "ticker", "left_anti")
+             .unionByName(m.prices().select("ticker")))
+    return ST.resolve_universe(d.companies(), avail, _ALIASES)
+
+
+@register("coverage_check", W(f"SELECT r.ticker, r.ticker IN (SELECT ticker FROM companies) "
+                              f"AS found FROM ({_REQ_SQL}) r"))
+def q_coverage(spark, sf_dir):
+    return Q.coverage_check(_b(spark, sf_dir).companies(), REQUIRED)
+
+
+@register("completeness_by_ticker", W(f"""SELECT r.ticker,
+  CAST((SELECT count(*) FROM prices p WHERE p.ticker = r.ticker) AS BIGINT) AS price_rows,
+  CAST((SELECT count(*) FROM income_q i WHERE i.ticker = r.ticker) AS BIGINT) AS income_quarters,
+  (SELECT count(*) FROM prices p WHERE p.ticker = r.ticker) > 0
+    AND (SELECT count(*) FROM income_q i WHERE i.ticker = r.ticker) > 0 AS complete
+FROM ({_REQ_SQL}) r"""))
+def q_completeness(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    return Q.completeness_by_ticker(b.prices(), b.income(), REQUIRED)
+
+
+@register("valuation_summary", O.ratio_table_sql("dense", final="""SELECT r.*,
+  lp.close AS current_price, strftime(lp.date, '%Y-%m-%d') AS price_date,
+  f.ttm_revenue, f.ttm_net_income
+FROM ratios r
+LEFT JOIN (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1) lp
+  USING (ticker)
+LEFT JOIN feat f USING (ticker)"""))
+def q_valuation_summary(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    r = R.ratio_table(b.prices(), b.fundamentals())
+    return M.valuation_summary(r, b.prices(), b.fundamentals())
+
+
+_GROUP_AVG = """SELECT c.sector AS "group", {aggs}, CAST(count(c.ticker) AS BIGINT) AS ticker_count
+FROM companies c LEFT JOIN ratios r USING (ticker) GROUP BY c.sector"""
+_GROUP_AVG_SQL = _GROUP_AVG.format(aggs=", ".join(f"{O.xround(f'avg(r.{c})', 4)} AS {c}"
+                                                  for c in O.RATIO_NAMES))
+_RADAR = ["operating_margin", "net_profit_margin", "gross_margin", "rd_intensity", "capex_ratio"]
+
+
+def _radar_sql() -> str:
+    def unpiv(src, ids, val):
+        return " UNION ALL ".join(
+            f"SELECT {ids}, '{m}' AS metric, {m} AS {val} FROM {src}" for m in _RADAR)
+    return O.ratio_table_sql("dense", final=f"""SELECT t."group", t.ticker, t.metric,
+  {_label_sql('t.metric')} AS label, t.ticker_value, coalesce(g.group_value, 0.0) AS group_value
+FROM ({unpiv('(SELECT c.sector AS "group", r.* FROM companies c JOIN ratios r USING (ticker))',
+             '"group", ticker', 'ticker_value')}) t
+LEFT JOIN ({unpiv('(' + _GROUP_AVG_SQL + ')', '"group"', 'group_value')}) g
+  ON g."group" = t."group" AND g.metric = t.metric
+WHERE t.ticker_value IS NOT NULL""")
+
+
+def _label_sql(c: str) -> str:
+    # 'pe_ratio' -> 'Pe Ratio' (initcap of the words)
+    return (f"array_to_string(list_transform(string_split({c}, '_'), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+def _members(spark, sf_dir) -> DataFrame:
+    return _b(spark, sf_dir).companies().select(F.col("sector").alias("group"), "ticker")
+
+
+@register("ticker_vs_group", _radar_sql())
+def q_ticker_vs_group(spark, sf_dir):
+    return M.ticker_vs_group(_ratios(spark, sf_dir, "dense"), _members(spark, sf_dir))
+
+
+# =========================================================================== 2.5 aggregations
+def _ttm_sql(density: str, where: str = "") -> str:
+    cols = ", ".join(f"f.ttm_{c} AS {c}" for c in O.SUMMED_Q)
+    return W(f"SELECT f.ticker, {cols}, f.quarters_included FROM feat f", density,
+             extra=O.feature_cte(where=where))
+
+
+@register("ttm_fundamentals", _ttm_sql("sparse"))
+def q_ttm(spark, sf_dir):
+    return T.ttm_fundamentals(_b(spark, sf_dir, "sparse").fundamentals())
+
+
+@register("ttm_fundamentals_as_of", _ttm_sql("medium", "fiscal_period <= DATE '1995-06-30'"))
+def q_ttm_as_of(spark, sf_dir):
+    return T.ttm_fundamentals(_b(spark, sf_dir, "medium").fundamentals(), as_of="1995-06-30")
+
+
+@register("date_range", W("SELECT ticker, min(date) AS min_date, max(date) AS max_date "
+                          "FROM prices GROUP BY ticker", "sparse"))
+def q_date_range(spark, sf_dir):
+    return P.date_range(_b(spark, sf_dir, "sparse").prices())
+
+
+@register("list_tickers", W("SELECT DISTINCT ticker FROM prices"))
+def q_list_tickers(spark, sf_dir):
+    return ST.list_tickers(_b(spark, sf_dir).prices())
+
+
+@register("list_available_tickers", W("SELECT DISTINCT ticker FROM prices", "medium"))
+def q_list_available(spark, sf_dir):
+    return X.list_available_tickers(_b(spark, sf_dir, "medium").prices())
+
+
+@register("group_averages", O.ratio_table_sql("dense", final=_GROUP_AVG_SQL))
+def q_group_averages(spark, sf_dir):
+    return M.group_averages(_ratios(spark, sf_dir, "dense"), _members(spark, sf_dir))
+
+
+@register("data_summary", W("""SELECT ticker, strftime(min(date), '%Y-%m-%d') AS min_date,
+  strftime(max(date), '%Y-%m-%d') AS max_date,
+  (SELECT count(DISTINCT ticker) FROM prices) AS price_tickers,
+  (SELECT count(DISTINCT ticker) FROM fund_q) AS quarterly_tickers,
+  (SELECT count(DISTINCT ticker) FROM fund_a) AS annual_tickers
+FROM prices WHERE ticker IN (SELECT DISTINCT ticker FROM prices ORDER BY ticker LIMIT 5)
+GROUP BY ticker""", "medium"))
+def q_data_summary(spark, sf_dir):
+    b = _b(spark, sf_dir, "medium")
+    return I.data_summary(b.prices(), b.fundamentals(), b.fundamentals("annual"))
+
+
+@register("price_profile", W(f"""SELECT CAST(count(*) AS BIGINT) AS total_rows,
+  CAST(count(DISTINCT ticker) AS BIGINT) AS unique_tickers, min(date) AS min_date, max(date) AS max_date,
+  CAST(count(*) FILTER (WHERE ticker = '{REF_TICKER}') AS BIGINT) AS ref_rows,
+  min(date) FILTER (WHERE ticker = '{REF_TICKER}') AS ref_min_date,
+  max(date) FILTER (WHERE ticker = '{REF_TICKER}') AS ref_max_date,
+  coalesce(min(date) <= DATE '1995-06-01', false) AS passed FROM prices"""))
+def q_price_profile(spark, sf_dir):
+    return Q.price_profile(_b(spark, sf_dir).prices(), REF_TICKER, "1995-06-01")
+
+
+@register("fundamentals_profile", W(f"""SELECT CAST(count(*) AS BIGINT) AS total_rows,
+  CAST(count(DISTINCT ticker) AS BIGINT) AS unique_tickers,
+  CAST(count(*) FILTER (WHERE ticker = '{REF_TICKER}') AS BIGINT) AS ref_quarters,
+  CAST(4 AS BIGINT) AS key_columns_found, true AS passed FROM income_q"""))
+def q_fundamentals_profile(spark, sf_dir):
+    return Q.fundamentals_profile(_b(spark, sf_dir).income(), REF_TICKER)
+
+
+@register("rd_capex_availability", W("""SELECT true AS capex_available, true AS rd_available,
+  (SELECT count(capex) / count(*) FROM cashflow_q) AS capex_filled_share,
+  (SELECT count(rd_expense) / count(*) FROM income_q) AS rd_filled_share,
+  true AS passed""", "medium"))
+def q_rd_capex(spark, sf_dir):
+    b = _b(spark, sf_dir, "medium")
+    return Q.rd_capex_availability(b.cashflow(), b.income())
+
+
+_REQ_HIT = "CASE WHEN ticker IN (SELECT ticker FROM companies) THEN 1 ELSE 0 END"
+_REQ_BOTH = ("CASE WHEN ticker IN (SELECT ticker FROM prices) AND ticker IN "
+             "(SELECT ticker FROM income_q) THEN 1 ELSE 0 END")
+_STEPS = f"""steps AS (
+SELECT 1 AS step, 'Company table' AS "check", count(*) > 0 AS passed,
+  'loaded ' || count(*) || ' companies' AS message FROM companies
+UNION ALL
+SELECT 2, 'Coverage', sum({_REQ_HIT}) >= least(4, count(*)),
+  'found ' || sum({_REQ_HIT}) || '/' || count(*) || ' required tickers' FROM ({_REQ_SQL}) r
+UNION ALL
+SELECT 3, 'Price data', coalesce(min(date) <= DATE '1995-06-01', false),
+  count(*) || ' rows, ' || count(DISTINCT ticker) || ' tickers' FROM prices
+UNION ALL
+SELECT 4, 'Fundamentals data', true,
+  count(*) || ' rows, ' || count(DISTINCT ticker) || ' tickers' FROM income_q
+UNION ALL
+SELECT 5, 'Data completeness', sum({_REQ_BOTH}) >= 3,
+  sum({_REQ_BOTH}) || '/' || count(*) || ' required tickers have complete data' FROM ({_REQ_SQL}) r
+UNION ALL
+SELECT 6, 'R&D and CapEx data', true, 'CapEx: Available, R&D: Available')"""
+
+
+@register("quality_report", W("""SELECT CAST(step AS BIGINT) AS step, "check", passed, message FROM steps
+UNION ALL
+SELECT 99, 'Overall', bool_and(passed), CASE WHEN bool_and(passed) THEN 'PASSED' ELSE 'FAILED' END
+FROM steps""", extra=_STEPS))
+def q_quality_report(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    return Q.quality_report(b.companies(), b.prices(), b.income(), b.cashflow(), REQUIRED,
+                            REF_TICKER, "1995-06-01")
+
+
+# =========================================================================== 2.6 ratios
 @register("ratio_table", O.ratio_table_sql("sparse"))
 def q_ratio_table(spark, sf_dir):
-    b = Bridge(spark, sf_dir, "sparse")
-    return R.ratio_table(b.prices(), b.fundamentals())
+    return _ratios(spark, sf_dir, "sparse")
+
+
+@register("ratio_table_as_of", O.ratio_table_sql("sparse", as_of="1995-12-31"))
+def q_ratio_table_as_of(spark, sf_dir):
+    return _ratios(spark, sf_dir, "sparse", as_of="1995-12-31")
+
+
+@register("ratio_table_reported_eps", O.ratio_table_sql("dense", with_eps=True))
+def q_ratio_table_eps(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    return R.ratio_table(b.prices(), b.fundamentals(with_eps=True))
+
+
+@register("all_ratios", O.ratio_table_sql("dense", as_of=AS_OF,
+                                          universe=f"SELECT '{REF_TICKER}' AS ticker"))
+def q_all_ratios(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    return R.all_ratios(b.prices(), b.fundamentals(), REF_TICKER, as_of=AS_OF)
+
+
+@register("ratio_panel", O.ratio_panel_sql("medium", PANEL_DATES))
+def q_ratio_panel(spark, sf_dir):
+    b = _b(spark, sf_dir, "medium")
+    return R.ratio_panel(b.prices(), b.fundamentals(), PANEL_DATES)
+
+
+for _name, _dens in [("pe_ratio", "sparse"), ("peg_ratio", "sparse"),
+                     ("operating_margin", "sparse"), ("net_profit_margin", "medium"),
+                     ("gross_margin", "dense"), ("rd_intensity", "sparse"),
+                     ("capex_ratio", "medium"), ("revenue_growth", "sparse"),
+                     ("eps_growth", "sparse")]:
+    def _mk(name=_name, dens=_dens):
+        def q(spark, sf_dir):
+            b = _b(spark, sf_dir, dens)
+            return R.single_ratio(b.prices(), b.fundamentals(), name)
+        q.__name__ = f"q_{name}"
+        return q
+    register(_name, O.ratio_table_sql(_dens, final=f"SELECT ticker, {_name} FROM ratios"))(_mk())
+
+
+@register("ttm_eps", W("SELECT ticker, CASE WHEN ttm_shares_outstanding > 0 THEN ttm_net_income / "
+                       "ttm_shares_outstanding END AS ttm_eps, quarters_included FROM feat",
+                       "sparse", extra=O.feature_cte()))
+def q_ttm_eps(spark, sf_dir):
+    return R.ttm_eps_table(_b(spark, sf_dir, "sparse").fundamentals())
+
+
+@register("eps_quarterly", W("SELECT ticker, fiscal_period, net_income / NULLIF(shares_outstanding, "
+                             "0) AS eps FROM fund_q", "medium"))
+def q_eps_quarterly(spark, sf_dir):
+    q = _b(spark, sf_dir, "medium").fundamentals()
+    return q.select("ticker", "fiscal_period", T.quarterly_eps(q).alias("eps"))
+
+
+def _cagr_sql(years: int) -> str:
+    r = O.xround(f"pow(eps_ttm_now / eps_ttm_past, CAST(1 AS DOUBLE) / {years}) - 1.0", 4)
+    return W(f"SELECT ticker, CASE WHEN n_quarters >= {4 * years} AND eps_ttm_now > 0 AND "
+             f"eps_ttm_past > 0 THEN {r} END AS eps_cagr FROM feat", "sparse",
+             extra=O.feature_cte(years=years))
+
+
+@register("eps_cagr", _cagr_sql(5))
+def q_eps_cagr(spark, sf_dir):
+    return R.eps_cagr_table(_b(spark, sf_dir, "sparse").fundamentals(), 5)
+
+
+@register("eps_cagr_3y", _cagr_sql(3))
+def q_eps_cagr_3y(spark, sf_dir):
+    return R.eps_cagr_table(_b(spark, sf_dir, "sparse").fundamentals(), 3)
+
+
+_YOY = O.xround("(max(CASE WHEN rn = 1 THEN gross_profit END) - max(CASE WHEN rn = 5 THEN "
+                "gross_profit END)) / NULLIF(abs(max(CASE WHEN rn = 5 THEN gross_profit END)), 0)", 4)
+
+
+@register("yoy_growth", W(f"""SELECT ticker, CASE WHEN count(*) >= 5 THEN
+  {_YOY} END AS gross_profit_growth
+FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_period DESC) AS rn FROM fund_q)
+GROUP BY ticker""", "medium"))
+def q_yoy_growth(spark, sf_dir):
+    return R.yoy_growth(_b(spark, sf_dir, "medium").fundamentals(), "gross_profit")
+
+
+# =========================================================================== 2.7 windows
+@register("rank_by_metric", O.ratio_table_sql("sparse", final=(
+    "SELECT row_number() OVER (ORDER BY pe_ratio DESC, ticker) AS rank, ticker, pe_ratio "
+    "FROM ratios WHERE pe_ratio IS NOT NULL")))
+def q_rank(spark, sf_dir):
+    return M.rank_by_metric(_ratios(spark, sf_dir, "sparse"), "pe_ratio", ascending=False)
+
+
+@register("newest_n_quarters", W(
+    "SELECT ticker, fiscal_period, revenue, row_number() OVER (PARTITION BY ticker ORDER BY "
+    "fiscal_period DESC) AS rn FROM fund_q QUALIFY rn <= 4", "sparse"))
+def q_newest_n(spark, sf_dir):
+    return T.newest_n_quarters(_b(spark, sf_dir, "sparse").fundamentals(), 4).select(
+        "ticker", "fiscal_period", "revenue", "rn")
+
+
+@register("nth_row_offset", W(
+    "SELECT ticker, fiscal_period, revenue, lag(revenue, 4) OVER (PARTITION BY ticker ORDER BY "
+    "fiscal_period) AS revenue_back_4 FROM fund_q", "medium"))
+def q_nth_row(spark, sf_dir):
+    return T.nth_row_offset(_b(spark, sf_dir, "medium").fundamentals(), "revenue", 4)
+
+
+_W = "OVER (PARTITION BY ticker ORDER BY fiscal_period)"
+
+
+@register("row_slice_sum", W(
+    "SELECT ticker, fiscal_period, " + " + ".join(
+        f"coalesce(lag(revenue, {k}) {_W}, 0)" for k in range(16, 20))
+    + " AS revenue_rows_17_20 FROM fund_q", "medium"))
+def q_row_slice(spark, sf_dir):
+    return T.row_slice_sum(_b(spark, sf_dir, "medium").fundamentals(), "revenue", 17, 4)
+
+
+@register("normalize_price", W(
+    "SELECT p.ticker, p.date, p.close / NULLIF(b.base, 0) * 100 AS close FROM prices p "
+    "JOIN (SELECT ticker, arg_min(close, date) AS base FROM prices GROUP BY ticker) b "
+    "USING (ticker)"))
+def q_normalize(spark, sf_dir):
+    return P.normalize_price(_b(spark, sf_dir).prices().select("ticker", "date", "close"))
+
+
+# =========================================================================== 2.8 sorts / top-k
+@register("latest_price", W("SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY ticker "
+                            "ORDER BY date DESC) = 1", "sparse"))
+def q_latest_price(spark, sf_dir):
+    return P.latest_price(_b(spark, sf_dir, "sparse").prices())
+
+
+@register("top_n", O.ratio_table_sql("sparse", final=(
+    "SELECT ticker, operating_margin FROM ratios ORDER BY operating_margin DESC NULLS LAST, "
+    "ticker LIMIT 10")))
+def q_top_n(spark, sf_dir):
+    r = _ratios(spark, sf_dir, "sparse")
+    return (r.orderBy(F.col("operating_margin").desc_nulls_last(), "ticker").limit(10)
+            .select("ticker", "operating_margin"))
+
+
+@register("sort_series", W("SELECT ticker, date, close FROM prices ORDER BY ticker, date",
+                           "medium"))
+def q_sort_series(spark, sf_dir):
+    return _b(spark, sf_dir, "medium").prices().select("ticker", "date", "close").orderBy(
+        "ticker", "date")
+
+
+@register("recent_statements", W(
+    "SELECT ticker, fiscal_period, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_period "
+    "DESC) AS rn, revenue, net_income FROM fund_q QUALIFY rn <= 8"))
+def q_recent(spark, sf_dir):
+    return D.recent_statements(_b(spark, sf_dir).fundamentals(), ["revenue", "net_income"], 8)
+
+
+# =========================================================================== 2.9 set operations
+@register("union_all", "WITH " + _prefixed("dense", "d_") + ",\n" + _prefixed("medium", "m_")
+          + "\nSELECT * FROM d_income_q UNION ALL SELECT * FROM m_income_q")
+def q_union_all(spark, sf_dir):
+    return ST.union_all(_b(spark, sf_dir).income(), _b(spark, sf_dir, "medium").income())
+
+
+@register("dedupe_keep_last", W(
+    "SELECT ticker, date, open, high, low, CASE WHEN year = 2000 THEN close + 1 ELSE close END "
+    "AS close, adjusted_close, volume, year FROM prices"))
+def q_dedupe(spark, sf_dir):
+    px = _b(spark, sf_dir).prices()
+    newer = px.where(F.col("year") == 2000).withColumn("close", F.col("close") + 1)
+    u = px.withColumn("_seq", F.lit(0)).unionByName(newer.withColumn("_seq", F.lit(1)))
+    return ST.dedupe_keep_last(u, ["ticker", "date"], "_seq").drop("_seq")
+
+
+@register("distinct_values", W("SELECT DISTINCT fiscal_year FROM fund_q", "sparse"))
+def q_distinct(spark, sf_dir):
+    return ST.distinct_values(_b(spark, sf_dir, "sparse").fundamentals(), "fiscal_year")
+
+
+# =========================================================================== 2.10 scalars
+@register("add_ticker_column", W(f"SELECT * FROM prices WHERE ticker = '{REF_TICKER}'"))
+def q_add_ticker(spark, sf_dir):
+    px = _b(spark, sf_dir).prices()
+    bare = px.where(F.col("ticker") == REF_TICKER).drop("ticker")
+    return S.add_ticker_column(bare, REF_TICKER)
+
+
+@register("year_of_date", W("SELECT ticker, date, CAST(year(date) AS BIGINT) AS year FROM prices",
+                            "sparse"))
+def q_year_of_date(spark, sf_dir):
+    return _b(spark, sf_dir, "sparse").prices().select("ticker", "date",
+                                                       S.year_of_date("date").alias("year"))
+
+
+@register("free_cash_flow", W("SELECT *, operating_cash_flow - abs(capex) AS free_cash_flow "
+                              "FROM cashflow_q", "medium"))
+def q_fcf(spark, sf_dir):
+    return _b(spark, sf_dir, "medium").cashflow().withColumn("free_cash_flow", S.free_cash_flow())
+
+
+_QM = ("SELECT ticker, fiscal_period, gross_profit / NULLIF(revenue, 0) AS gross_margin, "
+       "operating_income / NULLIF(revenue, 0) AS operating_margin, "
+       "net_income / NULLIF(revenue, 0) AS net_margin FROM fund_q")
+
+
+@register("quarter_margins", W(_QM, "sparse"))
+def q_quarter_margins(spark, sf_dir):
+    return D.quarter_margins(_b(spark, sf_dir, "sparse").fundamentals())
+
+
+@register("round_2", W(f"SELECT ticker, date, {O.xround('close', 2)} AS close FROM prices",
+                       "sparse"))
+def q_round_2(spark, sf_dir):
+    return _b(spark, sf_dir, "sparse").prices().select("ticker", "date",
+                                                       S.round_2("close").alias("close"))
+
+
+@register("round_4", W(f"SELECT ticker, date, {O.xround('adjusted_close', 4)} AS adjusted_close "
+                       "FROM prices", "sparse"))
+def q_round_4(spark, sf_dir):
+    return _b(spark, sf_dir, "sparse").prices().select(
+        "ticker", "date", S.round_4("adjusted_close").alias("adjusted_close"))
+
+
+@register("metric_label", O.ratio_table_sql("dense", final=(
+    "SELECT DISTINCT metric, " + _label_sql("metric") + " AS label FROM (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric FROM ratios" for m in O.RATIO_NAMES) + ")")))
+def q_metric_label(spark, sf_dir):
+    r = _ratios(spark, sf_dir, "dense")
+    long = M.unpivot_metrics(r, list(R.RATIO_COLUMNS), ["ticker"])
+    return long.select("metric", S.metric_label(F.col("metric")).alias("label")).distinct()
+
+
+@register("parse_iso_date", W("SELECT ticker, strftime(date, '%Y-%m-%d') AS date_text, date "
+                              "FROM prices", "medium"))
+def q_parse_iso(spark, sf_dir):
+    px = _b(spark, sf_dir, "medium").prices().select(
+        "ticker", F.date_format("date", "yyyy-MM-dd").alias("date_text"))
+    return px.withColumn("date", S.parse_iso_date("date_text"))
+
+
+@register("candle_colour", W("SELECT ticker, date, CASE WHEN close < open THEN 'red' ELSE 'green' "
+                             "END AS colour FROM prices"))
+def q_candle(spark, sf_dir):
+    return _b(spark, sf_dir).prices().select("ticker", "date", S.candle_colour().alias("colour"))
+
+
+# =========================================================================== 2.11 chart datasets
+@register("candlestick_data", W(
+    "SELECT ticker, date, open, high, low, close, volume, CASE WHEN close < open THEN 'red' "
+    "ELSE 'green' END AS colour FROM prices WHERE date BETWEEN DATE '1999-01-01' AND "
+    "DATE '1999-12-31'"))
+def q_candlestick(spark, sf_dir):
+    return D.candlestick_data(_b(spark, sf_dir).prices(), "1999-01-01", "1999-12-31")
+
+
+@register("price_comparison_data", W(
+    "SELECT p.ticker, p.date, p.close / NULLIF(b.base, 0) * 100 AS close FROM prices p "
+    "JOIN (SELECT ticker, arg_min(close, date) AS base FROM prices WHERE date BETWEEN "
+    "DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY ticker) b USING (ticker) "
+    "WHERE p.date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'", "medium"))
+def q_price_comparison(spark, sf_dir):
+    return D.price_comparison_data(_b(spark, sf_dir, "medium").prices(), "2000-01-01",
+                                   "2000-12-31", normalize=True)
+
+
+_CMP = ["pe_ratio", "operating_margin", "net_profit_margin", "gross_margin"]
+
+
+@register("ratio_comparison_data", O.ratio_table_sql("dense", final=" UNION ALL ".join(
+    f"SELECT ticker, '{m}' AS metric, {_label_sql(repr(m))} AS label, {m} AS value FROM ratios"
+    for m in _CMP)))
+def q_ratio_comparison(spark, sf_dir):
+    return D.ratio_comparison_data(_ratios(spark, sf_dir, "dense"))
+
+
+@register("margin_trend_data", W(_QM))
+def q_margin_trend(spark, sf_dir):
+    return D.margin_trend_data(_b(spark, sf_dir).fundamentals())
+
+
+@register("revenue_earnings_data", W("SELECT ticker, fiscal_period, revenue, net_income FROM fund_q",
+                                     "medium"))
+def q_revenue_earnings(spark, sf_dir):
+    return D.revenue_earnings_data(_b(spark, sf_dir, "medium").fundamentals())
+
+
+@register("ranking_data", O.ratio_table_sql("sparse", final=(
+    "SELECT row_number() OVER (ORDER BY pe_ratio, ticker) AS rank, ticker, pe_ratio, "
+    "printf('%.2f', pe_ratio) AS label FROM ratios WHERE pe_ratio IS NOT NULL "
+    "ORDER BY pe_ratio, ticker LIMIT 10")))
+def q_ranking_data(spark, sf_dir):
+    return D.ranking_data(_ratios(spark, sf_dir, "sparse"), "pe_ratio", 10, ascending=True)
+
+
+@register("group_radar_data", _radar_sql())
+def q_group_radar(spark, sf_dir):
+    return D.group_radar_data(_ratios(spark, sf_dir, "dense"), _members(spark, sf_dir))
