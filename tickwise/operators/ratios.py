@@ -30,7 +30,8 @@ from tickwise.operators.asof import as_of_join, normalize_dates
 from tickwise.operators.ttm import FEATURE_PREFIX, latest_features, quarter_features
 from tickwise.schemas import RATIO_COLUMNS
 
-NULL = F.lit(None).cast("double")
+def _null() -> Column:
+    return F.lit(None).cast("double")
 
 
 def _ttm(fcols, c) -> Column | None:
@@ -47,13 +48,13 @@ def ttm_eps(fcols) -> Column:
     if {FEATURE_PREFIX + "net_income", FEATURE_PREFIX + "shares_outstanding"} <= set(fcols):
         sh = F.col(FEATURE_PREFIX + "shares_outstanding")
         return F.when(sh > 0, F.try_divide(F.col(FEATURE_PREFIX + "net_income"), sh))
-    return NULL
+    return _null()
 
 
 def _margin(qcols, num: str, absolute: bool = False) -> Column:
     n, r = _ttm(qcols, num), _ttm(qcols, "revenue")
     if n is None or r is None:
-        return NULL
+        return _null()
     if absolute:
         n = F.abs(n)
     return F.round(F.try_divide(n, r), 4)
@@ -66,7 +67,7 @@ def _growth(cur: str, back: str) -> Column:
 
 def eps_cagr(qcols, years: int = 5) -> Column:
     if "eps_ttm_now" not in qcols:
-        return NULL
+        return _null()
     now, past = F.col("eps_ttm_now"), F.col("eps_ttm_past")
     ok = (F.col("n_quarters") >= 4 * years) & (now > 0) & (past > 0)
     return F.when(ok, F.round(F.pow(F.try_divide(now, past), F.lit(1.0) / F.lit(years))
@@ -86,8 +87,8 @@ def ratio_columns(qcols, years: int = 5) -> dict[str, Column]:
         "operating_margin": _margin(qcols, "operating_income"),
         "net_profit_margin": _margin(qcols, "net_income"),
         "gross_margin": _margin(qcols, "gross_profit"),
-        "revenue_growth": _growth("revenue_q1", "revenue_q5") if has_rev else NULL,
-        "eps_growth": _growth("eps_q1", "eps_q5") if has_eps else NULL,
+        "revenue_growth": _growth("revenue_q1", "revenue_q5") if has_rev else _null(),
+        "eps_growth": _growth("eps_q1", "eps_q5") if has_eps else _null(),
         "rd_intensity": _margin(qcols, "rd_expense", absolute=True),
         "capex_ratio": _margin(qcols, "capex", absolute=True),
     }
@@ -200,7 +201,7 @@ def yoy_growth(fundamentals: DataFrame, column: str, as_of=None) -> DataFrame:
     if as_of is not None:
         q = q.where(F.col("fiscal_period") <= F.lit(as_of).cast("date"))
     if column not in q.columns:
-        return q.select("ticker").distinct().withColumn(f"{column}_growth", NULL)
+        return q.select("ticker").distinct().withColumn(f"{column}_growth", _null())
     w = Window.partitionBy("ticker").orderBy("fiscal_period")
     total = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding,
                                                  Window.unboundedFollowing))

@@ -29,6 +29,17 @@ def _conform(df: DataFrame, mapping: dict, schema) -> DataFrame:
                        for c in df.columns])
 
 
+def conform_prices(df: DataFrame) -> DataFrame:
+    """Vendor or fixture price columns -> our names and types."""
+    return _conform(df, PRICE_COLUMN_MAP, PRICES)
+
+
+def conform_fundamentals(df: DataFrame) -> DataFrame:
+    """Vendor or fixture statement columns -> our names and types (any statement)."""
+    mapping = {**INCOME_COLUMN_MAP, **BALANCE_COLUMN_MAP, **CASHFLOW_COLUMN_MAP}
+    return _conform(df, mapping, FUNDAMENTALS)
+
+
 def _ticker(df: DataFrame, ticker: str | None) -> DataFrame:
     return df if ticker is None else df.where(F.col("ticker") == F.lit(ticker))
 

@@ -33,26 +33,32 @@ def ingest_full(store: Store, prices: DataFrame, quarterly: DataFrame | None = N
     replace whole tickers. Returns counts of tickers and rows written.
     """
     spark = store.spark
-    start = start_date or DEFAULT_START_DATE
-    uni = _universe(spark, tickers, prices).persist(StorageLevel.MEMORY_AND_DISK)
-    px = (prices.where(F.col("date") >= F.lit(start).cast("date"))
-          .join(uni, "ticker", "left_semi").persist(StorageLevel.MEMORY_AND_DISK))
-    summary = {"tickers_processed": uni.count(), "prices_written": px.count(),
+    start = F.lit(start_date or DEFAULT_START_DATE).cast("date")
+    feed = prices
+    if tickers is not None:
+        feed = feed.join(_universe(spark, tickers, prices), "ticker", "left_semi")
+    feed = feed.persist(StorageLevel.MEMORY_AND_DISK)
+    c = feed.agg(F.countDistinct("ticker").alias("t"),
+                 F.count_if(F.col("date") >= start).alias("n")).first()
+    n_tickers = c["t"] if tickers is None else _universe(spark, tickers, prices).count()
+    summary = {"tickers_processed": n_tickers, "prices_written": c["n"],
                "fundamentals_written": 0}
-    store.write_prices(px)
+    store.write_prices(feed.where(F.col("date") >= start))
     if include_fundamentals:
+        wanted = feed.select("ticker").distinct() if tickers is None else \
+            _universe(spark, tickers, prices)
         for period, df in (("quarterly", quarterly), ("annual", annual)):
             if df is None:
                 continue
-            sel = df.join(uni, "ticker", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+            sel = df.join(wanted, "ticker", "left_semi")
+            sel = sel.persist(StorageLevel.MEMORY_AND_DISK)
             n = sel.count()
             if period == "quarterly":
                 summary["fundamentals_written"] = n
             if n:
                 store.write_fundamentals(sel, period)
             sel.unpersist()
-    px.unpersist()
-    uni.unpersist()
+    feed.unpersist()
     return summary
 
 

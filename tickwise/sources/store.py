@@ -119,12 +119,17 @@ class Store:
         rest = [c for c in raw.columns if c not in known]
         return raw.select(*cols).select(*order, *rest)
 
-    def _ticker_filter(self, df: DataFrame, ticker: str | None) -> DataFrame:
+    def _ticker_filter(self, df: DataFrame, ticker) -> DataFrame:
+        """Ticker equality (str) or membership (list), plus the bucket predicate
+        so only the matching ``ticker_bucket=`` directories are listed and read."""
         if ticker is None:
             return df
+        tickers = [ticker] if isinstance(ticker, str) else list(ticker)
         if "ticker_bucket" in df.columns:
-            df = df.where(F.col("ticker_bucket") == ticker_bucket(F.lit(ticker)))
-        return df.where(F.col("ticker") == F.lit(ticker))
+            df = df.where(F.col("ticker_bucket").isin(self.buckets_of(tickers)))
+        if len(tickers) == 1:
+            return df.where(F.col("ticker") == F.lit(tickers[0]))
+        return df.where(F.col("ticker").isin(tickers))
 
     def scan_prices(self, ticker: str | None = None, start_date=None, end_date=None,
                     columns: list[str] | None = None) -> DataFrame:
@@ -197,10 +202,10 @@ class Store:
     def _replace(self, df: DataFrame, table: str, keys: list[str], ticker: str | None,
                  upsert_keys: list[str] | None = None, order_col: str | None = None) -> int:
         new = self._prepare(df, table, ticker)
-        if new.isEmpty():
+        parts = self._touched(new, table)
+        if not parts:
             log.warning("Empty frame for %s, skipping write", table)
             return 0
-        parts = self._touched(new, table)
         exists = self._has_files(self.path(table))
         if exists:
             old = self._in_partitions(self.read(table), table, parts)
@@ -281,14 +286,26 @@ class Store:
             pcols = self.partition_cols(table)
             for p in parts:
                 if p not in remaining:
-                    sub = "/".join(f"{c}={v}" for c, v in zip(pcols, p))
-                    self._delete(f"{self.path(table)}/{sub}")
+                    sub = [f"{c}={v}" for c, v in zip(pcols, p)]
+                    self._delete(f"{self.path(table)}/{'/'.join(sub)}")
+                    # drop parent partition folders the delete left empty
+                    for k in range(len(sub) - 1, 0, -1):
+                        self._delete_if_empty(f"{self.path(table)}/{'/'.join(sub[:k])}")
         return affected
 
+    def _delete_if_empty(self, path: str) -> None:
+        fs, p = self._fs(path)
+        if fs.exists(p) and len(fs.listStatus(p)) == 0:
+            fs.delete(p, False)
+
     def buckets_of(self, tickers: list[str]) -> list[int]:
-        rows = (self.spark.createDataFrame([(t,) for t in tickers], "ticker string")
-                .select(ticker_bucket()).distinct().collect())
-        return [r[0] for r in rows]
+        """Bucket numbers of a ticker list, evaluated by Spark's own hash (a
+        constant-folded projection, no job)."""
+        if not tickers:
+            return []
+        row = self.spark.range(1).select(
+            *[ticker_bucket(F.lit(t)).alias(f"b{i}") for i, t in enumerate(tickers)]).first()
+        return sorted(set(row))
 
     def list_tickers(self, table: str = "prices") -> DataFrame:
         return (self.read(table).select("ticker").where(F.col("ticker").isNotNull())
