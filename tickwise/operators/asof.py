@@ -53,26 +53,25 @@ def tag_as_of(df: DataFrame, date_col: str, dates) -> DataFrame:
     if len(dates) <= CASE_LIMIT:
         return df.withColumn("as_of_date", _case_bucket(d, dates))
     spark = df.sparkSession
+    # intervals (lo, hi] with one row per calendar month they cover; the first is open below
     rows, prev = [], None
     for hi in dates:
-        lo_bin = prev + dt.timedelta(days=1) if prev else dt.date(hi.year, hi.month, 1)
-        for b in _month_starts(lo_bin, hi):
+        first_month = (prev + dt.timedelta(days=1)) if prev else hi.replace(day=1)
+        for b in _month_starts(first_month, hi):
             rows.append((b, prev, hi))
         prev = hi
-    schema = T.StructType([T.StructField("_bin", T.DateType()),
-                           T.StructField("_lo", T.DateType()),
+    schema = T.StructType([T.StructField("_ibin", T.DateType()),
+                           T.StructField("_ilo", T.DateType()),
                            T.StructField("as_of_date", T.DateType())])
     intervals = spark.createDataFrame(rows, schema)
-    if prev is not None and len(rows) > 0:
-        # the first interval is open below: everything before the first date
-        first_bin = dates[0].replace(day=1)
-        df = df.withColumn("_bin", F.greatest(F.trunc(d, "month"), F.lit(first_bin)))
-    cond = ((F.col("_bin") == F.col("i._bin"))
-            & (F.col("i._lo").isNull() | (d > F.col("i._lo")))
-            & (d <= F.col("i.as_of_date")))
-    # broadcast size is bounded by len(rows), known here on the driver
-    out = df.join(F.broadcast(intervals.alias("i")), cond, "inner")
-    return out.select(*[df[c] for c in df.columns if c != "_bin"], F.col("i.as_of_date"))
+    # rows before the first date's month all belong to the first interval
+    tagged = df.withColumn("_bin", F.greatest(F.trunc(d, "month"), F.lit(dates[0].replace(day=1))))
+    cond = ((F.col("_bin") == F.col("_ibin"))
+            & (F.col("_ilo").isNull() | (F.col(date_col) > F.col("_ilo")))
+            & (F.col(date_col) <= F.col("as_of_date")))
+    # broadcast size is len(rows), known here on the driver
+    out = tagged.join(F.broadcast(intervals), cond, "inner")
+    return out.drop("_bin", "_ibin", "_ilo")
 
 
 def as_of_join(universe: DataFrame, dates, sources: list[tuple]) -> DataFrame:
