@@ -89,8 +89,40 @@ def quarter_features(q: DataFrame, years: int = 5) -> DataFrame:
 
 
 def latest_features(q: DataFrame, years: int = 5) -> DataFrame:
-    """Features of each ticker's newest quarter (no extra exchange: same window)."""
-    return quarter_features(q, years).where("is_latest").drop("is_latest")
+    """The features of each ticker's newest quarter, skew-safe.
+
+    Only the newest ``K = max(5, 4*years)`` quarters can matter, so the rows
+    are cut with ``row_number() <= K`` first: Spark plans a partial
+    WindowGroupLimit *before* the shuffle, so every map task forwards at most
+    K rows per ticker however many rows one ticker has. The positions are
+    then read with conditional aggregates in the same ticker partitioning (no
+    second exchange). ``n_quarters`` is therefore capped at K, which keeps
+    the >= 5 and >= 4*years gates exact.
+    """
+    k_max = max(5, 4 * years)
+    cols = summable_columns(q)
+    eps = quarterly_eps(q)
+    base = q.select("ticker", "fiscal_period", *cols,
+                    *([eps.alias("_q_eps")] if eps is not None else []))
+    ranked = newest_n_quarters(base, k_max)
+
+    def at(c: str, k: int) -> Column:
+        return F.max(F.when(F.col("rn") == k, F.col(c)))
+
+    def osum(c: str, ks) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(at(c, k), F.lit(0)) for k in ks])
+
+    n = F.count(F.lit(1)).cast("bigint")
+    aggs = [at("fiscal_period", 1).alias("fiscal_period"), n.alias("n_quarters"),
+            F.least(n, F.lit(4).cast("bigint")).alias("quarters_included")]
+    aggs += [osum(c, range(1, 5)).alias(FEATURE_PREFIX + c) for c in cols]
+    if "revenue" in cols:
+        aggs += [at("revenue", 1).alias("revenue_q1"), at("revenue", 5).alias("revenue_q5")]
+    if eps is not None:
+        aggs += [at("_q_eps", 1).alias("eps_q1"), at("_q_eps", 5).alias("eps_q5"),
+                 osum("_q_eps", range(1, 5)).alias("eps_ttm_now"),
+                 osum("_q_eps", range(4 * years - 3, 4 * years + 1)).alias("eps_ttm_past")]
+    return ranked.groupBy("ticker").agg(*aggs)
 
 
 def newest_n_quarters(q: DataFrame, n: int = 4) -> DataFrame:

@@ -138,6 +138,31 @@ def cashflow(rows: DataFrame, period: str = "quarterly") -> DataFrame:
                  _dbl(-taxes).alias("capex")))
 
 
+def combined(rows: DataFrame, period: str = "quarterly", with_eps: bool = False) -> DataFrame:
+    one = F.lit(1)
+    is_f = F.col("ls") == "F"
+    rev = F.sum(F.col("ep") * (one - F.col("disc")))
+    cogs = F.sum(F.col("qty") * F.col("rp"))
+    ret = F.sum(F.when(F.col("rf") == "R", F.col("ep")).otherwise(F.lit(0).cast(MONEY)))
+    taxes = F.sum(F.col("ep") * F.col("tax"))
+    rd = F.sum(F.when(F.col("rf") == "A", -F.col("ep") * F.col("disc")))
+    half = F.lit(Decimal("0.5"))
+    ni = _dbl(rev - cogs - half * ret - taxes)
+    shares = F.sum("p_size").cast("bigint") + F.lit(1000)
+    f_rev = F.sum(F.when(is_f, F.col("ep") * (one - F.col("disc"))))
+    f_tax = F.sum(F.when(is_f, F.col("ep") * F.col("tax")))
+    aggs = [_dbl(rev).alias("revenue"), _dbl(rev - cogs).alias("gross_profit"),
+            _dbl(rev - cogs - ret).alias("operating_income"), ni.alias("net_income"),
+            _dbl(rd).alias("rd_expense")]
+    if with_eps:
+        aggs.append(F.try_divide(ni, shares).alias("eps"))
+    aggs += [shares.alias("shares_outstanding"),
+             _dbl(f_rev - f_tax).alias("operating_cash_flow"), _dbl(-f_tax).alias("capex")]
+    return (rows.groupBy(*_period_keys(period)).agg(*aggs)
+            .withColumn("free_cash_flow",
+                        F.col("operating_cash_flow") - F.abs(F.col("capex"))))
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company dimension keyed by the dense ticker."""
     pt = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand")
@@ -171,7 +196,10 @@ class Bridge:
         return companies(self.spark, self.sf_dir)
 
     def fundamentals(self, period: str = "quarterly", with_eps: bool = False) -> DataFrame:
-        """Income, balance and cash flow combined (the stored fundamentals shape)."""
-        from tickwise.operators.statements import combine_statements
-        return combine_statements(self.income(period, with_eps), self.balance(period),
-                                  self.cashflow(period))
+        """Income, balance and cash flow combined (the stored fundamentals shape).
+
+        One aggregation instead of three plus two joins: the cash-flow items
+        are sums over linestatus 'F' rows only, so a period without such rows
+        gets nulls, exactly as the left join of the separate statements does.
+        """
+        return combined(self.rows, period, with_eps)
