@@ -189,3 +189,13 @@ def test_layouts_agree(store, ticker_store, sample_prices_df, spark):
     b = sorted(map(tuple, ticker_store.scan_prices().select(*store.scan_prices().columns)
                    .collect()))
     assert a == b and len(a) == 12
+
+
+def test_driver_bucket_matches_spark(spark):
+    from pyspark.sql import functions as F
+    from tickwise.functions.scalar import ticker_bucket
+    from tickwise.sources.store import bucket_of
+    names = ["AAPL", "BRK.B", "BRK-B", "P123", "1E5", "", "ÄÖ€", "S99"]
+    got = spark.createDataFrame([(n,) for n in names], "ticker string").select(
+        "ticker", ticker_bucket().alias("b")).collect()
+    assert {r.ticker: r.b for r in got} == {n: bucket_of(n) for n in names}

@@ -34,66 +34,81 @@ def _null() -> Column:
     return F.lit(None).cast("double")
 
 
-def _ttm(fcols, c) -> Column | None:
-    return F.col(FEATURE_PREFIX + c) if FEATURE_PREFIX + c in fcols else None
+def _ttm(fcols, c) -> str | None:
+    return FEATURE_PREFIX + c if FEATURE_PREFIX + c in fcols else None
 
 
-def ttm_eps(fcols) -> Column:
+def ttm_eps_sql(fcols) -> str:
     """TTM EPS: summed eps if the table has the column, else TTM NI / TTM shares.
 
     ``fcols`` are feature column names, so presence is decided at plan time.
     """
     if FEATURE_PREFIX + "eps" in fcols:
-        return F.col(FEATURE_PREFIX + "eps")
+        return FEATURE_PREFIX + "eps"
     if {FEATURE_PREFIX + "net_income", FEATURE_PREFIX + "shares_outstanding"} <= set(fcols):
-        sh = F.col(FEATURE_PREFIX + "shares_outstanding")
-        return F.when(sh > 0, F.try_divide(F.col(FEATURE_PREFIX + "net_income"), sh))
-    return _null()
+        return (f"CASE WHEN {FEATURE_PREFIX}shares_outstanding > 0 THEN try_divide("
+                f"{FEATURE_PREFIX}net_income, {FEATURE_PREFIX}shares_outstanding) END")
+    return "CAST(NULL AS DOUBLE)"
+
+
+def ttm_eps(fcols) -> Column:
+    return F.expr(ttm_eps_sql(fcols))
+
+
+_NULL = "CAST(NULL AS DOUBLE)"
 
 
-def _margin(qcols, num: str, absolute: bool = False) -> Column:
-    n, r = _ttm(qcols, num), _ttm(qcols, "revenue")
+def _margin(fcols, num: str, absolute: bool = False) -> str:
+    n, r = _ttm(fcols, num), _ttm(fcols, "revenue")
     if n is None or r is None:
-        return _null()
+        return _NULL
     if absolute:
-        n = F.abs(n)
-    return F.round(F.try_divide(n, r), 4)
+        n = f"abs({n})"
+    return f"round(try_divide({n}, {r}), 4)"
 
 
-def _growth(cur: str, back: str) -> Column:
-    c, b = F.col(cur), F.col(back)
-    return F.when(F.col("n_quarters") >= 5, F.round(F.try_divide(c - b, F.abs(b)), 4))
+def _growth(cur: str, back: str) -> str:
+    return f"CASE WHEN n_quarters >= 5 THEN round(try_divide({cur} - {back}, abs({back})), 4) END"
 
 
-def eps_cagr(qcols, years: int = 5) -> Column:
-    if "eps_ttm_now" not in qcols:
-        return _null()
-    now, past = F.col("eps_ttm_now"), F.col("eps_ttm_past")
-    ok = (F.col("n_quarters") >= 4 * years) & (now > 0) & (past > 0)
-    return F.when(ok, F.round(F.pow(F.try_divide(now, past), F.lit(1.0) / F.lit(years))
-                              - F.lit(1.0), 4))
+def eps_cagr_sql(fcols, years: int = 5) -> str:
+    if "eps_ttm_now" not in fcols:
+        return _NULL
+    return (f"CASE WHEN n_quarters >= {4 * years} AND eps_ttm_now > 0 AND eps_ttm_past > 0 "
+            f"THEN round(pow(try_divide(eps_ttm_now, eps_ttm_past), 1.0D / {years}) - 1.0D, 4) END")
 
 
-def ratio_columns(qcols, years: int = 5) -> dict[str, Column]:
-    """Ratio expressions over a frame holding ``close`` plus quarter features."""
-    pe = F.round(F.try_divide(F.col("close"), ttm_eps(qcols)), 2)
-    cagr = eps_cagr(qcols, years)
-    peg = F.when((pe > 0) & (cagr > 0), F.round(pe / (cagr * F.lit(100.0)), 2))
-    has_rev = "revenue_q1" in qcols
-    has_eps = "eps_q1" in qcols
+def eps_cagr(fcols, years: int = 5) -> Column:
+    return F.expr(eps_cagr_sql(fcols, years))
+
+
+def ratio_sql(fcols, years: int = 5) -> dict[str, str]:
+    """Ratio expressions (SQL text) over a frame holding ``close`` plus quarter features."""
+    pe = f"round(try_divide(close, {ttm_eps_sql(fcols)}), 2)"
+    cagr = eps_cagr_sql(fcols, years)
     return {
         "pe_ratio": pe,
-        "peg_ratio": peg,
-        "operating_margin": _margin(qcols, "operating_income"),
-        "net_profit_margin": _margin(qcols, "net_income"),
-        "gross_margin": _margin(qcols, "gross_profit"),
-        "revenue_growth": _growth("revenue_q1", "revenue_q5") if has_rev else _null(),
-        "eps_growth": _growth("eps_q1", "eps_q5") if has_eps else _null(),
-        "rd_intensity": _margin(qcols, "rd_expense", absolute=True),
-        "capex_ratio": _margin(qcols, "capex", absolute=True),
+        "peg_ratio": f"CASE WHEN ({pe}) > 0 AND ({cagr}) > 0 THEN "
+                     f"round(({pe}) / (({cagr}) * 100.0D), 2) END",
+        "operating_margin": _margin(fcols, "operating_income"),
+        "net_profit_margin": _margin(fcols, "net_income"),
+        "gross_margin": _margin(fcols, "gross_profit"),
+        "revenue_growth": _growth("revenue_q1", "revenue_q5") if "revenue_q1" in fcols else _NULL,
+        "eps_growth": _growth("eps_q1", "eps_q5") if "eps_q1" in fcols else _NULL,
+        "rd_intensity": _margin(fcols, "rd_expense", absolute=True),
+        "capex_ratio": _margin(fcols, "capex", absolute=True),
     }
 
 
+def ratio_columns(fcols, years: int = 5) -> dict[str, Column]:
+    return {k: F.expr(v) for k, v in ratio_sql(fcols, years).items()}
+
+
+def _ratio_projection(fcols, years: int, label_sql: str) -> list[str]:
+    r = ratio_sql(fcols, years)
+    return ["ticker", f"{label_sql} AS as_of_date"] + [f"{r[c]} AS {c}" for c in RATIO_COLUMNS]
+
+
 def _ticker_frame(spark, tickers) -> DataFrame:
     if isinstance(tickers, DataFrame):
         return tickers.select("ticker").distinct()
@@ -134,10 +149,8 @@ def ratio_table(prices: DataFrame, fundamentals: DataFrame, tickers=None, as_of=
     A requested ticker without data gets a row of null ratios.
     """
     base = ratio_inputs(prices, fundamentals, tickers, as_of, years)
-    cols = ratio_columns(set(base.columns), years)
     label = "latest" if as_of is None else str(as_of)
-    return base.select("ticker", F.lit(label).alias("as_of_date"),
-                       *[cols[c].alias(c) for c in RATIO_COLUMNS])
+    return base.selectExpr(*_ratio_projection(set(base.columns), years, f"'{label}'"))
 
 
 def all_ratios(prices: DataFrame, fundamentals: DataFrame, ticker: str, as_of=None,
@@ -162,9 +175,8 @@ def ratio_panel(prices: DataFrame, fundamentals: DataFrame, dates, tickers=None,
                 else p.select("ticker").distinct())
     grid = as_of_join(universe, dates, [(feats, "fiscal_period", fcols, ""),
                                         (p, "date", ["close"], "")])
-    cols = ratio_columns(set(fcols), years)
-    return grid.select("ticker", F.date_format("as_of_date", "yyyy-MM-dd").alias("as_of_date"),
-                       *[cols[c].alias(c) for c in RATIO_COLUMNS])
+    return grid.selectExpr(*_ratio_projection(set(fcols), years,
+                                              "date_format(as_of_date, 'yyyy-MM-dd')"))
 
 
 def single_ratio(prices: DataFrame, fundamentals: DataFrame, name: str, tickers=None,
@@ -201,11 +213,11 @@ def yoy_growth(fundamentals: DataFrame, column: str, as_of=None) -> DataFrame:
     if as_of is not None:
         q = q.where(F.col("fiscal_period") <= F.lit(as_of).cast("date"))
     if column not in q.columns:
-        return q.select("ticker").distinct().withColumn(f"{column}_growth", _null())
+        return q.select("ticker").distinct().withColumn(f"{column}_growth", F.expr(_NULL))
     w = Window.partitionBy("ticker").orderBy("fiscal_period")
     total = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding,
                                                  Window.unboundedFollowing))
     f = q.select("ticker", F.row_number().over(w).alias("n_quarters"), total.alias("_t"),
                  F.col(column).alias("_q1"), F.lag(column, 4).over(w).alias("_q5"))
     return (f.where(F.col("n_quarters") == F.col("_t"))
-            .select("ticker", _growth("_q1", "_q5").alias(f"{column}_growth")))
+            .select("ticker", F.expr(_growth("_q1", "_q5")).alias(f"{column}_growth")))

@@ -58,6 +58,21 @@ def _ordered_sum(c: str, offsets) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def _q(c: str) -> str:
+    return f"`{c}`"
+
+
+def _eps_sql(df: DataFrame) -> str | None:
+    if "eps" in df.columns:
+        return "eps"
+    if "net_income" in df.columns and "shares_outstanding" in df.columns:
+        return "try_divide(net_income, shares_outstanding)"
+    return None
+
+
+_W = "OVER (PARTITION BY ticker ORDER BY fiscal_period)"
+
+
 def quarter_features(q: DataFrame, years: int = 5) -> DataFrame:
     """One row per (ticker, fiscal_period) with every ratio input as of that quarter.
 
@@ -65,27 +80,33 @@ def quarter_features(q: DataFrame, years: int = 5) -> DataFrame:
     this one), quarters_included (min(n, 4)), ttm_<c> for each summable
     column, revenue_q1 / revenue_q5, eps_q1 / eps_q5, eps_ttm_now,
     eps_ttm_past (rows 4*years-3 .. 4*years), is_latest.
+
+    Expressions are handed to Spark as SQL text (one call each); the plan is
+    the same as with Column objects, without hundreds of driver round trips.
     """
     cols = summable_columns(q)
-    eps = quarterly_eps(q)
-    base = q.select("ticker", "fiscal_period", *cols,
-                    *([eps.alias("_q_eps")] if eps is not None else []))
-    w = _window()
-    n = F.row_number().over(w).cast("bigint")
-    total = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding,
-                                                 Window.unboundedFollowing))
-    out = [F.col("ticker"), F.col("fiscal_period"), n.alias("n_quarters"),
-           F.least(n, F.lit(4).cast("bigint")).alias("quarters_included")]
-    out += [_ordered_sum(c, range(4)).alias(FEATURE_PREFIX + c) for c in cols]
+    eps = _eps_sql(q)
+    base = q.selectExpr("ticker", "fiscal_period", *[_q(c) for c in cols],
+                        *([f"{eps} AS _q_eps"] if eps else []))
+
+    def at(c: str, k: int) -> str:
+        return _q(c) if k == 0 else f"lag({_q(c)}, {k}) {_W}"
+
+    def osum(c: str, ks) -> str:
+        return " + ".join(f"coalesce({at(c, k)}, 0)" for k in ks)
+
+    n = f"CAST(row_number() {_W} AS BIGINT)"
+    out = ["ticker", "fiscal_period", f"{n} AS n_quarters",
+           f"least({n}, CAST(4 AS BIGINT)) AS quarters_included"]
+    out += [f"{osum(c, range(4))} AS {FEATURE_PREFIX}{c}" for c in cols]
     if "revenue" in cols:
-        out += [F.col("revenue").alias("revenue_q1"), _at("revenue", 4).alias("revenue_q5")]
-    if eps is not None:
-        past = range(4 * years - 4, 4 * years)
-        out += [F.col("_q_eps").alias("eps_q1"), _at("_q_eps", 4).alias("eps_q5"),
-                _ordered_sum("_q_eps", range(4)).alias("eps_ttm_now"),
-                _ordered_sum("_q_eps", past).alias("eps_ttm_past")]
-    out.append((n == total).alias("is_latest"))
-    return base.select(*out)
+        out += ["revenue AS revenue_q1", f"{at('revenue', 4)} AS revenue_q5"]
+    if eps:
+        out += ["_q_eps AS eps_q1", f"{at('_q_eps', 4)} AS eps_q5",
+                f"{osum('_q_eps', range(4))} AS eps_ttm_now",
+                f"{osum('_q_eps', range(4 * years - 4, 4 * years))} AS eps_ttm_past"]
+    out.append(f"row_number() {_W} = count(1) OVER (PARTITION BY ticker) AS is_latest")
+    return base.selectExpr(*out)
 
 
 def latest_features(q: DataFrame, years: int = 5) -> DataFrame:
@@ -101,28 +122,28 @@ def latest_features(q: DataFrame, years: int = 5) -> DataFrame:
     """
     k_max = max(5, 4 * years)
     cols = summable_columns(q)
-    eps = quarterly_eps(q)
-    base = q.select("ticker", "fiscal_period", *cols,
-                    *([eps.alias("_q_eps")] if eps is not None else []))
+    eps = _eps_sql(q)
+    base = q.selectExpr("ticker", "fiscal_period", *[_q(c) for c in cols],
+                        *([f"{eps} AS _q_eps"] if eps else []))
     ranked = newest_n_quarters(base, k_max)
 
-    def at(c: str, k: int) -> Column:
-        return F.max(F.when(F.col("rn") == k, F.col(c)))
+    def at(c: str, k: int) -> str:
+        return f"max(CASE WHEN rn = {k} THEN {_q(c)} END)"
 
-    def osum(c: str, ks) -> Column:
-        return reduce(lambda a, b: a + b, [F.coalesce(at(c, k), F.lit(0)) for k in ks])
+    def osum(c: str, ks) -> str:
+        return " + ".join(f"coalesce({at(c, k)}, 0)" for k in ks)
 
-    n = F.count(F.lit(1)).cast("bigint")
-    aggs = [at("fiscal_period", 1).alias("fiscal_period"), n.alias("n_quarters"),
-            F.least(n, F.lit(4).cast("bigint")).alias("quarters_included")]
-    aggs += [osum(c, range(1, 5)).alias(FEATURE_PREFIX + c) for c in cols]
+    aggs = [f"{at('fiscal_period', 1)} AS fiscal_period",
+            "CAST(count(1) AS BIGINT) AS n_quarters",
+            "least(CAST(count(1) AS BIGINT), CAST(4 AS BIGINT)) AS quarters_included"]
+    aggs += [f"{osum(c, range(1, 5))} AS {FEATURE_PREFIX}{c}" for c in cols]
     if "revenue" in cols:
-        aggs += [at("revenue", 1).alias("revenue_q1"), at("revenue", 5).alias("revenue_q5")]
-    if eps is not None:
-        aggs += [at("_q_eps", 1).alias("eps_q1"), at("_q_eps", 5).alias("eps_q5"),
-                 osum("_q_eps", range(1, 5)).alias("eps_ttm_now"),
-                 osum("_q_eps", range(4 * years - 3, 4 * years + 1)).alias("eps_ttm_past")]
-    return ranked.groupBy("ticker").agg(*aggs)
+        aggs += [f"{at('revenue', 1)} AS revenue_q1", f"{at('revenue', 5)} AS revenue_q5"]
+    if eps:
+        aggs += [f"{at('_q_eps', 1)} AS eps_q1", f"{at('_q_eps', 5)} AS eps_q5",
+                 f"{osum('_q_eps', range(1, 5))} AS eps_ttm_now",
+                 f"{osum('_q_eps', range(4 * years - 3, 4 * years + 1))} AS eps_ttm_past"]
+    return ranked.groupBy("ticker").agg(*[F.expr(a) for a in aggs])
 
 
 def newest_n_quarters(q: DataFrame, n: int = 4) -> DataFrame:

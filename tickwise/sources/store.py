@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,12 @@ TABLES = {"prices": "prices", "quarterly": "fundamentals_quarterly",
           "annual": "fundamentals_annual"}
 
 
+def bucket_of(ticker: str, buckets: int = TICKER_BUCKETS) -> int:
+    """Driver-side twin of ``ticker_bucket``: pmod(xxhash64(ticker), buckets)."""
+    import xxhash
+    return xxhash.xxh64_intdigest(ticker.encode("utf-8"), seed=42) % buckets
+
+
 class Store:
     """A root folder of tickwise tables (local path or any Hadoop URI)."""
 
@@ -50,6 +57,16 @@ class Store:
         if layout not in ("bucketed", "ticker"):
             raise ValueError("layout must be 'bucketed' or 'ticker'")
         self.spark, self.root, self.layout = spark, root.rstrip("/"), layout
+        # resolved file schema per table: merged once, then kept current by this
+        # Store's own writes, so repeated scans skip the footer-merge job
+        self._schemas: dict[str, T.StructType] = {}
+        # base scan per table (its file index is listed once); dropped on own writes
+        self._frames: dict[str, DataFrame] = {}
+
+    def refresh(self) -> None:
+        """Forget cached listings and schemas (after writes by another process)."""
+        self._schemas.clear()
+        self._frames.clear()
 
     # ------------------------------------------------------------------ paths / fs
     def path(self, table: str) -> str:
@@ -67,13 +84,14 @@ class Store:
         return p.getFileSystem(conf), p
 
     def _has_files(self, path: str) -> bool:
+        """Does the folder hold data? One non-recursive listing: any partition
+        folder or data file (names not starting with '_' or '.')."""
         fs, p = self._fs(path)
         if not fs.exists(p):
             return False
-        it = fs.listFiles(p, True)
-        while it.hasNext():
-            name = it.next().getPath().getName()
-            if name.endswith(".parquet"):
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if not name.startswith(("_", ".")):
                 return True
         return False
 
@@ -101,23 +119,29 @@ class Store:
         An absent or empty table gives an empty frame *with* the canonical
         schema (D9 fix). ``ticker_bucket`` is kept for pruning; scans drop it.
         """
+        if table in self._frames:
+            return self._frames[table]
         path = self.path(table)
         schema = self._schema(table)
         if not self._has_files(path):
             return self.spark.createDataFrame([], schema)
-        raw = self.spark.read.option("mergeSchema", "true").parquet(path)
-        known = {f.name: f.dataType for f in schema.fields}
-        cols = []
-        for c in raw.columns:
-            if c in known:
-                cols.append(F.col(c).cast(known[c]).alias(c))
-            elif c == "ticker_bucket":
-                cols.append(F.col(c).cast("int").alias(c))
-            else:
-                cols.append(F.col(c))
+        if table in self._schemas:
+            raw = self.spark.read.schema(self._schemas[table]).parquet(path)
+        else:
+            try:
+                raw = self.spark.read.option("mergeSchema", "true").parquet(path)
+            except AnalysisException:  # folder without data files
+                return self.spark.createDataFrame([], schema)
+            self._schemas[table] = raw.schema
+        known = {f.name: f.dataType.simpleString() for f in schema.fields}
+        known["ticker_bucket"] = "int"
         order = [f.name for f in schema.fields if f.name in raw.columns]
-        rest = [c for c in raw.columns if c not in known]
-        return raw.select(*cols).select(*order, *rest)
+        rest = [c for c in raw.columns if c not in known or c == "ticker_bucket"]
+        exprs = [f"CAST(`{c}` AS {known[c]}) AS `{c}`" if c in known else f"`{c}`"
+                 for c in order + rest]
+        df = raw.selectExpr(*exprs)
+        self._frames[table] = df
+        return df
 
     def _ticker_filter(self, df: DataFrame, ticker) -> DataFrame:
         """Ticker equality (str) or membership (list), plus the bucket predicate
@@ -190,6 +214,8 @@ class Store:
 
     def _write(self, out: DataFrame, table: str, cut_lineage: bool) -> None:
         pcols = self.partition_cols(table)
+        self._remember_schema(table, out)
+        self._frames.pop(table, None)
         if cut_lineage:
             out = out.checkpoint(eager=True)
         # range partitioning splits a hot partition value across tasks; rows are
@@ -199,6 +225,19 @@ class Store:
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*pcols).parquet(self.path(table)))
 
+    def _remember_schema(self, table: str, out: DataFrame) -> None:
+        """Union of the cached file schema and the columns being written."""
+        if table not in self._schemas:
+            return  # unknown yet: the next read merges the footers once
+        pcols = self.partition_cols(table)
+        old = self._schemas[table]
+        names = {f.name for f in old.fields}
+        file_fields = [f for f in out.schema.fields if f.name not in pcols]
+        part_fields = [f for f in old.fields if f.name in pcols]
+        merged = [f for f in old.fields if f.name not in pcols]
+        merged += [f for f in file_fields if f.name not in names]
+        self._schemas[table] = T.StructType(merged + part_fields)
+
     def _replace(self, df: DataFrame, table: str, keys: list[str], ticker: str | None,
                  upsert_keys: list[str] | None = None, order_col: str | None = None) -> int:
         new = self._prepare(df, table, ticker)
@@ -280,6 +319,7 @@ class Store:
             affected += 1
             kept = self._in_partitions(df, table, parts).where(~F.col("ticker").isin(tickers))
             kept = kept.checkpoint(eager=True)
+            self._frames.pop(table, None)
             remaining = set(self._touched(kept, table))
             if remaining:
                 self._write(kept, table, cut_lineage=False)
@@ -299,13 +339,9 @@ class Store:
             fs.delete(p, False)
 
     def buckets_of(self, tickers: list[str]) -> list[int]:
-        """Bucket numbers of a ticker list, evaluated by Spark's own hash (a
-        constant-folded projection, no job)."""
-        if not tickers:
-            return []
-        row = self.spark.range(1).select(
-            *[ticker_bucket(F.lit(t)).alias(f"b{i}") for i, t in enumerate(tickers)]).first()
-        return sorted(set(row))
+        """Bucket numbers of a ticker list, computed on the driver with the same
+        hash Spark's ``xxhash64`` uses (XXH64, seed 42, UTF-8 bytes)."""
+        return sorted({bucket_of(t) for t in tickers})
 
     def list_tickers(self, table: str = "prices") -> DataFrame:
         return (self.read(table).select("ticker").where(F.col("ticker").isNotNull())
