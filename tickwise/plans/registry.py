@@ -265,8 +265,7 @@ def q_delete_ticker(spark, sf_dir):
     st.write_prices(b.prices())
     st.write_fundamentals(b.fundamentals(), "quarterly")
     st.write_fundamentals(b.fundamentals("annual"), "annual")
-    doomed = [r[0] for r in b.companies().where("sector = 'SEC0'").select("ticker").collect()]
-    n = st.delete_ticker(doomed)
+    n = st.delete_ticker(b.companies().where("sector = 'SEC0'"))
     return st.scan_prices().withColumn("tables_affected", F.lit(n))
 
 

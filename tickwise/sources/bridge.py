@@ -180,6 +180,12 @@ class Bridge:
         self.spark, self.sf_dir, self.density = spark, sf_dir, density
         self.rows = line_rows(spark, sf_dir, density)
 
+    def cache(self) -> "Bridge":
+        """Keep the joined rows for several derived tables (like a downloaded extract)."""
+        from pyspark import StorageLevel
+        self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
     def prices(self) -> DataFrame:
         return prices(self.rows)
 

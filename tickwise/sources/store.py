@@ -241,33 +241,51 @@ class Store:
     def _replace(self, df: DataFrame, table: str, keys: list[str], ticker: str | None,
                  upsert_keys: list[str] | None = None, order_col: str | None = None) -> int:
         new = self._prepare(df, table, ticker)
-        parts = self._touched(new, table)
-        if not parts:
-            log.warning("Empty frame for %s, skipping write", table)
-            return 0
-        exists = self._has_files(self.path(table))
-        if exists:
-            old = self._in_partitions(self.read(table), table, parts)
-            if upsert_keys:
-                seq = [F.lit(0)] + ([F.lit(None).cast(new.schema[order_col].dataType)]
-                                    if order_col else [])
-                nseq = [F.lit(1)] + ([F.col(order_col)] if order_col else [])
-                old = old.withColumn("_seq", F.struct(*seq))
-                new = new.withColumn("_seq", F.struct(*nseq))
-                out = dedupe_keep_last(old.unionByName(new, allowMissingColumns=True),
-                                       upsert_keys, "_seq").drop("_seq")
-            else:
-                kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
-                out = kept.unionByName(new, allowMissingColumns=True)
-        else:
+        if not self._has_files(self.path(table)):
+            # fresh table: nothing to merge, so no need to find touched partitions first
             out = new
             if upsert_keys:
                 out = dedupe_keep_last(new.withColumn("_seq", F.struct(
                     F.lit(1), *([F.col(order_col)] if order_col else []))),
                     upsert_keys, "_seq").drop("_seq")
-        self._write(out, table, cut_lineage=exists)
+            self._write(out, table, cut_lineage=False)
+            n = self._count_partitions(table)
+            if n == 0:
+                log.warning("Empty frame for %s, nothing written", table)
+                self._delete(self.path(table))
+            return n
+        parts = self._touched(new, table)
+        if not parts:
+            log.warning("Empty frame for %s, skipping write", table)
+            return 0
+        old = self._in_partitions(self.read(table), table, parts)
+        if upsert_keys:
+            seq = [F.lit(0)] + ([F.lit(None).cast(new.schema[order_col].dataType)]
+                                if order_col else [])
+            nseq = [F.lit(1)] + ([F.col(order_col)] if order_col else [])
+            old = old.withColumn("_seq", F.struct(*seq))
+            new = new.withColumn("_seq", F.struct(*nseq))
+            out = dedupe_keep_last(old.unionByName(new, allowMissingColumns=True),
+                                   upsert_keys, "_seq").drop("_seq")
+        else:
+            kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
+            out = kept.unionByName(new, allowMissingColumns=True)
+        self._write(out, table, cut_lineage=True)
         return len(parts)
 
+    def _count_partitions(self, table: str) -> int:
+        """Leaf partition folders of a table (a directory listing, no job)."""
+        depth = len(self.partition_cols(table))
+        fs, root = self._fs(self.path(table))
+        level = [root]
+        for _ in range(depth):
+            nxt = []
+            for p in level:
+                nxt += [st.getPath() for st in fs.listStatus(p)
+                        if st.isDirectory() and "=" in st.getPath().getName()]
+            level = nxt
+        return len(level)
+
     def write_prices(self, df: DataFrame, ticker: str | None = None) -> int:
         """Replace the (ticker, year) slices present in ``df``; returns partitions touched."""
         return self._replace(df, "prices", ["ticker", "year"], ticker)
@@ -300,24 +318,35 @@ class Store:
         return path
 
     def delete_ticker(self, tickers) -> int:
-        """Remove the tickers from prices and both fundamentals tables.
+        """Remove the tickers (a str, a list or a DataFrame with ``ticker``) from
+        prices and both fundamentals tables.
 
-        Returns the number of tables that held any of them.
+        Returns the number of tables that held any of them. A ticker frame is
+        applied with semi / anti joins; only its bucket numbers (at most
+        ``TICKER_BUCKETS``) reach the driver.
         """
-        tickers = [tickers] if isinstance(tickers, str) else list(tickers)
+        if isinstance(tickers, DataFrame):
+            doomed = tickers.select("ticker").distinct()
+            buckets = None
+        else:
+            names = [tickers] if isinstance(tickers, str) else list(tickers)
+            doomed = self.spark.createDataFrame([(t,) for t in names], "ticker string")
+            buckets = self.buckets_of(names)
+        if buckets is None and self.layout == "bucketed":
+            buckets = [r[0] for r in doomed.select(ticker_bucket()).distinct().collect()]
         affected = 0
         for table in TABLES:
             if not self._has_files(self.path(table)):
                 continue
             df = self.read(table)
             if self.layout == "bucketed":
-                df = df.where(F.col("ticker_bucket").isin(self.buckets_of(tickers)))
-            hit = df.where(F.col("ticker").isin(tickers))
+                df = df.where(F.col("ticker_bucket").isin(buckets))
+            hit = df.join(doomed, "ticker", "left_semi")
             parts = self._touched(hit, table)
             if not parts:
                 continue
             affected += 1
-            kept = self._in_partitions(df, table, parts).where(~F.col("ticker").isin(tickers))
+            kept = self._in_partitions(df, table, parts).join(doomed, "ticker", "left_anti")
             kept = kept.checkpoint(eager=True)
             self._frames.pop(table, None)
             remaining = set(self._touched(kept, table))
