@@ -199,3 +199,32 @@ def test_driver_bucket_matches_spark(spark):
     got = spark.createDataFrame([(n,) for n in names], "ticker string").select(
         "ticker", ticker_bucket().alias("b")).collect()
     assert {r.ticker: r.b for r in got} == {n: bucket_of(n) for n in names}
+
+
+def test_upsert_is_idempotent(store, sample_prices_df):
+    store.write_prices(sample_prices_df, "AAPL")
+    batch = sample_prices_df.withColumn("close", F.col("close") * 2).where("date >= '2024-01-05'")
+    store.append_prices(batch, "AAPL")
+    once = sorted(map(tuple, store.scan_prices().collect()))
+    store.append_prices(batch, "AAPL")
+    assert sorted(map(tuple, store.scan_prices().collect())) == once
+
+
+def test_facade_round_trip(spark, tmp_path, sample_prices_df, sample_fundamentals_df):
+    from tickwise.plans.facade import Tickwise
+    tw = Tickwise(spark, str(tmp_path / "fac"))
+    px = sample_prices_df.withColumn("ticker", F.lit("AAPL"))
+    fq = sample_fundamentals_df.withColumn("ticker", F.lit("AAPL"))
+    s = tw.update_data(px, fq, start_date="2024-01-01")
+    assert s == {"tickers_processed": 1, "prices_written": 6, "fundamentals_written": 4}
+    assert tw.get_latest_price("AAPL")["close"] == 155.0
+    assert tw.get_pe("AAPL") == 17.61
+    r = tw.get_ratios("AAPL")
+    assert r["gross_margin"] == 0.4 and r["as_of_date"] == "latest"
+    assert [x.ticker for x in tw.screen(pe_max=20).collect()] == ["AAPL"]
+    assert tw.screen(pe_max=10).count() == 0
+    assert [tuple(x) for x in tw.rank("pe_ratio").collect()] == [(1, "AAPL", 17.61)]
+    assert tw.candlestick("AAPL").count() == 6
+    feed = px.withColumn("date", F.date_add("date", 30))
+    assert tw.update_prices(feed) == {"tickers_updated": 1, "new_records": 6}
+    assert tw.get_prices("AAPL").count() == 12

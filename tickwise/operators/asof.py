@@ -86,13 +86,17 @@ def as_of_join(universe: DataFrame, dates, sources: list[tuple]) -> DataFrame:
         "ticker", F.explode(F.array(*[F.lit(d) for d in dates])).alias("as_of_date"))
     w = (Window.partitionBy("ticker").orderBy("as_of_date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out_cols = []
+    names, out_cols = [], []
     for i, (df, date_col, value_cols, prefix) in enumerate(sources):
         name = f"_s{i}"
         tagged = tag_as_of(df.select("ticker", date_col, *value_cols), date_col, dates)
         red = (tagged.groupBy("ticker", "as_of_date")
                .agg(F.max_by(F.struct(*value_cols), date_col).alias(name)))
+        # all joins on (ticker, as_of_date) share one hash partitioning
         grid = grid.join(red, ["ticker", "as_of_date"], "left")
-        grid = grid.withColumn(name, F.last(name, ignorenulls=True).over(w))
+        names.append(name)
         out_cols += [F.col(f"{name}.{c}").alias(prefix + c) for c in value_cols]
+    # one window (one exchange on ticker) carries every source forward
+    grid = grid.select("ticker", "as_of_date",
+                       *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names])
     return grid.select("ticker", "as_of_date", *out_cols)
