@@ -246,6 +246,24 @@ def q_append_prices(spark, sf_dir):
     return st.scan_prices()
 
 
+@register("stream_upsert", W(
+    "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
+    "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "
+    "FROM prices p LEFT JOIN cuts c USING (ticker)", extra=_CUTS))
+def q_stream_upsert(spark, sf_dir):
+    """The append_prices result, with the feed arriving as files drained by a stream."""
+    from tickwise.streaming.upsert import start_price_upsert
+    st = _store(spark, "stream_upsert")
+    stored, feed = _split(_b(spark, sf_dir).prices())
+    st.write_prices(stored)
+    feed_dir = shared_dir(spark, "stream-feed")
+    feed.write.mode("overwrite").parquet(feed_dir)
+    q = start_price_upsert(spark, st, feed_dir, shared_dir(spark, "stream-ckpt"))
+    q.awaitTermination()
+    st.refresh()
+    return st.scan_prices()
+
+
 @register("ingest_incremental", W(
     f"SELECT {_PCOLS} FROM prices WHERE ticker IN (SELECT ticker FROM cuts)", extra=_CUTS))
 def q_ingest_incremental(spark, sf_dir):
