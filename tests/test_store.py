@@ -228,3 +228,20 @@ def test_facade_round_trip(spark, tmp_path, sample_prices_df, sample_fundamental
     feed = px.withColumn("date", F.date_add("date", 30))
     assert tw.update_prices(feed) == {"tickers_updated": 1, "new_records": 6}
     assert tw.get_prices("AAPL").count() == 12
+
+
+def _files(path):
+    out = set()
+    for root, _, names in os.walk(path):
+        out |= {os.path.join(root, n) for n in names if n.endswith(".parquet")}
+    return out
+
+
+def test_append_of_new_dates_rewrites_nothing(spark, store, sample_prices_df):
+    store.write_prices(sample_prices_df, "AAPL")
+    before = _files(store.path("prices"))
+    later = sample_prices_df.withColumn("date", F.date_add("date", 10))
+    store.append_prices(later, "AAPL")
+    after = _files(store.path("prices"))
+    assert before < after                      # old files kept, new files added
+    assert store.scan_prices().count() == 12

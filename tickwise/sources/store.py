@@ -258,21 +258,52 @@ class Store:
         if not parts:
             log.warning("Empty frame for %s, skipping write", table)
             return 0
+        key_cols = upsert_keys or keys
         old = self._in_partitions(self.read(table), table, parts)
+        # partitions where an incoming key already exists: only these are rewritten
+        clash = [tuple(r) for r in old.join(new.select(*key_cols).distinct(), key_cols,
+                                             "left_semi")
+                 .select(*self.partition_cols(table)).distinct().collect()]
         if upsert_keys:
-            seq = [F.lit(0)] + ([F.lit(None).cast(new.schema[order_col].dataType)]
-                                if order_col else [])
             nseq = [F.lit(1)] + ([F.col(order_col)] if order_col else [])
-            old = old.withColumn("_seq", F.struct(*seq))
             new = new.withColumn("_seq", F.struct(*nseq))
-            out = dedupe_keep_last(old.unionByName(new, allowMissingColumns=True),
-                                   upsert_keys, "_seq").drop("_seq")
-        else:
-            kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
-            out = kept.unionByName(new, allowMissingColumns=True)
-        self._write(out, table, cut_lineage=True)
+        fresh = new if not clash else self._not_in_partitions(new, table, clash)
+        if upsert_keys:
+            fresh = dedupe_keep_last(fresh, upsert_keys, "_seq").drop("_seq")
+        # rows landing only in partitions without a clash are appended as new files
+        self._append(fresh, table)
+        if clash:
+            old = self._in_partitions(old, table, clash)
+            inc = self._in_partitions(new, table, clash)
+            if upsert_keys:
+                seq = [F.lit(0)] + ([F.lit(None).cast(new.schema[order_col].dataType)]
+                                    if order_col else [])
+                old = old.withColumn("_seq", F.struct(*seq))
+                out = dedupe_keep_last(old.unionByName(inc, allowMissingColumns=True),
+                                       upsert_keys, "_seq").drop("_seq")
+            else:
+                kept = old.join(inc.select(*keys).distinct(), keys, "left_anti")
+                out = kept.unionByName(inc, allowMissingColumns=True)
+            self._write(out, table, cut_lineage=True)
         return len(parts)
 
+    def _not_in_partitions(self, df: DataFrame, table: str, parts: list[tuple]) -> DataFrame:
+        pcols = self.partition_cols(table)
+        types = {c: df.schema[c].dataType for c in pcols}
+        key = F.struct(*[F.col(c) for c in pcols])
+        lits = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(pcols, p)])
+                for p in parts]
+        return df.where(~key.isin(lits))
+
+    def _append(self, out: DataFrame, table: str) -> None:
+        """Add rows as new files in their partitions (no existing file is touched)."""
+        pcols = self.partition_cols(table)
+        self._remember_schema(table, out)
+        self._frames.pop(table, None)
+        out = (out.repartitionByRange(*pcols, *self._sort_cols(table))
+               .sortWithinPartitions(*pcols, *self._sort_cols(table)))
+        out.write.mode("append").partitionBy(*pcols).parquet(self.path(table))
+
     def _count_partitions(self, table: str) -> int:
         """Leaf partition folders of a table (a directory listing, no job)."""
         depth = len(self.partition_cols(table))
