@@ -30,10 +30,6 @@ from tickwise.operators.asof import as_of_join, normalize_dates
 from tickwise.operators.ttm import FEATURE_PREFIX, latest_features, quarter_features
 from tickwise.schemas import RATIO_COLUMNS
 
-def _null() -> Column:
-    return F.lit(None).cast("double")
-
-
 def _ttm(fcols, c) -> str | None:
     return FEATURE_PREFIX + c if FEATURE_PREFIX + c in fcols else None
 
@@ -100,10 +96,6 @@ def ratio_sql(fcols, years: int = 5) -> dict[str, str]:
     }
 
 
-def ratio_columns(fcols, years: int = 5) -> dict[str, Column]:
-    return {k: F.expr(v) for k, v in ratio_sql(fcols, years).items()}
-
-
 def _ratio_projection(fcols, years: int, label_sql: str) -> list[str]:
     r = ratio_sql(fcols, years)
     return ["ticker", f"{label_sql} AS as_of_date"] + [f"{r[c]} AS {c}" for c in RATIO_COLUMNS]

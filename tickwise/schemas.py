@@ -132,9 +132,3 @@ SAMPLE_TICKERS = ["AAPL", "MSFT", "GOOGL", "AMZN", "TSLA"]
 # Default first date kept by a full ingest.
 DEFAULT_START_DATE = "2020-01-01"
 
-
-def field(schema: T.StructType, name: str) -> T.StructField | None:
-    for f in schema.fields:
-        if f.name == name:
-            return f
-    return None
