@@ -245,3 +245,13 @@ def test_append_of_new_dates_rewrites_nothing(spark, store, sample_prices_df):
     after = _files(store.path("prices"))
     assert before < after                      # old files kept, new files added
     assert store.scan_prices().count() == 12
+
+
+def test_null_keys_dropped_and_statement_keys_unique(spark, store, sample_fundamentals_df):
+    dup = sample_fundamentals_df.unionByName(sample_fundamentals_df.limit(1))
+    store.write_fundamentals_quarterly(dup, "AAPL")
+    assert store.scan_fundamentals_quarterly().count() == 4
+    rows = [(None, 1.0), (d("2024-01-02"), 2.0)]
+    px = spark.createDataFrame(rows, "date date, close double")
+    store.write_prices(px, "AAPL")
+    assert store.scan_prices().count() == 1

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from tickwise.functions.scalar import TICKER_BUCKETS, ticker_bucket
 from tickwise.operators.filters import filter_date_range, project_columns
 from tickwise.operators.sets import dedupe_keep_last
-from tickwise.schemas import FUNDAMENTALS, PRICES
+from tickwise.schemas import FUNDAMENTALS, PRICE_KEYS, PRICES, STATEMENT_KEYS
 
 log = logging.getLogger(__name__)
 
@@ -193,8 +193,11 @@ class Store:
             df = df.withColumn("ticker_bucket", ticker_bucket())
         schema = self._schema(table)
         known = {f.name: f.dataType for f in schema.fields}
-        return df.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c)
-                           for c in df.columns])
+        df = df.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c)
+                         for c in df.columns])
+        # D13: key columns are non-null in stored tables
+        keys = PRICE_KEYS if table == "prices" else ["ticker", "fiscal_period"]
+        return df.dropna(subset=[k for k in keys if k in df.columns])
 
     def _touched(self, new: DataFrame, table: str) -> list[tuple]:
         """Distinct partition values of the incoming rows (bounded by the partition count)."""
@@ -323,7 +326,16 @@ class Store:
 
     def write_fundamentals(self, df: DataFrame, period: str = "quarterly",
                            ticker: str | None = None) -> int:
-        """Replace every ticker present in ``df``."""
+        """Replace every ticker present in ``df``.
+
+        A statement key (ticker, fiscal_year, fiscal_period) repeated within
+        the batch is kept once (deterministic choice), so a ticker's stored
+        history holds at most one row per period.
+        """
+        if "ticker" not in df.columns and ticker is not None:
+            df = df.withColumn("ticker", F.lit(ticker))
+        keys = [k for k in STATEMENT_KEYS if k in df.columns]
+        df = dedupe_keep_last(df.withColumn("_seq", F.lit(0)), keys, "_seq").drop("_seq")
         return self._replace(df, period, ["ticker"], ticker)
 
     def write_fundamentals_quarterly(self, df, ticker=None) -> int:
