@@ -147,8 +147,29 @@ def ratio_table(prices: DataFrame, fundamentals: DataFrame, tickers=None, as_of=
 
 def all_ratios(prices: DataFrame, fundamentals: DataFrame, ticker: str, as_of=None,
                years: int = 5) -> DataFrame:
-    """Single-ticker form; the ticker predicate reaches both scans."""
-    return ratio_table(prices, fundamentals, [ticker], as_of, years)
+    """Single-ticker form (same columns and values as ``ratio_table`` for it).
+
+    The ticker predicate reaches both scans. The price is a global ``max_by``
+    (reduced inside every scan task, so even a huge history is split across
+    tasks); the ticker's statements, at most one row per fiscal period, are
+    read into one task so the quarter window needs no exchange.
+    """
+    spark = prices.sparkSession
+    p = prices.where(F.col("ticker") == F.lit(ticker)).select("date", "close")
+    q = fundamentals.where(F.col("ticker") == F.lit(ticker))
+    if as_of is not None:
+        d = F.lit(as_of).cast("date")
+        p = p.where(F.col("date") <= d)
+        q = q.where(F.col("fiscal_period") <= d)
+    feats = latest_features(q.coalesce(1), years).drop("fiscal_period")
+    fcols = set(feats.columns) | {"close"}
+    label = "latest" if as_of is None else str(as_of)
+    proj = _ratio_projection(fcols, years, f"'{label}'")
+    proj[0] = "p.ticker AS ticker"
+    return spark.sql(
+        f"""SELECT {", ".join(proj)}
+FROM (SELECT :t AS ticker, max_by(close, date) AS close FROM {{p}}) p
+LEFT JOIN {{f}} f ON f.ticker = p.ticker""", args={"t": ticker}, p=p, f=feats)
 
 
 def ratio_panel(prices: DataFrame, fundamentals: DataFrame, dates, tickers=None,
