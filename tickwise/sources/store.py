@@ -274,7 +274,8 @@ class Store:
         if upsert_keys:
             fresh = dedupe_keep_last(fresh, upsert_keys, "_seq").drop("_seq")
         # rows landing only in partitions without a clash are appended as new files
-        self._append(fresh, table)
+        if set(parts) - set(clash):
+            self._append(fresh, table)
         if clash:
             old = self._in_partitions(old, table, clash)
             inc = self._in_partitions(new, table, clash)
