@@ -90,7 +90,7 @@ def main():
         px, fq, ["1996-12-31", "1997-12-31", "1998-12-31", "1999-12-31", "2000-12-31",
                  "2001-06-30"])))
     timed("ttm_fundamentals", lambda: run(T.ttm_fundamentals(fq)))
-    timed("valuation_summary", lambda: run(M.valuation_summary(R.ratio_table(px, fq), px, fq)))
+    timed("valuation_summary", lambda: run(M.valuation_summary(px, fq)))
     timed("chart_candlestick", lambda: D.candlestick_data(
         store.scan_prices(ticker=some), "1998-01-01", "2000-12-31").collect())
     timed("price_index", lambda: run(D.price_comparison_data(px, "1999-01-01", "2000-12-31",

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwise.functions.scalar import metric_label
-from tickwise.operators.prices import latest_price
-from tickwise.operators.ttm import ttm_fundamentals
 from tickwise.schemas import RATIO_COLUMNS
 
 RADAR_METRICS = ["operating_margin", "net_profit_margin", "gross_margin", "rd_intensity",
@@ -75,16 +73,10 @@ def group_averages(ratios: DataFrame, members: DataFrame, group_col: str = "grou
     return j.groupBy(group_col).agg(*aggs, F.count("ticker").cast("bigint").alias("ticker_count"))
 
 
-def valuation_summary(ratios: DataFrame, prices: DataFrame, fundamentals: DataFrame) -> DataFrame:
+def valuation_summary(prices: DataFrame, fundamentals: DataFrame, tickers=None) -> DataFrame:
     """Ratios plus latest close/date and TTM revenue / net income, per ticker."""
-    lp = latest_price(prices.select("ticker", "date", "close")).select(
-        "ticker", F.col("close").alias("current_price"),
-        F.date_format("date", "yyyy-MM-dd").alias("price_date"))
-    ttm = ttm_fundamentals(fundamentals)
-    keep = [F.col("revenue").alias("ttm_revenue")] if "revenue" in ttm.columns else []
-    keep += [F.col("net_income").alias("ttm_net_income")] if "net_income" in ttm.columns else []
-    return (ratios.join(lp, "ticker", "left")
-            .join(ttm.select("ticker", *keep), "ticker", "left"))
+    from tickwise.operators.ratios import valuation_table
+    return valuation_table(prices, fundamentals, tickers)
 
 
 def unpivot_metrics(df: DataFrame, metrics: list[str], id_cols: list[str],

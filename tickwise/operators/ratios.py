@@ -124,10 +124,12 @@ def ratio_inputs(prices: DataFrame, fundamentals: DataFrame, tickers=None,
         d = F.lit(as_of).cast("date")
         q = q.where(F.col("fiscal_period") <= d)
         # keep every stored ticker in the universe; only dates <= as_of may price it
-        px = p.groupBy("ticker").agg(
-            F.max_by("close", F.when(F.col("date") <= d, F.col("date"))).alias("close"))
+        in_range = F.when(F.col("date") <= d, F.col("date"))
+        px = p.groupBy("ticker").agg(F.max_by("close", in_range).alias("close"),
+                                     F.max(in_range).alias("price_date"))
     else:
-        px = p.groupBy("ticker").agg(F.max_by("close", "date").alias("close"))
+        px = p.groupBy("ticker").agg(F.max_by("close", "date").alias("close"),
+                                     F.max("date").alias("price_date"))
     feats = latest_features(q, years).drop("fiscal_period")
     if tickers is not None:
         px = _ticker_frame(prices.sparkSession, tickers).join(px, "ticker", "left")
@@ -145,6 +147,18 @@ def ratio_table(prices: DataFrame, fundamentals: DataFrame, tickers=None, as_of=
     return base.selectExpr(*_ratio_projection(set(base.columns), years, f"'{label}'"))
 
 
+def valuation_table(prices: DataFrame, fundamentals: DataFrame, tickers=None,
+                    years: int = 5) -> DataFrame:
+    """Ratios plus latest close / date and TTM revenue / net income, in one plan
+    (the ratio inputs already carry them)."""
+    base = ratio_inputs(prices, fundamentals, tickers, None, years)
+    fcols = set(base.columns)
+    extra = ["close AS current_price", "date_format(price_date, 'yyyy-MM-dd') AS price_date"]
+    extra += [f"{FEATURE_PREFIX}{c} AS ttm_{c}" for c in ("revenue", "net_income")
+              if FEATURE_PREFIX + c in fcols]
+    return base.selectExpr(*_ratio_projection(fcols, years, "'latest'"), *extra)
+
+
 def all_ratios(prices: DataFrame, fundamentals: DataFrame, ticker: str, as_of=None,
                years: int = 5) -> DataFrame:
     """Single-ticker form (same columns and values as ``ratio_table`` for it).

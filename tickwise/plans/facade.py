@@ -82,8 +82,10 @@ class Tickwise:
 
     def valuation_summary(self, tickers=None) -> DataFrame:
         s = self.store
-        return M.valuation_summary(self.ratios(tickers), s.scan_prices(tickers),
-                                   s.scan_fundamentals_quarterly(tickers))
+        if isinstance(tickers, str):
+            tickers = [tickers]
+        return M.valuation_summary(s.scan_prices(tickers), s.scan_fundamentals_quarterly(tickers),
+                                   tickers)
 
     def group_averages(self, members: DataFrame, group_col: str = "group") -> DataFrame:
         return M.group_averages(self.ratios(), members, group_col)

@@ -463,8 +463,7 @@ LEFT JOIN (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY ticker O
 LEFT JOIN feat f USING (ticker)"""))
 def q_valuation_summary(spark, sf_dir):
     b = _b(spark, sf_dir)
-    r = R.ratio_table(b.prices(), b.fundamentals())
-    return M.valuation_summary(r, b.prices(), b.fundamentals())
+    return M.valuation_summary(b.prices(), b.fundamentals())
 
 
 _GROUP_AVG = """SELECT c.sector AS "group", {aggs}, CAST(count(c.ticker) AS BIGINT) AS ticker_count
