@@ -221,10 +221,7 @@ class Store:
         self._frames.pop(table, None)
         if cut_lineage:
             out = out.checkpoint(eager=True)
-        # range partitioning splits a hot partition value across tasks; rows are
-        # sorted by (ticker, date) inside files for row-group skipping
-        out = (out.repartitionByRange(*pcols, *self._sort_cols(table))
-               .sortWithinPartitions(*pcols, *self._sort_cols(table)))
+        out = self._layout_for_write(out, table)
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*pcols).parquet(self.path(table)))
 
@@ -304,10 +301,17 @@ class Store:
         pcols = self.partition_cols(table)
         self._remember_schema(table, out)
         self._frames.pop(table, None)
-        out = (out.repartitionByRange(*pcols, *self._sort_cols(table))
-               .sortWithinPartitions(*pcols, *self._sort_cols(table)))
+        out = self._layout_for_write(out, table)
         out.write.mode("append").partitionBy(*pcols).parquet(self.path(table))
 
+    def _layout_for_write(self, out: DataFrame, table: str) -> DataFrame:
+        """REBALANCE on the partition columns: AQE splits a hot partition value
+        over several tasks and merges small ones (no sampling pass); rows are
+        sorted by (ticker, date) inside files for row-group skipping."""
+        pcols = self.partition_cols(table)
+        sort = [c for c in pcols + self._sort_cols(table)]
+        return out.hint("rebalance", *pcols).sortWithinPartitions(*dict.fromkeys(sort))
+
     def _count_partitions(self, table: str) -> int:
         """Leaf partition folders of a table (a directory listing, no job)."""
         depth = len(self.partition_cols(table))
