@@ -6,8 +6,7 @@ tickers in Python).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickwise.operators.sets import ticker_frame
@@ -34,31 +33,24 @@ def ingest_full(store: Store, prices: DataFrame, quarterly: DataFrame | None = N
     """
     spark = store.spark
     start = F.lit(start_date or DEFAULT_START_DATE).cast("date")
-    feed = prices
-    if tickers is not None:
-        feed = feed.join(_universe(spark, tickers, prices), "ticker", "left_semi")
-    feed = feed.persist(StorageLevel.MEMORY_AND_DISK)
-    c = feed.agg(F.countDistinct("ticker").alias("t"),
-                 F.count_if(F.col("date") >= start).alias("n")).first()
-    n_tickers = c["t"] if tickers is None else _universe(spark, tickers, prices).count()
-    summary = {"tickers_processed": n_tickers, "prices_written": c["n"],
+    wanted = _universe(spark, tickers, prices)
+    feed = prices if tickers is None else prices.join(wanted, "ticker", "left_semi")
+    # row counts are observed during the writes themselves: no extra pass, no persist
+    obs = Observation("prices_written")
+    px = feed.where(F.col("date") >= start).observe(obs, F.count(F.lit(1)).alias("n"))
+    summary = {"tickers_processed": wanted.count(), "prices_written": 0,
                "fundamentals_written": 0}
-    store.write_prices(feed.where(F.col("date") >= start))
+    if store.write_prices(px):
+        summary["prices_written"] = obs.get["n"]
     if include_fundamentals:
-        wanted = feed.select("ticker").distinct() if tickers is None else \
-            _universe(spark, tickers, prices)
         for period, df in (("quarterly", quarterly), ("annual", annual)):
             if df is None:
                 continue
-            sel = df.join(wanted, "ticker", "left_semi")
-            sel = sel.persist(StorageLevel.MEMORY_AND_DISK)
-            n = sel.count()
-            if period == "quarterly":
-                summary["fundamentals_written"] = n
-            if n:
-                store.write_fundamentals(sel, period)
-            sel.unpersist()
-    feed.unpersist()
+            o = Observation(f"{period}_written")
+            sel = df.join(wanted, "ticker", "left_semi").observe(o, F.count(F.lit(1)).alias("n"))
+            written = store.write_fundamentals(sel, period)
+            if period == "quarterly" and written:
+                summary["fundamentals_written"] = o.get["n"]
     return summary
 
 
