@@ -58,7 +58,9 @@ def revenue_earnings_data(q: DataFrame) -> DataFrame:
 def ranking_data(ratios: DataFrame, metric: str, top_n: int = 10,
                  ascending: bool = True) -> DataFrame:
     r = rank_by_metric(ratios, metric, ascending, top_n)
-    return r.withColumn("label", F.format_string("%.2f", F.col(metric)))
+    # bar text: two decimals, empty for a zero value
+    label = F.when(F.col(metric) != 0, F.format_string("%.2f", F.col(metric))).otherwise("")
+    return r.withColumn("label", label)
 
 
 def group_radar_data(ratios: DataFrame, members: DataFrame, group_col: str = "group") -> DataFrame:

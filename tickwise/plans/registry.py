@@ -901,7 +901,8 @@ def q_revenue_earnings(spark, sf_dir):
 
 @register("ranking_data", O.ratio_table_sql("sparse", final=(
     "SELECT row_number() OVER (ORDER BY pe_ratio, ticker) AS rank, ticker, pe_ratio, "
-    "printf('%.2f', pe_ratio) AS label FROM ratios WHERE pe_ratio IS NOT NULL "
+    "CASE WHEN pe_ratio <> 0 THEN printf('%.2f', pe_ratio) ELSE '' END AS label "
+    "FROM ratios WHERE pe_ratio IS NOT NULL "
     "ORDER BY pe_ratio, ticker LIMIT 10")))
 def q_ranking_data(spark, sf_dir):
     return D.ranking_data(_ratios(spark, sf_dir, "sparse"), "pe_ratio", 10, ascending=True)
