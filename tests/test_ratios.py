@@ -176,3 +176,12 @@ def test_screen_skips_unknown_and_fails_nulls(spark, aapl):
     r = R.ratio_table(px, fq, tickers=["AAPL", "NOPE"])
     out = screen_stocks(r, {"pe_ratio": (None, 20), "bogus": (0, 1)})
     assert [x.ticker for x in out.collect()] == ["AAPL"]
+
+
+def test_resolve_universe_aliases(spark):
+    from tickwise.operators.sets import resolve_universe, ticker_frame
+    want = ticker_frame(spark, ["AAPL", "GOOGL", "BRK.B", "MSFT", "ZZZ"])
+    avail = ticker_frame(spark, ["AAPL", "GOOG", "BRK-B", "BRK.B", "MSFT"])
+    got = [r.ticker for r in resolve_universe(want, avail).collect()]
+    # GOOGL absent -> GOOG added; BRK.B present -> its alias is not added
+    assert got == ["AAPL", "BRK.B", "GOOG", "MSFT"]

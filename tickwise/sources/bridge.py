@@ -41,10 +41,12 @@ def spread(df: DataFrame) -> DataFrame:
     unsplittable file (one row group) would otherwise run the whole pre-shuffle
     pipeline in one task. Deciding costs a file listing, not a data read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def line_rows(spark: SparkSession, sf_dir: str, density: str = "dense") -> DataFrame:
