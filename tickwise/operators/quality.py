@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.operators.sets import ticker_frame
@@ -75,19 +75,17 @@ def rd_capex_availability(cashflow: DataFrame, income: DataFrame) -> DataFrame:
     capex_cols = _name_match(cashflow.columns, ("fixed assets", "capex"))
     rd_cols = _name_match(income.columns, ("r&d", "research", "rd_expense"))
 
-    def share(df: DataFrame, cols) -> Column:
+    def share(cols) -> str:
         if not cols:
-            return F.lit(None).cast("double")
-        return F.try_divide(F.count(F.col(f"`{cols[0]}`")), F.count(F.lit(1)))
+            return "CAST(NULL AS DOUBLE)"
+        return f"try_divide(count(`{cols[0]}`), count(1))"
 
-    cf = cashflow.agg(share(cashflow, capex_cols).alias("capex_filled_share"))
-    inc = income.agg(share(income, rd_cols).alias("rd_filled_share"))
-    # both sides are single-row aggregates; the join key is a constant
-    return (cf.withColumn("_k", F.lit(1)).join(inc.withColumn("_k", F.lit(1)), "_k").drop("_k")
-            .select(F.lit(bool(capex_cols)).alias("capex_available"),
-                    F.lit(bool(rd_cols)).alias("rd_available"),
-                    "capex_filled_share", "rd_filled_share",
-                    F.lit(bool(capex_cols)).alias("passed")))
+    # two single-row aggregates side by side as scalar subqueries (no join)
+    return cashflow.sparkSession.sql(
+        f"""SELECT {bool(capex_cols)} AS capex_available, {bool(rd_cols)} AS rd_available,
+  (SELECT {share(capex_cols)} FROM {{cf}}) AS capex_filled_share,
+  (SELECT {share(rd_cols)} FROM {{inc}}) AS rd_filled_share,
+  {bool(capex_cols)} AS passed""", cf=cashflow, inc=income)
 
 
 def quality_report(companies: DataFrame, prices: DataFrame, income: DataFrame,
@@ -124,12 +122,11 @@ def quality_report(companies: DataFrame, prices: DataFrame, income: DataFrame,
                  F.lit(", R&D: "), F.when(F.col("rd_available"), "Available").otherwise("Not found"))
         .alias("message"))
     steps = reduce(DataFrame.unionByName, [comp, cov, pp, fp, cb, rc])
-    # six rows: a global window is a fixed-size operation here
-    first_ok = F.first(F.when(F.col("step") == 1, F.col("passed")), ignorenulls=True).over(
-        Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    steps = steps.withColumn("_ok", first_ok).where((F.col("step") == 1) | F.col("_ok")).select(
-        F.col("step").cast("bigint").alias("step"), "check", "passed", "message")
-    overall = steps.agg(F.bool_and("passed").alias("passed")).select(
-        F.lit(99).cast("bigint").alias("step"), F.lit("Overall").alias("check"), "passed",
-        F.when(F.col("passed"), "PASSED").otherwise("FAILED").alias("message"))
-    return steps.unionByName(overall)
+    # later steps only when the first passed; overall = AND of what is reported
+    return companies.sparkSession.sql("""WITH s AS (
+  SELECT CAST(step AS BIGINT) AS step, `check`, passed, message FROM {steps}
+  WHERE step = 1 OR (SELECT first(passed) FROM {steps} WHERE step = 1))
+SELECT * FROM s
+UNION ALL
+SELECT 99, 'Overall', bool_and(passed), CASE WHEN bool_and(passed) THEN 'PASSED' ELSE 'FAILED' END
+FROM s""", steps=steps)

@@ -300,14 +300,15 @@ def q_ingest_full(spark, sf_dir):
     s = I.ingest_full(st, b.prices(), b.fundamentals(), b.fundamentals("annual"),
                       start_date="1997-01-01")
 
-    def n(df, name):
-        return df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(1))
-    head = spark.createDataFrame(
-        [(s["tickers_processed"], s["prices_written"], s["fundamentals_written"], 1)],
-        "tickers_processed bigint, prices_written bigint, fundamentals_written bigint, _k int")
-    return (head.join(n(st.read("prices"), "stored_price_rows"), "_k")
-            .join(n(st.read("quarterly"), "stored_quarterly_rows"), "_k")
-            .join(n(st.read("annual"), "stored_annual_rows"), "_k").drop("_k"))
+    return spark.sql(
+        """SELECT CAST(:t AS BIGINT) AS tickers_processed, CAST(:p AS BIGINT) AS prices_written,
+  CAST(:f AS BIGINT) AS fundamentals_written,
+  (SELECT count(1) FROM {sp}) AS stored_price_rows,
+  (SELECT count(1) FROM {sq}) AS stored_quarterly_rows,
+  (SELECT count(1) FROM {sa}) AS stored_annual_rows""",
+        args={"t": s["tickers_processed"], "p": s["prices_written"],
+              "f": s["fundamentals_written"]},
+        sp=st.read("prices"), sq=st.read("quarterly"), sa=st.read("annual"))
 
 
 # =========================================================================== 2.3 filters

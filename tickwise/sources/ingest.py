@@ -91,14 +91,13 @@ def data_summary(prices: DataFrame, quarterly: DataFrame, annual: DataFrame,
                  sample: int = 5) -> DataFrame:
     """Distinct-ticker counts of the three tables with the date ranges of the
     first ``sample`` tickers (one row per sample ticker)."""
-    def n(df, name):
-        return df.agg(F.countDistinct("ticker").cast("bigint").alias(name))
-
     first = prices.select("ticker").distinct().orderBy("ticker").limit(sample)
     ranges = (prices.join(first, "ticker", "left_semi").groupBy("ticker")
               .agg(F.date_format(F.min("date"), "yyyy-MM-dd").alias("min_date"),
                    F.date_format(F.max("date"), "yyyy-MM-dd").alias("max_date")))
-    counts = (n(prices, "price_tickers").withColumn("_k", F.lit(1))
-              .join(n(quarterly, "quarterly_tickers").withColumn("_k", F.lit(1)), "_k")
-              .join(n(annual, "annual_tickers").withColumn("_k", F.lit(1)), "_k"))
-    return ranges.withColumn("_k", F.lit(1)).join(counts, "_k").drop("_k")
+    # table-wide counts as scalar subqueries next to the per-ticker rows
+    return prices.sparkSession.sql("""SELECT r.*,
+  (SELECT count(DISTINCT ticker) FROM {p}) AS price_tickers,
+  (SELECT count(DISTINCT ticker) FROM {q}) AS quarterly_tickers,
+  (SELECT count(DISTINCT ticker) FROM {a}) AS annual_tickers
+FROM {r} r""", p=prices, q=quarterly, a=annual, r=ranges)
