@@ -71,3 +71,12 @@ def test_dedupe_is_partial_aggregate(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("seq"))
     plan = _plan(dedupe_keep_last(df, ["k"], "seq"))
     assert "partial_max_by" in plan and "Window" not in plan
+
+
+@needs_data
+def test_as_of_prunes_later_years(stored):
+    df = R.ratio_table(stored.scan_prices(), stored.scan_fundamentals_quarterly(), as_of="1996-12-31")
+    plan = _plan(df)
+    scans = [line for line in plan.split("\n")
+             if "FileScan parquet" in line and "ReadSchema: struct<ticker:string,date:date" in line]
+    assert any("year" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans), scans

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.operators.asof import as_of_join, normalize_dates
+from tickwise.operators.filters import filter_date_range
 from tickwise.operators.ttm import FEATURE_PREFIX, latest_features, quarter_features
 from tickwise.schemas import RATIO_COLUMNS
 
@@ -123,10 +124,14 @@ def ratio_inputs(prices: DataFrame, fundamentals: DataFrame, tickers=None,
     if as_of is not None:
         d = F.lit(as_of).cast("date")
         q = q.where(F.col("fiscal_period") <= d)
-        # keep every stored ticker in the universe; only dates <= as_of may price it
-        in_range = F.when(F.col("date") <= d, F.col("date"))
-        px = p.groupBy("ticker").agg(F.max_by("close", in_range).alias("close"),
-                                     F.max(in_range).alias("price_date"))
+        # the close comes from dates <= as_of only (year partitions after it are
+        # skipped); every stored ticker stays in the universe via a ticker-only scan
+        upto = _restrict(filter_date_range(prices, None, as_of).select("ticker", "date", "close"),
+                         tickers)
+        px = (upto.groupBy("ticker")
+              .agg(F.max_by("close", "date").alias("close"), F.max("date").alias("price_date")))
+        if tickers is None:
+            px = p.select("ticker").distinct().join(px, "ticker", "left")
     else:
         px = p.groupBy("ticker").agg(F.max_by("close", "date").alias("close"),
                                      F.max("date").alias("price_date"))
