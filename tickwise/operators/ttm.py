@@ -1,12 +1,16 @@
 """Trailing-twelve-month sums and the positional quarter features behind the ratios.
 
 The reference sorts one ticker's quarters newest first and reads rows by
-position (rows 1-4 summed, row 1 vs row 5, rows 17-20). Here the same
-positions are window offsets over (ticker ORDER BY fiscal_period): as of a
-quarter, "row k of the newest-first list" is ``lag(c, k-1)``. One window pass
-therefore yields the inputs of every ratio *as of every quarter*; the latest
-ratios are the newest quarter's row and as-of ratios pick the quarter in
-force on each date.
+position (rows 1-4 summed, row 1 vs row 5, rows 17-20). Two forms here:
+
+* ``latest_features``: ``row_number() <= K`` over the newest-first order
+  (a partial WindowGroupLimit runs before the shuffle), then the positions
+  are conditional aggregates ``max(CASE WHEN rn = k ...)``.
+* ``quarter_features`` (as-of panels): positions are window offsets over
+  (ticker ORDER BY fiscal_period) -- as of a quarter, "row k of the
+  newest-first list" is ``lag(c, k-1)`` -- so one window pass yields the
+  inputs of every ratio *as of every quarter*, and each as-of date picks the
+  quarter in force.
 
 A ticker's window partition holds at most one row per fiscal period (keys
 are unique after ingest), so its size is bounded by the calendar, not by
