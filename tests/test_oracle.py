@@ -45,3 +45,17 @@ def test_query_matches_duckdb(spark, con, name):
     want = canon(cur.fetchall(), ocols)
     assert sorted(cols) == sorted(ocols)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["ratio_panel", "parse_iso_date", "data_summary",
+                                  "candlestick_data"])
+def test_results_independent_of_session_timezone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = E.queries()[name](spark, SF)
+        got = canon([tuple(r) for r in df.collect()], df.columns)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    cur = con.execute(E.oracle_sql()[name])
+    assert got == canon(cur.fetchall(), [x[0] for x in cur.description])
