@@ -69,6 +69,11 @@ class TestWriter:
         store.append_prices(new, "AAPL", order_col="seq")
         rows = store.scan_prices().collect()
         assert len(rows) == 1 and rows[0].close == 2.0
+        assert "seq" not in store.scan_prices().columns
+        # an existing key updated by a batch with repeats: the highest seq wins
+        store.append_prices(new.withColumn("seq", 3 - F.col("seq")), "AAPL", order_col="seq")
+        rows = store.scan_prices().collect()
+        assert len(rows) == 1 and rows[0].close == 1.0
 
     def test_delete_ticker(self, store, sample_prices_df, sample_fundamentals_df):
         store.write_prices(sample_prices_df, "AAPL")

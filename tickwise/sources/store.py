@@ -248,6 +248,8 @@ class Store:
                 out = dedupe_keep_last(new.withColumn("_seq", F.struct(
                     F.lit(1), *([F.col(order_col)] if order_col else []))),
                     upsert_keys, "_seq").drop("_seq")
+            if order_col:
+                out = out.drop(order_col)   # a batch tie-breaker, not a table column
             self._write(out, table, cut_lineage=False)
             n = self._count_partitions(table)
             if n == 0:
@@ -270,6 +272,8 @@ class Store:
         fresh = new if not clash else self._not_in_partitions(new, table, clash)
         if upsert_keys:
             fresh = dedupe_keep_last(fresh, upsert_keys, "_seq").drop("_seq")
+        if order_col:
+            fresh = fresh.drop(order_col)
         # rows landing only in partitions without a clash are appended as new files
         if set(parts) - set(clash):
             self._append(fresh, table)
@@ -282,6 +286,8 @@ class Store:
                 old = old.withColumn("_seq", F.struct(*seq))
                 out = dedupe_keep_last(old.unionByName(inc, allowMissingColumns=True),
                                        upsert_keys, "_seq").drop("_seq")
+                if order_col:
+                    out = out.drop(order_col)
             else:
                 kept = old.join(inc.select(*keys).distinct(), keys, "left_anti")
                 out = kept.unionByName(inc, allowMissingColumns=True)
