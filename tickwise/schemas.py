@@ -71,6 +71,10 @@ RATIOS = T.StructType(
 # ---------------------------------------------------------------------------
 # Vendor bulk-extract column names -> our names. These must match
 # the vendor's published headers exactly, so they are listed verbatim.
+# One deliberate difference from a plain pass-through: the vendor's
+# "Fiscal Period" is a label ("Q1".."Q4", "FY") that neither sorts by time nor
+# compares with a date, so it is kept as ``fiscal_label`` and the period-end
+# date ("Report Date") becomes ``fiscal_period``.
 # ---------------------------------------------------------------------------
 PRICE_COLUMN_MAP = {
     "Ticker": "ticker",
