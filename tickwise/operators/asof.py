@@ -30,12 +30,11 @@ def normalize_dates(dates) -> list[dt.date]:
     return sorted(out)
 
 
-def _case_bucket(c: Column, dates: list[dt.date]) -> Column:
-    expr = None
-    for d in dates:
-        cond, val = c <= F.lit(d), F.lit(d)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr
+def _case_bucket(col: str, dates: list[dt.date]) -> Column:
+    """CASE WHEN col <= d1 THEN d1 WHEN col <= d2 THEN d2 ... END as one SQL expression."""
+    arms = " ".join(f"WHEN `{col}` <= DATE'{d.isoformat()}' THEN DATE'{d.isoformat()}'"
+                    for d in dates)
+    return F.expr(f"CASE {arms} END")
 
 
 def _month_starts(lo: dt.date, hi: dt.date):
@@ -51,7 +50,7 @@ def tag_as_of(df: DataFrame, date_col: str, dates) -> DataFrame:
     d = F.col(date_col)
     df = df.where(d <= F.lit(dates[-1]))
     if len(dates) <= CASE_LIMIT:
-        return df.withColumn("as_of_date", _case_bucket(d, dates))
+        return df.withColumn("as_of_date", _case_bucket(date_col, dates))
     spark = df.sparkSession
     # intervals (lo, hi] with one row per calendar month they cover; the first is open below
     rows, prev = [], None
@@ -90,13 +89,14 @@ def as_of_join(universe: DataFrame, dates, sources: list[tuple]) -> DataFrame:
     for i, (df, date_col, value_cols, prefix) in enumerate(sources):
         name = f"_s{i}"
         tagged = tag_as_of(df.select("ticker", date_col, *value_cols), date_col, dates)
+        fields = ", ".join(f"`{c}`" for c in value_cols)
         red = (tagged.groupBy("ticker", "as_of_date")
-               .agg(F.max_by(F.struct(*value_cols), date_col).alias(name)))
+               .agg(F.expr(f"max_by(struct({fields}), `{date_col}`)").alias(name)))
         # all joins on (ticker, as_of_date) share one hash partitioning
         grid = grid.join(red, ["ticker", "as_of_date"], "left")
         names.append(name)
-        out_cols += [F.col(f"{name}.{c}").alias(prefix + c) for c in value_cols]
+        out_cols += [f"{name}.`{c}` AS `{prefix}{c}`" for c in value_cols]
     # one window (one exchange on ticker) carries every source forward
     grid = grid.select("ticker", "as_of_date",
                        *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names])
-    return grid.select("ticker", "as_of_date", *out_cols)
+    return grid.selectExpr("ticker", "as_of_date", *out_cols)
