@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import fingerprints, simhash_dedup
+from tickwise.llm import decontam, fingerprints, simhash_dedup, token_counts, toxicity, url_filter, warc
 from tickwise.llm.common import cut, table
 
 QUERIES = {}
@@ -19,16 +19,115 @@ def query(name: str):
     return add
 
 
+def tokenizer(name: str) -> str:
+    """Where the installed package of public tokenizer files keeps ``name``."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _hex(col: str):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+         ("net/es/", "block"), ("net/fr/", "block")]
+
+
+# The small labelled table of the url classifier: invented urls, fixed values.
+BLOCKED = """casino-royal.example.com/en/ free-bets.example.net/win/now bets-online.example.org/de/31 poker-bonus.example.com/fr/
+    spam-farm.example.org/en/12 link-farm.example.net/es/4 seo-spam.example.com/page/7 cheap-pills.example.com/buy
+    www.cheap-pills.example.net/fr/9 online-pharmacy.example.org/pills/ viagra-shop.example.com/en/2 adult-x.example.net/video/3
+    adult-cams.example.org/live xxx-tube.example.com/de/8 porn-hub.example.net/es/1 sex-chat.example.org/en/5
+    free-money.example.com/claim quick-loans.example.net/apply win-prizes.example.org/lottery lottery-winner.example.com/fr/6
+    phishing-login.example.net/account/verify account-verify.example.org/login warez-download.example.com/crack
+    torrent-free.example.net/movies hot-singles.example.org/meet replica-watches.example.com/sale crypto-double.example.net/invest
+    bad-ads.example.org/click malware-host.example.com/exe clickbait-farm.example.net/en/77""".split()
+ALLOWED = """www.example.com/ www.example.org/en/12 example.net/de/31.html blog.example.com/fr/8 blog.garden.example.org/es/404/
+    m.news.example.net/en/25 m.theatre.example.com/de/498 docs.example.org/guide/start.html library.example.net/catalog/17
+    university.example.com/physics/ www.museum.example.org/fr/1204 weather.example.net/es/88 recipes.example.com/en/575
+    www.theories.example.net/en/685 history.example.org/de/252.html maps.example.com/city/9 shop.example.net/books/33
+    forum.gardening.example.org/en/770 static.example.com/fr/317.html api.example.net/v1/status blog.tions.example.com/en/43552
+    www.theorem.example.org/es/30548.html m.others.example.com/fr/22530/ nation.example.net/en/46951 thinking.example.org/de/10773/
+    health.example.com/es/27308/ science.example.net/fr/2840 travel.example.org/en/36318 sports.example.com/de/4599
+    kids.example.net/es/64""".split()
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame([("https://" + u, 1) for u in BLOCKED] + [("https://" + u, 0) for u in ALLOWED],
+                                     "url string, blocked int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, RULES), labelled)
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2).select(
         "doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op9_warc_merkle_audit")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which some records rotted, vanished or appeared."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rotten = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    replica = (pages.withColumn("html", rotten).where(F.expr("page_id % 2503 <> 1250"))
+               .withColumn("page_id", F.expr("case when page_id % 2003 = 11 then -page_id else page_id end")))
+    file = F.expr("abs(page_id) div 1000")
+    found = warc.audit(warc.layout(pages, file), warc.layout(replica, file))
+    return found.withColumnRenamed("id", "page_id")
+
+
+SQL["op9_warc_merkle_audit"] = """
+WITH replica_pages AS (
+  SELECT CASE WHEN page_id % 2003 = 11 THEN -page_id ELSE page_id END AS page_id, url,
+         CASE WHEN page_id % 97 = 13 THEN '~' || substring(html, 2) ELSE html END AS html
+  FROM pages WHERE page_id % 2503 <> 1250),
+bodies AS (
+  SELECT 0 AS replica, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+  UNION ALL SELECT 1, page_id, coalesce(url, ''), coalesce(html, '') FROM replica_pages),
+records AS (
+  SELECT replica, page_id, abs(page_id) // 1000 AS file,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+         || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html
+         || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM bodies),
+hashed AS (SELECT replica, page_id, file, strlen(record) AS length, sha256(record) AS digest FROM records),
+laid AS (
+  SELECT *, row_number() OVER w - 1 AS seq, sum(length) OVER w - length AS start
+  FROM hashed WINDOW w AS (PARTITION BY replica, file ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT * FROM laid WHERE replica = 0), b AS (SELECT * FROM laid WHERE replica = 1)
+SELECT a.file AS file, a.seq AS seq, a.page_id AS page_id, CAST(a.start AS BIGINT) AS "offset", a.length AS length,
+       a.digest AS digest,
+       CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.file = a.file AND b.seq = a.seq AND b.digest = a.digest
+                         AND b.start = a.start) THEN 'intact'
+            WHEN EXISTS (SELECT 1 FROM b WHERE b.file = a.file AND b.page_id = a.page_id AND b.digest = a.digest)
+            THEN 'moved'
+            WHEN EXISTS (SELECT 1 FROM b WHERE b.file = a.file AND b.page_id = a.page_id) THEN 'corrupt'
+            ELSE 'missing' END AS status
+FROM a
+UNION ALL
+SELECT b.file, b.seq, b.page_id, CAST(b.start AS BIGINT), b.length, b.digest, 'extra'
+FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.file = b.file AND a.page_id = b.page_id)
+"""
+
+
 @query("op10_document_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(fingerprints.edited_against_next(table(spark, sf_dir, "documents")))
