@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.session import ensure_checkpoint_dir
+from tickwise.session import ensure_checkpoint_dir, shared_dir
+
+WORDS = 1 << 20  # 64-bit words of a membership bitmap: 8 MB, whatever the input
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared checkpoint folder (smaller than a checkpoint)."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """One-hash Bloom filter of the hashed longs in the only column, of fixed size.
+
+    A filter only saves moving rows that cannot matter: what passes by accident meets an exact
+    join later. The more values, the more passes; nothing is ever lost.
+    """
+    v = F.col(hashes.columns[0])
+    words = (hashes.select(F.shiftrightunsigned(v, 6).bitwiseAND(F.lit(WORDS - 1)).alias("word"),
+                           F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # WORDS rows at most
+    out = np.zeros(WORDS, np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    h = hashes.view(np.uint64)
+    return (filled[(h >> np.uint64(6)) & np.uint64(WORDS - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): ``(node, root)`` with the smallest node as root.
 

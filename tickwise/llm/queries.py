@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import decontam, fingerprints, simhash_dedup, token_counts, toxicity, url_filter, warc
+from tickwise.llm import decontam, fingerprints, simhash_dedup, suffix_dedup, token_counts, toxicity, url_filter, warc
 from tickwise.llm.common import cut, table
 
 QUERIES = {}
@@ -75,6 +75,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=400, keep_text=False).drop("kept")
+
+
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
