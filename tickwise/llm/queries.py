@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import decontam, fingerprints, simhash_dedup, suffix_dedup, token_counts, toxicity, url_filter, warc
+from tickwise.llm import (
+    chunk_dedup,
+    decontam,
+    fingerprints,
+    simhash_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+    warc,
+)
 from tickwise.llm.common import cut, table
 
 QUERIES = {}
@@ -70,6 +80,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 @query("op6_benchmark_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

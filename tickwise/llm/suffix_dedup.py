@@ -35,9 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import bitmap, cut, id_and_text, in_bitmap, stored
+from tickwise.llm.common import bitmap, cut, in_bitmap, stored
+from tickwise.llm.spans import keyed, remove
 
-NO_ID = -(1 << 63)  # stands for a null id in keys
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), np.uint32)
 
 
@@ -84,13 +84,6 @@ class Parser:
         return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text binary): ``mark`` tells texts under one id apart."""
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"),
-                       F.col("text").cast("binary").alias("text"))
-
-
 def _cores(rows: DataFrame, parser: Parser) -> DataFrame:
     def run(batches):
         digest, core = xxhash.xxh3_64_intdigest, parser.core
@@ -220,7 +213,7 @@ def _counted_repeats(contexts: DataFrame, parser: Parser) -> DataFrame:
 
 def repeated_starts(rows: DataFrame, length: int, crowd: int = 4000) -> DataFrame:
     """(id, mark, a, b): every start in a..b of that text begins a string of ``length`` bytes that
-    also starts anywhere else; ``rows`` are those of ``_keyed``."""
+    also starts anywhere else; ``rows`` are those of ``spans.keyed``."""
     parser = Parser(length)
     repeated = bitmap(_cores(rows, parser).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     entries = stored(_entries(rows, parser, repeated), "phrases")
@@ -237,21 +230,6 @@ def repeated_starts(rows: DataFrame, length: int, crowd: int = 4000) -> DataFram
     return settled.union(_sorted_repeats(few, parser)).union(_counted_repeats(many, parser))
 
 
-def _kept(text: bytes, ranges, length: int) -> tuple[int, int, bytes]:
-    """Removed bytes, maximal removed runs and the rest of a text."""
-    runs: list[list[int]] = []
-    for a, b in sorted((r["a"], r["b"] + length) for r in ranges or ()):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    rest, at = [], 0
-    for a, b in runs:
-        rest.append(text[at:a])
-        at = b
-    return sum(b - a for a, b in runs), len(runs), b"".join([*rest, text[at:]])
-
-
 def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
           crowd: int = 4000, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256): a row for each document.
@@ -259,39 +237,6 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     Every byte goes that lies in a string of ``length`` bytes which also starts anywhere else,
     judged on the input. ``kept`` holds the remaining bytes, or null without ``keep_text``.
     """
-    rows = _keyed(docs, id_col, text_col)
-    found = stored(repeated_starts(rows, length, crowd), "repeats")
-    touched = bitmap(found.select(F.xxhash64("id", "mark").alias("h")).distinct())
-    out = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-
-    def row(doc_id, text, ranges):
-        removed, spans, kept = _kept(text, ranges, length)
-        return (doc_id, len(text), removed, spans, kept if keep_text else None, hashlib.sha256(kept).hexdigest())
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-
-    def columns(made, types):
-        cols = list(zip(*made, strict=True)) if made else [[]] * len(types)
-        return [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-
-    def sift(batches):  # documents without a repeat are finished here, the others take their text along
-        for b in batches:
-            hit = in_bitmap(touched, b.column(2).to_numpy(zero_copy_only=False)).tolist()
-            ids, marks, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            made = [(m, t, i, *[None] * 5) if h else (m, None, *row(i, t, None))
-                    for i, m, t, h in zip(ids, marks, texts, hit, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns(made, [pa.int64(), pa.binary(), *types]),
-                                             names=["mark", "text", *names])
-
-    def finish(batches):
-        for b in batches:
-            made = [row(r["id"], r["text"], r["ranges"]) if r["text"] is not None else tuple(r[n] for n in names)
-                    for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays(columns(made, types), names=names)
-
-    sifted = (rows.select("id", "mark", F.xxhash64("id", "mark").alias("h"), "text")
-              .mapInArrow(sift, "mark long, text binary, " + out))
-    ranges = found.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    done = sifted.join(ranges, ["id", "mark"], "left").mapInArrow(finish, out)
-    return done.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id"))).select("doc_id", *names[1:])
+    rows = keyed(docs, id_col, text_col)
+    starts = repeated_starts(rows, length, crowd)
+    return remove(rows, stored(starts.withColumn("b", F.col("b") + length), "repeats"), keep_text)
