@@ -78,7 +78,7 @@ def chunks(rows: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
                 names=["d1", "d2", "id", "mark", "a", "b"])
 
     full = "d1 long, d2 long, id long, mark long, a int, b int"
-    return rows.mapInArrow(run, "d1 long" if repeated is None else full)
+    return rows.select("id", "mark", "text").mapInArrow(run, "d1 long" if repeated is None else full)
 
 
 def repeats(rows: DataFrame, run: int = 120) -> DataFrame:
@@ -120,5 +120,5 @@ def dedup(docs: DataFrame, run: int = 120, id_col: str = "doc_id", text_col: str
     found = stored(repeats(rows, run), "repeats")
     kept = remove(rows, found.where("not first").select("id", "mark", "a", "b"), keep_text, also_key=True)
     sums = found.groupBy("id", "mark").agg(F.sum(F.col("b") - F.col("a")).alias("n_repeated"))
-    return (kept.join(sums, ["id", "mark"], "left").drop("id", "mark")
+    return (kept.join(sums, ["id", "mark"], "left").drop("id", "mark", "carried")
             .withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0))))

@@ -199,3 +199,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wor
             .select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.col("best.item_id").alias("item_id"),
                     F.coalesce("best.n_windows", F.lit(0)).alias("n_windows"),
                     F.coalesce("best.n_changed", F.lit(0)).alias("n_changed")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 4,
+                      min_windows: int = 1) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, all columns, that hold nothing of the benchmark."""
+    found = matches(docs, benchmark, width, min_words).where(F.col("n_windows") >= min_windows)
+    bad = cut(found.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct())
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(bad, mark.eqNullSafe(F.col("bad_mark")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")

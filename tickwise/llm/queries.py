@@ -9,6 +9,7 @@ from tickwise.llm import (
     chunk_dedup,
     decontam,
     fingerprints,
+    sentencepiece_lattice,
     simhash_dedup,
     suffix_dedup,
     token_counts,
@@ -39,6 +40,14 @@ def _hex(col: str):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece_lattice.model_pieces(tokenizer("piece_bpe_32k.model"))
+    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), pieces)
+    return sentencepiece_lattice.decode(encoded, pieces).select(
+        "doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
          ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -92,7 +101,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=400, keep_text=False).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=400, keep_text=False).drop("kept", "carried")
 
 
 @query("op8_token_counts")

@@ -54,15 +54,16 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the SimHash of each row's whole text as a signed long."""
+    """(doc_id, mark, fp): the SimHash of each row's whole text as a signed long; mark: the text's XXH64."""
     def run(batches):
         for b in batches:
             fps = [simhash(t, shingle, seed) for t in b.column(1).to_pylist()]
             fps = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["doc_id", "mark", "fp"])
 
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"),
+                                                      F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _runs(max_bits: int) -> list[int]:
@@ -111,12 +112,29 @@ def links(fps: DataFrame, max_bits: int = 2, long_list: int = 128) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, seed: int = 42,
                     id_col: str = "doc_id", text_col: str = "text", long_list: int = 128) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links of ``max_bits`` or fewer reach."""
+    """(doc_id, mark, fp, root, component_id): the smallest doc_id that links of ``max_bits`` or fewer reach.
+
+    ``root`` names the component by a fingerprint; ``mark`` is the XXH64 of the text.
+    """
     rows = cut(fingerprints(docs, shingle, seed, id_col, text_col))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, max_bits, long_list))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = cut(rooted.join(named, "root").select("fp", "root", "component_id"))
+    return rows.join(names, "fp").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, all columns, with one of each component.
+
+    The one of the smallest id stays (a null id last, then the smallest XXH64 of the text).
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("key_id"),
+                   F.col("mark").alias("key_mark"))
+    kept = near_duplicates(docs, shingle, max_bits).groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    marked = docs.withColumns({"none": F.col("doc_id").isNull(), "key_id": F.coalesce("doc_id", F.lit(0)),
+                               "key_mark": F.xxhash64(F.coalesce("text", F.lit("")))})
+    keys = ["none", "key_id", "key_mark"]
+    return marked.join(cut(kept), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -13,10 +13,19 @@ from tickwise.llm.common import bitmap, id_and_text, in_bitmap
 NO_ID = -(1 << 63)  # stands for a null id in keys
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text binary): ``mark`` tells texts under one id apart."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """(id, mark, text binary, carried): ``mark`` tells texts under one id apart.
+
+    ``carried`` is JSON of the columns named in ``carry``, null without any.
+    """
     rows = id_and_text(docs, id_col, text_col)
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"),
+    carried = F.lit(None).cast("string")
+    if carry:
+        rows = docs.select(F.to_json(F.struct(*carry)).alias("carried"),
+                           F.col(id_col).cast("long").alias("doc_id"),
+                           F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        carried = F.col("carried")
+    return rows.select(carried.alias("carried"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"),
                        F.col("text").cast("binary").alias("text"))
 
 
@@ -36,20 +45,22 @@ def cut_out(text: bytes, ranges) -> tuple[int, int, bytes]:
 
 
 def remove(rows: DataFrame, found: DataFrame, keep_text: bool = True, also_key: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) for each of ``keyed`` rows.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, carried) for each of ``keyed`` rows.
 
     ``found(id, mark, a, b)`` is a stored table of the ranges a..b (b excluded) that go; ``kept`` is
     null without ``keep_text``; ``also_key`` leaves id and mark in. Only texts that lose something are moved.
     """
     touched = bitmap(found.select(F.xxhash64("id", "mark").alias("h")).distinct())
-    out = "id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    out = ("id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, "
+           "carried string")
 
-    def row(doc_id, mark, text, ranges):
+    def row(doc_id, mark, text, ranges, carried):
         removed, spans, kept = cut_out(text, ranges)
-        return (doc_id, mark, len(text), removed, spans, kept if keep_text else None, hashlib.sha256(kept).hexdigest())
+        return (doc_id, mark, len(text), removed, spans, kept if keep_text else None, hashlib.sha256(kept).hexdigest(),
+                carried)
 
-    types = [pa.int64()] * 5 + [pa.binary(), pa.string()]
-    names = ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    types = [pa.int64()] * 5 + [pa.binary(), pa.string(), pa.string()]
+    names = ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "carried"]
 
     def columns(made, types):
         cols = list(zip(*made, strict=True)) if made else [[]] * len(types)
@@ -59,17 +70,18 @@ def remove(rows: DataFrame, found: DataFrame, keep_text: bool = True, also_key:
         for b in batches:
             hit = in_bitmap(touched, b.column(2).to_numpy(zero_copy_only=False)).tolist()
             ids, marks, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            made = [(t, i, m, *[None] * 5) if h else (None, *row(i, m, t, None))
-                    for i, m, t, h in zip(ids, marks, texts, hit, strict=True)]
+            rest = b.column(4).to_pylist()
+            made = [(t, i, m, *[None] * 5, c) if h else (None, *row(i, m, t, None, c))
+                    for i, m, t, h, c in zip(ids, marks, texts, hit, rest, strict=True)]
             yield pa.RecordBatch.from_arrays(columns(made, [pa.binary(), *types]), names=["text", *names])
 
     def finish(batches):
         for b in batches:
-            made = [row(r["id"], r["mark"], r["text"], r["ranges"]) if r["text"] is not None else tuple(r[n] for n in names)
+            made = [row(r["id"], r["mark"], r["text"], r["ranges"], r["carried"]) if r["text"] is not None else tuple(r[n] for n in names)
                     for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays(columns(made, types), names=names)
 
-    sifted = (rows.select("id", "mark", F.xxhash64("id", "mark").alias("h"), "text")
+    sifted = (rows.select("id", "mark", F.xxhash64("id", "mark").alias("h"), "text", "carried")
               .mapInArrow(sift, "text binary, " + out))
     ranges = found.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     done = sifted.join(ranges, ["id", "mark"], "left").mapInArrow(finish, out)

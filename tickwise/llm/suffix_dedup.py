@@ -115,7 +115,7 @@ def _entries(rows: DataFrame, parser: Parser, repeated: np.ndarray) -> DataFrame
                 [pa.array(a[:, 0]), pa.array(a[:, 1]), *who.columns, *(pa.array(a[:, k].astype(np.int32)) for k in (2, 3, 4))],
                 names=["core", "whole", "id", "mark", "base", "lo", "hi"])
 
-    return rows.mapInArrow(run, "core long, whole long, id long, mark long, base int, lo int, hi int")
+    return rows.select("id", "mark", "text").mapInArrow(run, "core long, whole long, id long, mark long, base int, lo int, hi int")
 
 
 def _contexts(rows: DataFrame, disputed: DataFrame, parser: Parser) -> DataFrame:
@@ -231,12 +231,31 @@ def repeated_starts(rows: DataFrame, length: int, crowd: int = 4000) -> DataFram
 
 
 def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
-          crowd: int = 4000, keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256): a row for each document.
+          crowd: int = 4000, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, carried): a row for each document.
 
     Every byte goes that lies in a string of ``length`` bytes which also starts anywhere else,
-    judged on the input. ``kept`` holds the remaining bytes, or null without ``keep_text``.
+    judged on the input. ``kept`` holds the remaining bytes, or null without ``keep_text``;
+    ``carried`` is JSON of the columns named in ``carry``.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, carry)
     starts = repeated_starts(rows, length, crowd)
     return remove(rows, stored(starts.withColumn("b", F.col("b") + length), "repeats"), keep_text)
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs(doc_id, text, ...)``, all columns, with the kept text; ``n_chars``, if there, is counted anew.
+
+    Bytes of a character that was cut through go too.
+    """
+    done = dedup(docs, length, carry=docs.columns)
+
+    def read(batches):
+        for b in batches:
+            texts = [t.decode(errors="ignore") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["carried", "kept_text"])
+
+    texts = done.select("carried", "kept").mapInArrow(read, "carried string, kept_text string")
+    rows = texts.select("kept_text", F.from_json("carried", docs.schema).alias("row"))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -23,6 +23,7 @@ rows get a row each and null ids are kept (they are never training rows).
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -236,30 +237,49 @@ def fit(sample: DataFrame) -> tuple[float, dict[int, float]]:
     return b, {int(k): float(x) for k, x in zip(names[chosen], w, strict=False) if x}
 
 
+class _Scorer:
+    """The classifier on one text; remembers the weight of a bounded number of words."""
+
+    def __init__(self, model: tuple[float, dict[int, float]]):
+        self.bias, self.weights = model
+        self.known: dict[str, float] = {}
+
+    def __call__(self, text: str) -> float:
+        z, known = self.bias, self.known
+        for w in _words(text):
+            g = known.get(w)
+            if g is None:
+                if len(known) >= 200_000:
+                    known.clear()
+                g = known[w] = sum(self.weights.get(_bucket(f), 0.0) for f in terms(w))
+            z += g
+        return round(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))), 9)
+
+
 def score(docs: DataFrame, model: tuple[float, dict[int, float]], id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """(doc_id, score): each row's whole text under the linear classifier, 0 to 1."""
-    bias, weights = model
-
     def run(batches):
-        known: dict[str, float] = {}
+        scorer = _Scorer(model)
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                z = bias
-                for w in _words(text):
-                    g = known.get(w)
-                    if g is None:
-                        if len(known) >= 200_000:
-                            known.clear()
-                        g = known[w] = sum(weights.get(_bucket(f), 0.0) for f in terms(w))
-                    z += g
-                out.append(round(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))), 9))
+            out = [scorer(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, all columns, whose score stays below one half."""
+    model, at = fit(training_rows(docs, labels, max_labelled)), docs.columns.index("text")
+
+    def run(batches):
+        scorer = _Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([scorer(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted): a row for each document."""
     scored = score(docs, fit(training_rows(docs, labels, max_labelled)))
