@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tickwise.plans.registry import QUERIES
 from tools.oracle_check import TABLES, canon
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +26,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(QUERIES) - set(E.oracle_sql())
     assert missing == set()
 
 
@@ -35,7 +36,7 @@ def test_entry_runs(spark):
     assert df.columns[:2] == ["ticker", "as_of_date"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_duckdb(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns

@@ -7,8 +7,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
 from tickwise.operators import ratios as R
+from tickwise.plans.registry import QUERIES
 from tickwise.sources.bridge import Bridge
 
 SF = "/root/testdata/sf0.001"
@@ -57,9 +57,9 @@ def test_date_range_prunes_years(stored):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_plans(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
                  "MapInPandas", "PythonUDF"):
@@ -80,3 +80,56 @@ def test_as_of_prunes_later_years(stored):
     scans = [line for line in plan.split("\n")
              if "FileScan parquet" in line and "ReadSchema: struct<ticker:string,date:date" in line]
     assert any("year" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans), scans
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_prices(spark, n=40_000):
+    """Half of the rows belong to one ticker."""
+    hot = F.when(F.col("id") % 2 == 0, "HOT").otherwise(F.concat(F.lit("T"), (F.col("id") % 400).cast("string")))
+    return spark.range(0, n, 1, 8).select(
+        hot.alias("ticker"), F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") / 4).cast("int")).alias("date"),
+        (F.col("id") % 97 + 1).cast("double").alias("close"))
+
+
+def test_hot_ticker_is_split_in_the_price_index(spark, no_broadcast):
+    from tickwise.operators.prices import normalize_price
+    assert "skew=true" in _plan(normalize_price(_hot_prices(spark)))
+
+
+def test_hot_ticker_is_split_in_the_incremental_feed(spark, no_broadcast):
+    from tickwise.sources.ingest import incremental_rows
+    px = _hot_prices(spark)
+    assert "skew=true" in _plan(incremental_rows(px.where("date < '1990-02-01'"), px))
+
+
+@needs_data
+def test_yoy_growth_and_ttm_cut_before_the_shuffle(stored):
+    from tickwise.operators import ttm as T
+    q = stored.scan_fundamentals_quarterly()
+    for df, rows in ((R.yoy_growth(q, "revenue"), 5), (T.ttm_fundamentals(q), 4)):
+        plan = _plan(df)
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert f"row_number(), {rows}, Partial" in plan.replace("WindowGroupLimit", "WindowGroupLimit")
+
+
+def test_full_rank_moves_rows_once(spark):
+    from tickwise.operators.metrics import global_row_number
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    ranked = global_row_number(df, ["v"])
+    plan = _plan(ranked)
+    assert plan.count("rangepartitioning(v") <= 2 and "hashpartitioning(v" not in plan  # one is a reuse or the counts
+    assert all(r.rank == r.v + 1 for r in ranked.collect())

@@ -122,18 +122,36 @@ def test_as_of_matches_panel(spark, aapl):
     assert panel["2023-12-31"]["pe_ratio"] is None                  # no price yet
 
 
-def test_panel_binned_path_matches_case_path(spark, aapl):
-    from tickwise.operators import asof
+def test_panel_of_many_dates_matches_single_as_of_tables(spark, aapl):
     px, fq = aapl
-    dates = [dt.date(2023, 1, 1) + dt.timedelta(days=7 * i) for i in range(70)]
-    a = sorted(map(tuple, R.ratio_panel(px, fq, dates).collect()))
-    old = asof.CASE_LIMIT
-    try:
-        asof.CASE_LIMIT = 1000
-        b = sorted(map(tuple, R.ratio_panel(px, fq, dates).collect()))
-    finally:
-        asof.CASE_LIMIT = old
-    assert a == b and len(a) == 70
+    dates = [dt.date(2023, 6, 1) + dt.timedelta(days=3 * i) for i in range(80)]
+    panel = {r.as_of_date: r.asDict() for r in R.ratio_panel(px, fq, dates).collect()}
+    assert len(panel) == 80
+    for day in (dates[0], dates[40], dates[79]):
+        assert panel[day.isoformat()] == R.ratio_table(px, fq, as_of=day.isoformat()).first().asDict()
+
+
+@pytest.mark.parametrize("tickers", ["AAPL", ["AAPL"], ("AAPL", "AAPL")])
+def test_ticker_arguments(spark, aapl, tickers):
+    px, fq = aapl
+    assert [r.ticker for r in R.ratio_table(px, fq, tickers).collect()] == ["AAPL"]
+    assert {r.ticker for r in R.ratio_panel(px, fq, ["2024-01-04"], tickers).collect()} == {"AAPL"}
+    frame = spark.createDataFrame([("AAPL",)], "ticker string")
+    assert [r.ticker for r in R.ratio_table(px, fq, frame).collect()] == ["AAPL"]
+
+
+def test_ranking_of_an_unknown_metric_is_empty(spark):
+    from tickwise.plans.datasets import ranking_data
+    r = spark.createDataFrame([("A", 1.0)], "ticker string, pe_ratio double")
+    assert ranking_data(r, "no_such_metric").collect() == []
+
+
+def test_screen_bounds():
+    from tickwise.operators.filters import screen_bounds
+    assert screen_bounds(pe_max=20, peg_min=None, gross_margin_min=0.1, gross_margin_max=0.9) == {
+        "pe_ratio": (None, 20), "gross_margin": (0.1, 0.9)}
+    with pytest.raises(TypeError):
+        screen_bounds(colour_min=1)
 
 
 def test_rank_ties_broken_by_ticker(spark):

@@ -196,14 +196,40 @@ def test_layouts_agree(store, ticker_store, sample_prices_df, spark):
     assert a == b and len(a) == 12
 
 
-def test_driver_bucket_matches_spark(spark):
-    from pyspark.sql import functions as F
-    from tickwise.functions.scalar import ticker_bucket
-    from tickwise.sources.store import bucket_of
-    names = ["AAPL", "BRK.B", "BRK-B", "P123", "1E5", "", "ÄÖ€", "S99"]
-    got = spark.createDataFrame([(n,) for n in names], "ticker string").select(
-        "ticker", ticker_bucket().alias("b")).collect()
-    assert {r.ticker: r.b for r in got} == {n: bucket_of(n) for n in names}
+def test_numeric_tickers_stay_strings(spark, ticker_store, store, sample_prices_df):
+    for st in (ticker_store, store):
+        for name in ("1E5", "123", "007"):
+            st.write_prices(sample_prices_df, name)
+        st.refresh()
+        assert {r.ticker for r in st.scan_prices().select("ticker").distinct().collect()} == {"1E5", "123", "007"}
+        assert st.scan_prices("007").count() == 6
+
+
+def test_bucket_number_is_kept_with_the_table(spark, tmp_path, sample_prices_df):
+    from tickwise.sources.store import Store
+    names = [f"T{i}" for i in range(40)]
+    px = sample_prices_df.crossJoin(spark.createDataFrame([(n,) for n in names], "ticker string"))
+    Store(spark, str(tmp_path / "b"), buckets=24).write_prices(px)
+    other = Store(spark, str(tmp_path / "b"), buckets=7)
+    assert all(other.scan_prices(n).count() == 6 for n in names)
+    other.append_prices(px.withColumn("close", F.col("close") + 1))
+    assert other.scan_prices().count() == 240 and other.buckets("prices") == 24
+
+
+def test_no_staging_files_remain(spark, store, sample_prices_df):
+    store.write_prices(sample_prices_df, "AAPL")
+    store.append_prices(sample_prices_df.withColumn("close", F.col("close") + 1), "AAPL")
+    store.delete_ticker("AAPL")
+    assert not [f for f in _files(store.root) if "_staging" in f]
+
+
+def test_one_row_per_key(spark, store, sample_prices_df, sample_fundamentals_df):
+    store.write_prices(sample_prices_df.unionByName(sample_prices_df), "AAPL")
+    assert store.scan_prices().count() == 6
+    later = sample_fundamentals_df.withColumn("fiscal_year", F.col("fiscal_year") + 1).withColumn("revenue", F.lit(1.0))
+    store.write_fundamentals(sample_fundamentals_df.unionByName(later), "quarterly", "AAPL")
+    got = store.scan_fundamentals_quarterly()
+    assert got.count() == 4 and {r.revenue for r in got.collect()} == {1.0}
 
 
 def test_upsert_is_idempotent(store, sample_prices_df):
@@ -221,7 +247,12 @@ def test_facade_round_trip(spark, tmp_path, sample_prices_df, sample_fundamental
     px = sample_prices_df.withColumn("ticker", F.lit("AAPL"))
     fq = sample_fundamentals_df.withColumn("ticker", F.lit("AAPL"))
     s = tw.update_data(px, fq, start_date="2024-01-01")
-    assert s == {"tickers_processed": 1, "prices_written": 6, "fundamentals_written": 4}
+    assert s == {"tickers_processed": 1, "prices_written": 6, "fundamentals_written": 4, "rows_dropped": 0,
+                 "errors": []}
+    assert tw.has_data("AAPL").first().asDict() == {"ticker": "AAPL", "prices": True, "quarterly": True, "annual": False}
+    assert [r.label for r in tw.ranking("pe_ratio").collect()] == ["17.61"]
+    assert tw.margin_trend("AAPL").count() == tw.revenue_earnings("AAPL").count() == 4
+    assert [r.ticker for r in tw.compare("AAPL").collect()] == ["AAPL"]
     assert tw.get_latest_price("AAPL")["close"] == 155.0
     assert tw.get_pe("AAPL") == 17.61
     r = tw.get_ratios("AAPL")

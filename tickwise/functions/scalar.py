@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Number of hash buckets for the ticker sub-partition of stored tables.
+# Hash buckets of a new table's ticker sub-partition, unless its Store is given a number that fits
+# the table (about one bucket per GB and year). The number is kept with the table.
 TICKER_BUCKETS = 16
 
 
@@ -26,12 +27,6 @@ def round_4(x) -> Column:
     return F.round(_c(x), 4)
 
 
-def ratio(num, den, digits: int = 4, absolute: bool = False) -> Column:
-    """round(num / den, digits); null when den is 0 or either side is null."""
-    n = F.abs(_c(num)) if absolute else _c(num)
-    return F.round(safe_div(n, den), digits)
-
-
 def year_of_date(c="date") -> Column:
     return F.year(_c(c)).cast("bigint")
 

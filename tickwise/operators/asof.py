@@ -7,22 +7,18 @@ of the rows is reduced inside every map task before the shuffle. Intervals
 with no row inherit the previous interval's value through a window over the
 (ticker x dates) grid, whose partitions hold one row per requested date.
 
-Up to ``CASE_LIMIT`` dates the tag is a CASE expression (stays in codegen);
-beyond that it is a range join on month bins against a broadcast interval
-table whose size is known on the driver (dates plus months spanned).
+The tag is an equi join on month bins against a broadcast interval table whose
+size is known on the driver (dates plus months spanned), for any number of dates.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CASE_LIMIT = 64
-
-
 def normalize_dates(dates) -> list[dt.date]:
     out = set()
     for d in dates:
@@ -30,13 +26,6 @@ def normalize_dates(dates) -> list[dt.date]:
     return sorted(out)
 
 
-def _case_bucket(col: str, dates: list[dt.date]) -> Column:
-    """CASE WHEN col <= d1 THEN d1 WHEN col <= d2 THEN d2 ... END as one SQL expression."""
-    arms = " ".join(f"WHEN `{col}` <= DATE'{d.isoformat()}' THEN DATE'{d.isoformat()}'"
-                    for d in dates)
-    return F.expr(f"CASE {arms} END")
-
-
 def _month_starts(lo: dt.date, hi: dt.date):
     y, m = lo.year, lo.month
     while (y, m) <= (hi.year, hi.month):
@@ -49,8 +38,6 @@ def tag_as_of(df: DataFrame, date_col: str, dates) -> DataFrame:
     dates = normalize_dates(dates)
     d = F.col(date_col)
     df = df.where(d <= F.lit(dates[-1]))
-    if len(dates) <= CASE_LIMIT:
-        return df.withColumn("as_of_date", _case_bucket(date_col, dates))
     spark = df.sparkSession
     # intervals (lo, hi] with one row per calendar month they cover; the first is open below
     rows, prev = [], None

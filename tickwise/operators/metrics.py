@@ -21,23 +21,23 @@ def compare_tickers(ratios: DataFrame, metrics: list[str] | None = None) -> Data
 
 
 def global_row_number(df: DataFrame, order_cols: list, name: str = "rank") -> DataFrame:
-    """1-based row number over a total order, computed without a single-partition window.
+    """1-based row number over a total order, with one exchange of the rows.
 
-    Rows are range-partitioned on the order columns; each partition numbers
-    its rows locally and adds the row count of all earlier partitions. The
-    offset table has one row per partition (a bound known from the plan), so
-    it is broadcast.
+    Rows are dealt to ranges and sorted inside them; the upper bits of
+    ``monotonically_increasing_id`` are then the range and the lower 33 the
+    place in it. Adding the row count of all earlier ranges needs a table of
+    one row per range (a bound known from the plan), which is broadcast.
     """
-    parted = df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id())
-    local = parted.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1))).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lrn")).cast("bigint"))
-            .drop("_pid", "_lrn", "_off"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number is not merged later
+    placed = (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33).alias("_pid")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (placed.withColumn("_pid", F.shiftright("_id", 33)).join(F.broadcast(offsets), "_pid")
+            .withColumn(name, (F.col("_off") + place).cast("bigint")).drop("_id", "_pid", "_off"))
 
 
 def rank_by_metric(ratios: DataFrame, metric: str, ascending: bool = True,

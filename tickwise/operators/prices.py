@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.functions.scalar import safe_div
+from tickwise.session import ensure_checkpoint_dir
 
 
 def latest_price(prices: DataFrame) -> DataFrame:
@@ -31,12 +32,12 @@ def normalize_price(prices: DataFrame, base: float = 100.0) -> DataFrame:
     """close / first close of the range * 100, per ticker.
 
     The first close comes from a ``min_by`` aggregate (one row per ticker)
-    joined back on ticker rather than a per-ticker window, so a ticker with a
-    huge share of rows is not funnelled through one task. AQE broadcasts the
-    per-ticker side when its measured size is small and otherwise keeps a
-    sort-merge join with skew splitting.
+    joined back on ticker rather than a per-ticker window. The aggregate is
+    stored first: both sides of the join are then plain shuffles, and AQE can
+    split a ticker that holds a large share of the rows over several tasks.
     """
-    first = prices.groupBy("ticker").agg(F.min_by("close", "date").alias("_base"))
+    ensure_checkpoint_dir(prices.sparkSession)
+    first = prices.groupBy("ticker").agg(F.min_by("close", "date").alias("_base")).checkpoint()
     return (prices.join(first, "ticker")
             .withColumn("close", safe_div(F.col("close"), F.col("_base")) * F.lit(base))
             .drop("_base"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tickwise.operators.asof import as_of_join, normalize_dates
 from tickwise.operators.filters import filter_date_range
-from tickwise.operators.ttm import FEATURE_PREFIX, latest_features, quarter_features
+from tickwise.operators.ttm import FEATURE_PREFIX, latest_features, newest_n_quarters, quarter_features
 from tickwise.schemas import RATIO_COLUMNS
 
 def _ttm(fcols, c) -> str | None:
@@ -102,18 +102,28 @@ def _ratio_projection(fcols, years: int, label_sql: str) -> list[str]:
     return ["ticker", f"{label_sql} AS as_of_date"] + [f"{r[c]} AS {c}" for c in RATIO_COLUMNS]
 
 
+def ticker_names(tickers):
+    """A ticker argument in one form: None, a frame with ``ticker``, or a list (a string is one ticker)."""
+    if tickers is None or isinstance(tickers, DataFrame):
+        return tickers
+    return [tickers] if isinstance(tickers, str) else list(dict.fromkeys(tickers))
+
+
 def _ticker_frame(spark, tickers) -> DataFrame:
+    tickers = ticker_names(tickers)
     if isinstance(tickers, DataFrame):
         return tickers.select("ticker").distinct()
-    return spark.createDataFrame([(t,) for t in dict.fromkeys(tickers)], "ticker string")
+    return spark.createDataFrame([(t,) for t in tickers], "ticker string")
 
 
 def _restrict(df: DataFrame, tickers) -> DataFrame:
+    """Rows of the wanted tickers: a predicate for one, a semi join for more."""
+    tickers = ticker_names(tickers)
     if tickers is None:
         return df
-    if isinstance(tickers, DataFrame):
-        return df.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
-    return df.where(F.col("ticker").isin(list(tickers)))
+    if isinstance(tickers, list) and len(tickers) == 1:
+        return df.where(F.col("ticker") == F.lit(tickers[0]))
+    return df.join(_ticker_frame(df.sparkSession, tickers), "ticker", "left_semi")
 
 
 def ratio_inputs(prices: DataFrame, fundamentals: DataFrame, tickers=None,
@@ -170,8 +180,8 @@ def all_ratios(prices: DataFrame, fundamentals: DataFrame, ticker: str, as_of=No
 
     The ticker predicate reaches both scans. The price is a global ``max_by``
     (reduced inside every scan task, so even a huge history is split across
-    tasks); the ticker's statements, at most one row per fiscal period, are
-    read into one task so the quarter window needs no exchange.
+    tasks); the cut to the newest quarters leaves a few rows per scan task to
+    exchange.
     """
     spark = prices.sparkSession
     p = prices.where(F.col("ticker") == F.lit(ticker)).select("date", "close")
@@ -180,7 +190,7 @@ def all_ratios(prices: DataFrame, fundamentals: DataFrame, ticker: str, as_of=No
         d = F.lit(as_of).cast("date")
         p = p.where(F.col("date") <= d)
         q = q.where(F.col("fiscal_period") <= d)
-    feats = latest_features(q.coalesce(1), years).drop("fiscal_period")
+    feats = latest_features(q, years).drop("fiscal_period")
     fcols = set(feats.columns) | {"close"}
     label = "latest" if as_of is None else str(as_of)
     proj = _ratio_projection(fcols, years, f"'{label}'")
@@ -240,16 +250,13 @@ def yoy_growth(fundamentals: DataFrame, column: str, as_of=None) -> DataFrame:
 
     Needs 5 quarters; null when the older value is null or 0 or the newer is null.
     """
-    from pyspark.sql import Window
     q = fundamentals
     if as_of is not None:
         q = q.where(F.col("fiscal_period") <= F.lit(as_of).cast("date"))
     if column not in q.columns:
         return q.select("ticker").distinct().withColumn(f"{column}_growth", F.expr(_NULL))
-    w = Window.partitionBy("ticker").orderBy("fiscal_period")
-    total = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding,
-                                                 Window.unboundedFollowing))
-    f = q.select("ticker", F.row_number().over(w).alias("n_quarters"), total.alias("_t"),
-                 F.col(column).alias("_q1"), F.lag(column, 4).over(w).alias("_q5"))
-    return (f.where(F.col("n_quarters") == F.col("_t"))
+    # the cut to five rows happens before the shuffle; positions are read by conditional aggregates
+    newest = newest_n_quarters(q.select("ticker", "fiscal_period", F.col(column).alias("_v")), 5)
+    at = {k: F.max(F.when(F.col("rn") == k, F.col("_v"))).alias(f"_q{k}") for k in (1, 5)}
+    return (newest.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_quarters"), *at.values())
             .select("ticker", F.expr(_growth("_q1", "_q5")).alias(f"{column}_growth")))

@@ -11,19 +11,21 @@ from tickwise.schemas import STATEMENT_KEYS
 def combine_statements(income: DataFrame, balance: DataFrame | None = None,
                        cashflow: DataFrame | None = None,
                        keys: list[str] | None = None) -> DataFrame:
-    """income LEFT JOIN balance LEFT JOIN cashflow on the statement keys.
+    """income LEFT JOIN balance LEFT JOIN cashflow on ticker, year and period label.
 
-    Non-key columns already on the left win (the right copy is pruned before
-    the join, so it is never read). Null keys never match; duplicate right
+    The vendor's label (Q1, FY) names the period; report dates of one period may differ between
+    statements, so they join only frames without a label (D5). Income's columns win over those
+    of the same name, which are pruned before the join. Null keys never match; duplicate right
     keys fan out. No income rows means an empty result.
     """
-    keys = keys or STATEMENT_KEYS
+    frames = [f for f in (income, balance, cashflow) if f is not None]
+    if keys is None:
+        labelled = all("fiscal_label" in f.columns for f in frames)
+        keys = ["ticker", "fiscal_year", "fiscal_label"] if labelled else STATEMENT_KEYS
     df = income
-    for right in (balance, cashflow):
-        if right is None:
-            continue
-        cols = [c for c in right.columns if c in keys or c not in df.columns]
-        df = df.join(right.select(*cols), keys, "left")
-    if "operating_cash_flow" in df.columns and "capex" in df.columns:
+    for right in frames[1:]:
+        wanted = [c for c in right.columns if c in keys or c not in df.columns]
+        df = df.join(right.select(*wanted), keys, "left")
+    if {"operating_cash_flow", "capex"} <= set(df.columns):
         df = df.withColumn("free_cash_flow", free_cash_flow())
     return df

@@ -113,18 +113,18 @@ def quarter_features(q: DataFrame, years: int = 5) -> DataFrame:
     return base.selectExpr(*out)
 
 
-def latest_features(q: DataFrame, years: int = 5) -> DataFrame:
+def latest_features(q: DataFrame, years: int = 5, least: int = 5) -> DataFrame:
     """The features of each ticker's newest quarter, skew-safe.
 
-    Only the newest ``K = max(5, 4*years)`` quarters can matter, so the rows
+    Only the newest ``K = max(least, 4*years)`` quarters can matter, so the rows
     are cut with ``row_number() <= K`` first: Spark plans a partial
     WindowGroupLimit *before* the shuffle, so every map task forwards at most
     K rows per ticker however many rows one ticker has. The positions are
     then read with conditional aggregates in the same ticker partitioning (no
-    second exchange). ``n_quarters`` is therefore capped at K, which keeps
-    the >= 5 and >= 4*years gates exact.
+    second exchange). ``n_quarters`` counts the quarters of that cut, K at most:
+    it is there for the >= 5 and >= 4*years gates, which it keeps exact.
     """
-    k_max = max(5, 4 * years)
+    k_max = max(least, 4 * years)
     cols = summable_columns(q)
     eps = _eps_sql(q)
 
@@ -174,7 +174,7 @@ def ttm_fundamentals(q: DataFrame, as_of=None) -> DataFrame:
     if as_of is not None:
         q = q.where(F.col("fiscal_period") <= F.lit(as_of).cast("date"))
     cols = summable_columns(q)
-    f = latest_features(q)
+    f = latest_features(q, years=1, least=4)
     return f.select("ticker", *[F.col(FEATURE_PREFIX + c).alias(c) for c in cols],
                     F.col("quarters_included").cast("bigint"))
 

@@ -58,6 +58,8 @@ def revenue_earnings_data(q: DataFrame) -> DataFrame:
 def ranking_data(ratios: DataFrame, metric: str, top_n: int = 10,
                  ascending: bool = True) -> DataFrame:
     r = rank_by_metric(ratios, metric, ascending, top_n)
+    if metric not in r.columns:  # unknown metric: no bars
+        return r.withColumn("label", F.lit(""))
     # bar text: two decimals, empty for a zero value
     label = F.when(F.col(metric) != 0, F.format_string("%.2f", F.col(metric))).otherwise("")
     return r.withColumn("label", label)

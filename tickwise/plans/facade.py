@@ -19,14 +19,24 @@ from tickwise.sources.store import Store
 
 
 class Tickwise:
-    def __init__(self, spark: SparkSession, root: str, layout: str = "bucketed"):
+    def __init__(self, spark: SparkSession, root: str, layout: str = "bucketed", **store_options):
         self.spark = spark
-        self.store = Store(spark, root, layout)
+        self.store = Store(spark, root, layout, **store_options)
 
     # --- data management
     def update_data(self, prices: DataFrame, quarterly: DataFrame | None = None,
                     annual: DataFrame | None = None, tickers=None, start_date=None) -> dict:
-        return I.ingest_full(self.store, prices, quarterly, annual, tickers, start_date)
+        """Full update of ready frames. Without tickers the large-company sample, as far as the
+        feed has it; pass ``tickers=prices`` for every ticker of the feed."""
+        wanted = I.sample_universe(prices) if tickers is None else tickers
+        return I.ingest_full(self.store, prices, quarterly, annual, wanted, start_date)
+
+    def update_from_files(self, prices: str, statements: dict, tickers=None, start_date=None, **options) -> dict:
+        """The same from vendor extract files (see ``ingest_extracts``)."""
+        if tickers is None:
+            feed = I.load_prices_extract(self.spark, prices, options.get("fmt", "csv"), options.get("sep", ";"))
+            tickers = I.sample_universe(feed)
+        return I.ingest_extracts(self.store, prices, statements, tickers, start_date, **options)
 
     def update_prices(self, feed: DataFrame, tickers=None) -> dict:
         return I.ingest_incremental(self.store, feed, tickers)
@@ -49,11 +59,8 @@ class Tickwise:
 
     # --- ratios
     def ratios(self, tickers=None, as_of=None, years: int = 5) -> DataFrame:
-        s = self.store
-        if isinstance(tickers, str):
-            tickers = [tickers]
-        scan_t = tickers if isinstance(tickers, list) else None
-        return R.ratio_table(s.scan_prices(scan_t), s.scan_fundamentals_quarterly(scan_t),
+        s, tickers = self.store, R.ticker_names(tickers)
+        return R.ratio_table(s.scan_prices(tickers), s.scan_fundamentals_quarterly(tickers),
                              tickers, as_of, years)
 
     def get_ratios(self, ticker: str, as_of=None) -> dict:
@@ -75,15 +82,13 @@ class Tickwise:
         return FL.screen_stocks(self.ratios(tickers), FL.screen_bounds(**bounds))
 
     def compare(self, tickers, metrics=None) -> DataFrame:
-        return M.compare_tickers(self.ratios(list(tickers)), metrics)
+        return M.compare_tickers(self.ratios(tickers), metrics)
 
     def rank(self, metric: str, tickers=None, ascending: bool = True, top_n: int | None = 10):
         return M.rank_by_metric(self.ratios(tickers), metric, ascending, top_n)
 
     def valuation_summary(self, tickers=None) -> DataFrame:
-        s = self.store
-        if isinstance(tickers, str):
-            tickers = [tickers]
+        s, tickers = self.store, R.ticker_names(tickers)
         return M.valuation_summary(s.scan_prices(tickers), s.scan_fundamentals_quarterly(tickers),
                                    tickers)
 
@@ -95,5 +100,28 @@ class Tickwise:
         return D.candlestick_data(self.store.scan_prices(ticker), start_date, end_date)
 
     def price_comparison(self, tickers, start_date=None, end_date=None, normalize=False):
-        return D.price_comparison_data(self.store.scan_prices(list(tickers)), start_date,
-                                       end_date, normalize)
+        return D.price_comparison_data(self.store.scan_prices(tickers), start_date, end_date, normalize)
+
+    def margin_trend(self, ticker=None) -> DataFrame:
+        return D.margin_trend_data(self.store.scan_fundamentals_quarterly(ticker))
+
+    def revenue_earnings(self, ticker=None) -> DataFrame:
+        return D.revenue_earnings_data(self.store.scan_fundamentals_quarterly(ticker))
+
+    def ratio_comparison(self, tickers, metrics=None) -> DataFrame:
+        return D.ratio_comparison_data(self.ratios(tickers), metrics)
+
+    def ranking(self, metric: str, tickers=None, top_n: int = 10, ascending: bool = True) -> DataFrame:
+        return D.ranking_data(self.ratios(tickers), metric, top_n, ascending)
+
+    def group_radar(self, members: DataFrame, group_col: str = "group") -> DataFrame:
+        return D.group_radar_data(self.ratios(), members, group_col)
+
+    # --- what is stored
+    def has_data(self, tickers) -> DataFrame:
+        s = self.store
+        return I.has_data(R._ticker_frame(self.spark, tickers), s.scan_prices(), s.scan_fundamentals_quarterly(),
+                          s.scan_fundamentals_annual())
+
+    def metadata(self, name: str) -> DataFrame:
+        return self.store.read_metadata(name)

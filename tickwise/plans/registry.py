@@ -8,6 +8,7 @@ the table read back, so their twin is plain SQL over the sources.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ SQL: dict[str, str] = {}
 
 # Query parameters (not data subsets: every query still reads whole tables).
 AS_OF = "1999-12-31"
+DENSE_PANEL_DATES = [(dt.date(1995, 6, 30) + dt.timedelta(days=11 * i)).isoformat() for i in range(200)]
 PANEL_DATES = ["1995-06-30", "1995-12-31", "1997-03-31", "1999-12-31", "2001-11-30"]
 REQUIRED = ["B1", "B7", "B13", "B25", "ZZZ"]
 REF_TICKER = "B7"
@@ -75,10 +77,10 @@ _PCOLS = "ticker, date, open, high, low, close, adjusted_close, volume, year"
 
 # =========================================================================== 2.1 scans / sources
 @register("scan_prices", W("SELECT ticker, date, close, volume FROM prices "
-                           "WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"))
+                           "WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'", "sparse"))
 def q_scan_prices(spark, sf_dir):
     st = _store(spark, "scan_prices")
-    st.write_prices(_b(spark, sf_dir).prices())
+    st.write_prices(_b(spark, sf_dir, "sparse").prices())
     return st.scan_prices(start_date="1997-01-01", end_date="1999-12-31",
                           columns=["close", "volume", "no_such_column"])
 
@@ -178,10 +180,10 @@ def q_load_companies(spark, sf_dir):
 # =========================================================================== 2.2 sinks
 @register("write_prices", W(
     "SELECT ticker, date, open, high, low, CASE WHEN year = 1999 THEN close + 1 ELSE close END "
-    "AS close, adjusted_close, volume, year FROM prices"))
+    "AS close, adjusted_close, volume, year FROM prices", "sparse"))
 def q_write_prices(spark, sf_dir):
     st = _store(spark, "write_prices")
-    px = _b(spark, sf_dir).prices()
+    px = _b(spark, sf_dir, "sparse").prices()
     st.write_prices(px)
     st.write_prices(px.where(F.col("year") == 1999).withColumn("close", F.col("close") + 1))
     return st.scan_prices()
@@ -237,10 +239,10 @@ def _split(px: DataFrame):
 @register("append_prices", W(
     "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
     "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "
-    "FROM prices p LEFT JOIN cuts c USING (ticker)", extra=_CUTS))
+    "FROM prices p LEFT JOIN cuts c USING (ticker)", density="sparse", extra=_CUTS))
 def q_append_prices(spark, sf_dir):
     st = _store(spark, "append_prices")
-    stored, feed = _split(_b(spark, sf_dir).prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
     st.write_prices(stored)
     st.append_prices(feed)
     return st.scan_prices()
@@ -249,12 +251,12 @@ def q_append_prices(spark, sf_dir):
 @register("stream_upsert", W(
     "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
     "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "
-    "FROM prices p LEFT JOIN cuts c USING (ticker)", extra=_CUTS))
+    "FROM prices p LEFT JOIN cuts c USING (ticker)", density="sparse", extra=_CUTS))
 def q_stream_upsert(spark, sf_dir):
     """The append_prices result, with the feed arriving as files drained by a stream."""
     from tickwise.streaming.upsert import start_price_upsert
     st = _store(spark, "stream_upsert")
-    stored, feed = _split(_b(spark, sf_dir).prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
     st.write_prices(stored)
     feed_dir = shared_dir(spark, "stream-feed")
     feed.write.mode("overwrite").parquet(feed_dir)
@@ -265,49 +267,93 @@ def q_stream_upsert(spark, sf_dir):
 
 
 @register("ingest_incremental", W(
-    f"SELECT {_PCOLS} FROM prices WHERE ticker IN (SELECT ticker FROM cuts)", extra=_CUTS))
+    f"SELECT {_PCOLS} FROM prices WHERE ticker IN (SELECT ticker FROM cuts)", density="sparse", extra=_CUTS))
 def q_ingest_incremental(spark, sf_dir):
     st = _store(spark, "ingest_incremental")
-    stored, feed = _split(_b(spark, sf_dir).prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
     st.write_prices(stored)
     I.ingest_incremental(st, feed)
     return st.scan_prices()
 
 
 @register("delete_ticker", W(
-    f"SELECT {_PCOLS}, 3 AS tables_affected FROM prices "
-    "WHERE ticker NOT IN (SELECT ticker FROM companies WHERE sector = 'SEC0')"))
+    f"SELECT {_PCOLS}, 3 AS tables_affected FROM prices WHERE ticker NOT LIKE 'P%0'", "sparse"))
 def q_delete_ticker(spark, sf_dir):
     st = _store(spark, "delete_ticker")
-    b = _b(spark, sf_dir)
+    b = _b(spark, sf_dir, "sparse")
     st.write_prices(b.prices())
     st.write_fundamentals(b.fundamentals(), "quarterly")
     st.write_fundamentals(b.fundamentals("annual"), "annual")
-    n = st.delete_ticker(b.companies().where("sector = 'SEC0'"))
+    n = st.delete_ticker(b.prices().select("ticker").where("ticker LIKE 'P%0'"))
     return st.scan_prices().withColumn("tables_affected", F.lit(n))
 
 
+@register("write_prices_repeated", W(f"SELECT {_PCOLS} FROM prices", "sparse"))
+def q_write_prices_repeated(spark, sf_dir):
+    """A batch that holds every (ticker, date) twice is stored once."""
+    st = _store(spark, "write_prices_repeated")
+    px = _b(spark, sf_dir, "sparse").prices()
+    st.write_prices(px.unionByName(px))
+    return st.scan_prices()
+
+
+@register("ticker_layout_numeric", W(
+    f"SELECT replace(ticker, 'B', '1E') AS ticker, {_PCOLS.partition(', ')[2]} FROM prices"))
+def q_ticker_layout_numeric(spark, sf_dir):
+    """Tickers that look like numbers (1E12) stay strings in the one-folder-per-ticker layout."""
+    st = Store(spark, shared_dir(spark, "store-ticker_layout"), layout="ticker")
+    st.write_prices(_b(spark, sf_dir).prices().withColumn("ticker", F.replace("ticker", F.lit("B"), F.lit("1E"))))
+    st.refresh()
+    return st.scan_prices()
+
+
+@register("table_keeps_its_buckets", W(f"SELECT {_PCOLS} FROM prices WHERE ticker IN ('P1', 'P7', 'P13', 'P200')",
+                                       "sparse"))
+def q_table_keeps_its_buckets(spark, sf_dir):
+    """A table of 24 buckets is read by a Store whose own number differs."""
+    root = shared_dir(spark, "store-buckets")
+    Store(spark, root, buckets=24).write_prices(_b(spark, sf_dir, "sparse").prices())
+    return Store(spark, root).scan_prices(ticker=["P1", "P7", "P13", "P200"])
+
+
+def _vendor_statements(spark, b: Bridge, period: str) -> tuple[str, ...]:
+    """Income, balance and cash flow extracts of one period, as the vendor writes them."""
+    from tickwise.schemas import BALANCE_COLUMN_MAP, CASHFLOW_COLUMN_MAP, INCOME_COLUMN_MAP
+    label = (F.lit("FY") if period == "annual"
+             else F.concat(F.lit("Q"), F.quarter("fiscal_period").cast("string")))
+    frames = ((b.income(period), INCOME_COLUMN_MAP), (b.balance(period), BALANCE_COLUMN_MAP),
+              (b.cashflow(period), CASHFLOW_COLUMN_MAP))
+    return tuple(_vendor_csv(df, columns, shared_dir(spark, f"vendor-{period}-{i}"), {"fiscal_label": label})
+                 for i, (df, columns) in enumerate(frames))
+
+
 @register("ingest_full", W("""SELECT
   (SELECT count(DISTINCT ticker) FROM prices) AS tickers_processed,
   (SELECT count(*) FROM prices WHERE date >= DATE '1997-01-01') AS prices_written,
   (SELECT count(*) FROM fund_q) AS fundamentals_written,
+  (SELECT count(*) FROM prices WHERE year IN (1997, 1998)) AS rows_dropped,
   (SELECT count(*) FROM prices WHERE date >= DATE '1997-01-01') AS stored_price_rows,
   (SELECT count(*) FROM fund_q) AS stored_quarterly_rows,
   (SELECT count(*) FROM fund_a) AS stored_annual_rows""", "medium"))
 def q_ingest_full(spark, sf_dir):
+    """Vendor files to tables; the price file repeats 1998 and has 1997 once more without tickers."""
+    from tickwise.schemas import PRICE_COLUMN_MAP
     st = _store(spark, "ingest_full")
     b = _b(spark, sf_dir, "medium")
-    s = I.ingest_full(st, b.prices(), b.fundamentals(), b.fundamentals("annual"),
-                      start_date="1997-01-01")
-
+    px = b.prices()
+    dirty = (px.unionByName(px.where("year = 1998"))
+             .unionByName(px.where("year = 1997").withColumn("ticker", F.lit(None).cast("string"))))
+    s = I.ingest_extracts(st, _vendor_csv(dirty.drop("year"), PRICE_COLUMN_MAP, shared_dir(spark, "vendor-px")),
+                          {p: _vendor_statements(spark, b, p) for p in ("quarterly", "annual")},
+                          start_date="1997-01-01")
     return spark.sql(
         """SELECT CAST(:t AS BIGINT) AS tickers_processed, CAST(:p AS BIGINT) AS prices_written,
-  CAST(:f AS BIGINT) AS fundamentals_written,
+  CAST(:f AS BIGINT) AS fundamentals_written, CAST(:d AS BIGINT) AS rows_dropped,
   (SELECT count(1) FROM {sp}) AS stored_price_rows,
   (SELECT count(1) FROM {sq}) AS stored_quarterly_rows,
   (SELECT count(1) FROM {sa}) AS stored_annual_rows""",
-        args={"t": s["tickers_processed"], "p": s["prices_written"],
-              "f": s["fundamentals_written"]},
+        args={"t": s["tickers_processed"], "p": s["prices_written"], "f": s["fundamentals_written"],
+              "d": s["rows_dropped"]},
         sp=st.read("prices"), sq=st.read("quarterly"), sa=st.read("annual"))
 
 
@@ -396,6 +442,16 @@ def q_combine(spark, sf_dir):
     return combine_statements(b.income(), b.balance(), b.cashflow())
 
 
+@register("combine_statements_shifted_dates", W(f"SELECT f.*, {_LABEL} FROM fund_q f", "medium"))
+def q_combine_shifted(spark, sf_dir):
+    """Balance sheets dated a day later than the income statement of the same year and label."""
+    b = _b(spark, sf_dir, "medium")
+    from tickwise.operators.statements import combine_statements
+    label = F.concat(F.lit("Q"), F.quarter("fiscal_period").cast("string"))
+    inc, bal, cf = (x.withColumn("fiscal_label", label) for x in (b.income(), b.balance(), b.cashflow()))
+    return combine_statements(inc, bal.withColumn("fiscal_period", F.date_add("fiscal_period", 1)), cf)
+
+
 @register("price_as_of", W(
     f"SELECT ticker, date, open, high, low, close, adjusted_close, volume, year FROM prices "
     f"WHERE date <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY ticker "
@@ -641,6 +697,12 @@ def q_ratio_panel(spark, sf_dir):
     return R.ratio_panel(b.prices(), b.fundamentals(), PANEL_DATES)
 
 
+@register("ratio_panel_dense", O.ratio_panel_sql("dense", DENSE_PANEL_DATES))
+def q_ratio_panel_dense(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    return R.ratio_panel(b.prices(), b.fundamentals(), DENSE_PANEL_DATES)
+
+
 for _name, _dens in [("pe_ratio", "sparse"), ("peg_ratio", "sparse"),
                      ("operating_margin", "sparse"), ("net_profit_margin", "medium"),
                      ("gross_margin", "dense"), ("rd_intensity", "sparse"),
@@ -793,11 +855,10 @@ def q_distinct(spark, sf_dir):
 
 
 # =========================================================================== 2.10 scalars
-@register("add_ticker_column", W(f"SELECT * FROM prices WHERE ticker = '{REF_TICKER}'"))
+@register("add_ticker_column", W(f"SELECT '{REF_TICKER}' AS ticker, {_PCOLS.partition(', ')[2]} FROM prices",
+                                 "sparse"))
 def q_add_ticker(spark, sf_dir):
-    px = _b(spark, sf_dir).prices()
-    bare = px.where(F.col("ticker") == REF_TICKER).drop("ticker")
-    return S.add_ticker_column(bare, REF_TICKER)
+    return S.add_ticker_column(_b(spark, sf_dir, "sparse").prices().drop("ticker"), REF_TICKER)
 
 
 @register("year_of_date", W("SELECT ticker, date, CAST(year(date) AS BIGINT) AS year FROM prices",

@@ -45,18 +45,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; create a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder
-    and is used as is. Only a session without it (tests, local runs) gets a
-    fresh folder under the system temp directory.
+    and is used as is; a cluster session without it is refused, since executors
+    do not share a temp directory. A local session without it gets a fresh one.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tickwise-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()

@@ -34,21 +34,6 @@ def ticker_expr(density: str) -> Column:
     raise ValueError(f"unknown density {density!r}; expected one of {DENSITIES}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
-
-    A large input already arrives in many splits and is left alone; a single
-    unsplittable file (one row group) would otherwise run the whole pre-shuffle
-    pipeline in one task. Deciding costs a file listing, not a data read.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave as is
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def line_rows(spark: SparkSession, sf_dir: str, density: str = "dense") -> DataFrame:
     """One row per lineitem with its part attributes and typed money columns."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -57,7 +42,6 @@ def line_rows(spark: SparkSession, sf_dir: str, density: str = "dense") -> DataF
         "l_shipdate")
     pt = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         "p_partkey", "p_brand", "p_size", "p_retailprice")
-    li = spread(li)
     j = li.join(pt, li.l_partkey == pt.p_partkey)
     d = F.col("l_shipdate").cast("date")
     return j.select(

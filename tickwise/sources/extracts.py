@@ -1,9 +1,10 @@
 """Vendor bulk-extract files (CSV or Parquet) mapped onto our schemas.
 
 Renames apply only to vendor columns that are present; other columns are
-kept. Known columns are cast to the canonical types. The statement loaders
-take the period explicitly (a quarterly and an annual extract are two
-different files, D10).
+kept. Known columns are cast to the canonical types; a malformed value becomes null
+instead of stopping the load (``malformed`` counts them). The statement loaders take the
+period: a quarterly and an annual extract are two different files (D10), and where a
+file holds both, the vendor's label tells them apart (``FY`` is annual).
 """
 
 from __future__ import annotations
@@ -25,10 +26,20 @@ def _conform(df: DataFrame, mapping: dict, schema) -> DataFrame:
     ren = {k: v for k, v in mapping.items() if k in df.columns and v not in df.columns}
     df = df.withColumnsRenamed(ren)
     known = {f.name: f.dataType for f in schema.fields}
-    return df.select(*[F.col(f"`{c}`").cast(known[c]).alias(c) if c in known else F.col(f"`{c}`")
+    return df.select(*[F.col(f"`{c}`").try_cast(known[c]).alias(c) if c in known else F.col(f"`{c}`")
                        for c in df.columns])
 
 
+def malformed(raw: DataFrame, mapping: dict, schema) -> DataFrame:
+    """One row: for each known column of a vendor frame, how many values its type does not take."""
+    names = {c: mapping.get(c, c) for c in raw.columns}
+    known = {f.name: f.dataType for f in schema.fields}
+    bad = [F.count_if(F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`").cast("string") != "")
+                      & F.col(f"`{c}`").try_cast(known[n]).isNull()).alias(n)
+           for c, n in names.items() if n in known]
+    return raw.agg(*bad)
+
+
 def conform_prices(df: DataFrame) -> DataFrame:
     """Vendor or fixture price columns -> our names and types."""
     return _conform(df, PRICE_COLUMN_MAP, PRICES)
@@ -48,17 +59,26 @@ def load_prices_extract(spark, path, fmt="csv", sep=";", ticker=None) -> DataFra
     return _ticker(_conform(_read(spark, path, fmt, sep), PRICE_COLUMN_MAP, PRICES), ticker)
 
 
-def load_income_extract(spark, path, fmt="csv", sep=";", ticker=None) -> DataFrame:
-    return _ticker(_conform(_read(spark, path, fmt, sep), INCOME_COLUMN_MAP, FUNDAMENTALS), ticker)
+def _statement(spark, path, mapping, fmt, sep, ticker, period) -> DataFrame:
+    if period not in (None, "quarterly", "annual"):
+        raise ValueError("period must be 'quarterly' or 'annual'")
+    df = _ticker(_conform(_read(spark, path, fmt, sep), mapping, FUNDAMENTALS), ticker)
+    if period is None or "fiscal_label" not in df.columns:
+        return df
+    full_year = F.upper("fiscal_label").startswith("FY")
+    return df.where(F.col("fiscal_label").isNull() | (full_year if period == "annual" else ~full_year))
+
+
+def load_income_extract(spark, path, fmt="csv", sep=";", ticker=None, period=None) -> DataFrame:
+    return _statement(spark, path, INCOME_COLUMN_MAP, fmt, sep, ticker, period)
 
 
-def load_balance_extract(spark, path, fmt="csv", sep=";", ticker=None) -> DataFrame:
-    return _ticker(_conform(_read(spark, path, fmt, sep), BALANCE_COLUMN_MAP, FUNDAMENTALS), ticker)
+def load_balance_extract(spark, path, fmt="csv", sep=";", ticker=None, period=None) -> DataFrame:
+    return _statement(spark, path, BALANCE_COLUMN_MAP, fmt, sep, ticker, period)
 
 
-def load_cashflow_extract(spark, path, fmt="csv", sep=";", ticker=None) -> DataFrame:
-    return _ticker(_conform(_read(spark, path, fmt, sep), CASHFLOW_COLUMN_MAP, FUNDAMENTALS),
-                   ticker)
+def load_cashflow_extract(spark, path, fmt="csv", sep=";", ticker=None, period=None) -> DataFrame:
+    return _statement(spark, path, CASHFLOW_COLUMN_MAP, fmt, sep, ticker, period)
 
 
 def load_companies_extract(spark, path, fmt="csv", sep=";") -> DataFrame:

@@ -7,9 +7,11 @@ Layout (default ``"bucketed"``)::
     <root>/fundamentals_annual/ticker_bucket=B/part-*.parquet
     <root>/metadata/<name>/part-*.parquet
 
-``ticker_bucket = pmod(xxhash64(ticker), 16)``. A ticker filter adds the
-bucket predicate, so one ticker reads 1/16 of the directories and Parquet
-min/max statistics on the sorted ticker column skip most row groups. The
+``ticker_bucket = pmod(xxhash64(ticker), n)``; ``n`` and the columns are kept in
+``<table>/_layout.json``, so any reader prunes by the number the table was written
+with and no scan has to merge file footers. A ticker filter adds the bucket
+predicate, so one ticker reads 1/n of the directories and Parquet min/max
+statistics on the sorted ticker column skip most row groups. The
 reference layout (``ticker=`` / ``ticker=/year=``) is available as
 ``layout="ticker"``; it makes one directory per ticker, which at tens of
 thousands of tickers means hundreds of thousands of small files.
@@ -17,16 +19,21 @@ thousands of tickers means hundreds of thousands of small files.
 Replace rule M: a partition holds many tickers, so overwriting it with only
 the new rows would drop its other tickers. Every sink therefore reads the
 touched partitions, removes the replaced keys with a left-anti join (or keeps
-the newest row per key for upserts), unions the new rows, cuts the lineage
-with a reliable ``checkpoint()`` (the job is about to replace the files it
-read), and writes with dynamic partition overwrite. Partitions that end up
-empty are removed explicitly, since dynamic overwrite only replaces
-partitions that receive rows.
+the newest row per key for upserts), unions the new rows, writes them to a
+staging folder under the root (the job is about to replace the files it read),
+copies that with dynamic partition overwrite and removes it. An incoming batch
+is staged once too, so its source is read once. Partitions that end up empty
+are removed explicitly, since dynamic overwrite only replaces partitions that
+receive rows. A batch that both rewrites and adds partitions commits twice;
+replaying it after a failure in between gives the same table.
 """
 
 from __future__ import annotations
 
+import json
 import logging
+import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +42,9 @@ from pyspark.sql import types as T
 
 from tickwise.functions.scalar import TICKER_BUCKETS, ticker_bucket
 from tickwise.operators.filters import filter_date_range, project_columns
+from tickwise.operators.ratios import ticker_names
 from tickwise.operators.sets import dedupe_keep_last
-from tickwise.schemas import FUNDAMENTALS, PRICE_KEYS, PRICES, STATEMENT_KEYS
+from tickwise.schemas import FUNDAMENTALS, PRICE_KEYS, PRICES
 
 log = logging.getLogger(__name__)
 
@@ -44,19 +52,16 @@ TABLES = {"prices": "prices", "quarterly": "fundamentals_quarterly",
           "annual": "fundamentals_annual"}
 
 
-def bucket_of(ticker: str, buckets: int = TICKER_BUCKETS) -> int:
-    """Driver-side twin of ``ticker_bucket``: pmod(xxhash64(ticker), buckets)."""
-    import xxhash
-    return xxhash.xxh64_intdigest(ticker.encode("utf-8"), seed=42) % buckets
-
-
 class Store:
     """A root folder of tickwise tables (local path or any Hadoop URI)."""
 
-    def __init__(self, spark: SparkSession, root: str, layout: str = "bucketed"):
+    def __init__(self, spark: SparkSession, root: str, layout: str = "bucketed",
+                 buckets: int = TICKER_BUCKETS):
+        """``buckets`` holds for tables that do not exist yet; others keep their own number."""
         if layout not in ("bucketed", "ticker"):
             raise ValueError("layout must be 'bucketed' or 'ticker'")
-        self.spark, self.root, self.layout = spark, root.rstrip("/"), layout
+        self.spark, self.root, self.layout, self.new_buckets = spark, root.rstrip("/"), layout, buckets
+        self._buckets: dict[str, int] = {}
         # resolved file schema per table: merged once, then kept current by this
         # Store's own writes, so repeated scans skip the footer-merge job
         self._schemas: dict[str, T.StructType] = {}
@@ -67,6 +72,7 @@ class Store:
         """Forget cached listings and schemas (after writes by another process)."""
         self._schemas.clear()
         self._frames.clear()
+        self._buckets.clear()
 
     # ------------------------------------------------------------------ paths / fs
     def path(self, table: str) -> str:
@@ -100,6 +106,50 @@ class Store:
         if fs.exists(p):
             fs.delete(p, True)
 
+    @contextmanager
+    def _staged(self, df: DataFrame):
+        """The rows of ``df`` as a table under the root, removed afterwards."""
+        path = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self._delete(path)
+
+    # ------------------------------------------------------------------ layout file
+    def _layout_path(self, table: str) -> str:
+        return f"{self.path(table)}/_layout.json"
+
+    def _load_layout(self, table: str) -> None:
+        """Bucket number and columns that were stored with the table."""
+        fs, p = self._fs(self._layout_path(table))
+        if table in self._schemas or not fs.exists(p):
+            return
+        stream = fs.open(p)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        kept = json.loads(text)
+        self._buckets[table] = kept["buckets"]
+        self._schemas[table] = T.StructType.fromJson(kept["columns"])
+
+    def _store_layout(self, table: str) -> None:
+        fs, p = self._fs(self._layout_path(table))
+        stream = fs.create(p, True)
+        try:
+            stream.write(bytearray(json.dumps(
+                {"buckets": self.buckets(table), "columns": self._schemas[table].jsonValue()}), "utf-8"))
+        finally:
+            stream.close()
+
+    def buckets(self, table: str) -> int:
+        """The bucket number a table was written with (a new table: the Store's)."""
+        self._load_layout(table)
+        if table not in self._buckets:
+            self._buckets[table] = self.new_buckets
+        return self._buckets[table]
+
     # ------------------------------------------------------------------ layout
     def partition_cols(self, table: str) -> list[str]:
         if self.layout == "ticker":
@@ -125,14 +175,14 @@ class Store:
         schema = self._schema(table)
         if not self._has_files(path):
             return self.spark.createDataFrame([], schema)
-        if table in self._schemas:
-            raw = self.spark.read.schema(self._schemas[table]).parquet(path)
-        else:
+        self._load_layout(table)
+        if table not in self._schemas:  # files without a layout file: merge their footers once
             try:
-                raw = self.spark.read.option("mergeSchema", "true").parquet(path)
+                found = self.spark.read.option("mergeSchema", "true").parquet(path).schema
             except AnalysisException:  # folder without data files
                 return self.spark.createDataFrame([], schema)
-            self._schemas[table] = raw.schema
+            self._schemas[table] = self._with_typed_partitions(table, found)
+        raw = self.spark.read.schema(self._schemas[table]).parquet(path)
         known = {f.name: f.dataType.simpleString() for f in schema.fields}
         known["ticker_bucket"] = "int"
         order = [f.name for f in schema.fields if f.name in raw.columns]
@@ -143,28 +193,41 @@ class Store:
         self._frames[table] = df
         return df
 
-    def _ticker_filter(self, df: DataFrame, ticker) -> DataFrame:
-        """Ticker equality (str) or membership (list), plus the bucket predicate
-        so only the matching ``ticker_bucket=`` directories are listed and read."""
-        if ticker is None:
+    def _with_typed_partitions(self, table: str, found: T.StructType) -> T.StructType:
+        """Partition columns get their declared types: tickers such as 007 or 1E5 are strings."""
+        types = {"ticker": T.StringType(), "year": T.LongType(), "ticker_bucket": T.IntegerType()}
+        pcols = self.partition_cols(table)
+        plain = [f for f in found.fields if f.name not in pcols]
+        return T.StructType(plain + [T.StructField(c, types[c]) for c in pcols])
+
+    def _ticker_filter(self, df: DataFrame, table: str, ticker) -> DataFrame:
+        """Rows of one ticker (str), of a list or of a frame with ``ticker``.
+
+        Names add the bucket predicate, constants that reach the partition filter, so only the
+        matching ``ticker_bucket=`` directories are listed and read; a frame is semi-joined.
+        """
+        tickers = ticker_names(ticker)
+        if tickers is None:
             return df
-        tickers = [ticker] if isinstance(ticker, str) else list(ticker)
+        if isinstance(tickers, DataFrame):
+            return df.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
         if "ticker_bucket" in df.columns:
-            df = df.where(F.col("ticker_bucket").isin(self.buckets_of(tickers)))
+            n = self.buckets(table)
+            df = df.where(F.col("ticker_bucket").isin([ticker_bucket(F.lit(t), n) for t in tickers]))
         if len(tickers) == 1:
             return df.where(F.col("ticker") == F.lit(tickers[0]))
         return df.where(F.col("ticker").isin(tickers))
 
     def scan_prices(self, ticker: str | None = None, start_date=None, end_date=None,
                     columns: list[str] | None = None) -> DataFrame:
-        df = self._ticker_filter(self.read("prices"), ticker)
+        df = self._ticker_filter(self.read("prices"), "prices", ticker)
         df = filter_date_range(df, start_date, end_date)
         df = df.drop("ticker_bucket")
         return project_columns(df, columns, ("ticker", "date"))
 
     def scan_fundamentals(self, period: str = "quarterly", ticker: str | None = None,
                           columns: list[str] | None = None) -> DataFrame:
-        df = self._ticker_filter(self.read(period), ticker).drop("ticker_bucket")
+        df = self._ticker_filter(self.read(period), period, ticker).drop("ticker_bucket")
         return project_columns(df, columns, ("ticker",))
 
     def scan_fundamentals_quarterly(self, ticker=None, columns=None) -> DataFrame:
@@ -190,7 +253,7 @@ class Store:
         if table == "prices" and "year" not in df.columns:
             df = df.withColumn("year", F.year("date").cast("bigint"))
         if self.layout == "bucketed":
-            df = df.withColumn("ticker_bucket", ticker_bucket())
+            df = df.withColumn("ticker_bucket", ticker_bucket("ticker", self.buckets(table)))
         schema = self._schema(table)
         known = {f.name: f.dataType for f in schema.fields}
         df = df.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c)
@@ -215,83 +278,76 @@ class Store:
         return df.where(key.isin([F.struct(*[F.lit(v).cast(types[c]).alias(c)
                                              for c, v in zip(pcols, p)]) for p in parts]))
 
-    def _write(self, out: DataFrame, table: str, cut_lineage: bool) -> None:
-        pcols = self.partition_cols(table)
+    def _write(self, out: DataFrame, table: str) -> None:
+        """Replace the partitions of ``out``, which must not depend on the table's own files."""
         self._remember_schema(table, out)
-        self._frames.pop(table, None)
-        if cut_lineage:
-            out = out.checkpoint(eager=True)
-        out = self._layout_for_write(out, table)
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*pcols).parquet(self.path(table)))
+        (self._layout_for_write(out, table).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*self.partition_cols(table)).parquet(self.path(table)))
+        self._store_layout(table)
 
     def _remember_schema(self, table: str, out: DataFrame) -> None:
-        """Union of the cached file schema and the columns being written."""
-        if table not in self._schemas:
-            return  # unknown yet: the next read merges the footers once
-        pcols = self.partition_cols(table)
-        old = self._schemas[table]
+        """Union of the table's columns and those being written."""
+        self._load_layout(table)
+        if table not in self._schemas and self._has_files(self.path(table)):
+            self.read(table)
+        old = self._schemas.get(table, T.StructType([]))
         names = {f.name for f in old.fields}
-        file_fields = [f for f in out.schema.fields if f.name not in pcols]
-        part_fields = [f for f in old.fields if f.name in pcols]
-        merged = [f for f in old.fields if f.name not in pcols]
-        merged += [f for f in file_fields if f.name not in names]
-        self._schemas[table] = T.StructType(merged + part_fields)
+        self._schemas[table] = self._with_typed_partitions(
+            table, T.StructType(old.fields + [f for f in out.schema.fields if f.name not in names]))
+        self._frames.pop(table, None)
+
+    def _batch(self, df: DataFrame, table: str, ticker: str | None, order_col: str | None,
+               watch: tuple | None) -> DataFrame:
+        """Incoming rows as they will be stored: non-null keys, one row per key.
+
+        ``watch`` is a pair of Observations: rows that came in, rows that are left.
+        """
+        if watch:
+            df = df.observe(watch[0], F.count(F.lit(1)).alias("n"))
+        df = self._prepare(df, table, ticker)
+        if table == "prices":
+            keys, seq = PRICE_KEYS, (F.col(order_col) if order_col else F.lit(0))
+        else:  # of two fiscal years for one period end the later one holds
+            keys = ["ticker", "fiscal_period"]
+            seq = F.col("fiscal_year") if "fiscal_year" in df.columns else F.lit(0)
+        df = dedupe_keep_last(df.withColumn("_seq", seq), keys, "_seq").drop("_seq")
+        if order_col:
+            df = df.drop(order_col)   # a batch tie-breaker, not a table column
+        return df.observe(watch[1], F.count(F.lit(1)).alias("n")) if watch else df
 
     def _replace(self, df: DataFrame, table: str, keys: list[str], ticker: str | None,
-                 upsert_keys: list[str] | None = None, order_col: str | None = None) -> int:
-        new = self._prepare(df, table, ticker)
+                 upsert_keys: list[str] | None = None, order_col: str | None = None,
+                 watch: tuple | None = None) -> int:
+        batch = self._batch(df, table, ticker, order_col, watch)
         if not self._has_files(self.path(table)):
             # fresh table: nothing to merge, so no need to find touched partitions first
-            out = new
-            if upsert_keys:
-                out = dedupe_keep_last(new.withColumn("_seq", F.struct(
-                    F.lit(1), *([F.col(order_col)] if order_col else []))),
-                    upsert_keys, "_seq").drop("_seq")
-            if order_col:
-                out = out.drop(order_col)   # a batch tie-breaker, not a table column
-            self._write(out, table, cut_lineage=False)
+            self._write(batch, table)
             n = self._count_partitions(table)
             if n == 0:
                 log.warning("Empty frame for %s, nothing written", table)
                 self._delete(self.path(table))
+                self.refresh()
             return n
-        parts = self._touched(new, table)
-        if not parts:
-            log.warning("Empty frame for %s, skipping write", table)
-            return 0
         key_cols = upsert_keys or keys
-        old = self._in_partitions(self.read(table), table, parts)
-        # partitions where an incoming key already exists: only these are rewritten
-        clash = [tuple(r) for r in old.join(new.select(*key_cols).distinct(), key_cols,
-                                             "left_semi")
-                 .select(*self.partition_cols(table)).distinct().collect()]
-        if upsert_keys:
-            nseq = [F.lit(1)] + ([F.col(order_col)] if order_col else [])
-            new = new.withColumn("_seq", F.struct(*nseq))
-        fresh = new if not clash else self._not_in_partitions(new, table, clash)
-        if upsert_keys:
-            fresh = dedupe_keep_last(fresh, upsert_keys, "_seq").drop("_seq")
-        if order_col:
-            fresh = fresh.drop(order_col)
-        # rows landing only in partitions without a clash are appended as new files
-        if set(parts) - set(clash):
-            self._append(fresh, table)
-        if clash:
-            old = self._in_partitions(old, table, clash)
-            inc = self._in_partitions(new, table, clash)
-            if upsert_keys:
-                seq = [F.lit(0)] + ([F.lit(None).cast(new.schema[order_col].dataType)]
-                                    if order_col else [])
-                old = old.withColumn("_seq", F.struct(*seq))
-                out = dedupe_keep_last(old.unionByName(inc, allowMissingColumns=True),
-                                       upsert_keys, "_seq").drop("_seq")
-                if order_col:
-                    out = out.drop(order_col)
-            else:
-                kept = old.join(inc.select(*keys).distinct(), keys, "left_anti")
-                out = kept.unionByName(inc, allowMissingColumns=True)
-            self._write(out, table, cut_lineage=True)
+        # staged keys make both sides of the joins plain reads, which Spark can split
+        with self._staged(batch) as new, self._staged(new.select(*key_cols).distinct()) as gone:
+            parts = self._touched(new, table)
+            if not parts:
+                log.warning("Empty frame for %s, skipping write", table)
+                return 0
+            old = self._in_partitions(self.read(table), table, parts)
+            # partitions where an incoming key already exists: only these are rewritten
+            clash = [tuple(r) for r in old.join(gone, key_cols, "left_semi")
+                     .select(*self.partition_cols(table)).distinct().collect()]
+            if clash:
+                inc = self._in_partitions(new, table, clash)
+                kept = self._in_partitions(old, table, clash).join(gone, key_cols, "left_anti")
+                with self._staged(kept.unionByName(inc, allowMissingColumns=True)) as out:
+                    self._write(out, table)
+            # rows landing only in partitions without a clash are appended as new files
+            if set(parts) - set(clash):
+                self._append(self._not_in_partitions(new, table, clash) if clash else new, table)
         return len(parts)
 
     def _not_in_partitions(self, df: DataFrame, table: str, parts: list[tuple]) -> DataFrame:
@@ -304,11 +360,10 @@ class Store:
 
     def _append(self, out: DataFrame, table: str) -> None:
         """Add rows as new files in their partitions (no existing file is touched)."""
-        pcols = self.partition_cols(table)
         self._remember_schema(table, out)
-        self._frames.pop(table, None)
         out = self._layout_for_write(out, table)
-        out.write.mode("append").partitionBy(*pcols).parquet(self.path(table))
+        out.write.mode("append").partitionBy(*self.partition_cols(table)).parquet(self.path(table))
+        self._store_layout(table)
 
     def _layout_for_write(self, out: DataFrame, table: str) -> DataFrame:
         """REBALANCE on the partition columns: AQE splits a hot partition value
@@ -331,23 +386,21 @@ class Store:
             level = nxt
         return len(level)
 
-    def write_prices(self, df: DataFrame, ticker: str | None = None) -> int:
-        """Replace the (ticker, year) slices present in ``df``; returns partitions touched."""
-        return self._replace(df, "prices", ["ticker", "year"], ticker)
+    def write_prices(self, df: DataFrame, ticker: str | None = None, watch: tuple | None = None) -> int:
+        """Replace the (ticker, year) slices present in ``df``; returns partitions touched.
+
+        A (ticker, date) repeated within the batch is kept once (deterministic choice).
+        """
+        return self._replace(df, "prices", ["ticker", "year"], ticker, watch=watch)
 
     def write_fundamentals(self, df: DataFrame, period: str = "quarterly",
-                           ticker: str | None = None) -> int:
+                           ticker: str | None = None, watch: tuple | None = None) -> int:
         """Replace every ticker present in ``df``.
 
-        A statement key (ticker, fiscal_year, fiscal_period) repeated within
-        the batch is kept once (deterministic choice), so a ticker's stored
-        history holds at most one row per period.
+        A ticker's stored history holds one row per period end: of a repeated one the row of
+        the latest fiscal year stays, then a deterministic choice.
         """
-        if "ticker" not in df.columns and ticker is not None:
-            df = df.withColumn("ticker", F.lit(ticker))
-        keys = [k for k in STATEMENT_KEYS if k in df.columns]
-        df = dedupe_keep_last(df.withColumn("_seq", F.lit(0)), keys, "_seq").drop("_seq")
-        return self._replace(df, period, ["ticker"], ticker)
+        return self._replace(df, period, ["ticker"], ticker, watch=watch)
 
     def write_fundamentals_quarterly(self, df, ticker=None) -> int:
         return self.write_fundamentals(df, "quarterly", ticker)
@@ -376,24 +429,20 @@ class Store:
         prices and both fundamentals tables.
 
         Returns the number of tables that held any of them. A ticker frame is
-        applied with semi / anti joins; only its bucket numbers (at most
-        ``TICKER_BUCKETS``) reach the driver.
+        applied with semi / anti joins; only its bucket numbers (at most the
+        table's) reach the driver.
         """
-        if isinstance(tickers, DataFrame):
-            doomed = tickers.select("ticker").distinct()
-            buckets = None
-        else:
-            names = [tickers] if isinstance(tickers, str) else list(tickers)
-            doomed = self.spark.createDataFrame([(t,) for t in names], "ticker string")
-            buckets = self.buckets_of(names)
-        if buckets is None and self.layout == "bucketed":
-            buckets = [r[0] for r in doomed.select(ticker_bucket()).distinct().collect()]
+        tickers = ticker_names(tickers)
+        doomed = (tickers.select("ticker").distinct() if isinstance(tickers, DataFrame)
+                  else self.spark.createDataFrame([(t,) for t in tickers], "ticker string"))
         affected = 0
         for table in TABLES:
             if not self._has_files(self.path(table)):
                 continue
             df = self.read(table)
             if self.layout == "bucketed":
+                buckets = [r[0] for r in doomed.select(ticker_bucket("ticker", self.buckets(table)))
+                           .distinct().collect()]
                 df = df.where(F.col("ticker_bucket").isin(buckets))
             hit = df.join(doomed, "ticker", "left_semi")
             parts = self._touched(hit, table)
@@ -401,11 +450,11 @@ class Store:
                 continue
             affected += 1
             kept = self._in_partitions(df, table, parts).join(doomed, "ticker", "left_anti")
-            kept = kept.checkpoint(eager=True)
+            with self._staged(kept) as rest:
+                remaining = set(self._touched(rest, table))
+                if remaining:
+                    self._write(rest, table)
             self._frames.pop(table, None)
-            remaining = set(self._touched(kept, table))
-            if remaining:
-                self._write(kept, table, cut_lineage=False)
             pcols = self.partition_cols(table)
             for p in parts:
                 if p not in remaining:
@@ -421,11 +470,6 @@ class Store:
         if fs.exists(p) and len(fs.listStatus(p)) == 0:
             fs.delete(p, False)
 
-    def buckets_of(self, tickers: list[str]) -> list[int]:
-        """Bucket numbers of a ticker list, computed on the driver with the same
-        hash Spark's ``xxhash64`` uses (XXH64, seed 42, UTF-8 bytes)."""
-        return sorted({bucket_of(t) for t in tickers})
-
     def list_tickers(self, table: str = "prices") -> DataFrame:
         return (self.read(table).select("ticker").where(F.col("ticker").isNotNull())
                 .distinct().orderBy("ticker"))
