@@ -206,5 +206,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min
     """The rows of ``docs(doc_id, text, ...)``, all columns, that hold nothing of the benchmark."""
     found = matches(docs, benchmark, width, min_words).where(F.col("n_windows") >= min_windows)
     bad = cut(found.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct())
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(bad, mark.eqNullSafe(F.col("bad_mark")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    # the columns travel in one struct, so none of them can clash with the keys
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    return rows.join(bad, F.expr("mark = bad_mark and id <=> bad_id"), "left_anti").select("row.*")

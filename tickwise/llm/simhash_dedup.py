@@ -134,7 +134,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("key_id"),
                    F.col("mark").alias("key_mark"))
     kept = near_duplicates(docs, shingle, max_bits).groupBy("root").agg(F.min(key).alias("k")).select("k.*")
-    marked = docs.withColumns({"none": F.col("doc_id").isNull(), "key_id": F.coalesce("doc_id", F.lit(0)),
-                               "key_mark": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # the columns travel in one struct, so none of them can clash with the keys
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("none"),
+                         F.coalesce("doc_id", F.lit(0)).alias("key_id"),
+                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_mark"))
     keys = ["none", "key_id", "key_mark"]
-    return marked.join(cut(kept), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return marked.join(cut(kept), keys, "left_semi").dropDuplicates(keys).select("row.*")
