@@ -118,7 +118,9 @@ class LabelModel:
 
     The annotator is a voter of its own. Nothing else says which class is which, so the posterior starts
     from it and its rates stay within ``ANNOTATOR``; in those bounds it may be wrong like the others.
-    The silence of all other voters is one piece of evidence, with its own rate in either class.
+    The silence of all voters that tell the classes apart (rates that differ by a factor of two or
+    more) has its own rate in either class; where some of them fire, the others' silence counts
+    for their share of that evidence.
     """
 
     def __init__(self, steps: int = 12, prior: float = PRIOR):
@@ -127,10 +129,11 @@ class LabelModel:
     def fit(self, votes: np.ndarray, annotator: np.ndarray) -> np.ndarray:
         """The posterior of the toxic class for each row of ``votes``."""
         v, marked = votes.astype(np.float64), annotator.astype(np.float64)
-        silent = (v.sum(axis=1) == 0).astype(np.float64)
+        self.telling = np.ones(v.shape[1], bool)
         post = np.where(marked > 0, 0.9, 0.02)
         for _ in range(self.steps):
             self.prior = float(np.clip(post.mean(), 0.005, 0.5))
+            silent = self._silent(v).astype(np.float64)
             rates, spread, self.silence, self.marks = [], [], [], []
             for p, bounds in zip((1 - post, post), ANNOTATOR, strict=True):
                 n = p.sum()
@@ -146,15 +149,21 @@ class LabelModel:
             self.correlations = np.clip(cov / sd[:, None] / sd[None, :], 0, 1)
             np.fill_diagonal(self.correlations, 0)
             post = self.posterior(v, marked)
+            self.telling = np.abs(np.log(self.rates[1] / self.rates[0])) > np.log(2)
         return post
 
+    def _silent(self, v: np.ndarray) -> np.ndarray:
+        return v[:, self.telling].sum(axis=1) == 0
+
     def posterior(self, votes: np.ndarray, annotator: np.ndarray) -> np.ndarray:
         v, marked = votes.astype(np.float64), annotator.astype(np.float64)
         fired = (v / (1 + v @ self.correlations)) @ np.log(self.rates[1] / self.rates[0])
-        quiet = np.log(self.silence[1] / self.silence[0])
+        share = np.where(self.telling, -np.log((1 - self.rates[1]) / (1 - self.rates[0])), 0).clip(0)
+        share = share / (1 + self.correlations.sum(axis=0))
+        quiet = np.log(self.silence[1] / self.silence[0]) * ((1 - v) @ share) / max(share.sum(), 1e-9)
         (m0, m1) = self.marks
         note = np.where(marked > 0, np.log(m1 / m0), np.log((1 - m1) / (1 - m0)))
-        logit = np.log(self.prior / (1 - self.prior)) + note + np.where(v.sum(axis=1) > 0, fired, quiet)
+        logit = np.log(self.prior / (1 - self.prior)) + note + fired + quiet
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
