@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import bitmap, in_bitmap, stored
+from tickwise.llm.common import bitmap, in_bitmap, slices, stored
 from tickwise.llm.spans import keyed, remove
 
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([b])).digest()[:4] for b in range(256)), np.uint32)
@@ -60,7 +60,7 @@ def chunks(rows: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
     """(d1) of every chunk, or (d1, d2, id, mark, a, b) of the chunks whose d1 may be repeated."""
     def run(batches):
         digest = xxhash.xxh3_128_intdigest
-        for b in batches:
+        for b in slices(batches):
             found, of = [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 ends = chunk_ends(text)
@@ -92,7 +92,7 @@ def repeats(rows: DataFrame, run: int = 120) -> DataFrame:
     per_text = marked.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b", "first"))).alias("c"))
 
     def long_runs(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for i, c in enumerate(batch.column(2).to_pylist()):
                 begin = 0

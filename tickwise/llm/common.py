@@ -27,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of a few rows: what a function holds at a time follows these, not the batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared checkpoint folder (smaller than a checkpoint)."""
     path = shared_dir(df.sparkSession, name)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import bitmap, id_and_text, in_bitmap
+from tickwise.llm.common import bitmap, id_and_text, in_bitmap, slices
 
 NO_ID = -(1 << 63)  # stands for a null id in keys
 
@@ -67,7 +67,7 @@ def remove(rows: DataFrame, found: DataFrame, keep_text: bool = True, also_key:
         return [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
 
     def sift(batches):  # documents without a repeat are finished here, the others take their text along
-        for b in batches:
+        for b in slices(batches):
             hit = in_bitmap(touched, b.column(2).to_numpy(zero_copy_only=False)).tolist()
             ids, marks, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
             rest = b.column(4).to_pylist()
@@ -76,7 +76,7 @@ def remove(rows: DataFrame, found: DataFrame, keep_text: bool = True, also_key:
             yield pa.RecordBatch.from_arrays(columns(made, [pa.binary(), *types]), names=["text", *names])
 
     def finish(batches):
-        for b in batches:
+        for b in slices(batches):
             made = [row(r["id"], r["mark"], r["text"], r["ranges"], r["carried"]) if r["text"] is not None else tuple(r[n] for n in names)
                     for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays(columns(made, types), names=names)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import bitmap, cut, in_bitmap, stored
+from tickwise.llm.common import bitmap, cut, in_bitmap, slices, stored
 from tickwise.llm.spans import keyed, remove
 
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), np.uint32)
@@ -87,7 +87,7 @@ class Parser:
 def _cores(rows: DataFrame, parser: Parser) -> DataFrame:
     def run(batches):
         digest, core = xxhash.xxh3_64_intdigest, parser.core
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 found = [digest(text[base:base + core]) for base, _, _ in parser.occurrences(text)]
                 if found:
@@ -100,7 +100,7 @@ def _entries(rows: DataFrame, parser: Parser, repeated: np.ndarray) -> DataFrame
     """(core, whole, id, mark, base, lo, hi) of the occurrences whose core may occur twice."""
     def run(batches):
         digest, core, length = xxhash.xxh3_64_intdigest, parser.core, parser.length
-        for b in batches:
+        for b in slices(batches):
             out, of = [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 spans = parser.occurrences(text)
@@ -123,7 +123,7 @@ def _contexts(rows: DataFrame, disputed: DataFrame, parser: Parser) -> DataFrame
     wanted = bitmap(disputed.select(F.xxhash64("id", "mark").alias("h")).distinct())
 
     def pick(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.select([0, 1, 3]).filter(pa.array(in_bitmap(wanted, b.column(2).to_numpy(zero_copy_only=False))))
 
     texts = (rows.select("id", "mark", F.xxhash64("id", "mark").alias("h"), "text")
@@ -133,7 +133,7 @@ def _contexts(rows: DataFrame, disputed: DataFrame, parser: Parser) -> DataFrame
 
     def around(batches):
         core, reach = parser.core, parser.reach
-        for b in batches:
+        for b in slices(batches):
             for i, (text, spots) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 n = len(spots)
                 cols = [[s[k] for s in spots] for k in ("core", "whole", "base", "lo", "hi")]
@@ -194,7 +194,7 @@ def _sorted_repeats(contexts: DataFrame, parser: Parser) -> DataFrame:
 def _counted_repeats(contexts: DataFrame, parser: Parser) -> DataFrame:
     """The same for crowded cores: suffixes are dealt by hash, so no task holds a whole core."""
     def spread(batches):
-        for b in batches:
+        for b in slices(batches):
             for row in b.to_pylist():
                 xs, keys = [], []
                 for x in range(row["base"] - row["hi"], row["base"] - row["lo"] + 1):
@@ -251,7 +251,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     done = dedup(docs, length, carry=docs.columns)
 
     def read(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [t.decode(errors="ignore") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["carried", "kept_text"])
 
