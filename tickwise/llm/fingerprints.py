@@ -110,33 +110,33 @@ def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The last ``floor(n_chars / 2)`` code points are replaced by the first as many (or all) of the
     next document, descending id; the first follows the last. Where rows share an id, the next
-    document is the one with the smallest SHA-256 under the next smaller id. Result:
+    document is the one with the smallest XXH64 under the next smaller id. Result:
     (doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp), a row for each input row.
     """
     none = -(1 << 63)  # stands for a null id in keys
     rows = id_and_text(docs, id_col, text_col).select(
-        F.coalesce("doc_id", F.lit(none)).alias("id"), F.sha2("text", 256).alias("sha"), "text")
-    heads = cut(rows.select("id", "sha", F.length("text").cast("long").alias("n_chars")))
-    donors = heads.groupBy("id").agg(F.min("sha").alias("sha"))
+        F.coalesce("doc_id", F.lit(none)).alias("id"), F.xxhash64("text").alias("mark"), "text")
+    heads = cut(rows.select("id", "mark", F.length("text").cast("long").alias("n_chars")))
+    donors = heads.groupBy("id").agg(F.min("mark").alias("mark"))
     follow = cut(next_ids(heads.select("id")).join(
-        donors.select(F.col("id").alias("next_id"), F.col("sha").alias("next_sha")), "next_id"))
+        donors.select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark")), "next_id"))
     wanted = heads.distinct().join(follow, "id").select(
-        F.col("id").alias("for_id"), F.col("sha").alias("for_sha"), F.expr("n_chars div 2").cast("int").alias("k"),
-        F.col("next_id").alias("id"), F.col("next_sha").alias("sha"))
-    tails = (rows.join(wanted, ["id", "sha"])
-             .select("for_id", "for_sha", F.expr("left(text, k)").alias("tail"))
-             .dropDuplicates(["for_id", "for_sha"])
-             .select(F.col("for_id").alias("id"), F.col("for_sha").alias("sha"), "tail"))
-    both = (rows.join(tails, ["id", "sha"])
+        F.col("id").alias("for_id"), F.col("mark").alias("for_mark"), F.expr("n_chars div 2").cast("int").alias("k"),
+        F.col("next_id").alias("id"), F.col("next_mark").alias("mark"))
+    tails = (rows.join(wanted, ["id", "mark"])
+             .select("for_id", "for_mark", F.expr("left(text, k)").alias("tail"))
+             .dropDuplicates(["for_id", "for_mark"])
+             .select(F.col("for_id").alias("id"), F.col("for_mark").alias("mark"), "tail"))
+    both = (rows.join(tails, ["id", "mark"])
             .withColumn("edited", F.concat(F.expr("left(text, length(text) - length(text) div 2)"), "tail"))
-            .select("id", "sha", F.sha2("edited", 256).alias("edited_sha256"),
+            .select("id", "mark", F.sha2("edited", 256).alias("edited_sha256"),
                     F.posexplode(F.array("text", "edited")).alias("side", "t")))
-    votes = term_votes(both, ["id", "sha", "edited_sha256", "side"], "t")  # a key holds what the join dealt by
-    known = cut(votes.groupBy("id", "sha", "edited_sha256").agg(
+    votes = term_votes(both, ["id", "mark", "edited_sha256", "side"], "t")  # a key holds what the join dealt by
+    known = cut(votes.groupBy("id", "mark", "edited_sha256").agg(
         F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"),
         F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp")))
-    nexts = follow.join(known.select(F.col("id").alias("next_id"), F.col("sha").alias("next_sha"),
-                                     F.col("fp").alias("next_fp")), ["next_id", "next_sha"]).select("id", "next_fp")
-    return heads.join(known, ["id", "sha"]).join(nexts, "id").select(
+    nexts = follow.join(known.select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark"),
+                                     F.col("fp").alias("next_fp")), ["next_id", "next_mark"]).select("id", "next_fp")
+    return heads.join(known, ["id", "mark"]).join(nexts, "id").select(
         F.when(F.col("id") != none, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         "fp", "edited_fp", "next_fp")
