@@ -13,7 +13,7 @@ words can be segmented apart. The distinct words are the nodes of a relation:
 
 Scores are those of the model file, and the segmentation is the one of the largest sum of scores.
 
-How words travel: texts are dealt to buckets of about ``BUCKET`` bytes, once. A bucket sends its
+How words travel: texts are dealt to buckets of about ``BUCKET`` bytes, once, compressed. A bucket sends its
 distinct words, sorted and compressed, to as many word parts; each part encodes a word once
 for all buckets, and answers every bucket's list with the ids in the same order. So each word moves as
 a few bytes, the vocabulary is never gathered, and a frequent word weighs no more than others.
@@ -36,10 +36,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import id_and_text
+from tickwise.llm.common import id_and_text, slices
 
 SPACE = "▁"
-BUCKET = 12_000_000  # bytes of text that one task holds
+BUCKET = 4_000_000  # bytes of text that one task holds
 LONG_WORD = 1000  # characters of one node; longer words are cut there
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]{{1,{LONG_WORD}}}|{SPACE}{{1,{LONG_WORD}}}|\n")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
@@ -97,41 +97,39 @@ def words_of(text: str) -> list[str]:
 
 
 def segment(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """(keys..., word, best): for each end in the word the last piece's length and id (-1: unknown).
+    """(keys..., ids): the best segmentation of each ``words(keys..., word)``; ``keys`` are distinct.
 
-    ``keys`` and ``word`` together are distinct. ``best`` is an array over ends 0..n.
+    A character without a piece has the id ``-1 - its code point``.
     """
     n = F.length("word")
     starts = F.sequence(F.lit(1), n)
     spans = F.flatten(F.transform(starts, lambda i: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)),
         lambda k: F.struct((i + k - 1).alias("end"), F.substring("word", i, k).alias("piece")))))
-    edges = (words.select(*keys, "word", F.explode(spans).alias("s")).select(*keys, "word", "s.end", "s.piece")
+    edges = (words.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.end", "s.piece")
              .join(F.broadcast(pieces), "piece", "left")  # the vocabulary
              .where(F.col("id").isNotNull() | (F.length("piece") == 1))
-             .select(*keys, "word", F.struct("end", F.length("piece").alias("k"), F.coalesce("id", F.lit(-1)).alias("id"),
-                                             F.coalesce("score", F.lit(unknown)).alias("score")).alias("e")))
-    lattice = edges.groupBy(*keys, "word").agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    # edges come by end, then length: the fold appends each end's first edge and betters it with later ones
-    fold = """aggregate(edges, array(named_struct('total', 0.0D, 'k', 0, 'id', -1)), (best, e) ->
+             .select(*keys, F.struct("end", F.length("piece").alias("k"),
+                                     F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
+                                     F.coalesce("score", F.lit(unknown)).alias("score")).alias("e")))
+    lattice = edges.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    # edges come by end, then length: the fold appends each end's first path and betters it with later ones
+    fold = """aggregate(edges, array(named_struct('total', 0.0D, 'ids', cast(array() as array<int>))), (best, e) ->
         case when size(best) <= e.end
-             then concat(best, array(named_struct('total', best[e.end - e.k].total + e.score, 'k', e.k, 'id', e.id)))
+             then concat(best, array(named_struct('total', best[e.end - e.k].total + e.score,
+                                                  'ids', concat(best[e.end - e.k].ids, array(e.id)))))
              when best[e.end - e.k].total + e.score >= best[e.end].total
              then concat(slice(best, 1, e.end), array(named_struct(
-                'total', best[e.end - e.k].total + e.score, 'k', e.k, 'id', e.id)))
-             else best end)"""
-    return lattice.select(*keys, "word", F.expr(fold).alias("best"))
+                'total', best[e.end - e.k].total + e.score, 'ids', concat(best[e.end - e.k].ids, array(e.id)))))
+             else best end, best -> element_at(best, -1).ids)"""
+    return lattice.select(*keys, F.expr(fold).alias("ids"))
 
 
-def word_ids(word: str, best: list, byte_ids: list[int]) -> list[int]:
-    """Walks back from the word's end; unknown characters become the ids of their bytes."""
-    out: list[int] = []
-    end = len(word)
-    while end:
-        k, piece = best[end]["k"], best[end]["id"]
-        out += [piece] if piece >= 0 else [byte_ids[b] for b in reversed(word[end - k:end].encode())]
-        end -= k
-    return out[::-1]
+def spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
+    """Unknown characters as the ids of their bytes."""
+    if min(ids, default=0) >= 0:
+        return ids
+    return [j for i in ids for j in ([i] if i >= 0 else [byte_ids[b] for b in chr(-1 - i).encode()])]
 
 
 def _pack(words: list[str]) -> bytes:
@@ -154,6 +152,24 @@ def _unpack_ids(blob: bytes, n: int) -> list[list[int]]:
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _blocks(batches):
+    """(bucket, block) of (bucket, doc_id, text): the rows of a batch for one bucket, compressed together."""
+    for b in slices(batches, 2048):
+        by_bucket: dict[int, list] = {}
+        for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            by_bucket.setdefault(bucket, []).append(row)
+        packer = zstandard.ZstdCompressor(level=3)
+        blocks = [packer.compress(json.dumps(x, ensure_ascii=False).encode()) for x in by_bucket.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(by_bucket), pa.int32()), pa.array(blocks, pa.binary())],
+                                         names=["bucket", "block"])
+
+
+def _rows(t: pa.Table) -> list[list]:
+    """The (doc_id, text) rows of a bucket's blocks."""
+    return [row for x in t.column("block").to_pylist()
+            for row in json.loads(zstandard.ZstdDecompressor().decompress(x))]
+
+
 def _lists(texts: list[str], parts: int) -> dict[int, list[str]]:
     """The distinct words of some texts by the part that encodes them, sorted."""
     out: dict[int, list[str]] = {}
@@ -171,45 +187,49 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     table = piece_table(docs.sparkSession, pieces)
     longest = max(len(p) for p, _, kind in pieces if kind == 1)
     unknown = min(s for _, s, kind in pieces if kind == 1) - 10.0
-    spelt = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
-    byte_ids = [spelt.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
+    known = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
+    byte_ids = [known.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
     dealt = (rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
-             .repartition(parts, "bucket"))
+             .mapInArrow(_blocks, "bucket int, block binary").repartition(parts, "bucket"))
 
     def list_words(t):
-        lists = _lists(t.column("text").to_pylist(), parts)
+        lists = _lists([x for _, x in _rows(t)], parts)
         return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(lists), pa.int32()),
                          "part": pa.array(list(lists), pa.int32()),
                          "words": pa.array([_pack(x) for x in lists.values()], pa.binary())})
 
-    def unpack(batches):
-        for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = _unpack(blob)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(words), pa.int32()), pa.array(words, pa.string())],
-                                                 names=["part", "word"])
+    def words_of_part(blobs: list[bytes]) -> list[str]:
+        return sorted({w for x in blobs for w in _unpack(x)})
+
+    def unpack(t):
+        words = words_of_part(t.column("words").to_pylist())
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * len(words), pa.int32()),
+                         "place": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.string())})
 
     def answer(lists, encoded):
+        blobs = lists.column("words").to_pylist()
+        words = words_of_part(blobs)
         ids = {}
         for b in encoded.to_batches(max_chunksize=10_000):
-            for word, best in zip(b.column("word").to_pylist(), b.column("best").to_pylist(), strict=True):
-                ids[word] = word_ids(word, best, byte_ids)
-        blobs = [_pack_ids([ids[w] for w in _unpack(x)]) for x in lists.column("words").to_pylist()]
+            for place, found in zip(b.column("place").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                ids[words[place]] = spelt(found, byte_ids)
         return pa.table({"bucket": lists.column("bucket"), "part": lists.column("part"),
-                         "ids": pa.array(blobs, pa.binary())})
+                         "ids": pa.array([_pack_ids([ids[w] for w in _unpack(x)]) for x in blobs], pa.binary())})
 
     def assemble(texts, answers):
-        lists = _lists(texts.column("text").to_pylist(), parts)
+        docs = _rows(texts)
+        lists = _lists([x for _, x in docs], parts)
         ids = {}
         for part, blob in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             ids |= zip(lists[part], _unpack_ids(blob, len(lists[part])), strict=True)
-        out = [[i for w in words_of(t) for i in ids[w]] for t in texts.column("text").to_pylist()]
-        return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
+        out = [[i for w in words_of(x) for i in ids[w]] for _, x in docs]
+        return pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
 
     lists = (dealt.groupBy("bucket").applyInArrow(list_words, "bucket int, part int, words binary")
              .repartition(parts, "part"))
-    words = lists.select("part", "words").mapInArrow(unpack, "part int, word string").distinct()
-    encoded = segment(words, ["part"], table, longest, unknown)
+    # dealt by part alone, the words stay where they are through lattice, fold and answer
+    words = lists.groupBy("part").applyInArrow(unpack, "part int, place int, word string").repartition(parts, "part")
+    encoded = segment(words, ["part", "place"], table, longest, unknown)
     answers = (lists.groupBy("part").cogroup(encoded.groupBy("part"))
                .applyInArrow(answer, "bucket int, part int, ids binary"))
     return (dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
