@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tickwise.llm.common import cut, id_and_text
 
-MAX_LABELLED = 12_000  # labelled rows that voters, label model and classifier are fitted on
+MAX_LABELLED = 6_000  # labelled rows that voters, label model and classifier are fitted on
 MAX_VOTERS = 160  # mined lexicon voters
 BUCKETS = 1 << 18
 PRIOR = 0.1
