@@ -39,6 +39,31 @@ def test_inconsistent_slots_are_let_go(spark):
     assert got == {1: True, 2: False}
 
 
+def test_a_conflict_costs_its_own_windows_only(spark):
+    item = "the man paid 12 coins on monday while her only son lost 15 coins at noon"
+    twice = "our aunt Ann came by on monday with two very large cakes and our aunt Ann left again on sunday"
+    bench = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, item.replace("15", "12")), (2, item.replace("12", "7").replace("15", "7")),
+        (3, twice.replace("Ann left", "Eve left")),
+        (4, twice.replace("Ann came", "Bob came").replace("Ann left", "Eve left"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.decontaminate(docs, bench, width=6, min_words=4).collect()}
+    assert [got[i].contaminated for i in (1, 2, 3, 4)] == [True] * 4
+    assert got[1].n_windows == got[2].n_windows == 11 and (got[1].n_changed, got[2].n_changed) == (1, 2)
+    # one of two occurrences edited: the windows over it conflict, the others hold
+    assert 0 < got[3].n_windows < 13 and got[3].n_changed == 0
+    assert 0 < got[4].n_windows < got[3].n_windows and got[4].n_changed == 0
+
+
+def test_values_may_coincide_inside_a_window(spark):
+    bench = spark.createDataFrame([(1, "she gave 15 apples for 30 dollars"), (2, "he gave 15 apples for 15 dollars")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "she gave 7 apples for 7 dollars"), (2, "he gave 7 apples for 9 dollars")],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.contaminated for r in decontam.decontaminate(docs, bench, min_words=3).collect()}
+    assert got == {1: True, 2: False}
+
+
 def test_matches_plain_windows_on_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     asked = {w for r in bench.collect() for w in template_windows(r.text, 8, 4)}

@@ -2,15 +2,15 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders. Windows of ``width``
 template words of the documents are joined by hash to those of the benchmark, so a question that comes
-back with other numbers or names still meets its original. Inside a window equal slots must be equal on
-both sides (the slots' pattern is part of the join), and over all windows of one document that
-line up with one item at one offset, every slot value of the item must stand for one value of the
-document and the other way round. A window needs at least ``min_words`` words that are no slots.
+back with other numbers or names still meets its original. Over all windows of one document that line up
+with one item at one offset, a slot value of the item that changed must stand for one value of the document
+(two values of the item may become the same one); a window with a changed value that stands for several is
+dropped, alone. Windows without slots, or with the item's own values, stay whatever else is on their line.
+A window needs at least ``min_words`` words that are no slots.
 
 The benchmark's hashes go to the tasks in blocks of at most ``block`` windows, one pass over the
 documents per block, so what a task holds is bounded whatever the benchmark's size. Of benchmark
-windows with the same template and pattern the one of the smallest item speaks for all, and of those with
-the same slot values too; a document's window thus meets two at most.
+windows with the same template and slot values the one of the smallest item speaks for all.
 
 Defined cases: a null text is empty and clean; an item of fewer words than the window is one window, if
 it has ``min_words`` words besides slots, else it is ignored; repeated rows get a row each; null ids
@@ -24,7 +24,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwise.llm.common import cut, id_and_text
@@ -95,21 +95,20 @@ def _windows(hashes: np.ndarray, kinds: np.ndarray, width: int, min_words: int)
     return out ^ np.uint64(width), plain >= min_words
 
 
-def _describe(words: list[str], kinds: np.ndarray, at: int, width: int) -> tuple[str, list[int], list[str]]:
-    """Template text, pattern of equal slots and slot values of one window."""
-    shown, pattern, values = [], [], []
+def _describe(words: list[str], kinds: np.ndarray, at: int, width: int) -> tuple[str, list[str]]:
+    """Template text and slot values of one window."""
+    shown, values = [], []
     for w, k in zip(words[at:at + width], kinds[at:at + width].tolist(), strict=True):
         if k:
             shown.append(SLOTS[k - 1])
             values.append(SLOTS[k - 1] + w.lower())
-            pattern.append(values.index(values[-1]))
         else:
             shown.append(w.lower())
-    return " ".join(shown), pattern, values
+    return " ".join(shown), values
 
 
-WINDOW = "pos int, width int, hash long, template string, pattern array<int>, slots array<string>"
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
+WINDOW = "pos int, width int, hash long, template string, slots array<string>"
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string())]
 
 
 def windows(rows: DataFrame, keys: list[str], width: int, min_words: int, widths: list[int] | None = None,
@@ -136,7 +135,7 @@ def windows(rows: DataFrame, keys: list[str], width: int, min_words: int, widths
             columns = list(zip(*found, strict=True)) if found else [[]] * len(_TYPES)
             yield pa.RecordBatch.from_arrays(
                 [*picked.columns, *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))],
-                names=[*keys, "pos", "width", "hash", "template", "pattern", "slots"])
+                names=[*keys, "pos", "width", "hash", "template", "slots"])
 
     types = dict(rows.dtypes)
     return rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + WINDOW)
@@ -144,7 +143,7 @@ def windows(rows: DataFrame, keys: list[str], width: int, min_words: int, widths
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 4, block: int = 1_000_000,
             doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, mark, item_id, shift, n_windows, n_changed): lined-up windows with consistent slots.
+    """(doc_id, mark, item_id, shift, n_windows, n_changed): lined-up windows without conflicting slots.
 
     ``mark`` is the XXH64 of the document's text, which tells rows of one id apart; ``shift`` is
     the distance of the places in document and item; ``n_changed`` counts slot values that differ.
@@ -165,22 +164,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: in
     if found is None:
         return rows.limit(0).select("doc_id", "mark", F.lit(None).cast("long").alias("item_id"),
                                     F.lit(0).alias("shift"), F.lit(0).alias("n_windows"), F.lit(0).alias("n_changed"))
-    first = F.min(F.struct("item_id", "pos", "slots")).alias("first")
-    same = ["hash", "template", "pattern"]
-    speaks = asked.groupBy(*same).agg(first).union(asked.groupBy(*same, "slots").agg(first).drop("slots")).distinct()
-    speaks = cut(speaks.select(*same, "first.*").select(*same, "item_id", F.col("pos").alias("item_pos"),
-                                                        F.col("slots").alias("item_slots")))
+    same = ["hash", "template"]
+    speaks = asked.groupBy(*same, F.col("slots").alias("item_slots")).agg(F.min(F.struct("item_id", "pos")).alias("first"))
+    speaks = cut(speaks.select(*same, "first.item_id", F.col("first.pos").alias("item_pos"), "item_slots"))
+    line = ["doc_id", "mark", "item_id", "shift"]
     pairs = cut(found.join(speaks, same).select(
         "doc_id", "mark", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos",
-        F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("slot"))
-        .distinct())
-    line = ["doc_id", "mark", "item_id", "shift"]
-    return (pairs.groupBy(*line).agg(
-        F.count_distinct("pos").alias("n_windows"), F.count_distinct("slot").alias("n"),
-        F.count_distinct("slot.item_slots").alias("na"), F.count_distinct("slot.slots").alias("nb"),
-        F.count_distinct(F.when(F.expr("slot.item_slots <> slot.slots"), F.col("slot"))).alias("n_changed"))
-        .where("n = na and n = nb").select(*line, F.col("n_windows").cast("int").alias("n_windows"),
-                                           F.col("n_changed").cast("int").alias("n_changed")))
+        F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("slot")))
+    # one exchange: a line holds an item's windows at most, and all that follows is dealt by lines
+    pairs = pairs.repartition(*line).distinct().select(
+        *line, "pos", "slot", F.expr("coalesce(slot.item_slots <> slot.slots, false)").alias("changed"))
+    value = Window.partitionBy(*line, "slot.item_slots")
+    judged = pairs.withColumn("several", F.min("slot.slots").over(value) != F.max("slot.slots").over(value))
+    spots = (judged.groupBy(*line, "pos").agg(
+        F.bool_or(F.expr("changed and several")).alias("conflict"),
+        F.collect_set(F.when(F.col("changed"), F.col("slot"))).alias("changes"))
+        .where("not coalesce(conflict, false)"))
+    return (spots.select(*line, "pos", F.explode_outer("changes").alias("change")).groupBy(*line).agg(
+        F.count_distinct("pos").cast("int").alias("n_windows"), F.count_distinct("change").cast("int").alias("n_changed")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 4,
