@@ -64,6 +64,21 @@ def test_values_may_coincide_inside_a_window(spark):
     assert got == {1: True, 2: False}
 
 
+def test_copies_of_items_with_few_plain_words_are_found(spark):
+    texts = ["What is 12 times 7?", "Who wrote Hamlet?", "Which Famous Author Wrote The Play Called Hamlet Prince Of Denmark",
+             "WHO WROTE THE OLD PLAY ABOUT A DANISH PRINCE?", "Yesterday her brother sold fifteen apples", "?!", None]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"we then asked {t} and left") for i, t in enumerate(texts[:5])]
+                                 + [(i + 10, t) for i, t in enumerate(texts[:5])]
+                                 + [(20, "What is 13 times 7?"), (21, "Who wrote Macbeth?"), (22, "?!"), (23, None)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.decontaminate(docs, bench).collect()}
+    for i in range(5):
+        assert got[i].item_id == got[i + 10].item_id == i and got[i].n_changed == got[i + 10].n_changed == 0
+    assert not any(got[i].contaminated for i in (20, 21, 22, 23))
+    assert decontam.without_windows(bench) == 2
+
+
 def test_matches_plain_windows_on_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     asked = {w for r in bench.collect() for w in template_windows(r.text, 8, 4)}

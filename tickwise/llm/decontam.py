@@ -6,14 +6,17 @@ back with other numbers or names still meets its original. Over all windows of o
 with one item at one offset, a slot value of the item that changed must stand for one value of the document
 (two values of the item may become the same one); a window with a changed value that stands for several is
 dropped, alone. Windows without slots, or with the item's own values, stay whatever else is on their line.
-A window needs at least ``min_words`` words that are no slots.
+Windows of an item with fewer than ``min_words`` words that are no slots are joined on their words as they
+stand (in lower case), so exact copies of short questions, titles and capitals are found too. The first word
+of an item, a capital that opens a sentence, counts both as a word and as a name: a document may quote
+the item in mid-sentence.
 
 The benchmark's hashes go to the tasks in blocks of at most ``block`` windows, one pass over the
 documents per block, so what a task holds is bounded whatever the benchmark's size. Of benchmark
 windows with the same template and slot values the one of the smallest item speaks for all.
 
-Defined cases: a null text is empty and clean; an item of fewer words than the window is one window, if
-it has ``min_words`` words besides slots, else it is ignored; repeated rows get a row each; null ids
+Defined cases: a null text is empty and clean; an item of fewer words than the window is one window; an item
+without any word has none (``without_windows`` counts them); repeated rows get a row each; null ids
 are kept; columns beside id and text are ignored.
 """
 
@@ -41,6 +44,7 @@ UNITS = frozenset("""mm cm m km inch inches foot feet yard yards mile miles mg g
 STOP, CAPITAL, NUMBER, UNIT, FLAGS = 1, 2, 4, 8, 15
 SLOTS = ("<name>", "<num>", "<unit>")
 HELD = 200_000  # words remembered by a task
+LITERAL = 1 << 32  # sets hashes of literal windows apart
 
 
 def _hash(word: str) -> int:
@@ -60,8 +64,8 @@ class _Words(dict):
         return value
 
 
-def template(text: str, words: _Words) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of a text, the hashes of their template words, and which kind of slot each is (0: none)."""
+def template(text: str, words: _Words) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
+    """Words of a text, their hashes, which kind of slot each is (0: none), and whether it opens with a capital."""
     tokens = TOKEN.findall(text)
     codes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
     flags = (codes & np.uint64(FLAGS)).astype(np.uint8)
@@ -77,22 +81,37 @@ def template(text: str, words: _Words) -> tuple[list[str], np.ndarray, np.ndarra
     unit[1:] &= number[:-1]
     unit[:1] = False
     kind[unit] = 3
-    slots = np.array([0] + [_hash(s) for s in SLOTS], np.uint64)
-    return ([t for t, k in zip(tokens, keep.tolist(), strict=True) if k],
-            np.where(kind > 0, slots[kind], codes & ~np.uint64(FLAGS)), kind)
+    opens = bool(len(kind) and kind[0] == 0 and flags[0] & CAPITAL)
+    return ([t for t, k in zip(tokens, keep.tolist(), strict=True) if k], codes & ~np.uint64(FLAGS), kind, opens)
 
 
-def _windows(hashes: np.ndarray, kinds: np.ndarray, width: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``width`` words, and whether it has words enough besides slots."""
+_SLOT_HASHES = np.array([0] + [_hash(s) for s in SLOTS], np.uint64)
+
+
+def _windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window of ``width`` words."""
     n = len(hashes) - width + 1
-    out, plain = np.zeros(max(n, 0), np.uint64), np.zeros(max(n, 0), np.int64)
+    out = np.zeros(max(n, 0), np.uint64)
     if n <= 0:
-        return out, plain > 0
+        return out
     for j in range(width):
         out = (out ^ hashes[j:n + j]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-        plain += kinds[j:n + j] == 0
-    return out ^ np.uint64(width), plain >= min_words
+    return out
+
+
+def _typed(codes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of ``width`` template words, and its number of words besides slots."""
+    out = _windows(np.where(kinds > 0, _SLOT_HASHES[kinds], codes), width)
+    plain = np.zeros(len(out), np.int64)
+    for j in range(width if len(out) else 0):
+        plain += kinds[j:len(out) + j] == 0
+    return out ^ np.uint64(width), plain
+
+
+def _literal(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window of ``width`` words as they stand."""
+    return _windows(codes, width) ^ np.uint64(width | LITERAL)
 
 
 def _describe(words: list[str], kinds: np.ndarray, at: int, width: int) -> tuple[str, list[str]]:
@@ -107,40 +126,76 @@ def _describe(words: list[str], kinds: np.ndarray, at: int, width: int) -> tuple
     return " ".join(shown), values
 
 
-WINDOW = "pos int, width int, hash long, template string, slots array<string>"
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string())]
+def _as_it_stands(words: list[str], at: int, width: int) -> str:
+    return "= " + " ".join(words[at:at + width]).lower()
+
+
+WINDOW = "pos int, width int, literal boolean, hash long, template string, slots array<string>"
+_TYPES = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
 
 
-def windows(rows: DataFrame, keys: list[str], width: int, min_words: int, widths: list[int] | None = None,
+def windows(rows: DataFrame, keys: list[str], width: int, min_words: int, widths: list[tuple[int, bool]] | None = None,
             wanted: np.ndarray | None = None) -> DataFrame:
-    """Template windows of ``rows(keys..., text)``; only those whose hash is in the sorted ``wanted``, if given.
+    """Windows of documents, ``rows(keys..., text)``, whose hash is in the sorted ``wanted``.
 
-    Without ``widths`` a text shorter than ``width`` is one window.
+    ``widths`` are the widths of typed and of literal windows. Without them and ``wanted``, the windows of items:
+    a text shorter than ``width`` is one, and each is typed or, with too few words besides slots, literal.
     """
+    def found_in(text, known):
+        words, codes, kinds, opens = template(text, known)
+        if wanted is None:
+            n = min(width, len(words))
+            as_name = kinds.copy()
+            as_name[:1] = 1
+            for form, last in ((kinds, None), (as_name, 1)) if opens else ((kinds, None),):
+                got, plain = _typed(codes, form, n)
+                literal = _literal(codes, n)
+                for p in range(len(got) if n else 0)[:last]:
+                    if plain[p] >= min_words:
+                        yield p, n, False, int(got[p].astype(np.int64)), *_describe(words, form, p, n)
+                    else:
+                        yield p, n, True, int(literal[p].astype(np.int64)), _as_it_stands(words, p, n), []
+            return
+        for n, literal in widths:
+            if literal:
+                got, good = _literal(codes, n), True
+            else:
+                got, plain = _typed(codes, kinds, n)
+                good = plain >= min_words
+            spot = np.minimum(np.searchsorted(wanted, got), len(wanted) - 1)
+            for p in np.flatnonzero(good & (wanted[spot] == got)).tolist():
+                shown = (_as_it_stands(words, p, n), []) if literal else _describe(words, kinds, p, n)
+                yield p, n, literal, int(got[p].astype(np.int64)), *shown
+
     def run(batches):
         known = _Words()
         for b in batches:
             at, found = [], []
             for row, text in enumerate(b.column(len(keys)).to_pylist()):
-                words, hashes, kinds = template(text, known)
-                for n in widths or ([min(width, len(words))] if words else []):
-                    got, good = _windows(hashes, kinds, n, min_words)
-                    if wanted is not None and len(wanted):
-                        spot = np.minimum(np.searchsorted(wanted, got), len(wanted) - 1)
-                        good &= wanted[spot] == got
-                    for p in np.flatnonzero(good).tolist():
-                        at.append(row)
-                        found.append((p, n, int(got[p].astype(np.int64)), *_describe(words, kinds, p, n)))
+                before = len(found)
+                found += dict.fromkeys((*w[:-1], tuple(w[-1])) for w in found_in(text, known))
+                at += [row] * (len(found) - before)
             picked = b.select(list(range(len(keys)))).take(pa.array(at, pa.int64()))
             columns = list(zip(*found, strict=True)) if found else [[]] * len(_TYPES)
             yield pa.RecordBatch.from_arrays(
                 [*picked.columns, *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))],
-                names=[*keys, "pos", "width", "hash", "template", "slots"])
+                names=[*keys, "pos", "width", "literal", "hash", "template", "slots"])
 
     types = dict(rows.dtypes)
     return rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + WINDOW)
 
 
+def without_windows(benchmark: DataFrame, item_text: str = "text") -> int:
+    """How many items no document can be found with: those without a word."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([all(t in ".!?:\n" for t in TOKEN.findall(x or "")) for x in b.column(0).to_pylist()], pa.bool_())],
+                names=["none"])
+
+    return benchmark.select(F.col(item_text).cast("string")).mapInArrow(run, "none boolean").where("none").count()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 4, block: int = 1_000_000,
             doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, mark, item_id, shift, n_windows, n_changed): lined-up windows without conflicting slots.
@@ -151,8 +206,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: in
     items = id_and_text(benchmark, item_id, item_text).withColumnRenamed("doc_id", "item_id")
     asked = cut(windows(items, ["item_id"], width, min_words))
     rows = id_and_text(docs, doc_id, doc_text).withColumn("mark", F.xxhash64("text"))
-    sizes = asked.groupBy("width").agg(F.count("*").alias("n")).collect()  # a row per width, 8 at most
-    widths, n = sorted(r.width for r in sizes), sum(r.n for r in sizes)
+    sizes = asked.groupBy("width", "literal").agg(F.count("*").alias("n")).collect()  # two rows per width at most
+    widths, n = sorted((r.width, r.literal) for r in sizes), sum(r.n for r in sizes)
     blocks = max(1, -(-n // block))
     found = None
     for i in range(blocks):
