@@ -80,6 +80,26 @@ def test_matches_a_plain_recomputation(spark):
     assert sum(r.n_removed for r in got) > 5000
 
 
+def test_short_repeats_stay_once(spark):
+    rng = random.Random(5)
+    line = "All rights reserved, see the license at the end. "
+    texts = ["short", "a text of forty bytes that occurs twice.", "é" * 7]
+    texts = texts * 2 + [prose(rng, 40) + " " + line * 2 + prose(rng, 40) for _ in range(6)] + ["short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in chunk_dedup.dedup(docs).collect()}
+    assert [got[i].n_removed for i in (0, 1, 2)] == [0, 0, 0]
+    assert all(got[i].kept == b"" and got[i].n_removed == len(texts[i].encode()) for i in (3, 4, 5, 12))
+    seen, want = set(), Counter()
+    for i, t in enumerate(texts):
+        data = t.encode()
+        ends = chunk_dedup.chunk_ends(data)
+        for a, b in zip([0, *ends], ends, strict=False):
+            if data[a:b] in seen:
+                want[i] += b - a
+            seen.add(data[a:b])
+    assert {i: r.n_removed for i, r in got.items() if r.n_removed} == dict(want) and len(want) > 4
+
+
 def _signed(x):
     return x - (1 << 64) if x >> 63 else x
 

@@ -4,9 +4,10 @@ A gear hash rolls over the bytes of a text (32 bytes wide); a chunk ends where t
 has ``least`` bytes, or at ``most`` bytes. Ends depend on nearby bytes only, so an insertion changes the
 chunks around it and leaves those behind it as they were. Chunks are compared by a 128-bit digest.
 
-A run of neighbouring chunks that all occur elsewhere too, of ``run`` bytes or more, is a repeat; short
-runs are chance. Of each chunk in a repeat, every occurrence but the corpus's first (by id, then
-place) is removed.
+A run of neighbouring chunks that all occur elsewhere too, of ``run`` bytes or more, is a repeat, and so is a
+run that is a whole text, whatever its length. ``run`` is the least size of a chunk unless a caller asks
+for longer runs, so only the short last chunk of a text can occur twice without being a repeat, where the chunk before
+it does not. Of each chunk in a repeat, every occurrence but the corpus's first (by id, then place) is removed.
 
 Only chunks whose digest may occur twice are moved; a bitmap of fixed size tells which, and an exact
 join follows. No group is gathered: first occurrences and counts are aggregates, and the chunks of
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from tickwise.llm.common import bitmap, in_bitmap, slices, stored
 from tickwise.llm.spans import keyed, remove
 
+LEAST = 16  # bytes of a chunk, but for the last of a text
+
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([b])).digest()[:4] for b in range(256)), np.uint32)
 
 
-def chunk_ends(text: bytes, target: int = 32, least: int = 16, most: int = 256) -> list[int]:
+def chunk_ends(text: bytes, target: int = 32, least: int = LEAST, most: int = 256) -> list[int]:
     """Ends of the chunks of a text; the last is its length."""
     h, step = _GEAR[np.frombuffer(text, np.uint8)], 1
     while step < 32:
@@ -57,39 +60,39 @@ def chunk_ends(text: bytes, target: int = 32, least: int = 16, most: int = 256)
 
 
 def chunks(rows: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
-    """(d1) of every chunk, or (d1, d2, id, mark, a, b) of the chunks whose d1 may be repeated."""
+    """(d1) of every chunk, or (d1, d2, id, mark, a, b, last) of the chunks whose d1 may be repeated."""
     def run(batches):
         digest = xxhash.xxh3_128_intdigest
         for b in slices(batches):
             found, of = [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 ends = chunk_ends(text)
-                found += [(digest(text[s:e]), s, e) for s, e in zip([0, *ends], ends, strict=False)]
+                found += [(digest(text[s:e]), s, e, e == len(text)) for s, e in zip([0, *ends], ends, strict=False)]
                 of += [i] * len(ends)
             d = np.frombuffer(b"".join([f[0].to_bytes(16, "little") for f in found]), np.int64).reshape(-1, 2)
             if repeated is None:
                 yield pa.RecordBatch.from_arrays([pa.array(d[:, 0])], names=["d1"])
                 continue
             keep = in_bitmap(repeated, np.ascontiguousarray(d[:, 0]))
-            at = np.array([f[1:] for f in found], np.int32).reshape(-1, 2)[keep]
+            at = np.array([f[1:] for f in found], np.int32).reshape(-1, 3)[keep]
             who = b.select([0, 1]).take(pa.array(np.array(of, np.int64)[keep]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d[keep, 0]), pa.array(d[keep, 1]), *who.columns, pa.array(at[:, 0]), pa.array(at[:, 1])],
-                names=["d1", "d2", "id", "mark", "a", "b"])
+                [pa.array(d[keep, 0]), pa.array(d[keep, 1]), *who.columns, pa.array(at[:, 0]), pa.array(at[:, 1]),
+                 pa.array(at[:, 2] > 0)], names=["d1", "d2", "id", "mark", "a", "b", "last"])
 
-    full = "d1 long, d2 long, id long, mark long, a int, b int"
+    full = "d1 long, d2 long, id long, mark long, a int, b int, last boolean"
     return rows.select("id", "mark", "text").mapInArrow(run, "d1 long" if repeated is None else full)
 
 
-def repeats(rows: DataFrame, run: int = 120) -> DataFrame:
-    """(id, mark, a, b, first): chunks in runs of ``run`` bytes or more that all occur elsewhere."""
+def repeats(rows: DataFrame, run: int = LEAST) -> DataFrame:
+    """(id, mark, a, b, first): chunks in runs of ``run`` bytes or more, or of a whole text, that all occur elsewhere."""
     often = bitmap(chunks(rows).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"))
     seen = stored(chunks(rows, often), "chunks")
     where = F.struct("id", "mark", "a")
     twice = stored(seen.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1")
                    .drop("n"), "repeated")
-    marked = seen.join(twice, ["d1", "d2"]).select("id", "mark", "a", "b", (F.col("first") == where).alias("first"))
-    per_text = marked.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b", "first"))).alias("c"))
+    marked = seen.join(twice, ["d1", "d2"]).select("id", "mark", "a", "b", (F.col("first") == where).alias("first"), "last")
+    per_text = marked.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b", "first", "last"))).alias("c"))
 
     def long_runs(batches):
         for batch in slices(batches):
@@ -98,7 +101,7 @@ def repeats(rows: DataFrame, run: int = 120) -> DataFrame:
                 begin = 0
                 for k in range(1, len(c) + 1):
                     if k == len(c) or c[k]["a"] != c[k - 1]["b"]:
-                        if c[k - 1]["b"] - c[begin]["a"] >= run:
+                        if c[k - 1]["b"] - c[begin]["a"] >= run or c[begin]["a"] == 0 and c[k - 1]["last"]:
                             out += [(i, x["a"], x["b"], x["first"]) for x in c[begin:k]]
                         begin = k
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -110,7 +113,7 @@ def repeats(rows: DataFrame, run: int = 120) -> DataFrame:
     return per_text.mapInArrow(long_runs, "id long, mark long, a int, b int, first boolean")
 
 
-def dedup(docs: DataFrame, run: int = 120, id_col: str = "doc_id", text_col: str = "text",
+def dedup(docs: DataFrame, run: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
           keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, n_repeated): a row for each document.
 
