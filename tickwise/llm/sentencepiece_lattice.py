@@ -19,8 +19,9 @@ for all buckets, and answers every bucket's list with the ids in the same order.
 a few bytes, the vocabulary is never gathered, and a frequent word weighs no more than others.
 
 Defined cases: a null or empty text has no ids; characters outside the vocabulary become byte pieces (or
-the unknown piece where the model has none); words of more than ``LONG_WORD`` characters are cut there;
-null ids are kept, repeated rows get a row each. Decoding gives back the text exactly, but for U+2581
+the unknown piece where the model has none); a word of more than ``LONG_WORD`` characters is no row of the
+lattice, whose fold keeps a path per end: ``segment_long`` takes it in one go over its characters, by the same
+scores and the same choice among ties, with a score and a back pointer per end; null ids are kept, repeated rows get a row each. Decoding gives back the text exactly, but for U+2581
 in it, which the model takes for a space.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ from tickwise.llm.common import id_and_text, slices
 
 SPACE = "▁"
 BUCKET = 4_000_000  # bytes of text that one task holds
-LONG_WORD = 1000  # characters of one node; longer words are cut there
-WORD = re.compile(f"{SPACE}*[^{SPACE}\n]{{1,{LONG_WORD}}}|{SPACE}{{1,{LONG_WORD}}}|\n")
+LONG_WORD = 1000  # characters of one node; longer words are segmented where they are answered
+WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
 
@@ -125,6 +127,24 @@ def segment(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int,
     return lattice.select(*keys, F.expr(fold).alias("ids"))
 
 
+def segment_long(word: str, pieces: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[int]:
+    """What ``segment`` finds for one word; ``pieces`` are (id, score) by piece. Memory grows with the word's length."""
+    n = len(word)
+    best, last, size = array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1)))
+    for end in range(1, n + 1):
+        top = None
+        for k in range(1, min(longest, end) + 1):
+            found = pieces.get(word[end - k:end]) or ((-1 - ord(word[end - 1]), unknown) if k == 1 else None)
+            if found and (top is None or best[end - k] + found[1] >= top):
+                top, last[end], size[end] = best[end - k] + found[1], found[0], k
+        best[end] = top
+    ids, end = [], n
+    while end:
+        ids.append(last[end])
+        end -= size[end]
+    return ids[::-1]
+
+
 def spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
     """Unknown characters as the ids of their bytes."""
     if min(ids, default=0) >= 0:
@@ -189,6 +209,8 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     unknown = min(s for _, s, kind in pieces if kind == 1) - 10.0
     known = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
     byte_ids = [known.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
+    normal = zstandard.ZstdCompressor().compress(json.dumps(
+        [(p, i, s) for i, (p, s, kind) in enumerate(pieces) if kind == 1]).encode())
     dealt = (rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
              .mapInArrow(_blocks, "bucket int, block binary").repartition(parts, "bucket"))
 
@@ -203,8 +225,9 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
 
     def unpack(t):
         words = words_of_part(t.column("words").to_pylist())
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * len(words), pa.int32()),
-                         "place": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.string())})
+        places = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * len(places), pa.int32()),
+                         "place": pa.array(places, pa.int32()), "word": pa.array([words[i] for i in places], pa.string())})
 
     def answer(lists, encoded):
         blobs = lists.column("words").to_pylist()
@@ -213,6 +236,10 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
         for b in encoded.to_batches(max_chunksize=10_000):
             for place, found in zip(b.column("place").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 ids[words[place]] = spelt(found, byte_ids)
+        long = [w for w in words if len(w) > LONG_WORD]
+        by_piece = {p: (i, x) for p, i, x in json.loads(zstandard.ZstdDecompressor().decompress(normal))} if long else {}
+        for w in long:
+            ids[w] = spelt(segment_long(w, by_piece, longest, unknown), byte_ids)
         return pa.table({"bucket": lists.column("bucket"), "part": lists.column("part"),
                          "ids": pa.array([_pack_ids([ids[w] for w in _unpack(x)]) for x in blobs], pa.binary())})
 
