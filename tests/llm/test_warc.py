@@ -29,6 +29,26 @@ def test_audit_finds_what_changed(spark, fanout):
     assert len(got) == 161 and {r.id for r in got if r.status == "corrupt"} == {3, 50}
 
 
+@pytest.mark.parametrize("fanout", [2, 16])
+def test_records_without_an_id_are_audited(spark, fanout):
+    file = F.expr("abs(page_id) div 1000")
+    rows = [(i, f"u{i}", "x" * 20) for i in range(5)]
+
+    def statuses(mine, theirs):
+        found = warc.audit(warc.layout(pages(spark, rows + mine), file), warc.layout(pages(spark, rows + theirs), file), fanout)
+        got = found.collect()
+        assert [r.status for r in got if r.id is not None] == ["intact"] * 5
+        assert all(r.file is None for r in got if r.id is None)
+        return sorted(r.status for r in got if r.id is None)
+
+    one, other = (None, "n", "page"), (None, "n", "pagf")
+    assert statuses([one], [one]) == ["intact"]
+    assert statuses([one], [other]) == ["corrupt"]
+    assert statuses([one], []) == ["missing"]
+    assert statuses([], [one]) == ["extra"]
+    assert statuses([(None, f"n{i}", "page") for i in range(40)], []) == ["missing"] * 40
+
+
 def test_layout_offsets_follow_the_records(spark):
     rows = [(2, "u", "héé"), (1, "v", ""), (None, None, None), (2, "u", "héé")]
     got = sorted(warc.layout(pages(spark, rows), F.lit(0)).collect(), key=lambda r: r.seq)

@@ -11,7 +11,7 @@ are read and never shuffled. The only windows run over the records of one archiv
 ``file`` must keep to a bounded number (``file_of`` does for any ids).
 
 Defined cases: null urls and bodies are empty; records of one file are ordered by id (nulls first), then
-digest; an empty table has no files and an empty audit; repeated rows are records of their own.
+digest; records of a null ``file`` are a file of their own; an empty table has no files and an empty audit; repeated rows are records of their own.
 """
 
 from __future__ import annotations
@@ -84,6 +84,13 @@ def _height(last: int | None, fanout: int) -> int:
     return height
 
 
+def _join(left: DataFrame, right: DataFrame, at: str, how: str) -> DataFrame:
+    """``left`` joined to ``right`` on the file, null or not, and ``at``; the right side's two keys are dropped."""
+    keys = {k: f"right_{k}" for k in ("file", at)}
+    joined = left.join(right.withColumnsRenamed(keys), F.expr(f"file <=> right_file and {at} = right_{at}"), how)
+    return joined.drop(*keys.values())
+
+
 def mismatches(a: list[DataFrame], b: list[DataFrame], fanout: int = 16) -> DataFrame:
     """(file, node): leaves that differ, or that one replica lacks; whole equal branches are never opened."""
     frontier = None
@@ -91,10 +98,13 @@ def mismatches(a: list[DataFrame], b: list[DataFrame], fanout: int = 16) -> Data
         if frontier is not None:
             opened = frontier.withColumnRenamed("node", "parent")
             mine, other = (
-                x.withColumn("parent", F.expr(f"node div {fanout}")).join(opened, ["file", "parent"], "left_semi")
+                _join(x.withColumn("parent", F.expr(f"node div {fanout}")), opened, "parent", "left_semi")
                 for x in (mine, other))
-        m, o = (x.select("file", "node", F.col("hash").alias(h)) for x, h in ((mine, "mine"), (other, "other")))
-        frontier = cut(m.join(o, ["file", "node"], "full").where("not (mine <=> other)").select("file", "node"))
+        m, o = (x.select(F.col("file").alias(f"{h}_file"), F.col("node").alias(f"{h}_node"), F.col("hash").alias(h))
+                for x, h in ((mine, "mine"), (other, "other")))
+        frontier = cut(m.join(o, F.expr("mine_file <=> other_file and mine_node = other_node"), "full")
+                       .where("not (mine <=> other)").select(F.coalesce("mine_file", "other_file").alias("file"),
+                                                             F.coalesce("mine_node", "other_node").alias("node")))
     return frontier
 
 
@@ -110,16 +120,16 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = 16) -> DataFrame
     height = _height(max((t for t in tops if t is not None), default=0), fanout)
     bad = mismatches(trees(primary, fanout, height), trees(replica, fanout, height), fanout)
     spots = bad.select(F.col("file"), F.col("node").alias("seq"))
-    mine = primary.join(spots, ["file", "seq"], "left_semi")
-    other = cut(replica.join(spots, ["file", "seq"], "left_semi"))
+    mine = _join(primary, spots, "seq", "left_semi")
+    other = cut(_join(replica, spots, "seq", "left_semi"))
     there = other.groupBy("file", F.col("id").alias("other_id")).agg(F.collect_set("digest").alias("digests"))
     status = (F.when(F.col("digests").isNull(), "missing")
               .when(F.array_contains("digests", F.col("digest")), "moved").otherwise("corrupt"))
-    judged = (mine.alias("m").join(there.withColumnRenamed("file", "f"), F.expr("file = f and id <=> other_id"), "left")
+    judged = (mine.alias("m").join(there.withColumnRenamed("file", "f"), F.expr("file <=> f and id <=> other_id"), "left")
               .select("file", "seq", status.alias("found")))
     ids = mine.select(F.col("file").alias("f"), F.col("id").alias("other_id")).distinct()
-    extra = other.join(ids, F.expr("file = f and id <=> other_id"), "left_anti")
+    extra = other.join(ids, F.expr("file <=> f and id <=> other_id"), "left_anti")
     shown = ["file", "seq", "id", "offset", "length", "digest"]
-    return (primary.join(cut(judged), ["file", "seq"], "left")
+    return (_join(primary, cut(judged), "seq", "left")
             .select(*shown, F.coalesce("found", F.lit("intact")).alias("status"))
             .union(extra.select(*shown, F.lit("extra").alias("status"))))
