@@ -3,14 +3,16 @@
 ``Transducer`` compiles the merges of a byte-level BPE vocabulary into a deterministic automaton over
 bytes. Its state is the longest suffix of the word so far that begins a token, and knows the tokens
 that may end there; which one does is settled by the token that ends where it would begin, since two
-neighbours of a tokenisation never merge over their seam. Each transition carries the change in
-the token count. Transitions and seams are worked out when first met; the tables are bounded.
+neighbours of a tokenisation never merge over their seam. A transition holds the next state only: the count
+is found by looking back, over the last token and the count at each byte of the word so far. Transitions
+and seams are worked out when first met; the tables are bounded.
 
 Texts are cut into chunks of ``chunk`` characters. White space after another character always begins a
-new word, whatever came before, so it takes the automaton to one known state. A chunk's state map is
-therefore: what it does to the open word it is entered with (its text up to the first such place), the
+new word, whatever came before, so chunks resynchronise there. A chunk's state map is no table over the
+automaton's states, but: what it does to the open word it is entered with (its text up to the first such place), the
 tokens it emits between its first and last such place, and the word it leaves open. ``compose``
-is associative; the maps of one text are combined pairwise, in a tree, as in a prefix scan.
+is associative; the maps of one text are combined pairwise, in a tree, in one loop in one task. A text
+without white space has no such place: it travels whole as head and is counted in that task.
 
 Special tokens inside a text count as one token each, as the library does by default.
 
@@ -100,8 +102,8 @@ class Transducer:
     def count(self, word: bytes) -> int:
         """Tokens of one word (a string that the merges see alone).
 
-        Each transition finds the one token that ends there in the word so far: it must fit the token
-        that ends where it begins. The transition emits the change from the count up to the byte before.
+        At each byte the one token that ends there is found among those of the state: it must fit the token
+        that ends where it begins, and the count there, plus one, is the count here.
         """
         state, last, count = 0, [-1], [0]
         moves, fits, ends = self.moves, self.fits, self.ends
