@@ -74,3 +74,9 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.doc_id: r.predicted for r in toxicity.toxicity(d, none).collect()} == {1: 1, 2: 0}
     assert toxicity.toxicity(d.limit(0), none).count() == 0
+
+
+def test_the_sample_holds_twelve_thousand_rows(spark):
+    docs = spark.range(17_000).selectExpr("id as doc_id", "concat('a', id, ' b', id, ' c', id) as text")
+    labels = spark.range(17_000).selectExpr("id as doc_id", "cast(id % 9 = 0 as int) as toxic")
+    assert toxicity.training_rows(docs, labels).count() == 12_000
