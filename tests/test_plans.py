@@ -133,3 +133,17 @@ def test_full_rank_moves_rows_once(spark):
     plan = _plan(ranked)
     assert plan.count("rangepartitioning(v") <= 2 and "hashpartitioning(v" not in plan  # one is a reuse or the counts
     assert all(r.rank == r.v + 1 for r in ranked.collect())
+
+
+def test_full_rank_holds_without_exchange_reuse(spark):
+    """Range bounds are sampled at each evaluation: offsets and rows must come from the same one."""
+    from tickwise.operators.metrics import global_row_number
+    n = 300_000
+    df = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("v"), F.rand().alias("noise"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        ranked = global_row_number(df, ["v"])
+        assert ranked.where("rank <> v + 1").count() == 0
+        assert ranked.select("rank").distinct().count() == n
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

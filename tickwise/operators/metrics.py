@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.scalar import metric_label
 from tickwise.schemas import RATIO_COLUMNS
+from tickwise.session import ensure_checkpoint_dir
 
 RADAR_METRICS = ["operating_margin", "net_profit_margin", "gross_margin", "rd_intensity",
                  "capex_ratio"]
@@ -27,10 +28,14 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rank") -> Da
     ``monotonically_increasing_id`` are then the range and the lower 33 the
     place in it. Adding the row count of all earlier ranges needs a table of
     one row per range (a bound known from the plan), which is broadcast.
+    The numbered rows are checkpointed: range bounds come from a sample drawn
+    anew at every evaluation, and both the counts and the rows must see one.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number is not merged later
     placed = (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_id", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = placed.checkpoint()
     part = F.shiftright("_id", 33).alias("_pid")
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
