@@ -9,6 +9,7 @@ from tickwise.llm import (
     chunk_dedup,
     decontam,
     fingerprints,
+    periodic_runs,
     sentencepiece_lattice,
     simhash_dedup,
     suffix_dedup,
@@ -171,3 +172,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.when(F.col("doc_id") % 20 == 0, F.col("n_within_3")).alias("n_within_3"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; one id in ten gets a folded end (the words from one on repeat a period)."""
+    docs = table(spark, sf_dir, "documents")
+    folded = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).selectExpr("doc_id", """
+        case when h % 10 = 0 and text rlike '[^ \\\\x09-\\\\x0D]' then array_join(
+            transform(array(regexp_extract_all(text, '[^ \\\\x09-\\\\x0D]+', 0)), w -> array_join(
+                transform(sequence(0, size(w) - 1), i -> w[int(
+                    case when i < (h div 10) % size(w) then i
+                         else (h div 10) % size(w) + (i - (h div 10) % size(w))
+                              % (1 + (size(w) - (h div 10) % size(w)) div (3 + (h div 10) % 8)) end)]), ' ')), '')
+        else text end as text""")
+    found = periodic_runs.periodic_runs(folded, least=6, exponent=4)
+    top = F.expr("get(array_sort(runs, (a, b) -> case when a.length <> b.length then int(sign(b.length - a.length)) "
+                 "when a.start <> b.start then int(sign(a.start - b.start)) else int(sign(a.period - b.period)) end), 0)")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")))
