@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.llm import (
+    centroids,
     chunk_dedup,
     decontam,
     fingerprints,
     periodic_runs,
     sentencepiece_lattice,
     simhash_dedup,
+    source_mix,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -195,3 +197,70 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * top.length div top.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+@query("op12_centroid_clustering")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(*centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64,
+                                                  seed=1))
+
+
+@query("op13_source_mix")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share_percent=150, epochs=2, fills=2, seed=1)
+
+
+def _beginning_sql(i: int, rows: str, rest: str) -> str:
+    """One step of the seeded sample: what is taken from the beginning of ``rows`` and what is left of ``rest``."""
+    return f"""sums{i} AS (
+  SELECT n, place, sum(sum(size)) OVER (PARTITION BY n ORDER BY place) AS words FROM {rows} GROUP BY n, place),
+step{i} AS (
+  SELECT r.n, r.rest AS most, coalesce(max(s.place), '') AS upto, r.rest - coalesce(max(s.words), 0) AS rest
+  FROM {rest} r LEFT JOIN sums{i} s ON s.n = r.n AND s.words <= r.rest GROUP BY r.n, r.rest),
+rows{i + 1} AS (
+  SELECT d.* FROM {rows} d JOIN step{i} s USING (n) WHERE d.place > s.upto AND d.size <= s.rest AND d.size > 0)"""
+
+
+# The level by the closed form: in order of the level that clamps them, the first k sources are clamped
+# where the level that the rest would share is not below the last of theirs.
+SQL["op13_source_mix"] = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS BIGINT) AS size,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS place
+  FROM documents),
+sums AS (
+  SELECT row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n, source, CAST(sum(size) AS HUGEINT) AS source_size
+  FROM sized GROUP BY source),
+sources AS (SELECT *, CAST([3, 1, 2][n % 3 + 1] AS HUGEINT) AS weight FROM sums),
+ordered AS (
+  SELECT *, row_number() OVER w AS k, sum(source_size) OVER w AS clamped_size, sum(weight) OVER w AS clamped_weight,
+         sum(source_size) OVER () * 150 AS words, sum(weight) OVER () AS weights
+  FROM sources WINDOW w AS (ORDER BY 2.0 * source_size / weight, n ROWS UNBOUNDED PRECEDING)),
+levels AS (
+  SELECT 0 AS k, max(words) AS words, max(weights) AS weights FROM ordered
+  UNION ALL SELECT k, words - 200 * clamped_size, weights - clamped_weight FROM ordered),
+level AS (
+  SELECT l.words AS words, l.weights AS weights FROM levels l LEFT JOIN ordered o ON o.k = l.k + 1
+  WHERE l.weights > 0 AND o.weight * l.words < o.source_size * 200 * l.weights ORDER BY l.k LIMIT 1),
+plan AS (
+  SELECT n, source, source_size, weight * words >= source_size * 200 * weights AS clamped, weight, words, weights
+  FROM sources, level),
+targets AS (
+  SELECT n, source, source_size,
+         CASE WHEN clamped THEN CAST(2 * source_size AS DOUBLE)
+              ELSE CAST(weight * words AS DOUBLE) / CAST(100 * weights AS DOUBLE) END AS target,
+         CASE WHEN clamped THEN 2 ELSE (weight * words // (100 * weights)) // source_size END AS whole,
+         CASE WHEN clamped THEN 0 ELSE (weight * words // (100 * weights)) % source_size END AS rest
+  FROM plan),
+rows0 AS (SELECT s.*, t.n FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+{_beginning_sql(0, "rows0", "targets")},
+{_beginning_sql(1, "rows1", "step0")},
+{_beginning_sql(2, "rows2", "step1")}
+SELECT r.doc_id AS doc_id, r.source AS source, r.size AS size, CAST(t.source_size AS BIGINT) AS source_size,
+       t.target AS target,
+       CAST(t.whole + CASE WHEN r.place <= a.upto OR (r.place <= b.upto AND r.size <= b.most AND r.size > 0)
+                           OR (r.place <= c.upto AND r.size <= c.most AND r.size > 0) THEN 1 ELSE 0 END AS BIGINT) AS repeats,
+       CAST(r.size * (t.whole + CASE WHEN r.place <= a.upto OR (r.place <= b.upto AND r.size <= b.most AND r.size > 0)
+                                OR (r.place <= c.upto AND r.size <= c.most AND r.size > 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM rows0 r JOIN targets t USING (n) JOIN step0 a USING (n) JOIN step1 b USING (n) JOIN step2 c USING (n)
+"""
