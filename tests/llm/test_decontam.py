@@ -25,18 +25,19 @@ def test_reparameterised_questions_are_caught(spark):
         "the river runs from the north to the south over nine long miles of clay", "too short"])
     assert got[0].contaminated and got[0].item_id == 1 and got[0].n_changed == 0
     assert got[1].contaminated and got[1].item_id == 1 and got[1].n_changed >= 4
-    assert not got[3].contaminated and not got[4].contaminated and not got[5].contaminated and not got[8].contaminated
+    assert not got[3].contaminated and not got[4].contaminated and not got[5].contaminated
+    assert got[8].item_id == 4  # a short item counts as a sentence of its own
     assert not got[6].contaminated  # its last word is a name in the item
     assert got[7].contaminated and got[7].item_id == 2
 
 
 def test_inconsistent_slots_are_let_go(spark):
-    item = "the man paid 12 coins on monday while her only son lost 15 coins at noon"
+    item = "her 12 coins and his 12 coins lie there"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, item.replace("12", "3").replace("15", "4")), (2, item.replace("15", "12"))],
-                                 "doc_id long, text string")
-    got = {r.doc_id: r.contaminated for r in decontam.decontaminate(docs, bench, width=6, min_words=4).collect()}
-    assert got == {1: True, 2: False}
+    docs = spark.createDataFrame([(1, item.replace("12", "3")), (2, "her 3 coins and his 4 coins lie there"),
+                                  (3, "her 12 coins and his 4 coins lie there")], "doc_id long, text string")
+    got = {r.doc_id: r.contaminated for r in decontam.decontaminate(docs, bench, width=8, min_words=4).collect()}
+    assert got == {1: True, 2: False, 3: False}
 
 
 def test_a_conflict_costs_its_own_windows_only(spark):
@@ -69,16 +70,42 @@ def test_copies_of_items_with_few_plain_words_are_found(spark):
              "WHO WROTE THE OLD PLAY ABOUT A DANISH PRINCE?", "Yesterday her brother sold fifteen apples", "?!", None]
     bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     docs = spark.createDataFrame([(i, f"we then asked {t} and left") for i, t in enumerate(texts[:5])]
-                                 + [(i + 10, t) for i, t in enumerate(texts[:5])]
-                                 + [(20, "What is 13 times 7?"), (21, "Who wrote Macbeth?"), (22, "?!"), (23, None)],
+                                 + [(i + 10, f"Well: {t}\nand left") for i, t in enumerate(texts[:5])]
+                                 + [(20, "What is 13 times 7?"), (21, "So who wrote Macbeth?"), (22, "?!"), (23, None)],
                                  "doc_id long, text string")
     got = {r.doc_id: r for r in decontam.decontaminate(docs, bench).collect()}
     for i in range(5):
-        assert got[i].item_id == got[i + 10].item_id == i and got[i].n_changed == got[i + 10].n_changed == 0
-    assert not any(got[i].contaminated for i in (20, 21, 22, 23))
+        assert got[i].item_id == (None if i == 1 else i)  # three words inside a sentence do not count
+        assert got[i + 10].item_id == i and got[i + 10].n_changed == got[i].n_changed == 0
+    assert got[20].item_id == 0 and got[20].n_changed == 1
+    assert not any(got[i].contaminated for i in (21, 22, 23))
     assert decontam.without_windows(bench) == 2
 
 
+def test_short_items_count_as_sentences_only(spark):
+    bench = spark.createDataFrame([(1, "What is 12 times 7?"), (2, "the"), (3, "12"), (4, "Who wrote Hamlet?")],
+                                  "item_id long, text string")
+    texts = ["What is 13 times 8?", "We saw the river.", "Hm. What is 3 times 3! Well", "and what is 13 times 8 then?",
+             "Go on. The. End", "1. 13. 14", "12", "Who wrote Macbeth?", "Who wrote Macbeth and Hamlet?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {0: 1, 1: None, 2: 1, 3: None, 4: 2, 5: None, 6: 3, 7: 4, 8: None}
+
+
+def test_a_benchmark_of_one_template_is_met_in_linear_size(spark):
+    items = [(i, f"what is the sum of {i % 100 + 2} and {i // 100 + 2}") for i in range(10_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Then what is the sum of {7 * i + 2} and {5 * i + 2}") for i in range(2000)]
+                                 + [(5000, "what is the difference of 4 and 5")], "doc_id long, text string")
+    by_pattern, by_values = decontam.speakers(decontam.windows(
+        bench.select("item_id", "text"), ["item_id"], 8, 4))
+    assert by_pattern.groupBy("hash", "template").count().agg({"count": "max"}).first()[0] == 2
+    assert by_values.count() == 10_000
+    got = {r.doc_id: r for r in decontam.decontaminate(docs, bench).collect()}
+    assert all(got[i].contaminated for i in range(2000)) and not got[5000].contaminated
+    assert got[3].n_changed == 0 and got[1999].n_changed > 0
+
+
 def test_matches_plain_windows_on_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     asked = {w for r in bench.collect() for w in template_windows(r.text, 8, 4)}

@@ -6,18 +6,24 @@ back with other numbers or names still meets its original. Over all windows of o
 with one item at one offset, a slot value of the item that changed must stand for one value of the document
 (two values of the item may become the same one); a window with a changed value that stands for several is
 dropped, alone. Windows without slots, or with the item's own values, stay whatever else is on their line.
-Windows of an item with fewer than ``min_words`` words that are no slots are joined on their words as they
-stand (in lower case), so exact copies of short questions, titles and capitals are found too. The first word
+Windows with fewer than ``min_words`` words that are no slots say too little in running text. They are joined on their
+words as they stand (in lower case), anywhere where they have ``RUNNING`` words or more, else only where they
+begin and end with a sentence of the document: a question "Who wrote Hamlet?" counts where it is asked, an item "the" does
+not mark every text that holds the word. Where such a window is its whole item and has a word besides slots, its
+template counts too, likewise from the beginning to the end of a sentence: "What is 13 times 8?" meets "What is 12 times 7?". The first word
 of an item, a capital that opens a sentence, counts both as a word and as a name: a document may quote
 the item in mid-sentence.
 
 The benchmark's hashes go to the tasks in blocks of at most ``block`` windows, one pass over the
 documents per block, so what a task holds is bounded whatever the benchmark's size. Of benchmark
-windows with the same template and slot values the one of the smallest item speaks for all.
+windows with one template and one pattern of equal slot values the smallest item speaks for all, beside the smallest
+with the document's own values: a benchmark made of one template meets a window once per pattern (15 at
+most for four slots), not once per item.
 
 Defined cases: a null text is empty and clean; an item of fewer words than the window is one window; an item
 without any word has none (``without_windows`` counts them); repeated rows get a row each; null ids
-are kept; columns beside id and text are ignored.
+are kept; very long texts are read whole, one row at a time; columns beside id and text are ignored in matching, whatever their
+names, and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -44,7 +50,8 @@ UNITS = frozenset("""mm cm m km inch inches foot feet yard yards mile miles mg g
 STOP, CAPITAL, NUMBER, UNIT, FLAGS = 1, 2, 4, 8, 15
 SLOTS = ("<name>", "<num>", "<unit>")
 HELD = 200_000  # words remembered by a task
-LITERAL = 1 << 32  # sets hashes of literal windows apart
+RUNNING = 4  # words of a literal window that counts inside a sentence
+LITERAL, WHOLE = 1 << 32, 1 << 33  # set hashes of literal windows and of those that fill sentences apart
 
 
 def _hash(word: str) -> int:
@@ -64,8 +71,8 @@ class _Words(dict):
         return value
 
 
-def template(text: str, words: _Words) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
-    """Words of a text, their hashes, which kind of slot each is (0: none), and whether it opens with a capital."""
+def template(text: str, words: _Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Words of a text, their hashes, kinds of slot (0: none), which open a sentence, and whether the first is a capital."""
     tokens = TOKEN.findall(text)
     codes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
     flags = (codes & np.uint64(FLAGS)).astype(np.uint8)
@@ -82,7 +89,7 @@ def template(text: str, words: _Words) -> tuple[list[str], np.ndarray, np.ndarra
     unit[:1] = False
     kind[unit] = 3
     opens = bool(len(kind) and kind[0] == 0 and flags[0] & CAPITAL)
-    return ([t for t, k in zip(tokens, keep.tolist(), strict=True) if k], codes & ~np.uint64(FLAGS), kind, opens)
+    return ([t for t, k in zip(tokens, keep.tolist(), strict=True) if k], codes & ~np.uint64(FLAGS), kind, first, opens)
 
 
 _SLOT_HASHES = np.array([0] + [_hash(s) for s in SLOTS], np.uint64)
@@ -114,8 +121,18 @@ def _literal(codes: np.ndarray, width: int) -> np.ndarray:
     return _windows(codes, width) ^ np.uint64(width | LITERAL)
 
 
-def _describe(words: list[str], kinds: np.ndarray, at: int, width: int) -> tuple[str, list[str]]:
+def _filling(first: np.ndarray, width: int) -> np.ndarray:
+    """Which windows of ``width`` words begin and end with a sentence."""
+    ends = np.append(first[1:], True)
+    return first[:len(first) - width + 1] & ends[width - 1:]
+
+
+def _describe(words: list[str], kinds: np.ndarray, at: int, width: int, literal: bool,
+              whole: bool) -> tuple[str, list[str]]:
     """Template text and slot values of one window."""
+    sign = "^ " * whole
+    if literal:
+        return f"{sign}= " + " ".join(words[at:at + width]).lower(), []
     shown, values = [], []
     for w, k in zip(words[at:at + width], kinds[at:at + width].tolist(), strict=True):
         if k:
@@ -123,49 +140,56 @@ def _describe(words: list[str], kinds: np.ndarray, at: int, width: int) -> tuple
             values.append(SLOTS[k - 1] + w.lower())
         else:
             shown.append(w.lower())
-    return " ".join(shown), values
-
+    return sign + " ".join(shown), values
 
-def _as_it_stands(words: list[str], at: int, width: int) -> str:
-    return "= " + " ".join(words[at:at + width]).lower()
 
+WINDOW = "pos int, width int, literal boolean, whole boolean, hash long, template string, slots array<string>"
+_TYPES = [pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
 
-WINDOW = "pos int, width int, literal boolean, hash long, template string, slots array<string>"
-_TYPES = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
 
-
-def windows(rows: DataFrame, keys: list[str], width: int, min_words: int, widths: list[tuple[int, bool]] | None = None,
-            wanted: np.ndarray | None = None) -> DataFrame:
+def windows(rows: DataFrame, keys: list[str], width: int, min_words: int,
+            forms: list[tuple[int, bool, bool]] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
     """Windows of documents, ``rows(keys..., text)``, whose hash is in the sorted ``wanted``.
 
-    ``widths`` are the widths of typed and of literal windows. Without them and ``wanted``, the windows of items:
-    a text shorter than ``width`` is one, and each is typed or, with too few words besides slots, literal.
+    ``forms`` are the (width, literal, whole) to look for. Without them and ``wanted``, the windows of items: a
+    text shorter than ``width`` is one; those with too few words besides slots as the module's text says.
     """
-    def found_in(text, known):
-        words, codes, kinds, opens = template(text, known)
-        if wanted is None:
-            n = min(width, len(words))
-            as_name = kinds.copy()
-            as_name[:1] = 1
-            for form, last in ((kinds, None), (as_name, 1)) if opens else ((kinds, None),):
-                got, plain = _typed(codes, form, n)
-                literal = _literal(codes, n)
-                for p in range(len(got) if n else 0)[:last]:
-                    if plain[p] >= min_words:
-                        yield p, n, False, int(got[p].astype(np.int64)), *_describe(words, form, p, n)
-                    else:
-                        yield p, n, True, int(literal[p].astype(np.int64)), _as_it_stands(words, p, n), []
-            return
-        for n, literal in widths:
+    def of_item(words, codes, kinds, opens):
+        n = min(width, len(words))
+        as_name = kinds.copy()
+        as_name[:1] = 1
+        for form, last in ((kinds, None), (as_name, 1)) if opens else ((kinds, None),):
+            got, plain = _typed(codes, form, n)
+            literal = _literal(codes, n)
+            for p in range(len(got) if n else 0)[:last]:
+                if plain[p] >= min_words:
+                    yield p, n, False, False, got[p], form
+                    continue
+                whole = n < RUNNING
+                yield p, n, True, whole, literal[p] ^ np.uint64(WHOLE * whole), form
+                if plain[p] and n == len(words):
+                    yield p, n, False, True, got[p] ^ np.uint64(WHOLE), form
+
+    def of_document(codes, kinds, first):
+        for n, literal, whole in forms:
+            if n > len(codes):
+                continue
             if literal:
                 got, good = _literal(codes, n), True
             else:
                 got, plain = _typed(codes, kinds, n)
-                good = plain >= min_words
+                good = plain >= (1 if whole else min_words)
+            if whole:
+                got, good = got ^ np.uint64(WHOLE), good & _filling(first, n)
             spot = np.minimum(np.searchsorted(wanted, got), len(wanted) - 1)
             for p in np.flatnonzero(good & (wanted[spot] == got)).tolist():
-                shown = (_as_it_stands(words, p, n), []) if literal else _describe(words, kinds, p, n)
-                yield p, n, literal, int(got[p].astype(np.int64)), *shown
+                yield p, n, literal, whole, got[p], kinds
+
+    def found_in(text, known):
+        words, codes, kinds, first, opens = template(text, known)
+        found = of_item(words, codes, kinds, opens) if wanted is None else of_document(codes, kinds, first)
+        for p, n, literal, whole, h, form in found:
+            yield p, n, literal, whole, int(h.astype(np.int64)), *_describe(words, form, p, n, literal, whole)
 
     def run(batches):
         known = _Words()
@@ -179,7 +203,7 @@ def windows(rows: DataFrame, keys: list[str], width: int, min_words: int, widths
             columns = list(zip(*found, strict=True)) if found else [[]] * len(_TYPES)
             yield pa.RecordBatch.from_arrays(
                 [*picked.columns, *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))],
-                names=[*keys, "pos", "width", "literal", "hash", "template", "slots"])
+                names=[*keys, "pos", "width", "literal", "whole", "hash", "template", "slots"])
 
     types = dict(rows.dtypes)
     return rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + WINDOW)
@@ -196,6 +220,17 @@ def without_windows(benchmark: DataFrame, item_text: str = "text") -> int:
     return benchmark.select(F.col(item_text).cast("string")).mapInArrow(run, "none boolean").where("none").count()
 
 
+def speakers(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hash, template, first) by pattern of equal slot values, (hash, template, slots, first) by slot values.
+
+    ``first`` is the smallest (item_id, pos, slots).
+    """
+    first = F.min(F.struct("item_id", "pos", "slots")).alias("first")
+    pattern = F.expr("transform(slots, x -> array_position(slots, x))").alias("pattern")
+    return (cut(asked.groupBy("hash", "template", pattern).agg(first).drop("pattern")),
+            cut(asked.groupBy("hash", "template", "slots").agg(first)))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 4, block: int = 1_000_000,
             doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, mark, item_id, shift, n_windows, n_changed): lined-up windows without conflicting slots.
@@ -206,26 +241,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: in
     items = id_and_text(benchmark, item_id, item_text).withColumnRenamed("doc_id", "item_id")
     asked = cut(windows(items, ["item_id"], width, min_words))
     rows = id_and_text(docs, doc_id, doc_text).withColumn("mark", F.xxhash64("text"))
-    sizes = asked.groupBy("width", "literal").agg(F.count("*").alias("n")).collect()  # two rows per width at most
-    widths, n = sorted((r.width, r.literal) for r in sizes), sum(r.n for r in sizes)
+    forms = ["width", "literal", "whole"]
+    sizes = asked.groupBy(*forms).agg(F.count("*").alias("n")).collect()  # four rows per width at most
+    forms, n = sorted((r.width, r.literal, r.whole) for r in sizes), sum(r.n for r in sizes)
     blocks = max(1, -(-n // block))
     found = None
     for i in range(blocks):
         part = asked.where(F.pmod("hash", F.lit(blocks)) == i).select("hash").distinct().toArrow()
         wanted = np.sort(part.column(0).to_numpy().astype(np.int64).view(np.uint64))
         if len(wanted):
-            got = windows(rows, ["doc_id", "mark"], width, min_words, widths, wanted)
+            got = windows(rows, ["doc_id", "mark"], width, min_words, forms, wanted)
             found = got if found is None else found.union(got)
     if found is None:
         return rows.limit(0).select("doc_id", "mark", F.lit(None).cast("long").alias("item_id"),
                                     F.lit(0).alias("shift"), F.lit(0).alias("n_windows"), F.lit(0).alias("n_changed"))
+    found = cut(found)
+    by_pattern, by_values = speakers(asked)
     same = ["hash", "template"]
-    speaks = asked.groupBy(*same, F.col("slots").alias("item_slots")).agg(F.min(F.struct("item_id", "pos")).alias("first"))
-    speaks = cut(speaks.select(*same, "first.item_id", F.col("first.pos").alias("item_pos"), "item_slots"))
+    met = (found.join(by_pattern, same).select("doc_id", "mark", "pos", "slots", "first")
+           .union(found.join(by_values, [*same, "slots"]).select("doc_id", "mark", "pos", "slots", "first")))
     line = ["doc_id", "mark", "item_id", "shift"]
-    pairs = cut(found.join(speaks, same).select(
-        "doc_id", "mark", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos",
-        F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("slot")))
+    pairs = cut(met.select(
+        "doc_id", "mark", "first.item_id", (F.col("pos") - F.col("first.pos")).alias("shift"), "pos",
+        F.explode_outer(F.arrays_zip(F.col("first.slots").alias("item_slots"), F.col("slots").alias("slots"))).alias("slot")))
     # one exchange: a line holds an item's windows at most, and all that follows is dealt by lines
     pairs = pairs.repartition(*line).distinct().select(
         *line, "pos", "slot", F.expr("coalesce(slot.item_slots <> slot.slots, false)").alias("changed"))
@@ -243,11 +281,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wor
                   min_windows: int = 1, **columns) -> DataFrame:
     """(doc_id, contaminated, item_id, n_windows, n_changed): a row for each document.
 
-    The item is the one with the most lined-up windows, then the smallest.
+    The item is the one with the most lined-up windows, then the fewest changed values, then the smallest.
     """
     found = matches(docs, benchmark, width, min_words, **columns).where(F.col("n_windows") >= min_windows)
     best = found.groupBy("doc_id", "mark").agg(
-        F.max_by(F.struct("item_id", "n_windows", "n_changed"), F.struct("n_windows", -F.col("item_id"))).alias("best"))
+        F.max_by(F.struct("item_id", "n_windows", "n_changed"), F.struct("n_windows", -F.col("n_changed"), -F.col("item_id"))).alias("best"))
     rows = id_and_text(docs, columns.get("doc_id", "doc_id"), columns.get("doc_text", "text")).select(
         "doc_id", F.xxhash64("text").alias("mark"))
     best = cut(best.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "best"))
