@@ -74,3 +74,22 @@ def template_windows(text: str | None, width: int, least: int, units: set[str] =
         if n - len(slots) >= least:
             out.append((tuple(k or w for k, w in part), tuple(slots.index(s) for s in slots)))
     return out
+
+
+def best_segmentation(word: str, pieces: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[int]:
+    """Viterbi over one word; ``pieces`` are (id, score) by piece; of equal sums the longest last piece."""
+    best, back = [0.0], [None]
+    for end in range(1, len(word) + 1):
+        ways = []
+        for k in range(1, min(longest, end) + 1):
+            found = pieces.get(word[end - k:end]) or ((-1 - ord(word[end - 1]), unknown) if k == 1 else None)
+            if found:
+                ways.append((best[end - k] + found[1], k, found[0]))
+        top = max(ways)
+        best.append(top[0])
+        back.append(top[1:])
+    ids, end = [], len(word)
+    while end:
+        ids.append(back[end][1])
+        end -= back[end][0]
+    return ids[::-1]

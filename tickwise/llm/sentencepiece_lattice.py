@@ -4,25 +4,27 @@ A text is written as the model's normaliser does (a space in front, spaces as U+
 words: no piece goes on past a run of U+2581 that follows other characters, nor over a line break, so
 words can be segmented apart. The distinct words are the nodes of a relation:
 
-* explode every substring of at most the longest piece's length,
+* explode the substrings that begin at every character: one, two, and the lengths of the pieces that begin with
+  the same three characters, so never longer than the longest of them,
 * equi-join them to the piece table (of fixed size, the vocabulary, so it is broadcast),
 * group the matches by word: the edges of its lattice,
-* fold Viterbi over the word's characters with a higher-order ``aggregate``: per end the best score, then
-  the longest last piece; a character without a piece may be spelt in bytes (one edge, the score below
-  every piece's, as the library's unknown character).
+* fold Viterbi over them, by end, with a higher-order ``aggregate``: per end the best score, and a back pointer (the
+  last piece and its length; of equal scores the longest). Scores are kept for the last few ends, back pointers
+  in blocks, so the fold's work grows with the word and not with its square. A character without a piece may be spelt in
+  bytes (one edge, the score below every piece's, as the library's unknown character). The ids are read off the back pointers once.
 
 Scores are those of the model file, and the segmentation is the one of the largest sum of scores.
 
 How words travel: texts are dealt to buckets of about ``BUCKET`` bytes, once, compressed. A bucket sends its
 distinct words, sorted and compressed, to as many word parts; each part encodes a word once
 for all buckets, and answers every bucket's list with the ids in the same order. So each word moves as
-a few bytes, the vocabulary is never gathered, and a frequent word weighs no more than others.
+a few bytes, the vocabulary is never gathered, and a frequent word weighs no more than others. Words are handed to
+the lattice in slices of ``SLICE`` characters (each with the few that follow), so no word is too long for a row.
 
 Defined cases: a null or empty text has no ids; characters outside the vocabulary become byte pieces (or
-the unknown piece where the model has none); a word of more than ``LONG_WORD`` characters is no row of the
-lattice, whose fold keeps a path per end: ``segment_long`` takes it in one go over its characters, by the same
-scores and the same choice among ties, with a score and a back pointer per end; null ids are kept, repeated rows get a row each. Decoding gives back the text exactly, but for U+2581
-in it, which the model takes for a space.
+the unknown piece where the model has none); a word of any length is segmented whole; null ids are kept, repeated rows
+get a row each; other columns, whatever their names, are dropped; an empty table gives an empty one. Decoding gives back the text exactly, but for
+U+2581 in it, which the model takes for a space.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,9 @@ from pyspark.sql import functions as F
 from tickwise.llm.common import id_and_text, slices
 
 SPACE = "▁"
-BUCKET = 4_000_000  # bytes of text that one task holds
-LONG_WORD = 1000  # characters of one node; longer words are segmented where they are answered
+BUCKET = 8_000_000  # bytes of text that one task holds
+SLICE = 256  # characters of a word in one row of the lattice's input
+STEP = 1024  # a back pointer is id * STEP + length of the last piece
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
@@ -93,56 +96,85 @@ def piece_table(spark: SparkSession, pieces: list[tuple[str, float, int]]) -> Da
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def words_of(text: str) -> list[str]:
-    """The words of one text, in order; joined, they are the normalised text."""
-    return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
+def starts_table(spark: SparkSession, pieces: list[tuple[str, float, int]]) -> DataFrame:
+    """(start, lengths): the first three characters of longer pieces, and how long those pieces are."""
+    lengths: dict[str, set] = {}
+    for p, _, kind in pieces:
+        if kind == 1 and len(p) > 2:
+            lengths.setdefault(p[:3], set()).add(len(p))
+    return spark.createDataFrame([(p, sorted(n)) for p, n in lengths.items()], "start string, lengths array<int>")
 
-def segment(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """(keys..., ids): the best segmentation of each ``words(keys..., word)``; ``keys`` are distinct.
 
-    A character without a piece has the id ``-1 - its code point``.
+def words_of(text: str) -> list[str]:
+    """The words of one text, in order; joined, they are the normalised text."""
+    if not text:
+        return []
+    if SPACE in text:
+        return WORD.findall(SPACE + text.replace(" ", SPACE))
+    # the same cuts by plain replacements: a mark before every word, none inside a run of spaces
+    got = SPACE + text.replace(" ", f" {SPACE}")
+    twin = f"{SPACE} {SPACE}"
+    if twin in got:
+        got = got.replace(twin, SPACE * 2).replace(twin, SPACE * 2)
+    if "\n" in got:
+        return list(filter(None, got.replace("\n", " \n ").split(" ")))
+    return got.split(" ")
+
+
+def sliced(place: int, word: str, longest: int):
+    """(place, at, own, chars) of the slices of one word: ``own`` characters, and those a piece may go on to."""
+    for at in range(0, len(word), SLICE):
+        yield place, at, min(SLICE, len(word) - at), word[at:at + SLICE + longest - 1]
+
+
+def segment(words: DataFrame, keys: list[str], pieces: DataFrame, starts: DataFrame, longest: int,
+            unknown: float) -> DataFrame:
+    """(keys..., back): for each character of a word where its best segmentation up to there comes from.
+
+    ``words(keys..., at, own, chars)`` are the slices of words; ``keys`` tell words apart. ``back`` holds a 0, then
+    id * ``STEP`` + length of the last piece per end; a character without a piece has the id ``-1 - its code point``.
     """
-    n = F.length("word")
-    starts = F.sequence(F.lit(1), n)
-    spans = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)),
-        lambda k: F.struct((i + k - 1).alias("end"), F.substring("word", i, k).alias("piece")))))
-    edges = (words.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.end", "s.piece")
+    slot = [*keys, "at"]
+    begins = (words.select(*slot, "chars", F.explode(F.sequence(F.lit(1), "own")).alias("i"))
+              .join(F.broadcast(starts), F.expr("substring(chars, i, 3) = start"), "left"))  # the vocabulary
+    spans = begins.select(*slot, "i", "chars", F.explode(F.expr("""
+        case when i = length(chars) then array(1) when lengths is null then array(1, 2)
+             else concat(array(1, 2), filter(lengths, k -> i + k - 1 <= length(chars))) end""")).alias("k"))
+    edges = (spans.select(*keys, (F.col("at") + F.col("i") + F.col("k") - 1).alias("end"), "k",
+                          F.expr("substring(chars, i, k)").alias("piece"))
              .join(F.broadcast(pieces), "piece", "left")  # the vocabulary
-             .where(F.col("id").isNotNull() | (F.length("piece") == 1))
-             .select(*keys, F.struct("end", F.length("piece").alias("k"),
-                                     F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
+             .where("id is not null or k = 1")
+             .select(*keys, F.struct("end", "k", F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
                                      F.coalesce("score", F.lit(unknown)).alias("score")).alias("e")))
     lattice = edges.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    # edges come by end, then length: the fold appends each end's first path and betters it with later ones
-    fold = """aggregate(edges, array(named_struct('total', 0.0D, 'ids', cast(array() as array<int>))), (best, e) ->
-        case when size(best) <= e.end
-             then concat(best, array(named_struct('total', best[e.end - e.k].total + e.score,
-                                                  'ids', concat(best[e.end - e.k].ids, array(e.id)))))
-             when best[e.end - e.k].total + e.score >= best[e.end].total
-             then concat(slice(best, 1, e.end), array(named_struct(
-                'total', best[e.end - e.k].total + e.score, 'ids', concat(best[e.end - e.k].ids, array(e.id)))))
-             else best end, best -> element_at(best, -1).ids)"""
-    return lattice.select(*keys, F.expr(fold).alias("ids"))
-
-
-def segment_long(word: str, pieces: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[int]:
-    """What ``segment`` finds for one word; ``pieces`` are (id, score) by piece. Memory grows with the word's length."""
-    n = len(word)
-    best, last, size = array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1)))
-    for end in range(1, n + 1):
-        top = None
-        for k in range(1, min(longest, end) + 1):
-            found = pieces.get(word[end - k:end]) or ((-1 - ord(word[end - 1]), unknown) if k == 1 else None)
-            if found and (top is None or best[end - k] + found[1] >= top):
-                top, last[end], size[end] = best[end - k] + found[1], found[0], k
-        best[end] = top
-    ids, end = [], n
+    # Edges come by end, then length: the first of an end is one character. ``sums`` are the best sums of the ends
+    # before the present one, its own are ``top`` and ``last``.
+    fold = f"""aggregate(edges, named_struct(
+            'sums', cast(array() as array<double>), 'blocks', cast(array() as array<array<int>>),
+            'block', cast(array() as array<int>), 'end', 0, 'top', 0.0D, 'last', 0),
+        (a, e) -> case
+            when e.end > a.end then named_struct(
+                'sums', case when size(a.sums) < {4 * longest} then concat(a.sums, array(a.top))
+                             else concat(slice(a.sums, -{longest}, {longest}), array(a.top)) end,
+                'blocks', case when size(a.block) < 512 then a.blocks else concat(a.blocks, array(a.block)) end,
+                'block', case when size(a.block) < 512 then concat(a.block, array(a.last)) else array(a.last) end,
+                'end', e.end, 'top', a.top + e.score, 'last', e.id * {STEP} + e.k)
+            when element_at(a.sums, -e.k) + e.score >= a.top then named_struct(
+                'sums', a.sums, 'blocks', a.blocks, 'block', a.block, 'end', a.end,
+                'top', element_at(a.sums, -e.k) + e.score, 'last', e.id * {STEP} + e.k)
+            else a end,
+        a -> concat(flatten(a.blocks), a.block, array(a.last)))"""
+    return lattice.select(*keys, F.expr(fold).alias("back"))
+
+
+def read_back(back: list[int]) -> list[int]:
+    """The ids of one word off its back pointers."""
+    ids, end = [], len(back) - 1
     while end:
-        ids.append(last[end])
-        end -= size[end]
-    return ids[::-1]
+        ids.append(back[end] // STEP)
+        end -= back[end] % STEP
+    ids.reverse()
+    return ids
 
 
 def spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
@@ -161,15 +193,18 @@ def _unpack(blob: bytes) -> list[str]:
 
 
 def _pack_ids(lists: list[list[int]]) -> bytes:
+    """Id lists in a row: their sizes, then all ids, in the smallest type that holds them."""
     sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
-    return zstandard.ZstdCompressor(level=3).compress(np.concatenate([sizes, flat]).tobytes())
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+    wide = bool(max(sizes.max(initial=0), flat.max(initial=0)) > 65_535)
+    both = np.concatenate([sizes, flat]).astype(np.int32 if wide else np.uint16)
+    return bytes([wide]) + zstandard.ZstdCompressor(level=3).compress(both.tobytes())
 
 
-def _unpack_ids(blob: bytes, n: int) -> list[list[int]]:
-    got = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32)
-    flat, ends = got[n:].tolist(), np.cumsum(got[:n]).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+def _unpack_ids(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids of all lists in a row) of ``n`` lists."""
+    got = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.int32 if blob[0] else np.uint16)
+    return got[:n].astype(np.int64), got[n:].astype(np.int32)
 
 
 def _blocks(batches):
@@ -192,25 +227,42 @@ def _rows(t: pa.Table) -> list[list]:
 
 def _lists(texts: list[str], parts: int) -> dict[int, list[str]]:
     """The distinct words of some texts by the part that encodes them, sorted."""
+    words: set[str] = set()
+    for t in texts:
+        words.update(words_of(t))
     out: dict[int, list[str]] = {}
-    for w in sorted({w for t in texts for w in words_of(t)}):
+    for w in sorted(words):
         out.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
     return out
 
 
+def _written(texts: list[str], place: dict[str, int], sizes: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    """Each text as the ids of its words, word number ``place[word]`` having the next ``sizes`` of ``ids``."""
+    first = np.cumsum(sizes) - sizes
+    ends, out = [0], []
+    for t in texts:
+        words = words_of(t)
+        w = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        n = sizes[w]
+        total = int(n.sum())
+        out.append(ids[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(total)])
+        ends.append(ends[-1] + total)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out or [ids[:0]]), pa.int32()))
+
+
 def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str = "doc_id", text_col: str = "text",
            bucket: int = BUCKET) -> DataFrame:
     """(doc_id, ids): the piece ids of each row's whole text; ``pieces`` as ``model_pieces`` reads them."""
     rows = id_and_text(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-size // bucket))
-    table = piece_table(docs.sparkSession, pieces)
+    spark = docs.sparkSession
     longest = max(len(p) for p, _, kind in pieces if kind == 1)
+    if longest >= STEP or len(pieces) * STEP >= 1 << 31:
+        raise ValueError(f"pieces of less than {STEP} characters, and at most {(1 << 31) // STEP} of them")
     unknown = min(s for _, s, kind in pieces if kind == 1) - 10.0
     known = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
     byte_ids = [known.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
-    normal = zstandard.ZstdCompressor().compress(json.dumps(
-        [(p, i, s) for i, (p, s, kind) in enumerate(pieces) if kind == 1]).encode())
     dealt = (rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
              .mapInArrow(_blocks, "bucket int, block binary").repartition(parts, "bucket"))
 
@@ -225,38 +277,40 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
 
     def unpack(t):
         words = words_of_part(t.column("words").to_pylist())
-        places = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * len(places), pa.int32()),
-                         "place": pa.array(places, pa.int32()), "word": pa.array([words[i] for i in places], pa.string())})
+        place, at, own, chars = list(zip(*(x for i, w in enumerate(words) for x in sliced(i, w, longest)), strict=True))
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * len(place), pa.int32()),
+                         "place": pa.array(place, pa.int32()), "at": pa.array(at, pa.int32()),
+                         "own": pa.array(own, pa.int32()), "chars": pa.array(chars, pa.string())})
 
     def answer(lists, encoded):
         blobs = lists.column("words").to_pylist()
         words = words_of_part(blobs)
         ids = {}
-        for b in encoded.to_batches(max_chunksize=10_000):
-            for place, found in zip(b.column("place").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                ids[words[place]] = spelt(found, byte_ids)
-        long = [w for w in words if len(w) > LONG_WORD]
-        by_piece = {p: (i, x) for p, i, x in json.loads(zstandard.ZstdDecompressor().decompress(normal))} if long else {}
-        for w in long:
-            ids[w] = spelt(segment_long(w, by_piece, longest, unknown), byte_ids)
+        for b in slices(encoded.to_batches(), 1000):
+            for place, back in zip(b.column("place").to_pylist(), b.column("back").to_pylist(), strict=True):
+                ids[words[place]] = spelt(read_back(back), byte_ids)
         return pa.table({"bucket": lists.column("bucket"), "part": lists.column("part"),
                          "ids": pa.array([_pack_ids([ids[w] for w in _unpack(x)]) for x in blobs], pa.binary())})
 
     def assemble(texts, answers):
         docs = _rows(texts)
-        lists = _lists([x for _, x in docs], parts)
-        ids = {}
+        bodies = [x for _, x in docs]
+        lists = _lists(bodies, parts)
+        place: dict[str, int] = {}
+        found = []
         for part, blob in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            ids |= zip(lists[part], _unpack_ids(blob, len(lists[part])), strict=True)
-        out = [[i for w in words_of(x) for i in ids[w]] for _, x in docs]
-        return pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
+            words = lists.pop(part)
+            place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
+            found.append(_unpack_ids(blob, len(words)))
+        sizes, ids = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int32) for i in (0, 1))
+        return pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "ids": _written(bodies, place, sizes, ids)})
 
     lists = (dealt.groupBy("bucket").applyInArrow(list_words, "bucket int, part int, words binary")
              .repartition(parts, "part"))
     # dealt by part alone, the words stay where they are through lattice, fold and answer
-    words = lists.groupBy("part").applyInArrow(unpack, "part int, place int, word string").repartition(parts, "part")
-    encoded = segment(words, ["part", "place"], table, longest, unknown)
+    words = (lists.groupBy("part").applyInArrow(unpack, "part int, place int, at int, own int, chars string")
+             .repartition(parts, "part"))
+    encoded = segment(words, ["part", "place"], piece_table(spark, pieces), starts_table(spark, pieces), longest, unknown)
     answers = (lists.groupBy("part").cogroup(encoded.groupBy("part"))
                .applyInArrow(answer, "bucket int, part int, ids binary"))
     return (dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
@@ -269,9 +323,9 @@ def decode(encoded: DataFrame, pieces: list[tuple[str, float, int]]) -> DataFram
            for p, _, kind in pieces]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 64):
             ids = b.column(b.schema.get_field_index("ids")).to_pylist()
-            texts = [b"".join([raw[i] for i in x or ()])[1:].decode(errors="replace") for x in ids]
+            texts = [b"".join(map(raw.__getitem__, x or ()))[1:].decode(errors="replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
