@@ -28,6 +28,7 @@ from tickwise.session import shared_dir
 from tickwise.sources import extracts as X
 from tickwise.sources import ingest as I
 from tickwise.sources.bridge import Bridge
+from tickwise.sources.catalog import CatalogStore
 from tickwise.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,14 @@ def _store(spark, name) -> Store:
     return Store(spark, shared_dir(spark, f"store-{name}"))
 
 
+def _catalog_store(spark, sf_dir, name, density) -> CatalogStore:
+    """Prices and quarterly statements as tables bucketed by ticker."""
+    st, b = CatalogStore(spark, shared_dir(spark, f"catalog-{name}")), _b(spark, sf_dir, density)
+    st.write_prices(b.prices())
+    st.write_fundamentals(b.fundamentals(), "quarterly")
+    return st
+
+
 def _ratios(spark, sf_dir, density, **kw) -> DataFrame:
     b = _b(spark, sf_dir, density)
     return R.ratio_table(b.prices(), b.fundamentals(), **kw)
@@ -390,6 +399,14 @@ def q_screen(spark, sf_dir):
                              "no_such_ratio": (1, 2)})
 
 
+@register("screen_stocks_bucketed", O.ratio_table_sql(
+    "sparse", final="SELECT * FROM ratios WHERE pe_ratio >= 0 AND pe_ratio <= 25 AND operating_margin >= 0.1"))
+def q_screen_bucketed(spark, sf_dir):
+    st = _catalog_store(spark, sf_dir, "screen", "sparse")
+    return FL.screen_stocks(R.ratio_table(st.scan_prices(), st.scan_fundamentals_quarterly()),
+                            {"pe_ratio": (0, 25), "operating_margin": (0.1, None)})
+
+
 @register("compare_tickers", O.ratio_table_sql(
     "dense", universe=_UNIVERSE_PLUS, final="SELECT ticker, pe_ratio, gross_margin FROM ratios"))
 def q_compare(spark, sf_dir):
@@ -466,13 +483,26 @@ def q_price_as_of(spark, sf_dir):
     "DESC) = 1) p LEFT JOIN feat f USING (ticker)", extra=O.feature_cte()))
 def q_price_x_ttm(spark, sf_dir):
     b = _b(spark, sf_dir)
-    lp = P.latest_price(b.prices()).select("ticker", "date", "close")
-    ttm = T.ttm_fundamentals(b.fundamentals()).select(
+    return _price_x_ttm(b.prices(), b.fundamentals())
+
+
+def _price_x_ttm(prices, quarterly):
+    lp = P.latest_price(prices).select("ticker", "date", "close")
+    ttm = T.ttm_fundamentals(quarterly).select(
         "ticker", F.col("revenue").alias("ttm_revenue"),
         F.col("net_income").alias("ttm_net_income"), "quarters_included")
     return lp.join(ttm, "ticker", "left")
 
 
+@register("price_x_ttm_bucketed", W(
+    "SELECT p.ticker, p.date, p.close, f.ttm_revenue, f.ttm_net_income, f.quarters_included "
+    "FROM (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date "
+    "DESC) = 1) p LEFT JOIN feat f USING (ticker)", "sparse", extra=O.feature_cte()))
+def q_price_x_ttm_bucketed(spark, sf_dir):
+    st = _catalog_store(spark, sf_dir, "price_x_ttm", "sparse")
+    return _price_x_ttm(st.scan_prices(), st.scan_fundamentals_quarterly())
+
+
 _ALIASES = {"B5": "S1", "B10": "S999999"}
 
 
@@ -673,6 +703,13 @@ def q_ratio_table(spark, sf_dir):
     return _ratios(spark, sf_dir, "sparse")
 
 
+@register("ratio_table_bucketed", O.ratio_table_sql("sparse"))
+def q_ratio_table_bucketed(spark, sf_dir):
+    """The ratio table of stored tables that are bucketed by ticker: no exchange."""
+    st = _catalog_store(spark, sf_dir, "ratio_table", "sparse")
+    return R.ratio_table(st.scan_prices(), st.scan_fundamentals_quarterly())
+
+
 @register("ratio_table_as_of", O.ratio_table_sql("sparse", as_of="1995-12-31"))
 def q_ratio_table_as_of(spark, sf_dir):
     return _ratios(spark, sf_dir, "sparse", as_of="1995-12-31")

@@ -36,7 +36,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +151,10 @@ class Store:
         return self._buckets[table]
 
     # ------------------------------------------------------------------ layout
+    def bucket_of(self, ticker, buckets: int) -> Column:
+        """The bucket of a ticker (a column or its name)."""
+        return ticker_bucket(ticker, buckets)
+
     def partition_cols(self, table: str) -> list[str]:
         if self.layout == "ticker":
             return ["ticker", "year"] if table == "prices" else ["ticker"]
@@ -182,7 +186,7 @@ class Store:
             except AnalysisException:  # folder without data files
                 return self.spark.createDataFrame([], schema)
             self._schemas[table] = self._with_typed_partitions(table, found)
-        raw = self.spark.read.schema(self._schemas[table]).parquet(path)
+        raw = self._raw(table)
         known = {f.name: f.dataType.simpleString() for f in schema.fields}
         known["ticker_bucket"] = "int"
         order = [f.name for f in schema.fields if f.name in raw.columns]
@@ -193,6 +197,10 @@ class Store:
         self._frames[table] = df
         return df
 
+    def _raw(self, table: str) -> DataFrame:
+        """The files of a table as they are, its columns known."""
+        return self.spark.read.schema(self._schemas[table]).parquet(self.path(table))
+
     def _with_typed_partitions(self, table: str, found: T.StructType) -> T.StructType:
         """Partition columns get their declared types: tickers such as 007 or 1E5 are strings."""
         types = {"ticker": T.StringType(), "year": T.LongType(), "ticker_bucket": T.IntegerType()}
@@ -213,7 +221,7 @@ class Store:
             return df.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
         if "ticker_bucket" in df.columns:
             n = self.buckets(table)
-            df = df.where(F.col("ticker_bucket").isin([ticker_bucket(F.lit(t), n) for t in tickers]))
+            df = df.where(F.col("ticker_bucket").isin([self.bucket_of(F.lit(t), n) for t in tickers]))
         if len(tickers) == 1:
             return df.where(F.col("ticker") == F.lit(tickers[0]))
         return df.where(F.col("ticker").isin(tickers))
@@ -253,7 +261,7 @@ class Store:
         if table == "prices" and "year" not in df.columns:
             df = df.withColumn("year", F.year("date").cast("bigint"))
         if self.layout == "bucketed":
-            df = df.withColumn("ticker_bucket", ticker_bucket("ticker", self.buckets(table)))
+            df = df.withColumn("ticker_bucket", self.bucket_of("ticker", self.buckets(table)))
         schema = self._schema(table)
         known = {f.name: f.dataType for f in schema.fields}
         df = df.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c)
@@ -281,11 +289,14 @@ class Store:
     def _write(self, out: DataFrame, table: str) -> None:
         """Replace the partitions of ``out``, which must not depend on the table's own files."""
         self._remember_schema(table, out)
-        (self._layout_for_write(out, table).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*self.partition_cols(table)).parquet(self.path(table)))
+        self._save(self._layout_for_write(out, table), table, replace=True)
         self._store_layout(table)
 
+    def _save(self, out: DataFrame, table: str, replace: bool) -> None:
+        """Write rows into their partitions, instead of what is there or beside it."""
+        (out.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*self.partition_cols(table)).parquet(self.path(table)))
+
     def _remember_schema(self, table: str, out: DataFrame) -> None:
         """Union of the table's columns and those being written."""
         self._load_layout(table)
@@ -361,8 +372,7 @@ class Store:
     def _append(self, out: DataFrame, table: str) -> None:
         """Add rows as new files in their partitions (no existing file is touched)."""
         self._remember_schema(table, out)
-        out = self._layout_for_write(out, table)
-        out.write.mode("append").partitionBy(*self.partition_cols(table)).parquet(self.path(table))
+        self._save(self._layout_for_write(out, table), table, replace=False)
         self._store_layout(table)
 
     def _layout_for_write(self, out: DataFrame, table: str) -> DataFrame:
@@ -441,7 +451,7 @@ class Store:
                 continue
             df = self.read(table)
             if self.layout == "bucketed":
-                buckets = [r[0] for r in doomed.select(ticker_bucket("ticker", self.buckets(table)))
+                buckets = [r[0] for r in doomed.select(self.bucket_of("ticker", self.buckets(table)))
                            .distinct().collect()]
                 df = df.where(F.col("ticker_bucket").isin(buckets))
             hit = df.join(doomed, "ticker", "left_semi")
@@ -455,16 +465,18 @@ class Store:
                 if remaining:
                     self._write(rest, table)
             self._frames.pop(table, None)
-            pcols = self.partition_cols(table)
             for p in parts:
                 if p not in remaining:
-                    sub = [f"{c}={v}" for c, v in zip(pcols, p)]
-                    self._delete(f"{self.path(table)}/{'/'.join(sub)}")
-                    # drop parent partition folders the delete left empty
-                    for k in range(len(sub) - 1, 0, -1):
-                        self._delete_if_empty(f"{self.path(table)}/{'/'.join(sub[:k])}")
+                    self._drop_partition(table, p)
         return affected
 
+    def _drop_partition(self, table: str, values: tuple) -> None:
+        """Remove a partition folder and the parents that it leaves empty."""
+        sub = [f"{c}={v}" for c, v in zip(self.partition_cols(table), values, strict=True)]
+        self._delete(f"{self.path(table)}/{'/'.join(sub)}")
+        for k in range(len(sub) - 1, 0, -1):
+            self._delete_if_empty(f"{self.path(table)}/{'/'.join(sub[:k])}")
+
     def _delete_if_empty(self, path: str) -> None:
         fs, p = self._fs(path)
         if fs.exists(p) and len(fs.listStatus(p)) == 0:
