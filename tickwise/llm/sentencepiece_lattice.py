@@ -44,6 +44,7 @@ from tickwise.llm.common import id_and_text, slices
 
 SPACE = "▁"
 BUCKET = 8_000_000  # bytes of text that one task holds
+BLOCK = 512  # ends of a word that the fold appends to at a time, more than the longest piece has characters
 SLICE = 256  # characters of a word in one row of the lattice's input
 STEP = 1024  # a back pointer is id * STEP + length of the last piece
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -147,23 +148,23 @@ def segment(words: DataFrame, keys: list[str], pieces: DataFrame, starts: DataFr
              .select(*keys, F.struct("end", "k", F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
                                      F.coalesce("score", F.lit(unknown)).alias("score")).alias("e")))
     lattice = edges.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    # Edges come by end, then length: the first of an end is one character. ``sums`` are the best sums of the ends
-    # before the present one, its own are ``top`` and ``last``.
-    fold = f"""aggregate(edges, named_struct(
-            'sums', cast(array() as array<double>), 'blocks', cast(array() as array<array<int>>),
-            'block', cast(array() as array<int>), 'end', 0, 'top', 0.0D, 'last', 0),
+    # Edges come by end, then length; the first of an end is one character long. ``ends`` are the ends before the present
+    # one (those of the last block, after a few of the block before); the present one is ``top`` and ``last``.
+    end = "struct<sum:double,back:int>"
+    fold = f"""aggregate(edges, named_struct('blocks', cast(array() as array<array<{end}>>),
+                                         'ends', cast(array() as array<{end}>), 'top', 0.0D, 'last', 0),
         (a, e) -> case
-            when e.end > a.end then named_struct(
-                'sums', case when size(a.sums) < {4 * longest} then concat(a.sums, array(a.top))
-                             else concat(slice(a.sums, -{longest}, {longest}), array(a.top)) end,
-                'blocks', case when size(a.block) < 512 then a.blocks else concat(a.blocks, array(a.block)) end,
-                'block', case when size(a.block) < 512 then concat(a.block, array(a.last)) else array(a.last) end,
-                'end', e.end, 'top', a.top + e.score, 'last', e.id * {STEP} + e.k)
-            when element_at(a.sums, -e.k) + e.score >= a.top then named_struct(
-                'sums', a.sums, 'blocks', a.blocks, 'block', a.block, 'end', a.end,
-                'top', element_at(a.sums, -e.k) + e.score, 'last', e.id * {STEP} + e.k)
+            when e.k = 1 then named_struct(
+                'blocks', if(size(a.ends) < {BLOCK}, a.blocks, array_append(a.blocks, a.ends)),
+                'ends', array_append(if(size(a.ends) < {BLOCK}, a.ends, slice(a.ends, -{longest}, {longest})),
+                                     named_struct('sum', a.top, 'back', a.last)),
+                'top', a.top + e.score, 'last', e.id * {STEP} + 1)
+            when element_at(a.ends, -e.k).sum + e.score >= a.top then named_struct(
+                'blocks', a.blocks, 'ends', a.ends,
+                'top', element_at(a.ends, -e.k).sum + e.score, 'last', e.id * {STEP} + e.k)
             else a end,
-        a -> concat(flatten(a.blocks), a.block, array(a.last)))"""
+        a -> concat(flatten(transform(array_append(a.blocks, a.ends), (b, i) ->
+                 if(i = 0, b, slice(b, {longest + 1}, {BLOCK})).back)), array(a.last)))"""
     return lattice.select(*keys, F.expr(fold).alias("back"))
 
 
@@ -258,8 +259,8 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     parts = max(1, -(-size // bucket))
     spark = docs.sparkSession
     longest = max(len(p) for p, _, kind in pieces if kind == 1)
-    if longest >= STEP or len(pieces) * STEP >= 1 << 31:
-        raise ValueError(f"pieces of less than {STEP} characters, and at most {(1 << 31) // STEP} of them")
+    if longest >= BLOCK or len(pieces) * STEP >= 1 << 31:
+        raise ValueError(f"pieces of less than {BLOCK} characters, and at most {(1 << 31) // STEP} of them")
     unknown = min(s for _, s, kind in pieces if kind == 1) - 10.0
     known = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
     byte_ids = [known.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
@@ -310,7 +311,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     # dealt by part alone, the words stay where they are through lattice, fold and answer
     words = (lists.groupBy("part").applyInArrow(unpack, "part int, place int, at int, own int, chars string")
              .repartition(parts, "part"))
-    encoded = segment(words, ["part", "place"], piece_table(spark, pieces), starts_table(spark, pieces), longest, unknown)
+    encoded = segment(words, ["place", "part"], piece_table(spark, pieces), starts_table(spark, pieces), longest, unknown)
     answers = (lists.groupBy("part").cogroup(encoded.groupBy("part"))
                .applyInArrow(answer, "bucket int, part int, ids binary"))
     return (dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
@@ -318,15 +319,13 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
 
 
 def decode(encoded: DataFrame, pieces: list[tuple[str, float, int]]) -> DataFrame:
-    """``encoded(doc_id, ids, ...)`` with ``text``: pieces joined, byte pieces read as UTF-8, U+2581 as a space."""
+    """``encoded(doc_id, ids, ...)`` with ``text``: pieces joined, byte pieces read as UTF-8, U+2581 as a space.
+
+    Bytes that are no UTF-8 become U+FFFD; null ids give an empty text.
+    """
     raw = [bytes([int(m[1], 16)]) if kind == 6 and (m := BYTE.match(p)) else p.replace(SPACE, " ").encode()
            for p, _, kind in pieces]
-
-    def run(batches):
-        for b in slices(batches, 64):
-            ids = b.column(b.schema.get_field_index("ids")).to_pylist()
-            texts = [b"".join(map(raw.__getitem__, x or ()))[1:].decode(errors="replace") for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
-    return encoded.mapInArrow(run, schema + ", text string")
+    table = F.split(F.lit(",".join(x.hex() for x in raw)), ",")  # folded to one literal, the vocabulary
+    written = F.unhex(F.array_join(F.transform(F.coalesce("ids", F.expr("cast(array() as array<int>)")),
+                                               lambda i: F.element_at(table, i + 1)), ""))
+    return encoded.withColumn("text", F.substring(F.make_valid_utf8(written.cast("string")), 2, (1 << 31) - 1))
