@@ -46,7 +46,9 @@ SPACE = "▁"
 BUCKET = 8_000_000  # bytes of text that one task holds
 BLOCK = 512  # ends of a word that the fold appends to at a time, more than the longest piece has characters
 SLICE = 256  # characters of a word in one row of the lattice's input
-STEP = 1024  # a back pointer is id * STEP + length of the last piece
+# An edge is one long, so that edges sort by end, then length, and a word's edges are a plain array:
+# end << 31 | length << 21 | code; a back pointer is code << 10 | length. The code is the piece's id + 1, 0 for none.
+CODES = 1 << 21
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
@@ -128,63 +130,71 @@ def sliced(place: int, word: str, longest: int):
         yield place, at, min(SLICE, len(word) - at), word[at:at + SLICE + longest - 1]
 
 
-def segment(words: DataFrame, keys: list[str], pieces: DataFrame, starts: DataFrame, longest: int,
-            unknown: float) -> DataFrame:
+def segment(words: DataFrame, keys: list[str], pieces: list[tuple[str, float, int]]) -> DataFrame:
     """(keys..., back): for each character of a word where its best segmentation up to there comes from.
 
     ``words(keys..., at, own, chars)`` are the slices of words; ``keys`` tell words apart. ``back`` holds a 0, then
-    id * ``STEP`` + length of the last piece per end; a character without a piece has the id ``-1 - its code point``.
+    code << 10 | length of the last piece per end.
     """
+    spark, longest = words.sparkSession, longest_piece(pieces)
     slot = [*keys, "at"]
     begins = (words.select(*slot, "chars", F.explode(F.sequence(F.lit(1), "own")).alias("i"))
-              .join(F.broadcast(starts), F.expr("substring(chars, i, 3) = start"), "left"))  # the vocabulary
+              .join(F.broadcast(starts_table(spark, pieces)), F.expr("substring(chars, i, 3) = start"), "left"))  # the vocabulary
     spans = begins.select(*slot, "i", "chars", F.explode(F.expr("""
         case when i = length(chars) then array(1) when lengths is null then array(1, 2)
              else concat(array(1, 2), filter(lengths, k -> i + k - 1 <= length(chars))) end""")).alias("k"))
     edges = (spans.select(*keys, (F.col("at") + F.col("i") + F.col("k") - 1).alias("end"), "k",
                           F.expr("substring(chars, i, k)").alias("piece"))
-             .join(F.broadcast(pieces), "piece", "left")  # the vocabulary
+             .join(F.broadcast(piece_table(spark, pieces)), "piece", "left")  # the vocabulary
              .where("id is not null or k = 1")
-             .select(*keys, F.struct("end", "k", F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
-                                     F.coalesce("score", F.lit(unknown)).alias("score")).alias("e")))
-    lattice = edges.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    # Edges come by end, then length; the first of an end is one character long. ``ends`` are the ends before the present
-    # one (those of the last block, after a few of the block before); the present one is ``top`` and ``last``.
+             .select(*keys, F.expr("shiftleft(bigint(end), 31) | bigint(shiftleft(k, 21) | coalesce(id + 1, 0))").alias("e")))
+    lattice = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    # scores by code: a character without a piece scores below every piece
+    known = [s for _, s, kind in pieces if kind == 1]
+    scores = ",".join(map(repr, [min(known) - 10.0, *(s for _, s, _ in pieces)]))
+    score = f"element_at(cast(split('{scores}', ',') as array<double>), int(e & {CODES - 1}) + 1)"
+    length, last = "int(shiftright(e, 21) & 1023)", f"int(shiftleft(e & {CODES - 1}, 10) | (shiftright(e, 21) & 1023))"
+    # The first edge of an end is one character long. ``ends`` are the ends before the present one (those of the
+    # last block, after a few of the block before); the present one is ``top`` and ``last``.
     end = "struct<sum:double,back:int>"
     fold = f"""aggregate(edges, named_struct('blocks', cast(array() as array<array<{end}>>),
                                          'ends', cast(array() as array<{end}>), 'top', 0.0D, 'last', 0),
         (a, e) -> case
-            when e.k = 1 then named_struct(
+            when {length} = 1 then named_struct(
                 'blocks', if(size(a.ends) < {BLOCK}, a.blocks, array_append(a.blocks, a.ends)),
                 'ends', array_append(if(size(a.ends) < {BLOCK}, a.ends, slice(a.ends, -{longest}, {longest})),
                                      named_struct('sum', a.top, 'back', a.last)),
-                'top', a.top + e.score, 'last', e.id * {STEP} + 1)
-            when element_at(a.ends, -e.k).sum + e.score >= a.top then named_struct(
+                'top', a.top + {score}, 'last', {last})
+            when element_at(a.ends, -{length}).sum + {score} >= a.top then named_struct(
                 'blocks', a.blocks, 'ends', a.ends,
-                'top', element_at(a.ends, -e.k).sum + e.score, 'last', e.id * {STEP} + e.k)
+                'top', element_at(a.ends, -{length}).sum + {score}, 'last', {last})
             else a end,
         a -> concat(flatten(transform(array_append(a.blocks, a.ends), (b, i) ->
                  if(i = 0, b, slice(b, {longest + 1}, {BLOCK})).back)), array(a.last)))"""
     return lattice.select(*keys, F.expr(fold).alias("back"))
 
 
-def read_back(back: list[int]) -> list[int]:
-    """The ids of one word off its back pointers."""
+def longest_piece(pieces: list[tuple[str, float, int]]) -> int:
+    longest = max(len(p) for p, _, kind in pieces if kind == 1)
+    if longest >= BLOCK or len(pieces) >= CODES:
+        raise ValueError(f"pieces of less than {BLOCK} characters, and less than {CODES} of them")
+    return longest
+
+
+def read_back(back: list[int], word: str, byte_ids: list[int]) -> list[int]:
+    """The ids of one word off its back pointers, unknown characters as the ids of their bytes."""
     ids, end = [], len(back) - 1
     while end:
-        ids.append(back[end] // STEP)
-        end -= back[end] % STEP
+        code, length = back[end] >> 10, back[end] & 1023
+        if code:
+            ids.append(code - 1)
+        else:
+            ids += [byte_ids[b] for b in reversed(word[end - 1].encode())]
+        end -= length
     ids.reverse()
     return ids
 
 
-def spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
-    """Unknown characters as the ids of their bytes."""
-    if min(ids, default=0) >= 0:
-        return ids
-    return [j for i in ids for j in ([i] if i >= 0 else [byte_ids[b] for b in chr(-1 - i).encode()])]
-
-
 def _pack(words: list[str]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(json.dumps(words, ensure_ascii=False).encode())
 
@@ -257,11 +267,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     rows = id_and_text(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-size // bucket))
-    spark = docs.sparkSession
-    longest = max(len(p) for p, _, kind in pieces if kind == 1)
-    if longest >= BLOCK or len(pieces) * STEP >= 1 << 31:
-        raise ValueError(f"pieces of less than {BLOCK} characters, and at most {(1 << 31) // STEP} of them")
-    unknown = min(s for _, s, kind in pieces if kind == 1) - 10.0
+    longest = longest_piece(pieces)
     known = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
     byte_ids = [known.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
     dealt = (rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
@@ -289,7 +295,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
         ids = {}
         for b in slices(encoded.to_batches(), 1000):
             for place, back in zip(b.column("place").to_pylist(), b.column("back").to_pylist(), strict=True):
-                ids[words[place]] = spelt(read_back(back), byte_ids)
+                ids[words[place]] = read_back(back, words[place], byte_ids)
         return pa.table({"bucket": lists.column("bucket"), "part": lists.column("part"),
                          "ids": pa.array([_pack_ids([ids[w] for w in _unpack(x)]) for x in blobs], pa.binary())})
 
@@ -311,7 +317,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     # dealt by part alone, the words stay where they are through lattice, fold and answer
     words = (lists.groupBy("part").applyInArrow(unpack, "part int, place int, at int, own int, chars string")
              .repartition(parts, "part"))
-    encoded = segment(words, ["place", "part"], piece_table(spark, pieces), starts_table(spark, pieces), longest, unknown)
+    encoded = segment(words, ["place", "part"], pieces)
     answers = (lists.groupBy("part").cogroup(encoded.groupBy("part"))
                .applyInArrow(answer, "bucket int, part int, ids binary"))
     return (dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
