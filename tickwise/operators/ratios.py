@@ -97,7 +97,8 @@ def ratio_sql(fcols, years: int = 5) -> dict[str, str]:
     }
 
 
-def _ratio_projection(fcols, years: int, label_sql: str) -> list[str]:
+def ratio_projection(fcols, years: int, label_sql: str) -> list[str]:
+    """Select list of the ratio table over a frame with ``ticker``, ``close`` and quarter features."""
     r = ratio_sql(fcols, years)
     return ["ticker", f"{label_sql} AS as_of_date"] + [f"{r[c]} AS {c}" for c in RATIO_COLUMNS]
 
@@ -109,34 +110,34 @@ def ticker_names(tickers):
     return [tickers] if isinstance(tickers, str) else list(dict.fromkeys(tickers))
 
 
-def _ticker_frame(spark, tickers) -> DataFrame:
+def ticker_frame_of(spark, tickers) -> DataFrame:
     tickers = ticker_names(tickers)
     if isinstance(tickers, DataFrame):
         return tickers.select("ticker").distinct()
     return spark.createDataFrame([(t,) for t in tickers], "ticker string")
 
 
-def _restrict(df: DataFrame, tickers) -> DataFrame:
+def restrict(df: DataFrame, tickers) -> DataFrame:
     """Rows of the wanted tickers: a predicate for one, a semi join for more."""
     tickers = ticker_names(tickers)
     if tickers is None:
         return df
     if isinstance(tickers, list) and len(tickers) == 1:
         return df.where(F.col("ticker") == F.lit(tickers[0]))
-    return df.join(_ticker_frame(df.sparkSession, tickers), "ticker", "left_semi")
+    return df.join(ticker_frame_of(df.sparkSession, tickers), "ticker", "left_semi")
 
 
 def ratio_inputs(prices: DataFrame, fundamentals: DataFrame, tickers=None,
                  as_of=None, years: int = 5) -> DataFrame:
     """One row per ticker: close (as of) joined with the newest quarter's features."""
-    p = _restrict(prices.select("ticker", "date", "close"), tickers)
-    q = _restrict(fundamentals, tickers)
+    p = restrict(prices.select("ticker", "date", "close"), tickers)
+    q = restrict(fundamentals, tickers)
     if as_of is not None:
         d = F.lit(as_of).cast("date")
         q = q.where(F.col("fiscal_period") <= d)
         # the close comes from dates <= as_of only (year partitions after it are
         # skipped); every stored ticker stays in the universe via a ticker-only scan
-        upto = _restrict(filter_date_range(prices, None, as_of).select("ticker", "date", "close"),
+        upto = restrict(filter_date_range(prices, None, as_of).select("ticker", "date", "close"),
                          tickers)
         px = (upto.groupBy("ticker")
               .agg(F.max_by("close", "date").alias("close"), F.max("date").alias("price_date")))
@@ -147,7 +148,7 @@ def ratio_inputs(prices: DataFrame, fundamentals: DataFrame, tickers=None,
                                      F.max("date").alias("price_date"))
     feats = latest_features(q, years).drop("fiscal_period")
     if tickers is not None:
-        px = _ticker_frame(prices.sparkSession, tickers).join(px, "ticker", "left")
+        px = ticker_frame_of(prices.sparkSession, tickers).join(px, "ticker", "left")
     return px.join(feats, "ticker", "left")
 
 
@@ -159,7 +160,13 @@ def ratio_table(prices: DataFrame, fundamentals: DataFrame, tickers=None, as_of=
     """
     base = ratio_inputs(prices, fundamentals, tickers, as_of, years)
     label = "latest" if as_of is None else str(as_of)
-    return base.selectExpr(*_ratio_projection(set(base.columns), years, f"'{label}'"))
+    return base.selectExpr(*ratio_projection(set(base.columns), years, f"'{label}'"))
+
+
+def valuation_columns(fcols) -> list[str]:
+    """What the valuation summary shows beside the ratios."""
+    return (["close AS current_price", "date_format(price_date, 'yyyy-MM-dd') AS price_date"]
+            + [f"{FEATURE_PREFIX}{c} AS ttm_{c}" for c in ("revenue", "net_income") if FEATURE_PREFIX + c in fcols])
 
 
 def valuation_table(prices: DataFrame, fundamentals: DataFrame, tickers=None,
@@ -168,10 +175,7 @@ def valuation_table(prices: DataFrame, fundamentals: DataFrame, tickers=None,
     (the ratio inputs already carry them)."""
     base = ratio_inputs(prices, fundamentals, tickers, None, years)
     fcols = set(base.columns)
-    extra = ["close AS current_price", "date_format(price_date, 'yyyy-MM-dd') AS price_date"]
-    extra += [f"{FEATURE_PREFIX}{c} AS ttm_{c}" for c in ("revenue", "net_income")
-              if FEATURE_PREFIX + c in fcols]
-    return base.selectExpr(*_ratio_projection(fcols, years, "'latest'"), *extra)
+    return base.selectExpr(*ratio_projection(fcols, years, "'latest'"), *valuation_columns(fcols))
 
 
 def all_ratios(prices: DataFrame, fundamentals: DataFrame, ticker: str, as_of=None,
@@ -193,7 +197,7 @@ def all_ratios(prices: DataFrame, fundamentals: DataFrame, ticker: str, as_of=No
     feats = latest_features(q, years).drop("fiscal_period")
     fcols = set(feats.columns) | {"close"}
     label = "latest" if as_of is None else str(as_of)
-    proj = _ratio_projection(fcols, years, f"'{label}'")
+    proj = ratio_projection(fcols, years, f"'{label}'")
     proj[0] = "p.ticker AS ticker"
     return spark.sql(
         f"""SELECT {", ".join(proj)}
@@ -209,15 +213,15 @@ def ratio_panel(prices: DataFrame, fundamentals: DataFrame, dates, tickers=None,
     then takes the quarter (and price) in force on that date.
     """
     dates = normalize_dates(dates)
-    p = _restrict(prices.select("ticker", "date", "close"), tickers)
-    q = _restrict(fundamentals, tickers)
+    p = restrict(prices.select("ticker", "date", "close"), tickers)
+    q = restrict(fundamentals, tickers)
     feats = quarter_features(q, years)
     fcols = [c for c in feats.columns if c not in ("ticker", "fiscal_period", "is_latest")]
-    universe = (_ticker_frame(prices.sparkSession, tickers) if tickers is not None
+    universe = (ticker_frame_of(prices.sparkSession, tickers) if tickers is not None
                 else p.select("ticker").distinct())
     grid = as_of_join(universe, dates, [(feats, "fiscal_period", fcols, ""),
                                         (p, "date", ["close"], "")])
-    return grid.selectExpr(*_ratio_projection(set(fcols), years,
+    return grid.selectExpr(*ratio_projection(set(fcols), years,
                                               "date_format(as_of_date, 'yyyy-MM-dd')"))
 
 

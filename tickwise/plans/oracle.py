@@ -172,17 +172,18 @@ RATIO_NAMES = ["pe_ratio", "peg_ratio", "operating_margin", "net_profit_margin",
 
 def ratio_table_sql(density: str = "sparse", as_of: str | None = None, years: int = 5,
                     universe: str = "SELECT DISTINCT ticker FROM prices",
-                    final: str = "SELECT * FROM ratios", with_eps: bool = False) -> str:
-    """Latest (or as-of) ratio table for every ticker of ``universe``."""
+                    final: str = "SELECT * FROM ratios", with_eps: bool = False, prices: str = "prices",
+                    quarters: str = "fund_q", before: str = "") -> str:
+    """Latest (or as-of) ratio table for every ticker of ``universe``; ``before`` may define other inputs."""
     where = f"fiscal_period <= DATE '{as_of}'" if as_of else ""
     pcond = f"WHERE date <= DATE '{as_of}'" if as_of else ""
     label = f"'{as_of}'" if as_of else "'latest'"
     eps_col = "eps" if with_eps else None
     summed = SUMMED_Q + (["eps"] if with_eps else [])
     ttm_eps = "f.ttm_eps" if with_eps else None
-    extra = feature_cte(years=years, where=where, eps_col=eps_col, summed=summed) + f""",
+    extra = before + feature_cte(src=quarters, years=years, where=where, eps_col=eps_col, summed=summed) + f""",
 universe AS ({universe}),
-px AS (SELECT ticker, arg_max(close, date) AS close FROM prices {pcond} GROUP BY ticker),
+px AS (SELECT ticker, arg_max(close, date) AS close, max(date) AS price_date FROM {prices} {pcond} GROUP BY ticker),
 ratios AS (
   SELECT u.ticker, {label} AS as_of_date, {ratio_select('f', 'px.close', years, ttm_eps)}
   FROM universe u LEFT JOIN px USING (ticker) LEFT JOIN feat f ON f.ticker = u.ticker)"""

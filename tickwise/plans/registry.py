@@ -29,6 +29,7 @@ from tickwise.sources import extracts as X
 from tickwise.sources import ingest as I
 from tickwise.sources.bridge import Bridge
 from tickwise.sources.catalog import CatalogStore
+from tickwise.sources.maintained import MaintainedStore
 from tickwise.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -740,6 +741,51 @@ def q_ratio_panel_dense(spark, sf_dir):
     return R.ratio_panel(b.prices(), b.fundamentals(), DENSE_PANEL_DATES)
 
 
+# prices after the sinks of _maintained_store
+_MAINTAINED = _CUTS + """,
+px_kept AS (
+  SELECT p.ticker, p.date, CASE WHEN p.year = 1999 OR p.date = c.cut THEN p.close + 1 ELSE p.close END AS close
+  FROM prices p LEFT JOIN cuts c USING (ticker) WHERE p.ticker NOT LIKE 'P%0'),
+"""
+_MAINTAINED_UNIVERSE = "SELECT DISTINCT ticker FROM px_kept"
+
+
+def _maintained_store(spark, sf_dir, name) -> MaintainedStore:
+    """Tables and state after writes, an upsert, a replacement of one year and a deletion."""
+    st, b = MaintainedStore(spark, shared_dir(spark, f"maintained-{name}")), _b(spark, sf_dir, "sparse")
+    px = b.prices()
+    stored, feed = _split(px)
+    st.write_prices(stored)
+    st.write_fundamentals(b.fundamentals(), "quarterly")
+    st.append_prices(feed)
+    st.write_prices(px.where(F.col("year") == 1999).withColumn("close", F.col("close") + 1))
+    st.delete_ticker(px.select("ticker").where("ticker LIKE 'P%0'"))
+    return st
+
+
+@register("all_ratios_maintained", O.ratio_table_sql(
+    "sparse", before=_MAINTAINED, prices="px_kept", universe="SELECT 'P77' AS ticker UNION ALL SELECT 'P20' UNION ALL SELECT 'none'",
+    quarters="(SELECT * FROM fund_q WHERE ticker NOT LIKE 'P%0')"))
+def q_all_ratios_maintained(spark, sf_dir):
+    """One ticker, one deleted and one unknown, read off the state that the sinks keep."""
+    st = _maintained_store(spark, sf_dir, "all_ratios")
+    return st.all_ratios("P77").unionByName(st.all_ratios("P20")).unionByName(st.all_ratios("none"))
+
+
+@register("ratio_table_maintained", O.ratio_table_sql("sparse", before=_MAINTAINED, prices="px_kept",
+                                                      universe=_MAINTAINED_UNIVERSE))
+def q_ratio_table_maintained(spark, sf_dir):
+    return _maintained_store(spark, sf_dir, "ratio_table").ratios()
+
+
+@register("valuation_summary_maintained", O.ratio_table_sql(
+    "sparse", before=_MAINTAINED, prices="px_kept", universe=_MAINTAINED_UNIVERSE,
+    final="SELECT r.*, px.close AS current_price, strftime(px.price_date, '%Y-%m-%d') AS price_date, feat.ttm_revenue, "
+          "feat.ttm_net_income FROM ratios r LEFT JOIN px USING (ticker) LEFT JOIN feat USING (ticker)"))
+def q_valuation_maintained(spark, sf_dir):
+    return _maintained_store(spark, sf_dir, "valuation").valuation_summary()
+
+
 for _name, _dens in [("pe_ratio", "sparse"), ("peg_ratio", "sparse"),
                      ("operating_margin", "sparse"), ("net_profit_margin", "medium"),
                      ("gross_margin", "dense"), ("rd_intensity", "sparse"),

@@ -331,6 +331,7 @@ class Store:
                  upsert_keys: list[str] | None = None, order_col: str | None = None,
                  watch: tuple | None = None) -> int:
         batch = self._batch(df, table, ticker, order_col, watch)
+        self._about_to_change(table)
         if not self._has_files(self.path(table)):
             # fresh table: nothing to merge, so no need to find touched partitions first
             self._write(batch, table)
@@ -339,6 +340,7 @@ class Store:
                 log.warning("Empty frame for %s, nothing written", table)
                 self._delete(self.path(table))
                 self.refresh()
+            self._changed(table, self.read(table), upsert_keys is not None)
             return n
         key_cols = upsert_keys or keys
         # staged keys make both sides of the joins plain reads, which Spark can split
@@ -346,6 +348,7 @@ class Store:
             parts = self._touched(new, table)
             if not parts:
                 log.warning("Empty frame for %s, skipping write", table)
+                self._changed(table, new, upsert_keys is not None)
                 return 0
             old = self._in_partitions(self.read(table), table, parts)
             # partitions where an incoming key already exists: only these are rewritten
@@ -359,8 +362,15 @@ class Store:
             # rows landing only in partitions without a clash are appended as new files
             if set(parts) - set(clash):
                 self._append(self._not_in_partitions(new, table, clash) if clash else new, table)
+            self._changed(table, new, upsert_keys is not None)
         return len(parts)
 
+    def _about_to_change(self, table: str) -> None:
+        """Called before a sink touches a table."""
+
+    def _changed(self, table: str, batch: DataFrame, upsert: bool) -> None:
+        """Called with the stored batch when a sink has replaced or upserted it."""
+
     def _not_in_partitions(self, df: DataFrame, table: str, parts: list[tuple]) -> DataFrame:
         pcols = self.partition_cols(table)
         types = {c: df.schema[c].dataType for c in pcols}
