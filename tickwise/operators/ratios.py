@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.operators.asof import as_of_join, normalize_dates
+from tickwise.operators.asof import as_of_join, as_of_slices, normalize_dates
 from tickwise.operators.filters import filter_date_range
 from tickwise.operators.ttm import FEATURE_PREFIX, latest_features, newest_n_quarters, quarter_features
 from tickwise.schemas import RATIO_COLUMNS
@@ -210,17 +210,18 @@ def ratio_panel(prices: DataFrame, fundamentals: DataFrame, dates, tickers=None,
     """One row per (ticker, as_of_date) for many as-of dates in one job.
 
     Quarter features are computed once for every quarter; each as-of date
-    then takes the quarter (and price) in force on that date.
+    then takes the quarter (and price) in force on that date. ``dates`` may be a list, or
+    a DataFrame whose first column holds the dates (``as_of_slices``: any number of them).
     """
-    dates = normalize_dates(dates)
     p = restrict(prices.select("ticker", "date", "close"), tickers)
     q = restrict(fundamentals, tickers)
     feats = quarter_features(q, years)
     fcols = [c for c in feats.columns if c not in ("ticker", "fiscal_period", "is_latest")]
     universe = (ticker_frame_of(prices.sparkSession, tickers) if tickers is not None
                 else p.select("ticker").distinct())
-    grid = as_of_join(universe, dates, [(feats, "fiscal_period", fcols, ""),
-                                        (p, "date", ["close"], "")])
+    sources = [(feats, "fiscal_period", fcols, ""), (p, "date", ["close"], "")]
+    grid = (as_of_slices(universe, dates, sources) if isinstance(dates, DataFrame)
+            else as_of_join(universe, normalize_dates(dates), sources))
     return grid.selectExpr(*ratio_projection(set(fcols), years,
                                               "date_format(as_of_date, 'yyyy-MM-dd')"))
 

@@ -196,8 +196,10 @@ def dates_cte(dates) -> str:
 
 
 def ratio_panel_sql(density: str, dates, years: int = 5) -> str:
-    """Brute force: every quarter / price row joined to every as-of date on or after it."""
-    extra = dates_cte(dates) + """,
+    """Brute force: every quarter / price row joined to every as-of date on or after it.
+
+    ``dates`` is a list, or the text of a ``dates(as_of_date)`` CTE."""
+    extra = (dates if isinstance(dates, str) else dates_cte(dates)) + """,
 fq AS (SELECT f.*, dt.as_of_date FROM fund_q f JOIN dates dt ON f.fiscal_period <= dt.as_of_date),
 """ + feature_cte(src="fq", part="ticker, as_of_date", years=years) + f""",
 universe AS (SELECT DISTINCT ticker FROM prices),

@@ -741,6 +741,13 @@ def q_ratio_panel_dense(spark, sf_dir):
     return R.ratio_panel(b.prices(), b.fundamentals(), DENSE_PANEL_DATES)
 
 
+@register("ratio_panel_daily", O.ratio_panel_sql("dense", "dates AS (SELECT DISTINCT date AS as_of_date FROM prices)"))
+def q_ratio_panel_daily(spark, sf_dir):
+    """Ratios of every ticker on every trading day; the days are a DataFrame."""
+    b = _b(spark, sf_dir)
+    return R.ratio_panel(b.prices(), b.fundamentals(), b.prices().select("date").distinct())
+
+
 # prices after the sinks of _maintained_store
 _MAINTAINED = _CUTS + """,
 px_kept AS (
