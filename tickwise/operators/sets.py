@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ def dedupe_keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     A ``max_by`` aggregate rather than a row_number window: it is reduced
     inside each map task first, so a key with very many copies never lands
     whole in one task. Equal ``seq`` values are broken by the row's values,
-    so the result is deterministic under retries.
+    so the result is deterministic under retries. ``source_position`` makes a ``seq``
+    of the rows' order in their files.
     """
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(F.col(seq), *[F.col(c) for c in rest if c != seq])
@@ -27,6 +29,20 @@ def dedupe_keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
+def source_position(df: DataFrame, name: str = "_position") -> DataFrame | None:
+    """``df`` with the place of each row in its source files: (path, where the split begins, row), in reading order.
+
+    For frames that scan files, also through projections and filters; None for others. Rows of one split are
+    read by one task in order, so its row numbers rise within a split; files follow each other by path.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                     F.monotonically_increasing_id().alias("row"))
+    try:
+        return df.select("*", place.alias(name))
+    except AnalysisException:  # no file scan below, or one that was joined, grouped or united
+        return None
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct()
 

@@ -147,6 +147,40 @@ def q_load_prices(spark, sf_dir):
     return X.load_prices_extract(spark, path)
 
 
+# faults put into a price file, by volume: an unreadable day, an unreadable close, no ticker
+_FAULTS = {7: ("date", "31.31.1997"), 8: ("close", "n/a"), 9: ("ticker", None)}
+
+
+def _faulty_prices(spark, sf_dir, name) -> X.Loaded:
+    from tickwise.schemas import PRICE_COLUMN_MAP
+    px = _b(spark, sf_dir, "sparse").prices().drop("year")
+    as_text = px.select(*[F.col(c).cast("string").alias(c) for c in px.columns], (F.col("volume") % 50).alias("_k"))
+    for k, (c, value) in _FAULTS.items():
+        as_text = as_text.withColumn(c, F.when(F.col("_k") == k, F.lit(value)).otherwise(F.col(c)))
+    path = _vendor_csv(as_text.drop("_k"), PRICE_COLUMN_MAP, shared_dir(spark, f"faulty-{name}"))
+    return X.load_with_rejects(spark, path, "prices", shared_dir(spark, f"loaded-{name}"))
+
+
+@register("load_prices_good_rows", W("SELECT ticker, date, open, high, low, close, adjusted_close, volume FROM prices "
+                                     "WHERE volume % 50 NOT IN (7, 8, 9)", "sparse"))
+def q_load_good(spark, sf_dir):
+    """Good rows of a price file with faulty ones; the faulty are kept apart in the same reading."""
+    return _faulty_prices(spark, sf_dir, "good").rows
+
+
+@register("load_prices_rejects", W(
+    "SELECT CASE volume % 50 WHEN 7 THEN 'date: malformed' WHEN 8 THEN 'close: malformed' ELSE 'ticker: missing' END AS reason, "
+    "count(*) AS n, max(close) FILTER (WHERE volume % 50 <> 8) AS close FROM prices WHERE volume % 50 IN (7, 8, 9) "
+    "GROUP BY 1", "sparse"))
+def q_load_rejects(spark, sf_dir):
+    from tickwise.schemas import PRICE_COLUMN_MAP
+    vendor = {v: k for k, v in PRICE_COLUMN_MAP.items()}
+    rejects = _faulty_prices(spark, sf_dir, "rejects").rejects
+    close = F.get_json_object("raw", f"$['{vendor.get('close', 'close')}']").try_cast("double")
+    return rejects.groupBy(F.element_at("reasons", 1).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(close).alias("close"))
+
+
 _LABEL = "'Q' || CAST(quarter(fiscal_period) AS VARCHAR) AS fiscal_label"
 
 
@@ -258,6 +292,22 @@ def q_append_prices(spark, sf_dir):
     return st.scan_prices()
 
 
+@register("append_prices_last_in_files", W(
+    "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
+    "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "
+    "FROM prices p LEFT JOIN cuts c USING (ticker)", density="sparse", extra=_CUTS))
+def q_append_last_in_files(spark, sf_dir):
+    """One batch of files that holds every key of the feed twice: what stands last in the files is stored."""
+    st = _store(spark, "append_last")
+    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
+    st.write_prices(stored)
+    batch = shared_dir(spark, "feed-twice")
+    feed.withColumn("close", F.col("close") + 1000).write.parquet(f"{batch}/1-early")
+    feed.write.parquet(f"{batch}/2-late")
+    st.append_prices(spark.read.schema(feed.schema).option("recursiveFileLookup", "true").parquet(batch))
+    return st.scan_prices()
+
+
 @register("stream_upsert", W(
     "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
     "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from tickwise.functions.scalar import TICKER_BUCKETS, ticker_bucket
 from tickwise.operators.filters import filter_date_range, project_columns
 from tickwise.operators.ratios import ticker_names
-from tickwise.operators.sets import dedupe_keep_last
+from tickwise.operators.sets import dedupe_keep_last, source_position
 from tickwise.schemas import FUNDAMENTALS, PRICE_KEYS, PRICES
 
 log = logging.getLogger(__name__)
@@ -312,17 +312,23 @@ class Store:
                watch: tuple | None) -> DataFrame:
         """Incoming rows as they will be stored: non-null keys, one row per key.
 
+        Of a repeated key the row with the highest ``order_col`` stays; without one the last row of the
+        batch's files, where the frame is a scan of files; else a deterministic choice.
         ``watch`` is a pair of Observations: rows that came in, rows that are left.
         """
+        placed = None if order_col else source_position(df, "_position")
+        if placed is not None:
+            df = placed
         if watch:
             df = df.observe(watch[0], F.count(F.lit(1)).alias("n"))
         df = self._prepare(df, table, ticker)
+        seq = F.col(order_col) if order_col else F.col("_position") if placed is not None else F.lit(0)
         if table == "prices":
-            keys, seq = PRICE_KEYS, (F.col(order_col) if order_col else F.lit(0))
+            keys = PRICE_KEYS
         else:  # of two fiscal years for one period end the later one holds
             keys = ["ticker", "fiscal_period"]
-            seq = F.col("fiscal_year") if "fiscal_year" in df.columns else F.lit(0)
-        df = dedupe_keep_last(df.withColumn("_seq", seq), keys, "_seq").drop("_seq")
+            seq = F.struct(F.col("fiscal_year") if "fiscal_year" in df.columns else F.lit(0), seq.alias("seq"))
+        df = dedupe_keep_last(df.withColumn("_seq", seq).drop("_position"), keys, "_seq").drop("_seq")
         if order_col:
             df = df.drop(order_col)   # a batch tie-breaker, not a table column
         return df.observe(watch[1], F.count(F.lit(1)).alias("n")) if watch else df
@@ -409,7 +415,7 @@ class Store:
     def write_prices(self, df: DataFrame, ticker: str | None = None, watch: tuple | None = None) -> int:
         """Replace the (ticker, year) slices present in ``df``; returns partitions touched.
 
-        A (ticker, date) repeated within the batch is kept once (deterministic choice).
+        A (ticker, date) repeated within the batch is kept once (the last row of the batch's files, where it is read from files).
         """
         return self._replace(df, "prices", ["ticker", "year"], ticker, watch=watch)
 
@@ -433,8 +439,8 @@ class Store:
         """Upsert: stored and new rows, newest source wins per (ticker, date).
 
         Within one batch a repeated (ticker, date) keeps the row with the
-        highest ``order_col`` (when given), else a deterministic choice (D23:
-        always de-duplicated).
+        highest ``order_col`` (when given), else the last in the batch's files, else a deterministic
+        choice (D23: always de-duplicated).
         """
         return self._replace(df, "prices", ["ticker", "year"], ticker,
                              upsert_keys=["ticker", "date"], order_col=order_col)
