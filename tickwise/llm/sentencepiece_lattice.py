@@ -16,7 +16,7 @@ words can be segmented apart. The distinct words are the nodes of a relation:
 Scores are those of the model file, and the segmentation is the one of the largest sum of scores.
 
 How words travel: texts are dealt to buckets of about ``BUCKET`` bytes, once, compressed. A bucket sends its
-distinct words, sorted and compressed, to as many word parts; each part encodes a word once
+distinct words, sorted and compressed, to word parts (their number grows with the root of that of buckets); each part encodes a word once
 for all buckets, and answers every bucket's list with the ids in the same order. So each word moves as
 a few bytes, the vocabulary is never gathered, and a frequent word weighs no more than others. Words are handed to
 the lattice in slices of ``SLICE`` characters (each with the few that follow), so no word is too long for a row.
@@ -30,6 +30,7 @@ U+2581 in it, which the model takes for a space.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from itertools import chain
@@ -266,12 +267,13 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     """(doc_id, ids): the piece ids of each row's whole text; ``pieces`` as ``model_pieces`` reads them."""
     rows = id_and_text(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(1, -(-size // bucket))
+    buckets = max(1, -(-size // bucket))
+    parts = math.ceil(16 * buckets ** 0.5)  # a list per bucket and part: fewer parts than buckets once there are many
     longest = longest_piece(pieces)
     known = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
     byte_ids = [known.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
-    dealt = (rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
-             .mapInArrow(_blocks, "bucket int, block binary").repartition(parts, "bucket"))
+    dealt = (rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
+             .mapInArrow(_blocks, "bucket int, block binary").repartition(buckets, "bucket"))
 
     def list_words(t):
         lists = _lists([x for _, x in _rows(t)], parts)
