@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +36,9 @@ def source_position(df: DataFrame, name: str = "_position") -> DataFrame | None:
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
                      F.monotonically_increasing_id().alias("row"))
-    try:
-        return df.select("*", place.alias(name))
-    except AnalysisException:  # no file scan below, or one that was joined, grouped or united
-        return None
+    # no file scan below, or one that was joined, grouped or united, has no such hidden column
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput().mkString(" ")
+    return df.select("*", place.alias(name)) if "_metadata#" in hidden else None
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -31,6 +31,7 @@ from tickwise.sources.bridge import Bridge
 from tickwise.sources.catalog import CatalogStore
 from tickwise.sources.maintained import MaintainedStore
 from tickwise.sources.store import Store
+from tickwise.sources.versioned import VersionedStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -292,6 +293,22 @@ def q_append_prices(spark, sf_dir):
     return st.scan_prices()
 
 
+@register("append_prices_versioned", W(
+    "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
+    "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "
+    "FROM prices p LEFT JOIN cuts c USING (ticker) WHERE p.ticker NOT LIKE 'P%0'", density="sparse", extra=_CUTS))
+def q_append_versioned(spark, sf_dir):
+    """The upsert and a deletion as file-level rewrites under one commit log."""
+    st = VersionedStore(spark, shared_dir(spark, "store-versioned"))
+    px = _b(spark, sf_dir, "sparse").prices()
+    stored, feed = _split(px)
+    st.write_prices(stored)
+    with st.transaction():
+        st.append_prices(feed)
+        st.delete_ticker(px.select("ticker").where("ticker LIKE 'P%0'"))
+    return st.scan_prices()
+
+
 @register("append_prices_last_in_files", W(
     "SELECT p.ticker, p.date, p.open, p.high, p.low, CASE WHEN p.date = c.cut THEN p.close + 1 "
     "ELSE p.close END AS close, p.adjusted_close, p.volume, p.year "
@@ -417,6 +434,26 @@ def q_ingest_full(spark, sf_dir):
         sp=st.read("prices"), sq=st.read("quarterly"), sa=st.read("annual"))
 
 
+@register("ingest_full_one_commit", W("""SELECT 1 AS version,
+  (SELECT count(*) FROM prices WHERE date >= DATE '1997-01-01') AS stored_price_rows,
+  (SELECT count(*) FROM fund_q) AS stored_quarterly_rows,
+  (SELECT count(*) FROM fund_a) AS stored_annual_rows""", "medium"))
+def q_ingest_one_commit(spark, sf_dir):
+    """Three tables in one version; a second update that stops between two of them leaves the first in place."""
+    st, b = VersionedStore(spark, shared_dir(spark, "store-one-commit")), _b(spark, sf_dir, "medium")
+    I.ingest_full(st, b.prices(), b.fundamentals(), b.fundamentals("annual"), start_date="1997-01-01")
+    try:
+        I.ingest_full(st, b.prices().withColumn("close", F.lit(0.0)), b.fundamentals().limit(5),
+                      b.fundamentals("annual").withColumn("fiscal_period", F.raise_error(F.lit("stop")).cast("date")))
+    except Exception as e:  # noqa: BLE001 - the stop asked for above
+        if "stop" not in str(e):
+            raise
+    seen = VersionedStore(spark, st.root)
+    return spark.sql("""SELECT CAST(:v AS INT) AS version, (SELECT count(1) FROM {p} WHERE close > 0) AS stored_price_rows,
+  (SELECT count(1) FROM {q}) AS stored_quarterly_rows, (SELECT count(1) FROM {a}) AS stored_annual_rows""",
+                     args={"v": seen.versions()[-1]}, p=seen.read("prices"), q=seen.read("quarterly"), a=seen.read("annual"))
+
+
 # =========================================================================== 2.3 filters
 @register("filter_ticker", W(f"SELECT * FROM prices WHERE ticker = '{REF_TICKER}'"))
 def q_filter_ticker(spark, sf_dir):

@@ -51,18 +51,19 @@ def ingest_full(store: Store, prices: DataFrame, quarterly: DataFrame | None = N
     feed = prices if tickers is None else prices.join(wanted, "ticker", "left_semi")
     summary = {"tickers_processed": wanted.count(), "prices_written": 0, "fundamentals_written": 0,
                "rows_dropped": 0, "errors": []}
-    dated = feed.where(F.col("date").isNull() | (F.col("date") >= start))
-    summary["prices_written"], summary["rows_dropped"] = _watched(store.write_prices, dated, None)
-    if not summary["prices_written"]:
-        summary["errors"].append("no price data")
-    for period, df in (("quarterly", quarterly), ("annual", annual)):
-        if df is None or not include_fundamentals:
-            continue
-        chosen = df.join(wanted, "ticker", "left_semi")
-        written, dropped = _watched(store.write_fundamentals, chosen, period, None)
-        summary["rows_dropped"] += dropped
-        if period == "quarterly":
-            summary["fundamentals_written"] = written
+    with store.transaction():  # one commit for all tables, where the store has commits
+        dated = feed.where(F.col("date").isNull() | (F.col("date") >= start))
+        summary["prices_written"], summary["rows_dropped"] = _watched(store.write_prices, dated, None)
+        if not summary["prices_written"]:
+            summary["errors"].append("no price data")
+        for period, df in (("quarterly", quarterly), ("annual", annual)):
+            if df is None or not include_fundamentals:
+                continue
+            chosen = df.join(wanted, "ticker", "left_semi")
+            written, dropped = _watched(store.write_fundamentals, chosen, period, None)
+            summary["rows_dropped"] += dropped
+            if period == "quarterly":
+                summary["fundamentals_written"] = written
     return summary
 
 

@@ -116,6 +116,11 @@ class Store:
         finally:
             self._delete(path)
 
+    @contextmanager
+    def transaction(self):
+        """Writes inside belong together; only a ``VersionedStore`` makes them visible at once."""
+        yield
+
     # ------------------------------------------------------------------ layout file
     def _layout_path(self, table: str) -> str:
         return f"{self.path(table)}/_layout.json"
