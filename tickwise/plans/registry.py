@@ -353,6 +353,36 @@ def q_ingest_incremental(spark, sf_dir):
     return st.scan_prices()
 
 
+def _incremental_stream(spark, sf_dir, name):
+    """The feed of ingest_incremental as files, older days first; the stream is stopped in between and started again."""
+    from tickwise.streaming.incremental import IncrementalStream
+    st = _store(spark, f"stream-{name}")
+    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
+    st.write_prices(stored)
+    feed_dir = shared_dir(spark, f"late-feed-{name}")
+    stream = IncrementalStream(spark, st, feed_dir, shared_dir(spark, f"late-work-{name}"), schema=feed.schema)
+    for part in ("year < 2000", "year >= 2000"):
+        feed.where(part).write.mode("append").parquet(feed_dir)
+        stream.start().awaitTermination()
+    st.refresh()
+    return st, stream
+
+
+@register("stream_incremental", W(
+    f"SELECT {_PCOLS} FROM prices WHERE ticker IN (SELECT ticker FROM cuts)", density="sparse", extra=_CUTS))
+def q_stream_incremental(spark, sf_dir):
+    return _incremental_stream(spark, sf_dir, "rows")[0].scan_prices()
+
+
+@register("stream_late_rows", W(
+    "SELECT p.ticker, p.date, CASE WHEN p.date = c.cut THEN p.close + 1 ELSE p.close END AS close, c.cut AS late_for, "
+    "CASE WHEN c.cut IS NULL THEN 'unknown ticker' ELSE 'late' END AS reason "
+    "FROM prices p LEFT JOIN cuts c USING (ticker) WHERE c.cut IS NULL OR p.date = c.cut", density="sparse", extra=_CUTS))
+def q_stream_late(spark, sf_dir):
+    """Feed rows that came too late, or whose ticker nothing is stored of."""
+    return _incremental_stream(spark, sf_dir, "late")[1].late_rows().select("ticker", "date", "close", "late_for", "reason")
+
+
 @register("delete_ticker", W(
     f"SELECT {_PCOLS}, 3 AS tables_affected FROM prices WHERE ticker NOT LIKE 'P%0'", "sparse"))
 def q_delete_ticker(spark, sf_dir):
