@@ -30,6 +30,7 @@ from tickwise.sources import ingest as I
 from tickwise.sources.bridge import Bridge
 from tickwise.sources.catalog import CatalogStore
 from tickwise.sources.maintained import MaintainedStore
+from tickwise.sources.profiled import ProfiledStore
 from tickwise.sources.store import Store
 from tickwise.sources.versioned import VersionedStore
 
@@ -815,6 +816,50 @@ def q_quality_report(spark, sf_dir):
                             REF_TICKER, "1995-06-01")
 
 
+# prices and statements after the sinks of _profiled_store
+_PROFILED = """px2 AS (SELECT * FROM prices WHERE ticker NOT LIKE 'P%0'),
+fq2 AS (SELECT * FROM fund_q WHERE ticker NOT LIKE 'P%0')"""
+
+
+def _profiled_store(spark, sf_dir, name) -> ProfiledStore:
+    """Tables and profiles after writes, an upsert of later days and a deletion."""
+    st, b = ProfiledStore(spark, shared_dir(spark, f"profiled-{name}")), _b(spark, sf_dir, "sparse")
+    px = b.prices()
+    stored, feed = _split(px)
+    st.write_prices(stored)
+    st.write_fundamentals(b.fundamentals(), "quarterly")
+    st.append_prices(feed)
+    st.delete_ticker(px.select("ticker").where("ticker LIKE 'P%0'"))
+    return st
+
+
+@register("price_profile_maintained", W("""SELECT CAST(count(*) AS BIGINT) AS total_rows,
+  CAST(count(DISTINCT ticker) AS BIGINT) AS unique_tickers, min(date) AS min_date, max(date) AS max_date,
+  CAST(count(*) FILTER (WHERE ticker = 'P7') AS BIGINT) AS ref_rows,
+  min(date) FILTER (WHERE ticker = 'P7') AS ref_min_date, max(date) FILTER (WHERE ticker = 'P7') AS ref_max_date,
+  coalesce(min(date) <= DATE '1995-06-01', false) AS passed FROM px2""", "sparse", extra=_PROFILED))
+def q_price_profile_maintained(spark, sf_dir):
+    return _profiled_store(spark, sf_dir, "price").price_profile("P7", "1995-06-01")
+
+
+@register("fundamentals_profile_maintained", W("""SELECT CAST(count(*) AS BIGINT) AS total_rows,
+  CAST(count(DISTINCT ticker) AS BIGINT) AS unique_tickers,
+  CAST(count(*) FILTER (WHERE ticker = 'P7') AS BIGINT) AS ref_quarters,
+  CAST(4 AS BIGINT) AS key_columns_found, true AS passed FROM fq2""", "sparse", extra=_PROFILED))
+def q_fundamentals_profile_maintained(spark, sf_dir):
+    return _profiled_store(spark, sf_dir, "fundamentals").fundamentals_profile("P7")
+
+
+@register("data_summary_maintained", W("""SELECT ticker, strftime(min(date), '%Y-%m-%d') AS min_date,
+  strftime(max(date), '%Y-%m-%d') AS max_date,
+  (SELECT count(DISTINCT ticker) FROM px2) AS price_tickers,
+  (SELECT count(DISTINCT ticker) FROM fq2) AS quarterly_tickers, CAST(0 AS BIGINT) AS annual_tickers
+FROM px2 WHERE ticker IN (SELECT DISTINCT ticker FROM px2 ORDER BY ticker LIMIT 5)
+GROUP BY ticker""", "sparse", extra=_PROFILED))
+def q_data_summary_maintained(spark, sf_dir):
+    return _profiled_store(spark, sf_dir, "summary").data_summary()
+
+
 # =========================================================================== 2.6 ratios
 @register("ratio_table", O.ratio_table_sql("sparse"))
 def q_ratio_table(spark, sf_dir):

@@ -118,6 +118,7 @@ class MaintainedStore(Store):
         return fs.exists(p)
 
     def _about_to_change(self, table: str) -> None:
+        super()._about_to_change(table)
         if table == "annual":
             return
         if self._exists(self._mark):  # what an earlier sink left behind is not added to
@@ -126,6 +127,7 @@ class MaintainedStore(Store):
         fs.create(p, True).close()
 
     def _changed(self, table: str, batch: DataFrame, upsert: bool) -> None:
+        super()._changed(table, batch, upsert)
         if table == "annual":
             return
         if not self._has_files(self.state_path):
