@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import cut, id_and_text
+from tickwise.llm.common import cut, id_and_text, slices
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?:\n]")
 # fixed lists of the template language
@@ -193,7 +193,7 @@ def windows(rows: DataFrame, keys: list[str], width: int, min_words: int,
 
     def run(batches):
         known = _Words()
-        for b in batches:
+        for b in slices(batches):
             at, found = [], []
             for row, text in enumerate(b.column(len(keys)).to_pylist()):
                 before = len(found)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import cut, id_and_text
+from tickwise.llm.common import cut, id_and_text, slices
 
 MAX_LABELLED = 12_000  # labelled rows that voters, label model and classifier are fitted on
 MAX_VOTERS = 160  # mined lexicon voters
@@ -72,7 +72,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     rows = id_and_text(docs).join(F.broadcast(some), "doc_id")  # max_labelled rows at most
 
     def mark(batches):
-        for b in batches:
+        for b in slices(batches):
             marks = []
             for text in b.column(2).to_pylist():
                 w = WORD.findall(text.lower())
@@ -90,7 +90,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 def mine(sample: DataFrame, max_voters: int = MAX_VOTERS) -> list[str]:
     """Words and beginnings that speak for the toxic class, best first (by their likelihood ratio)."""
     def spread(batches):
-        for b in batches:
+        for b in slices(batches):
             found, toxic = [], []
             for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 new = {f for w in _words(text) for f in terms(w)}
@@ -210,7 +210,7 @@ def fit(sample: DataFrame) -> tuple[float, dict[int, float]]:
     patterns = [re.compile(p) for p in PATTERNS]
 
     def votes_and_buckets(batches):
-        for b in batches:
+        for b in slices(batches):
             marked, fired, buckets = [], [], []
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = [f for w in sorted(_words(text)) for f in terms(w)]
@@ -233,13 +233,17 @@ def fit(sample: DataFrame) -> tuple[float, dict[int, float]]:
         votes[i, hit] = 1
     post = LabelModel().fit(votes, got.column("marked").to_numpy())
     lists = got.column("buckets").combine_chunks()
-    rows = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())).astype(np.int32)
+    del got
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     cols = lists.values.to_numpy()
     often = np.bincount(cols, minlength=BUCKETS) >= 3
     keep = often[cols]
     names = np.flatnonzero(often)
+    place_of = np.zeros(BUCKETS, np.int32)
+    place_of[names] = np.arange(len(names))
     target = np.clip(post, 0.001, 0.999)
-    rows, cols = rows[keep], np.searchsorted(names, cols[keep])
+    rows, cols = rows[keep], place_of[cols[keep]]
+    del lists, keep
     chosen = np.flatnonzero(_logistic(rows, cols, target)[1])
     keep = np.isin(cols, chosen)  # the chosen features once more, hardly shrunk
     b, w = _logistic(rows[keep], np.searchsorted(chosen, cols[keep]), target, penalty=0.1)
@@ -270,7 +274,7 @@ def score(docs: DataFrame, model: tuple[float, dict[int, float]], id_col: str =
     """(doc_id, score): each row's whole text under the linear classifier, 0 to 1."""
     def run(batches):
         scorer = _Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             out = [scorer(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
@@ -283,7 +287,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 
     def run(batches):
         scorer = _Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([scorer(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
