@@ -6,6 +6,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tickwise.llm import suffix_dedup
 
 
@@ -73,3 +75,18 @@ def test_triggers_are_never_further_apart_than_the_window():
             assert max(b - a for a, b in zip(at, at[1:], strict=False)) <= parser.reach + 1
             starts = [i for base, lo, hi in parser.occurrences(text) for i in range(lo, hi + 1)]
             assert starts == list(range(len(text) - length + 1))
+
+
+def test_other_columns_come_through_unchanged(spark):
+    import datetime as dt
+    when = dt.datetime(2024, 5, 6, 7, 8, 9, 456789)
+    long = "some words that are repeated in two documents " * 20
+    rows = [(1, long, when, float("nan"), b"\x00\xff", ["a", None], "x"), (2, "kept " + long, None, 0.1, None, None, "y"),
+            (None, None, when, float("inf"), b"", [], None), (2, "kept " + long, None, 0.1, None, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, seen timestamp, v double, raw binary, tags array<string>, carried string")
+    got = suffix_dedup.without_repeats(docs.withColumn("n_chars", F.lit(7)), 400)
+    assert got.columns == [*docs.columns, "n_chars"]
+    plain = lambda df: sorted(map(str, df.select("doc_id", "seen", "v", "raw", "tags", "carried").collect()))
+    assert plain(got) == plain(docs)
+    assert all(r.n_chars == len(r.text) < 100 for r in got.collect())
+    assert suffix_dedup.without_repeats(docs.limit(0), 400).count() == 0

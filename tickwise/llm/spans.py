@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tickwise.llm.common import bitmap, id_and_text, in_bitmap, slices
 
 NO_ID = -(1 << 63)  # stands for a null id in keys
+# carried columns keep their microseconds
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
@@ -21,7 +23,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None =
     rows = id_and_text(docs, id_col, text_col)
     carried = F.lit(None).cast("string")
     if carry:
-        rows = docs.select(F.to_json(F.struct(*carry)).alias("carried"),
+        rows = docs.select(F.to_json(F.struct(*carry), JSON).alias("carried"),
                            F.col(id_col).cast("long").alias("doc_id"),
                            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         carried = F.col("carried")

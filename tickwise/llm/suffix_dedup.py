@@ -34,9 +34,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickwise.llm.common import bitmap, cut, in_bitmap, slices, stored
-from tickwise.llm.spans import keyed, remove
+from tickwise.llm.spans import JSON, keyed, remove
 
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), np.uint32)
 
@@ -246,9 +247,11 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs(doc_id, text, ...)``, all columns, with the kept text; ``n_chars``, if there, is counted anew.
 
-    Bytes of a character that was cut through go too.
+    Bytes of a character that was cut through go too. A null text becomes an empty one; null ids, repeated rows and
+    extra columns of any name and type are kept, an empty table stays empty. The other columns travel beside the text, which moves once.
     """
-    done = dedup(docs, length, carry=docs.columns)
+    others = [f for f in docs.schema.fields if f.name not in ("text", "n_chars")]
+    done = dedup(docs, length, carry=[f.name for f in others])
 
     def read(batches):
         for b in slices(batches):
@@ -256,6 +259,6 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["carried", "kept_text"])
 
     texts = done.select("carried", "kept").mapInArrow(read, "carried string, kept_text string")
-    rows = texts.select("kept_text", F.from_json("carried", docs.schema).alias("row"))
+    rows = texts.select("kept_text", F.from_json("carried", T.StructType(others), JSON).alias("row"))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
