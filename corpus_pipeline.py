@@ -15,27 +15,41 @@ from tickwise.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier rejects go."""
+    """Documents that the weakly supervised classifier rejects go.
+
+    A null or empty text has no words and stays unless the intercept alone rejects it; repeated rows are judged
+    alike; null ids, extra columns of any name and empty tables pass through; a text is read whole, one row at a time.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of SimHashes (three words, two bits): the smallest id."""
+    """One document stays of each group of SimHashes (three words, two bits): the smallest id.
+
+    Texts without words share fingerprint zero and form a group like any other; of rows that repeat an id one stays;
+    extra columns of any name are kept; an empty table stays empty.
+    """
     return simhash_dedup.keep_one(docs, shingle=3, max_bits=2)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte in a string of 400 bytes that also starts elsewhere goes; no document does."""
+    """Every byte in a string of 400 bytes that also starts elsewhere goes; no document does.
+
+    A null text becomes empty; null ids, repeated rows and extra columns are kept; ``n_chars`` is counted anew.
+    """
     return suffix_dedup.without_repeats(docs, length=400)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share template windows with the benchmark go."""
+    """Documents that share template windows with the benchmark go.
+
+    Null and empty texts are clean; repeated rows and null ids are judged by their texts; all columns are kept.
+    """
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): what is left, as piece ids."""
+    """(doc_id, n_tokens, ids): what is left, as piece ids; null and empty texts have none, every row gets its row."""
     pieces = sentencepiece_lattice.model_pieces(tokenizer("piece_bpe_32k.model"))
     return sentencepiece_lattice.encode(docs, pieces).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
 
