@@ -61,3 +61,26 @@ def test_run_is_registered(spark, steps):
     import __spark_entry__
     got = __spark_entry__.queries()["pipeline"](spark, SF)
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((r.doc_id, r.n_tokens) for r in steps[5])
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, extra columns with clashing names, and an empty table."""
+    words = "all the quiet people of this small town were walking slowly along their river under some very old trees "
+    rows = [(1, words, "en", "s", 5, "a"), (2, None, "en", None, None, "b"), (None, "no id here", None, "s", 3, "c"),
+            (3, "", "en", "s", 0, "d"), (4, words + "twice", "en", "s", 9, "e"), (4, words + "twice", "en", "s", 9, "e"),
+            (5, "long " * 30_000, "en", "s", 1, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mark string")
+    spark.createDataFrame([(1, 0), (4, 0), (9, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "What is the name of the longest river of this large country?"), (2, None)],
+                          "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.limit(0)):
+        step, n = table, table.count()
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, step, str(tmp_path))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert got.columns == docs.columns, name
+                step = spark.createDataFrame(got.collect(), docs.schema)
+                assert step.count() <= n
+            else:
+                assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() == step.count()
+    assert step.count() == 0

@@ -147,16 +147,18 @@ laid AS (
 a AS (SELECT * FROM laid WHERE replica = 0), b AS (SELECT * FROM laid WHERE replica = 1)
 SELECT a.file AS file, a.seq AS seq, a.page_id AS page_id, CAST(a.start AS BIGINT) AS "offset", a.length AS length,
        a.digest AS digest,
-       CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.file = a.file AND b.seq = a.seq AND b.digest = a.digest
+       CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.file IS NOT DISTINCT FROM a.file AND b.seq = a.seq AND b.digest = a.digest
                          AND b.start = a.start) THEN 'intact'
-            WHEN EXISTS (SELECT 1 FROM b WHERE b.file = a.file AND b.page_id = a.page_id AND b.digest = a.digest)
+            WHEN EXISTS (SELECT 1 FROM b WHERE b.file IS NOT DISTINCT FROM a.file
+                         AND b.page_id IS NOT DISTINCT FROM a.page_id AND b.digest = a.digest)
             THEN 'moved'
-            WHEN EXISTS (SELECT 1 FROM b WHERE b.file = a.file AND b.page_id = a.page_id) THEN 'corrupt'
+            WHEN EXISTS (SELECT 1 FROM b WHERE b.file IS NOT DISTINCT FROM a.file
+                         AND b.page_id IS NOT DISTINCT FROM a.page_id) THEN 'corrupt'
             ELSE 'missing' END AS status
 FROM a
 UNION ALL
 SELECT b.file, b.seq, b.page_id, CAST(b.start AS BIGINT), b.length, b.digest, 'extra'
-FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.file = b.file AND a.page_id = b.page_id)
+FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.file IS NOT DISTINCT FROM b.file AND a.page_id IS NOT DISTINCT FROM b.page_id)
 """
 
 
