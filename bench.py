@@ -29,6 +29,7 @@ from tickwise.plans import datasets as D  # noqa: E402
 from tickwise.session import get_spark  # noqa: E402
 from tickwise.sources import ingest as I  # noqa: E402
 from tickwise.sources.bridge import Bridge  # noqa: E402
+from tickwise.sources.maintained import MaintainedStore  # noqa: E402
 from tickwise.sources.store import Store  # noqa: E402
 
 
@@ -90,6 +91,10 @@ def main():
     timed("rank_full", lambda: run(M.rank_by_metric(R.ratio_table(px, fq), "gross_margin")))
     timed("single_ticker_ratios", lambda: R.all_ratios(
         store.scan_prices(some), store.scan_fundamentals_quarterly(some), some).collect())
+    # the same ratios off the state that the sinks of a MaintainedStore keep (built here, untimed)
+    kept = MaintainedStore(spark, store.root)
+    kept.rebuild()
+    timed("single_ticker_maintained", lambda: kept.all_ratios(some).collect())
     timed("ratio_panel", lambda: run(R.ratio_panel(
         px, fq, ["1996-12-31", "1997-12-31", "1998-12-31", "1999-12-31", "2000-12-31",
                  "2001-06-30"])))

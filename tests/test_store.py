@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tests.conftest import PRICE_SCHEMA, d
@@ -291,3 +293,18 @@ def test_null_keys_dropped_and_statement_keys_unique(spark, store, sample_fundam
     px = spark.createDataFrame(rows, "date date, close double")
     store.write_prices(px, "AAPL")
     assert store.scan_prices().count() == 1
+
+
+def test_metadata_is_replaced_at_once(spark, store):
+    first = spark.createDataFrame([("A", 1), ("B", 2)], "ticker string, v int")
+    store.write_metadata(first, "companies")
+    seen = store.read_metadata("companies")
+    broken = first.withColumn("v", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        store.write_metadata(broken, "companies")
+    assert sorted(map(tuple, store.read_metadata("companies").collect())) == [("A", 1), ("B", 2)]
+    for k in (10, 20):  # a replacement may read what it replaces; a reader keeps what it opened
+        store.write_metadata(store.read_metadata("companies").withColumn("v", F.col("v") + k), "companies")
+        if k == 10:
+            assert sorted(map(tuple, seen.collect())) == [("A", 1), ("B", 2)]
+    assert sorted(map(tuple, store.read_metadata("companies").collect())) == [("A", 31), ("B", 32)]

@@ -132,9 +132,12 @@ CASHFLOW_COLUMN_MAP = {
 TICKER_ALIASES = {"GOOGL": "GOOG", "BRK.B": "BRK-B"}
 
 # Large-company sample that an update without a ticker list is resolved from (fixed values).
-SAMPLE_UNIVERSE = """AAPL MSFT AMZN NVDA GOOGL META TSLA BRK.B UNH JNJ JPM V PG XOM HD CVX MA ABBV MRK LLY PFE KO PEP
-    COST AVGO TMO MCD WMT CSCO ACN ABT DHR NEE VZ ADBE NKE TXN PM CMCSA CRM INTC AMD ORCL IBM QCOM HON UNP LOW AMGN
-    SBUX""".split()
+SAMPLE_UNIVERSE = [
+    "AAPL", "MSFT", "AMZN", "NVDA", "GOOGL", "META", "TSLA", "BRK.B", "UNH", "JNJ", "JPM", "V", "PG", "XOM",
+    "HD", "CVX", "MA", "ABBV", "MRK", "LLY", "PFE", "KO", "PEP", "COST", "AVGO", "TMO", "MCD", "WMT", "CSCO",
+    "ACN", "ABT", "DHR", "NEE", "VZ", "ADBE", "NKE", "TXN", "PM", "CMCSA", "CRM", "INTC", "AMD", "ORCL",
+    "IBM", "QCOM", "HON", "UNP", "LOW", "AMGN", "SBUX",
+]
 
 # Default first date kept by a full ingest.
 DEFAULT_START_DATE = "2020-01-01"

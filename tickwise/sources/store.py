@@ -249,13 +249,22 @@ class Store:
     def scan_fundamentals_annual(self, ticker=None, columns=None) -> DataFrame:
         return self.scan_fundamentals("annual", ticker, columns)
 
+    def _metadata_generations(self, name: str) -> list[int]:
+        """Finished writes of a named table, oldest first (Spark marks a finished one with ``_SUCCESS``)."""
+        fs, p = self._fs(self.metadata_path(name))
+        if not fs.exists(p):
+            return []
+        names = [st.getPath().getName() for st in fs.listStatus(p)]
+        numbers = [int(n[4:]) for n in names if n.startswith("gen=") and n[4:].isdigit()]
+        return sorted(n for n in numbers if fs.exists(self._fs(f"{self.metadata_path(name)}/gen={n}/_SUCCESS")[1]))
+
     def read_metadata(self, name: str) -> DataFrame:
         """A named metadata table; an empty frame when it does not exist."""
-        path = self.metadata_path(name)
-        if not self._has_files(path):
-            log.warning("Metadata table not found: %s", path)
-            return self.spark.createDataFrame([], T.StructType([]))
-        return self.spark.read.parquet(path)
+        path, done = self.metadata_path(name), self._metadata_generations(name)
+        if done:
+            return self.spark.read.parquet(f"{path}/gen={done[-1]}")
+        log.warning("Metadata table not found: %s", path)
+        return self.spark.createDataFrame([], T.StructType([]))
 
     # ------------------------------------------------------------------ sinks
     def _prepare(self, df: DataFrame, table: str, ticker: str | None) -> DataFrame:
@@ -451,8 +460,15 @@ class Store:
                              upsert_keys=["ticker", "date"], order_col=order_col)
 
     def write_metadata(self, df: DataFrame, name: str) -> str:
-        path = self.metadata_path(name)
-        df.write.mode("overwrite").parquet(path)
+        """Replace a named metadata table.
+
+        A write goes to a folder of its own and counts once it is finished; the one before stays for readers that have
+        it open, older ones go. ``df`` may read the table that it replaces.
+        """
+        path, done = self.metadata_path(name), self._metadata_generations(name)
+        df.write.mode("overwrite").parquet(f"{path}/gen={(done[-1] if done else 0) + 1}")
+        for old in done[:-1]:
+            self._delete(f"{path}/gen={old}")
         return path
 
     def delete_ticker(self, tickers) -> int:

@@ -10,7 +10,6 @@ write and commit leaves the same table.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,12 +24,7 @@ def start_price_upsert(spark: SparkSession, store: Store, feed_dir: str, checkpo
     stream = spark.readStream.schema(feed_schema).parquet(feed_dir)
 
     def apply(batch: DataFrame, _epoch: int) -> None:
-        # the upsert runs a few actions over the batch; read the files once
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            store.append_prices(batch)
-        finally:
-            batch.unpersist()
+        store.append_prices(batch)  # stages the batch, so its files are read once
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
