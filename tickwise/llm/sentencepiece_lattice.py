@@ -33,6 +33,7 @@ import json
 import math
 import re
 import zlib
+from collections import defaultdict
 from itertools import chain
 
 import numpy as np
@@ -231,35 +232,31 @@ def _blocks(batches):
                                          names=["bucket", "block"])
 
 
-def _rows(t: pa.Table) -> list[list]:
-    """The (doc_id, text) rows of a bucket's blocks."""
-    return [row for x in t.column("block").to_pylist()
-            for row in json.loads(zstandard.ZstdDecompressor().decompress(x))]
+def _rows(t: pa.Table):
+    """The (doc_id, text) rows of a bucket's blocks, a block at a time."""
+    for x in t.column("block"):
+        yield from json.loads(zstandard.ZstdDecompressor().decompress(x.as_py()))
 
 
-def _lists(texts: list[str], parts: int) -> dict[int, list[str]]:
+def _part(word: str, parts: int) -> int:
+    return zlib.crc32(word.encode()) % parts
+
+
+def _lists(texts, parts: int) -> dict[int, list[str]]:
     """The distinct words of some texts by the part that encodes them, sorted."""
     words: set[str] = set()
     for t in texts:
         words.update(words_of(t))
     out: dict[int, list[str]] = {}
     for w in sorted(words):
-        out.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
+        out.setdefault(_part(w, parts), []).append(w)
     return out
 
 
-def _written(texts: list[str], place: dict[str, int], sizes: np.ndarray, ids: np.ndarray) -> pa.ListArray:
-    """Each text as the ids of its words, word number ``place[word]`` having the next ``sizes`` of ``ids``."""
-    first = np.cumsum(sizes) - sizes
-    ends, out = [0], []
-    for t in texts:
-        words = words_of(t)
-        w = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        n = sizes[w]
-        total = int(n.sum())
-        out.append(ids[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(total)])
-        ends.append(ends[-1] + total)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out or [ids[:0]]), pa.int32()))
+def _gathered(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The ids of a text, given as numbers of words: word w has the ``sizes[w]`` ids from ``first[w]`` on."""
+    n = sizes[words]
+    return ids[np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
 def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str = "doc_id", text_col: str = "text",
@@ -276,7 +273,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
              .mapInArrow(_blocks, "bucket int, block binary").repartition(buckets, "bucket"))
 
     def list_words(t):
-        lists = _lists([x for _, x in _rows(t)], parts)
+        lists = _lists((x for _, x in _rows(t)), parts)
         return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(lists), pa.int32()),
                          "part": pa.array(list(lists), pa.int32()),
                          "words": pa.array([_pack(x) for x in lists.values()], pa.binary())})
@@ -302,17 +299,31 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
                          "ids": pa.array([_pack_ids([ids[w] for w in _unpack(x)]) for x in blobs], pa.binary())})
 
     def assemble(texts, answers):
-        docs = _rows(texts)
-        bodies = [x for _, x in docs]
-        lists = _lists(bodies, parts)
-        place: dict[str, int] = {}
-        found = []
+        number: defaultdict[str, int] = defaultdict()  # words in the order they are met
+        number.default_factory = number.__len__
+        doc_ids, coded = [], []
+        for doc_id, text in _rows(texts):
+            words = words_of(text)
+            doc_ids.append(doc_id)
+            coded.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        asked: dict[int, list[int]] = {}  # the words of each list, in its order
+        for w in sorted(number):
+            asked.setdefault(_part(w, parts), []).append(number[w])
+        first, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        del number
+        found, base = [], 0
         for part, blob in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            words = lists.pop(part)
-            place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
-            found.append(_unpack_ids(blob, len(words)))
-        sizes, ids = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int32) for i in (0, 1))
-        return pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "ids": _written(bodies, place, sizes, ids)})
+            where = np.array(asked.pop(part), np.int64)
+            n, ids = _unpack_ids(blob, len(where))
+            sizes[where], first[where] = n, base + np.cumsum(n) - n
+            found.append(ids)
+            base += len(ids)
+        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+        del found
+        out = [_gathered(w, first, sizes, ids) for w in coded]
+        ends = np.cumsum([0, *map(len, out)])
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))})
 
     lists = (dealt.groupBy("bucket").applyInArrow(list_words, "bucket int, part int, words binary")
              .repartition(parts, "part"))
