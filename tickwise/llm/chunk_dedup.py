@@ -14,7 +14,8 @@ join follows. No group is gathered: first occurrences and counts are aggregates,
 one document are the largest list.
 
 Defined cases: a null text is empty; rows that repeat id and text are one document and get the same
-result; null ids are kept and sort first; an empty text has no chunks.
+result; null ids are kept and sort first; an empty text has no chunks; columns
+beside id and text are dropped, whatever their names; a text of any length is cut whole.
 """
 
 from __future__ import annotations

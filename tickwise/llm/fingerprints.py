@@ -9,7 +9,9 @@ Two bits share one running sum of a long (bit ``j`` in the low and bit ``j + 32`
 A text of less than 2 GiB, the most a Spark string holds, cannot overflow a half.
 
 Defined cases: a null text is empty; a text without a weighted term has fingerprint zero;
-repeated rows get a row each; a null ``doc_id`` is kept (and sorts as the smallest id).
+repeated rows get a row each; a null ``doc_id`` is kept (and sorts as the smallest id);
+columns beside id and text are dropped, whatever their names; a text of any length is read whole. The votes of a key fit their lanes
+while its rows times their words times 8 stay below 2**32: a 5 MB text may be repeated some hundred times.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ above two the centres are those of ``max_bits // 2`` changes, rounded up, and li
 
 Defined cases: a null text is empty; an empty text has fingerprint zero and links like any other;
 a text of fewer words than the shingle length is one shingle; repeated rows get a row each;
-a null ``doc_id`` keeps its row and never names a component, unless all its members are null.
+a null ``doc_id`` keeps its row and never names a component, unless all its members are null; columns
+beside id and text are ignored, whatever their names, and kept by ``keep_one``; a text of any length is read whole.
 """
 
 from __future__ import annotations

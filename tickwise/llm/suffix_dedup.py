@@ -22,7 +22,8 @@ they are, and which cores occur twice, is told to the tasks by bitmaps of fixed
 through by accident meets an exact join.
 
 Defined cases: a null text is empty; matches never cross documents; repeated rows are documents of their
-own (and so repeat each other); null ids are kept; texts shorter than ``length`` stay whole.
+own (and so repeat each other); null ids are kept; texts shorter than ``length`` stay whole; columns
+beside id and text are dropped by ``dedup``, whatever their names, and kept by ``without_repeats``.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ copies among them thinned to one. Everything else covers all rows.
 Defined cases: a null text is empty, an empty text gets the score of no evidence; labels that are null
 are ignored, several labels of one document vote by majority (a tie is toxic); without labels
 of both classes only the general list, the patterns and the prior ``PRIOR`` are left; repeated
-rows get a row each and null ids are kept (they are never training rows).
+rows get a row each and null ids are kept (they are never training rows); columns beside id and text are never inputs,
+whatever their names; a text of any length is read whole, and its words count once.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ small labelled table of urls: at most ``max_labelled`` distinct ones (smallest X
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an empty path fits no
 rule; without labelled urls of both classes the verdict is the one class there is, or allow.
-Repeated rows get a row each, null ids stay; columns beside id and url are ignored.
+Repeated rows get a row each, null ids stay; columns beside id and url are ignored, whatever
+their names; a url of any length is judged whole.
 """
 
 from __future__ import annotations

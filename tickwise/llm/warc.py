@@ -11,7 +11,8 @@ are read and never shuffled. The only windows run over the records of one archiv
 ``file`` must keep to a bounded number (``file_of`` does for any ids).
 
 Defined cases: null urls and bodies are empty; records of one file are ordered by id (nulls first), then
-digest; records of a null ``file`` are a file of their own; an empty table has no files and an empty audit; repeated rows are records of their own.
+digest; records of a null ``file`` are a file of their own; an empty table has no files and an empty audit; repeated rows are records of their own; columns beside id, url
+and body are ignored, whatever their names; a body of any length is hashed whole.
 """
 
 from __future__ import annotations
