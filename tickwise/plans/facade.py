@@ -120,7 +120,7 @@ class Tickwise:
     # --- what is stored
     def has_data(self, tickers) -> DataFrame:
         s = self.store
-        return I.has_data(R._ticker_frame(self.spark, tickers), s.scan_prices(), s.scan_fundamentals_quarterly(),
+        return I.has_data(R.ticker_frame_of(self.spark, tickers), s.scan_prices(), s.scan_fundamentals_quarterly(),
                           s.scan_fundamentals_annual())
 
     def metadata(self, name: str) -> DataFrame:
