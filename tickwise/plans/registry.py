@@ -66,7 +66,7 @@ def _store(spark, name) -> Store:
 
 def _catalog_store(spark, sf_dir, name, density) -> CatalogStore:
     """Prices and quarterly statements as tables bucketed by ticker."""
-    st, b = CatalogStore(spark, shared_dir(spark, f"catalog-{name}")), _b(spark, sf_dir, density)
+    st, b = CatalogStore(spark, shared_dir(spark, f"catalog-{name}")), _b(spark, sf_dir, density).by_ticker()
     st.write_prices(b.prices())
     st.write_fundamentals(b.fundamentals(), "quarterly")
     return st
@@ -288,7 +288,7 @@ def _split(px: DataFrame):
     "FROM prices p LEFT JOIN cuts c USING (ticker)", density="sparse", extra=_CUTS))
 def q_append_prices(spark, sf_dir):
     st = _store(spark, "append_prices")
-    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
     st.write_prices(stored)
     st.append_prices(feed)
     return st.scan_prices()
@@ -301,7 +301,7 @@ def q_append_prices(spark, sf_dir):
 def q_append_versioned(spark, sf_dir):
     """The upsert and a deletion as file-level rewrites under one commit log."""
     st = VersionedStore(spark, shared_dir(spark, "store-versioned"))
-    px = _b(spark, sf_dir, "sparse").prices()
+    px = _b(spark, sf_dir, "sparse").by_ticker(False).prices()
     stored, feed = _split(px)
     st.write_prices(stored)
     with st.transaction():
@@ -317,7 +317,7 @@ def q_append_versioned(spark, sf_dir):
 def q_append_last_in_files(spark, sf_dir):
     """One batch of files that holds every key of the feed twice: what stands last in the files is stored."""
     st = _store(spark, "append_last")
-    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
     st.write_prices(stored)
     batch = shared_dir(spark, "feed-twice")
     feed.withColumn("close", F.col("close") + 1000).write.parquet(f"{batch}/1-early")
@@ -334,7 +334,7 @@ def q_stream_upsert(spark, sf_dir):
     """The append_prices result, with the feed arriving as files drained by a stream."""
     from tickwise.streaming.upsert import start_price_upsert
     st = _store(spark, "stream_upsert")
-    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
     st.write_prices(stored)
     feed_dir = shared_dir(spark, "stream-feed")
     feed.write.mode("overwrite").parquet(feed_dir)
@@ -348,7 +348,7 @@ def q_stream_upsert(spark, sf_dir):
     f"SELECT {_PCOLS} FROM prices WHERE ticker IN (SELECT ticker FROM cuts)", density="sparse", extra=_CUTS))
 def q_ingest_incremental(spark, sf_dir):
     st = _store(spark, "ingest_incremental")
-    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
     st.write_prices(stored)
     I.ingest_incremental(st, feed)
     return st.scan_prices()
@@ -358,7 +358,7 @@ def _incremental_stream(spark, sf_dir, name):
     """The feed of ingest_incremental as files, older days first; the stream is stopped in between and started again."""
     from tickwise.streaming.incremental import IncrementalStream
     st = _store(spark, f"stream-{name}")
-    stored, feed = _split(_b(spark, sf_dir, "sparse").prices())
+    stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
     st.write_prices(stored)
     feed_dir = shared_dir(spark, f"late-feed-{name}")
     stream = IncrementalStream(spark, st, feed_dir, shared_dir(spark, f"late-work-{name}"), schema=feed.schema)
@@ -388,7 +388,7 @@ def q_stream_late(spark, sf_dir):
     f"SELECT {_PCOLS}, 3 AS tables_affected FROM prices WHERE ticker NOT LIKE 'P%0'", "sparse"))
 def q_delete_ticker(spark, sf_dir):
     st = _store(spark, "delete_ticker")
-    b = _b(spark, sf_dir, "sparse")
+    b = _b(spark, sf_dir, "sparse").by_ticker()
     st.write_prices(b.prices())
     st.write_fundamentals(b.fundamentals(), "quarterly")
     st.write_fundamentals(b.fundamentals("annual"), "annual")
@@ -447,7 +447,7 @@ def q_ingest_full(spark, sf_dir):
     """Vendor files to tables; the price file repeats 1998 and has 1997 once more without tickers."""
     from tickwise.schemas import PRICE_COLUMN_MAP
     st = _store(spark, "ingest_full")
-    b = _b(spark, sf_dir, "medium")
+    b = _b(spark, sf_dir, "medium").by_ticker()
     px = b.prices()
     dirty = (px.unionByName(px.where("year = 1998"))
              .unionByName(px.where("year = 1997").withColumn("ticker", F.lit(None).cast("string"))))
@@ -823,7 +823,7 @@ fq2 AS (SELECT * FROM fund_q WHERE ticker NOT LIKE 'P%0')"""
 
 def _profiled_store(spark, sf_dir, name) -> ProfiledStore:
     """Tables and profiles after writes, an upsert of later days and a deletion."""
-    st, b = ProfiledStore(spark, shared_dir(spark, f"profiled-{name}")), _b(spark, sf_dir, "sparse")
+    st, b = ProfiledStore(spark, shared_dir(spark, f"profiled-{name}")), _b(spark, sf_dir, "sparse").by_ticker()
     px = b.prices()
     stored, feed = _split(px)
     st.write_prices(stored)
@@ -921,7 +921,7 @@ _MAINTAINED_UNIVERSE = "SELECT DISTINCT ticker FROM px_kept"
 
 def _maintained_store(spark, sf_dir, name) -> MaintainedStore:
     """Tables and state after writes, an upsert, a replacement of one year and a deletion."""
-    st, b = MaintainedStore(spark, shared_dir(spark, f"maintained-{name}")), _b(spark, sf_dir, "sparse")
+    st, b = MaintainedStore(spark, shared_dir(spark, f"maintained-{name}")), _b(spark, sf_dir, "sparse").by_ticker()
     px = b.prices()
     stored, feed = _split(px)
     st.write_prices(stored)

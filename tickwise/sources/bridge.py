@@ -12,12 +12,14 @@ pre-aggregated inside each map task before the shuffle.
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.functions.scalar import quarter_end
+from tickwise.session import shared_dir
 
 DENSITIES = ("dense", "medium", "sparse")
 MONEY = "decimal(18,2)"
@@ -34,44 +36,68 @@ def ticker_expr(density: str) -> Column:
     raise ValueError(f"unknown density {density!r}; expected one of {DENSITIES}")
 
 
+PRICE_LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+               "l_shipdate"]
+LINES = [*PRICE_LINES, "l_tax", "l_returnflag", "l_linestatus"]
+PARTS = ["p_partkey", "p_brand", "p_size", "p_retailprice"]
+
+
 def line_rows(spark: SparkSession, sf_dir: str, density: str = "dense") -> DataFrame:
     """One row per lineitem with its part attributes and typed money columns."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        "l_shipdate")
-    pt = spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        "p_partkey", "p_brand", "p_size", "p_retailprice")
-    j = li.join(pt, li.l_partkey == pt.p_partkey)
-    d = F.col("l_shipdate").cast("date")
-    return j.select(
-        ticker_expr(density).alias("ticker"),
-        d.alias("d"),
-        F.try_divide("l_extendedprice", "l_quantity").alias("px"),
-        F.col("l_quantity").cast(MONEY).alias("qty"),
-        F.col("l_extendedprice").cast(MONEY).alias("ep"),
-        F.col("p_retailprice").cast(MONEY).alias("rp"),
-        F.col("l_discount").cast(RATE).alias("disc"),
-        F.col("l_tax").cast(RATE).alias("tax"),
-        "l_discount", "p_size",
-        F.col("l_returnflag").alias("rf"),
-        F.col("l_linestatus").alias("ls"),
-        # (orderkey, linenumber) alone is not unique; with part and supplier it is
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
-    )
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINES)
+    pt = spark.read.parquet(f"{sf_dir}/part.parquet").select(*PARTS)
+    return typed_rows(li.join(pt, li.l_partkey == pt.p_partkey).withColumn("ticker", ticker_expr(density)))
+
+
+def typed_rows(j: DataFrame) -> DataFrame:
+    """The joined lines with typed money columns, as far as ``j`` has them."""
+    out = {"ticker": F.col("ticker"), "d": F.col("l_shipdate").cast("date"),
+           "px": F.try_divide("l_extendedprice", "l_quantity"),
+           "qty": F.col("l_quantity").cast(MONEY), "ep": F.col("l_extendedprice").cast(MONEY),
+           "disc": F.col("l_discount").cast(RATE), "l_discount": F.col("l_discount"),
+           # (orderkey, linenumber) alone is not unique; with part and supplier it is
+           "seq": F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")}
+    if "l_tax" in j.columns:
+        out |= {"rp": F.col("p_retailprice").cast(MONEY), "tax": F.col("l_tax").cast(RATE), "p_size": F.col("p_size"),
+                "rf": F.col("l_returnflag"), "ls": F.col("l_linestatus")}
+    return j.select(*[c.alias(n) for n, c in out.items()])
+
+
+def rows_by_ticker(spark: SparkSession, sf_dir: str, density: str, statements: bool) -> DataFrame:
+    """The rows of ``line_rows`` moved once: a table bucketed by ticker, which every later step per ticker reads as it is.
+
+    Without ``statements`` only what prices need is kept. A part is a sparse ticker, so there the ticker is the join's key
+    too and the lines' exchange serves the join as well.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*(LINES if statements else PRICE_LINES))
+    pt = spark.read.parquet(f"{sf_dir}/part.parquet").select(*PARTS)
+    if density == "sparse":
+        pt = pt.withColumn("ticker", F.concat(F.lit("P"), F.col("p_partkey").cast("string")))
+        j = li.withColumn("ticker", ticker_expr(density)).repartition(n, "ticker").join(pt, "ticker")
+    else:
+        j = li.join(pt, li.l_partkey == pt.p_partkey).withColumn("ticker", ticker_expr(density))
+    j = j.select("ticker", *li.columns, *(["p_size", "p_retailprice"] if statements else []))
+    if density != "sparse":
+        j = j.repartition(n, "ticker")
+    name = f"tickwise_rows_{uuid.uuid4().hex}"
+    (j.sortWithinPartitions("ticker", "l_shipdate").write.option("path", shared_dir(spark, "rows-by-ticker"))
+     .option("compression", "zstd").bucketBy(n, "ticker").saveAsTable(name))
+    return typed_rows(spark.table(name))
 
 
 def prices(rows: DataFrame) -> DataFrame:
     """Daily OHLCV per (ticker, date)."""
+    # the first and the last line whole, so that their place is carried once each
+    adjusted = F.col("px") * (F.lit(1.0) - F.col("l_discount"))
     return (rows.groupBy("ticker", F.col("d").alias("date"))
-            .agg(F.min_by("px", "seq").alias("open"),
+            .agg(F.min(F.struct("seq", "px")).alias("first"),
                  F.max("px").alias("high"),
                  F.min("px").alias("low"),
-                 F.max_by("px", "seq").alias("close"),
-                 F.max_by(F.col("px") * (F.lit(1.0) - F.col("l_discount")), "seq")
-                 .alias("adjusted_close"),
+                 F.max(F.struct("seq", "px", adjusted.alias("adj"))).alias("last"),
                  F.sum("qty").cast("bigint").alias("volume"))
-            .withColumn("year", F.year("date").cast("bigint")))
+            .select("ticker", "date", F.col("first.px").alias("open"), "high", "low", F.col("last.px").alias("close"),
+                    F.col("last.adj").alias("adjusted_close"), "volume", F.year("date").cast("bigint").alias("year")))
 
 
 def _period_keys(period: str) -> list[Column]:
@@ -172,6 +198,11 @@ class Bridge:
         self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    def by_ticker(self, statements: bool = True) -> "Bridge":
+        """Keep the joined rows bucketed by ticker, for several derived tables that are grouped or joined by it."""
+        self.rows = rows_by_ticker(self.spark, self.sf_dir, self.density, statements)
+        return self
+
     def prices(self) -> DataFrame:
         return prices(self.rows)
 

@@ -188,8 +188,8 @@ class MaintainedStore(Store):
 
     def delete_ticker(self, tickers) -> int:
         self._about_to_change("prices")
-        affected = super().delete_ticker(tickers)
         gone = self._kept(ticker_frame_of(self.spark, tickers))
+        affected = super().delete_ticker(gone)
         buckets = [r[0] for r in gone.select(self.bucket_of("ticker", self.new_buckets)).distinct().collect()]
         old = self._state_rows().where(F.col("ticker_bucket").isin(buckets))
         with self._staged(old.join(gone, "ticker", "left_anti").drop("ticker_bucket")) as rest:

@@ -86,14 +86,17 @@ class ProfiledStore(Store):
         self._delete(self._behind(table))
 
     def delete_ticker(self, tickers) -> int:
-        gone = ticker_frame_of(self.spark, tickers)
+        with self._staged(ticker_frame_of(self.spark, tickers)) as gone:
+            return self._delete_profiled(gone)
+
+    def _delete_profiled(self, gone: DataFrame) -> int:
         touched = {}
         for table in TABLES:
             held = self.profile(table).join(gone, "ticker", "left_semi")
             touched[table] = self._touched(held, table)
             fs, mark = self._fs(self._behind(table))
             fs.create(mark, True).close()
-        affected = super().delete_ticker(tickers)
+        affected = super().delete_ticker(gone)
         for table, parts in touched.items():
             if parts:
                 self._reprofile(table, parts)

@@ -158,7 +158,7 @@ class VersionedStore(Store):
         """Write rows as a generation of their own; returns its files."""
         self._remember_schema(table, out)
         gen = f"gen={uuid.uuid4().hex[:16]}"
-        (self._layout_for_write(out, table).write.option("parquet.bloom.filter.enabled#ticker", "true")
+        (self._layout_for_write(out, table).write.option("parquet.bloom.filter.enabled#ticker", "true").option("compression", "zstd")
          .partitionBy(*self.partition_cols(table)).parquet(f"{self.path(table)}/{gen}"))
         self._store_layout(table)
         fs, p = self._fs(f"{self.path(table)}/{gen}")
@@ -196,7 +196,7 @@ class VersionedStore(Store):
             files, rows = [], new
             if self._live(table):
                 self.read(table)  # its columns are known then
-                with self._staged(new.select(*key_cols).distinct()) as gone:
+                with self._keys_of(new, key_cols, upsert_keys is not None) as gone:
                     files = self._holding(table, parts, gone, key_cols)
                     if files:
                         stay = self._frame(table, files).drop("gen").join(gone, key_cols, "left_anti")
@@ -211,7 +211,8 @@ class VersionedStore(Store):
         doomed = (tickers.select("ticker").distinct() if isinstance(tickers, DataFrame)
                   else self.spark.createDataFrame([(t,) for t in tickers], "ticker string"))
         affected = 0
-        with self.transaction(), self._staged(doomed) as gone:
+        with self.transaction(), self._staged(doomed) as staged:
+            gone = self._if_few(staged)
             for table in TABLES:
                 if not self._live(table):
                     continue
