@@ -60,6 +60,11 @@ def ticker_bucket(c="ticker", buckets: int = TICKER_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(_c(c)), F.lit(buckets)).cast("int")
 
 
+def spark_bucket(c="ticker", buckets: int = TICKER_BUCKETS) -> Column:
+    """The bucket that Spark itself gives a ticker: in bucketed tables, and in ``repartition(buckets, "ticker")``."""
+    return F.pmod(F.hash(_c(c)), F.lit(buckets)).cast("int")
+
+
 def add_ticker_column(df: DataFrame, ticker: str) -> DataFrame:
     """Literal ticker column when the frame has none."""
     if "ticker" in df.columns:

@@ -13,17 +13,21 @@ def union_all(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def dedupe_keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+def dedupe_keep_last(df: DataFrame, keys: list[str], seq: str, unique: bool = False) -> DataFrame:
     """One row per key: the one with the highest ``seq`` (later source wins).
 
     A ``max_by`` aggregate rather than a row_number window: it is reduced
     inside each map task first, so a key with very many copies never lands
     whole in one task. Equal ``seq`` values are broken by the row's values,
     so the result is deterministic under retries. ``source_position`` makes a ``seq``
-    of the rows' order in their files.
+    of the rows' order in their files; such a ``unique`` one needs no values beside it.
     """
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(seq), *[F.col(c) for c in rest if c != seq])
+    if unique:
+        rest = [c for c in rest if c != seq]
+        order = F.col(seq)
+    else:
+        order = F.struct(F.col(seq), *[F.col(c) for c in rest if c != seq])
     return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
 

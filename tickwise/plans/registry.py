@@ -67,8 +67,8 @@ def _store(spark, name) -> Store:
 def _catalog_store(spark, sf_dir, name, density) -> CatalogStore:
     """Prices and quarterly statements as tables bucketed by ticker."""
     st, b = CatalogStore(spark, shared_dir(spark, f"catalog-{name}")), _b(spark, sf_dir, density).by_ticker()
-    st.write_prices(b.prices())
-    st.write_fundamentals(b.fundamentals(), "quarterly")
+    st.write_prices(b.prices(), clustered=True)
+    st.write_fundamentals(b.fundamentals(), "quarterly", clustered=True)
     return st
 
 
@@ -289,8 +289,8 @@ def _split(px: DataFrame):
 def q_append_prices(spark, sf_dir):
     st = _store(spark, "append_prices")
     stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
-    st.write_prices(stored)
-    st.append_prices(feed)
+    st.write_prices(stored, clustered=True)
+    st.append_prices(feed, clustered=True)
     return st.scan_prices()
 
 
@@ -303,9 +303,9 @@ def q_append_versioned(spark, sf_dir):
     st = VersionedStore(spark, shared_dir(spark, "store-versioned"))
     px = _b(spark, sf_dir, "sparse").by_ticker(False).prices()
     stored, feed = _split(px)
-    st.write_prices(stored)
+    st.write_prices(stored, clustered=True)
     with st.transaction():
-        st.append_prices(feed)
+        st.append_prices(feed, clustered=True)
         st.delete_ticker(px.select("ticker").where("ticker LIKE 'P%0'"))
     return st.scan_prices()
 
@@ -318,7 +318,7 @@ def q_append_last_in_files(spark, sf_dir):
     """One batch of files that holds every key of the feed twice: what stands last in the files is stored."""
     st = _store(spark, "append_last")
     stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
-    st.write_prices(stored)
+    st.write_prices(stored, clustered=True)
     batch = shared_dir(spark, "feed-twice")
     feed.withColumn("close", F.col("close") + 1000).write.parquet(f"{batch}/1-early")
     feed.write.parquet(f"{batch}/2-late")
@@ -335,7 +335,7 @@ def q_stream_upsert(spark, sf_dir):
     from tickwise.streaming.upsert import start_price_upsert
     st = _store(spark, "stream_upsert")
     stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
-    st.write_prices(stored)
+    st.write_prices(stored, clustered=True)
     feed_dir = shared_dir(spark, "stream-feed")
     feed.write.mode("overwrite").parquet(feed_dir)
     q = start_price_upsert(spark, st, feed_dir, shared_dir(spark, "stream-ckpt"))
@@ -349,7 +349,7 @@ def q_stream_upsert(spark, sf_dir):
 def q_ingest_incremental(spark, sf_dir):
     st = _store(spark, "ingest_incremental")
     stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
-    st.write_prices(stored)
+    st.write_prices(stored, clustered=True)
     I.ingest_incremental(st, feed)
     return st.scan_prices()
 
@@ -359,7 +359,7 @@ def _incremental_stream(spark, sf_dir, name):
     from tickwise.streaming.incremental import IncrementalStream
     st = _store(spark, f"stream-{name}")
     stored, feed = _split(_b(spark, sf_dir, "sparse").by_ticker(False).prices())
-    st.write_prices(stored)
+    st.write_prices(stored, clustered=True)
     feed_dir = shared_dir(spark, f"late-feed-{name}")
     stream = IncrementalStream(spark, st, feed_dir, shared_dir(spark, f"late-work-{name}"), schema=feed.schema)
     for part in ("year < 2000", "year >= 2000"):
@@ -389,9 +389,9 @@ def q_stream_late(spark, sf_dir):
 def q_delete_ticker(spark, sf_dir):
     st = _store(spark, "delete_ticker")
     b = _b(spark, sf_dir, "sparse").by_ticker()
-    st.write_prices(b.prices())
-    st.write_fundamentals(b.fundamentals(), "quarterly")
-    st.write_fundamentals(b.fundamentals("annual"), "annual")
+    st.write_prices(b.prices(), clustered=True)
+    st.write_fundamentals(b.fundamentals(), "quarterly", clustered=True)
+    st.write_fundamentals(b.fundamentals("annual"), "annual", clustered=True)
     n = st.delete_ticker(b.prices().select("ticker").where("ticker LIKE 'P%0'"))
     return st.scan_prices().withColumn("tables_affected", F.lit(n))
 
@@ -826,9 +826,9 @@ def _profiled_store(spark, sf_dir, name) -> ProfiledStore:
     st, b = ProfiledStore(spark, shared_dir(spark, f"profiled-{name}")), _b(spark, sf_dir, "sparse").by_ticker()
     px = b.prices()
     stored, feed = _split(px)
-    st.write_prices(stored)
-    st.write_fundamentals(b.fundamentals(), "quarterly")
-    st.append_prices(feed)
+    st.write_prices(stored, clustered=True)
+    st.write_fundamentals(b.fundamentals(), "quarterly", clustered=True)
+    st.append_prices(feed, clustered=True)
     st.delete_ticker(px.select("ticker").where("ticker LIKE 'P%0'"))
     return st
 
@@ -924,10 +924,10 @@ def _maintained_store(spark, sf_dir, name) -> MaintainedStore:
     st, b = MaintainedStore(spark, shared_dir(spark, f"maintained-{name}")), _b(spark, sf_dir, "sparse").by_ticker()
     px = b.prices()
     stored, feed = _split(px)
-    st.write_prices(stored)
-    st.write_fundamentals(b.fundamentals(), "quarterly")
-    st.append_prices(feed)
-    st.write_prices(px.where(F.col("year") == 1999).withColumn("close", F.col("close") + 1))
+    st.write_prices(stored, clustered=True)
+    st.write_fundamentals(b.fundamentals(), "quarterly", clustered=True)
+    st.append_prices(feed, clustered=True)
+    st.write_prices(px.where(F.col("year") == 1999).withColumn("close", F.col("close") + 1), clustered=True)
     st.delete_ticker(px.select("ticker").where("ticker LIKE 'P%0'"))
     return st
 

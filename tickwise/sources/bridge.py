@@ -18,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.functions.scalar import quarter_end
+from tickwise.functions.scalar import TICKER_BUCKETS, quarter_end
 from tickwise.session import shared_dir
 
 DENSITIES = ("dense", "medium", "sparse")
@@ -39,6 +39,7 @@ def ticker_expr(density: str) -> Column:
 PRICE_LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                "l_shipdate"]
 LINES = [*PRICE_LINES, "l_tax", "l_returnflag", "l_linestatus"]
+BUCKET_BYTES = 32 << 20  # about two million lines of Parquet
 PARTS = ["p_partkey", "p_brand", "p_size", "p_retailprice"]
 
 
@@ -67,14 +68,18 @@ def rows_by_ticker(spark: SparkSession, sf_dir: str, density: str, statements: b
     """The rows of ``line_rows`` moved once: a table bucketed by ticker, which every later step per ticker reads as it is.
 
     Without ``statements`` only what prices need is kept. A part is a sparse ticker, so there the ticker is the join's key
-    too and the lines' exchange serves the join as well.
+    too and the lines' exchange serves the join as well; the part's number is read off it. The table has a multiple of a
+    store's buckets, so that a task's rows belong to one of those, and a bucket per ``BUCKET_BYTES`` of the lines' files.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/lineitem.parquet")
+            .agg(F.sum("length")).first()[0] or 0)
+    n = TICKER_BUCKETS * max(1, -(-size // (TICKER_BUCKETS * BUCKET_BYTES)))
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*(LINES if statements else PRICE_LINES))
     pt = spark.read.parquet(f"{sf_dir}/part.parquet").select(*PARTS)
     if density == "sparse":
         pt = pt.withColumn("ticker", F.concat(F.lit("P"), F.col("p_partkey").cast("string")))
-        j = li.withColumn("ticker", ticker_expr(density)).repartition(n, "ticker").join(pt, "ticker")
+        moved = li.withColumn("ticker", ticker_expr(density)).drop("l_partkey").repartition(n, "ticker")
+        j = moved.join(pt, "ticker").withColumn("l_partkey", F.col("p_partkey").cast(li.schema["l_partkey"].dataType))
     else:
         j = li.join(pt, li.l_partkey == pt.p_partkey).withColumn("ticker", ticker_expr(density))
     j = j.select("ticker", *li.columns, *(["p_size", "p_retailprice"] if statements else []))

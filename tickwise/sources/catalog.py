@@ -17,12 +17,11 @@ The catalog of a session without a metastore forgets its tables; they are regist
 from __future__ import annotations
 
 import hashlib
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.functions.scalar import TICKER_BUCKETS
+from tickwise.functions.scalar import TICKER_BUCKETS, spark_bucket
 from tickwise.sources.store import TABLES, Store
 
 
@@ -39,9 +38,12 @@ class CatalogStore(Store):
         """The catalog's name of a table; the root is part of it."""
         return f"{self.namespace}.tickwise_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{TABLES[table]}"
 
-    def bucket_of(self, ticker, buckets: int) -> Column:
+    def bucket_of(self, ticker, buckets: int, table: str | None = None) -> Column:
         """Spark's bucket: the hash that ``CLUSTERED BY`` uses."""
-        return F.pmod(F.hash(F.col(ticker) if isinstance(ticker, str) else ticker), F.lit(buckets)).cast("int")
+        return spark_bucket(ticker, buckets)
+
+    def _hash(self, table: str) -> str:
+        return "hash"
 
     def hot(self, table: str) -> bool:
         """Is a bucket so much larger than the others that one task should not read it?"""
@@ -70,22 +72,11 @@ class CatalogStore(Store):
     def _raw(self, table: str) -> DataFrame:
         return super()._raw(table) if self.hot(table) else self.spark.table(self._register(table))
 
-    @contextmanager
-    def _dynamic(self):
-        """Overwrites replace only the partitions that receive rows."""
-        key = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, "dynamic")
-        try:
-            yield
-        finally:
-            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
-
     def _save(self, out: DataFrame, table: str, replace: bool) -> None:
         name = self._register(table)
         columns = [F.col(f"`{f.name}`") if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name)
                    for f in self.spark.table(name).schema.fields]
-        with self._dynamic():
+        with self._setting("spark.sql.sources.partitionOverwriteMode", "dynamic"):  # only partitions that receive rows
             out.select(*columns).write.insertInto(name, overwrite=replace)
 
     def _drop_partition(self, table: str, values: tuple) -> None:

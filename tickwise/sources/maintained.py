@@ -20,14 +20,15 @@ tickers (an absent one gives null, a present one without values 0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickwise.functions.scalar import ticker_bucket
 from tickwise.operators.ratios import ratio_projection, restrict, ticker_frame_of, valuation_columns
 from tickwise.operators.ttm import latest_features
 from tickwise.schemas import RATIO_COLUMNS
 from tickwise.session import ensure_checkpoint_dir
-from tickwise.sources.store import Store
+from tickwise.sources.store import DEALT_JOINS, Store
 
 PRICE_STATE = ["close", "price_date"]
 
@@ -77,7 +78,7 @@ class MaintainedStore(Store):
 
     def all_ratios(self, ticker: str) -> DataFrame:
         """The ratios of one ticker: a filter on one bucket's file and a projection."""
-        here = self.bucket_of(F.lit(ticker), self.new_buckets)
+        here = self._state_bucket(F.lit(ticker))
         row = self.state().where((F.col("ticker_bucket") == here) & (F.col("ticker") == ticker))
         ratios = row.selectExpr(*ratio_projection(set(row.columns), self.years, "'latest'"))
         # an aggregate over the one state row: an unknown ticker gets a row too
@@ -105,10 +106,23 @@ class MaintainedStore(Store):
         self._store_state(self._recomputed(), "static")
         self._delete(self._mark)
 
-    def _store_state(self, rows: DataFrame, overwrite: str) -> None:
-        """Write state rows: all of them (static), or the buckets that they fall into (dynamic)."""
-        rows = rows.withColumn("ticker_bucket", self.bucket_of("ticker", self.new_buckets))
-        (rows.hint("rebalance", "ticker_bucket").sortWithinPartitions("ticker_bucket", "ticker").write.mode("overwrite")
+    def _state_bucket(self, ticker="ticker") -> Column:
+        return ticker_bucket(ticker, self.new_buckets)
+
+    def _state_of(self, buckets: list[int]) -> DataFrame:
+        """State rows of some buckets, whose numbers a session may read as strings."""
+        rows = self._state_rows().where(F.col("ticker_bucket").isin(buckets))
+        return rows.withColumn("ticker_bucket", F.col("ticker_bucket").cast("int"))
+
+    def _store_state(self, rows: DataFrame, overwrite: str, moved: bool = True) -> None:
+        """Write state rows: all of them (static), or the buckets that they fall into (dynamic).
+
+        A dynamic write may read the buckets that it replaces: they go when it commits. Rows that carry their bucket and
+        were not ``moved`` away from its others are written by the tasks that hold them.
+        """
+        if moved:
+            rows = rows.withColumn("ticker_bucket", self._state_bucket()).hint("rebalance", "ticker_bucket")
+        (rows.sortWithinPartitions("ticker_bucket", "ticker").write.mode("overwrite").option("compression", "zstd")
          .option("partitionOverwriteMode", overwrite).partitionBy("ticker_bucket").parquet(self.state_path))
         self._state = None
 
@@ -162,7 +176,7 @@ class MaintainedStore(Store):
         if upsert:
             return known
         lost = self._kept(both.where(~(from_batch | held)).select("ticker"))
-        buckets = [r[0] for r in lost.select(self.bucket_of("ticker", self.buckets("prices"))).distinct().collect()]
+        buckets = [r[0] for r in lost.select(self.bucket_of("ticker", self.buckets("prices"), "prices")).distinct().collect()]
         stored = self.read("prices")
         if "ticker_bucket" in stored.columns:
             stored = stored.where(F.col("ticker_bucket").isin(buckets))  # at most the table's buckets
@@ -175,27 +189,30 @@ class MaintainedStore(Store):
     def _merge(self, fresh: DataFrame, columns: list[str]) -> None:
         """Give the tickers of ``fresh`` its values in ``columns``; only their buckets are rewritten."""
         fresh = self._kept(fresh)
-        buckets = [r[0] for r in fresh.select(self.bucket_of("ticker", self.new_buckets)).distinct().collect()]
+        buckets = [r[0] for r in fresh.select(self._state_bucket()).distinct().collect()]
         if not buckets:
             return
-        old = self._state_rows().where(F.col("ticker_bucket").isin(buckets)).drop("ticker_bucket")
-        new = fresh.select("ticker", F.struct(*columns).alias("_new"))
-        rows = old.join(new, "ticker", "full").select("ticker", *[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
-            for c in old.columns if c != "ticker"])
-        with self._staged(rows) as staged:
-            self._store_state(staged, "dynamic")
+        old = self._state_of(buckets)
+        new = fresh.select("ticker", self._state_bucket().alias("ticker_bucket"), F.struct(*columns).alias("_new"))
+        # both sides are dealt by bucket, so the joined rows lie as they are written
+        n = 4 * self.new_buckets
+        rows = old.repartition(n, "ticker_bucket").join(new.repartition(n, "ticker_bucket"), ["ticker_bucket", "ticker"], "full")
+        with self._setting(*DEALT_JOINS):
+            self._store_state(rows.select("ticker", *[
+                F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+                for c in old.columns if c != "ticker"]), "dynamic", moved=False)
 
     def delete_ticker(self, tickers) -> int:
         self._about_to_change("prices")
         gone = self._kept(ticker_frame_of(self.spark, tickers))
         affected = super().delete_ticker(gone)
-        buckets = [r[0] for r in gone.select(self.bucket_of("ticker", self.new_buckets)).distinct().collect()]
-        old = self._state_rows().where(F.col("ticker_bucket").isin(buckets))
-        with self._staged(old.join(gone, "ticker", "left_anti").drop("ticker_bucket")) as rest:
-            left = {r[0] for r in rest.select(self.bucket_of("ticker", self.new_buckets)).distinct().collect()}
-            if left:
-                self._store_state(rest, "dynamic")
+        buckets = [r[0] for r in gone.select(self._state_bucket()).distinct().collect()]
+        old = self._state_of(buckets)
+        marked, few = self._if_few(gone)
+        rest = old.join(marked, "ticker", "left_anti")
+        left = {r[0] for r in rest.select("ticker_bucket").distinct().collect()}
+        if left:  # beside few tickers the rows stay in the tasks that read them
+            self._store_state(rest, "dynamic", moved=not few)
         for b in set(buckets) - left:
             self._delete(f"{self.state_path}/ticker_bucket={b}")
         self._state = None

@@ -44,7 +44,7 @@ class ProfiledStore(Store):
         """Rows of some folders as one row per folder and ticker; a partial aggregate."""
         day = "date" if table == "prices" else "fiscal_period"
         if "ticker_bucket" not in rows.columns:  # a table that does not exist yet
-            rows = rows.withColumn("ticker_bucket", self.bucket_of("ticker", self.buckets(table)))
+            rows = rows.withColumn("ticker_bucket", self.bucket_of("ticker", self.buckets(table), table))
         items = [] if table == "prices" else [F.count(f"`{c}`").alias(f"n_{c}") for c in summable_columns(rows.drop("ticker_bucket"))]
         return rows.groupBy(*self.partition_cols(table), "ticker").agg(
             F.count(F.lit(1)).alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), *items)
@@ -57,10 +57,9 @@ class ProfiledStore(Store):
     def _reprofile(self, table: str, parts: list[tuple]) -> None:
         """Count the given folders again; one that has no rows any more loses its numbers."""
         rows = self._in_partitions(self.read(table), table, parts)
-        with self._staged(self._counted(rows, table)) as counted:
-            left = set(self._touched(counted, table))
-            if left:
-                self._put(counted, table, "dynamic")
+        left = set(self._touched(rows, table))  # partition columns only
+        if left:
+            self._put(self._counted(rows, table), table, "dynamic")
         for p in set(parts) - left:
             self._delete("/".join([self.profile_path(table), *(f"{c}={v}" for c, v in zip(self.partition_cols(table), p, strict=True))]))
         self._profiles.pop(table, None)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwise.operators.ratios import ticker_names
-from tickwise.sources.store import TABLES, Store
+from tickwise.sources.store import DEALT_JOINS, TABLES, Store
 
 FEW = 10  # tickers that are pushed into the scan by name, as many as Parquet filters take
 
@@ -154,11 +154,11 @@ class VersionedStore(Store):
         return self._frame(table, self._live(table)).drop("gen")
 
     # ------------------------------------------------------------------ writing
-    def _add(self, out: DataFrame, table: str) -> list[str]:
+    def _add(self, out: DataFrame, table: str, moved: bool) -> list[str]:
         """Write rows as a generation of their own; returns its files."""
         self._remember_schema(table, out)
         gen = f"gen={uuid.uuid4().hex[:16]}"
-        (self._layout_for_write(out, table).write.option("parquet.bloom.filter.enabled#ticker", "true").option("compression", "zstd")
+        (self._layout_for_write(out, table, moved).write.option("parquet.bloom.filter.enabled#ticker", "true").option("compression", "zstd")
          .partitionBy(*self.partition_cols(table)).parquet(f"{self.path(table)}/{gen}"))
         self._store_layout(table)
         fs, p = self._fs(f"{self.path(table)}/{gen}")
@@ -180,28 +180,31 @@ class VersionedStore(Store):
                .select("_file").distinct().collect())  # file names
         return [r[0][r[0].index("/gen=") + 1:] for r in hit]
 
-    def _swap(self, table: str, files: list[str], rows: DataFrame | None) -> None:
-        """In the transaction: ``files`` go, ``rows`` come."""
-        added = self._add(rows, table) if rows is not None else []
+    def _swap(self, table: str, files: list[str], rows: DataFrame, moved: bool = False) -> None:
+        """In the transaction: ``files`` go, ``rows`` come (``moved`` as in ``_layout_for_write``)."""
+        with self._setting(*DEALT_JOINS):
+            added = self._add(rows, table, moved)
         self._pending[table] = sorted((set(self._pending[table]) - set(files)) | set(added))
         self._frames.pop(table, None)
 
     def _replace(self, df: DataFrame, table: str, keys: list[str], ticker: str | None,
-                 upsert_keys: list[str] | None = None, order_col: str | None = None, watch: tuple | None = None) -> int:
+                 upsert_keys: list[str] | None = None, order_col: str | None = None, watch: tuple | None = None,
+                 clustered: bool = False) -> int:
         key_cols = upsert_keys or keys
-        with self.transaction(), self._staged(self._batch(df, table, ticker, order_col, watch)) as new:
+        batch = self._batch(df, table, ticker, order_col, watch)
+        with self.transaction(), self._staged(self._gathered(batch, table, clustered)) as new:
             parts = self._touched(new, table)
             if not parts:
                 return 0
-            files, rows = [], new
+            files, rows, moved = [], new, False
             if self._live(table):
                 self.read(table)  # its columns are known then
-                with self._keys_of(new, key_cols, upsert_keys is not None) as gone:
+                with self._keys_of(new, key_cols, upsert_keys is not None) as (gone, few):
                     files = self._holding(table, parts, gone, key_cols)
                     if files:
-                        stay = self._frame(table, files).drop("gen").join(gone, key_cols, "left_anti")
+                        stay, moved = self._without(self._frame(table, files).drop("gen"), gone, key_cols, few, table)
                         rows = stay.unionByName(new, allowMissingColumns=True)
-                    self._swap(table, files, rows)
+                    self._swap(table, files, rows, moved)
             else:
                 self._swap(table, files, rows)
             return len(parts)
@@ -212,16 +215,16 @@ class VersionedStore(Store):
                   else self.spark.createDataFrame([(t,) for t in tickers], "ticker string"))
         affected = 0
         with self.transaction(), self._staged(doomed) as staged:
-            gone = self._if_few(staged)
+            gone, few = self._if_few(staged)
             for table in TABLES:
                 if not self._live(table):
                     continue
                 self.read(table)
-                buckets = gone.select(self.bucket_of("ticker", self.buckets(table)).alias("ticker_bucket")).distinct()
+                buckets = gone.select(self.bucket_of("ticker", self.buckets(table), table).alias("ticker_bucket")).distinct()
                 found = self._frame(table, self._live(table)).join(buckets, "ticker_bucket", "left_semi")
                 parts = self._touched(found, table)
                 files = self._holding(table, parts, gone, ["ticker"]) if parts else []
                 if files:
                     affected += 1
-                    self._swap(table, files, self._frame(table, files).drop("gen").join(gone, "ticker", "left_anti"))
+                    self._swap(table, files, *self._without(self._frame(table, files).drop("gen"), gone, ["ticker"], few, table))
         return affected
