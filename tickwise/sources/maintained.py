@@ -195,7 +195,7 @@ class MaintainedStore(Store):
         old = self._state_of(buckets)
         new = fresh.select("ticker", self._state_bucket().alias("ticker_bucket"), F.struct(*columns).alias("_new"))
         # both sides are dealt by bucket, so the joined rows lie as they are written
-        n = 4 * self.new_buckets
+        n = self.new_buckets
         rows = old.repartition(n, "ticker_bucket").join(new.repartition(n, "ticker_bucket"), ["ticker_bucket", "ticker"], "full")
         with self._setting(*DEALT_JOINS):
             self._store_state(rows.select("ticker", *[
