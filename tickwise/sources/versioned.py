@@ -204,7 +204,7 @@ class VersionedStore(Store):
                     if files:
                         stay, moved = self._without(self._frame(table, files).drop("gen"), gone, key_cols, few, table)
                         rows = stay.unionByName(new, allowMissingColumns=True)
-                    self._swap(table, files, rows, moved)
+                    self._swap(table, files, rows, moved or bool(files) and few)
             else:
                 self._swap(table, files, rows)
             return len(parts)
