@@ -155,6 +155,21 @@ GROUP BY ticker"""
     return q.sparkSession.sql(sql, q=q)
 
 
+def latest_features_by_parts(q: DataFrame, years: int = 5) -> DataFrame:
+    """``latest_features`` of rows that all have a ticker: only the newest five quarters of a ticker are moved whole.
+
+    The quarters before them count, and those a few years back add to ``eps_ttm_past``, so they are moved with their EPS
+    alone. Both parts lie by ticker, so their join moves nothing.
+    """
+    if 4 * years <= 5:
+        return latest_features(q, years)
+    eps = _eps_sql(q)
+    near = latest_features(q, years=1)
+    counted = ["n_quarters", "quarters_included", *(["eps_ttm_past"] if eps else [])]
+    far = latest_features(q.selectExpr("ticker", "fiscal_period", *([f"{eps} AS eps"] if eps else [])), years)
+    return near.drop(*counted).join(far.select("ticker", *counted), "ticker").select(*near.columns)
+
+
 def newest_n_quarters(q: DataFrame, n: int = 4) -> DataFrame:
     """The newest n quarters per ticker, with their newest-first position ``rn``.
 

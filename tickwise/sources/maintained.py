@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.scalar import ticker_bucket
 from tickwise.operators.ratios import ratio_projection, restrict, ticker_frame_of, valuation_columns
-from tickwise.operators.ttm import latest_features
+from tickwise.operators.ttm import latest_features_by_parts
 from tickwise.schemas import RATIO_COLUMNS
 from tickwise.session import ensure_checkpoint_dir
 from tickwise.sources.store import DEALT_JOINS, Store
@@ -93,7 +93,8 @@ class MaintainedStore(Store):
 
     # ------------------------------------------------------------------ building
     def _features(self, quarterly: DataFrame) -> DataFrame:
-        return latest_features(quarterly.drop("ticker_bucket"), self.years).drop("fiscal_period")
+        """Of stored rows, or of a batch as it will be stored: tickers are not null there (D13)."""
+        return latest_features_by_parts(quarterly.drop("ticker_bucket"), self.years).drop("fiscal_period")
 
     def _newest(self, prices: DataFrame) -> DataFrame:
         return prices.groupBy("ticker").agg(F.max_by("close", "date").alias("close"), F.max("date").alias("price_date"))
@@ -148,7 +149,7 @@ class MaintainedStore(Store):
             self.rebuild()
             return
         if table == "prices":
-            self._merge(self._price_changes(batch, upsert), PRICE_STATE)
+            self._merge(self._price_changes(batch, upsert), PRICE_STATE, batch)
         else:
             # the batch with all columns of the table, as a reader of the table would see it
             features = self._features(batch.unionByName(self.read(table).limit(0), allowMissingColumns=True))
@@ -156,7 +157,7 @@ class MaintainedStore(Store):
             if set(features.columns) - {"ticker"} != known:
                 self.rebuild()
                 return
-            self._merge(features, sorted(known))
+            self._merge(features, sorted(known), batch)
         self._delete(self._mark)
 
     def _price_changes(self, batch: DataFrame, upsert: bool) -> DataFrame:
@@ -186,10 +187,12 @@ class MaintainedStore(Store):
         ensure_checkpoint_dir(self.spark)
         return df.checkpoint()
 
-    def _merge(self, fresh: DataFrame, columns: list[str]) -> None:
-        """Give the tickers of ``fresh`` its values in ``columns``; only their buckets are rewritten."""
-        fresh = self._kept(fresh)
-        buckets = [r[0] for r in fresh.select(self._state_bucket()).distinct().collect()]
+    def _merge(self, fresh: DataFrame, columns: list[str], batch: DataFrame) -> None:
+        """Give the tickers of ``fresh`` its values in ``columns``; only the buckets of the stored batch's tickers are rewritten.
+
+        ``fresh`` holds tickers of the batch, and is computed once: by the write.
+        """
+        buckets = [r[0] for r in batch.select(self._state_bucket()).distinct().collect()]
         if not buckets:
             return
         old = self._state_of(buckets)
