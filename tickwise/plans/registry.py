@@ -130,13 +130,13 @@ def q_scan_empty(spark, sf_dir):
             .select("ticker", F.coalesce("n", F.lit(0)).cast("bigint").alias("quarterly_rows")))
 
 
-def _vendor_csv(df: DataFrame, mapping: dict, path: str, extra: dict | None = None) -> str:
+def _vendor_csv(df: DataFrame, mapping: dict, path: str, extra: dict | None = None, compression: str = "none") -> str:
     inverse = {v: k for k, v in mapping.items() if k != "research_development"}
     out = df
     for c, e in (extra or {}).items():
         out = out.withColumn(c, e)
     out = out.select(*[F.col(c).alias(inverse.get(c, c)) for c in out.columns])
-    out.write.mode("overwrite").option("header", "true").option("sep", ";").csv(path)
+    out.write.mode("overwrite").option("header", "true").option("sep", ";").option("compression", compression).csv(path)
     return path
 
 
@@ -431,7 +431,7 @@ def _vendor_statements(spark, b: Bridge, period: str) -> tuple[str, ...]:
              else F.concat(F.lit("Q"), F.quarter("fiscal_period").cast("string")))
     frames = ((b.income(period), INCOME_COLUMN_MAP), (b.balance(period), BALANCE_COLUMN_MAP),
               (b.cashflow(period), CASHFLOW_COLUMN_MAP))
-    return tuple(_vendor_csv(df, columns, shared_dir(spark, f"vendor-{period}-{i}"), {"fiscal_label": label})
+    return tuple(_vendor_csv(df, columns, shared_dir(spark, f"vendor-{period}-{i}"), {"fiscal_label": label}, "gzip")
                  for i, (df, columns) in enumerate(frames))
 
 
@@ -444,14 +444,14 @@ def _vendor_statements(spark, b: Bridge, period: str) -> tuple[str, ...]:
   (SELECT count(*) FROM fund_q) AS stored_quarterly_rows,
   (SELECT count(*) FROM fund_a) AS stored_annual_rows""", "medium"))
 def q_ingest_full(spark, sf_dir):
-    """Vendor files to tables; the price file repeats 1998 and has 1997 once more without tickers."""
+    """Vendor files (gzip) to tables; the price file repeats 1998 and has 1997 once more without tickers."""
     from tickwise.schemas import PRICE_COLUMN_MAP
     st = _store(spark, "ingest_full")
     b = _b(spark, sf_dir, "medium").by_ticker()
     px = b.prices()
     dirty = (px.unionByName(px.where("year = 1998"))
              .unionByName(px.where("year = 1997").withColumn("ticker", F.lit(None).cast("string"))))
-    s = I.ingest_extracts(st, _vendor_csv(dirty.drop("year"), PRICE_COLUMN_MAP, shared_dir(spark, "vendor-px")),
+    s = I.ingest_extracts(st, _vendor_csv(dirty.drop("year"), PRICE_COLUMN_MAP, shared_dir(spark, "vendor-px"), None, "gzip"),
                           {p: _vendor_statements(spark, b, p) for p in ("quarterly", "annual")},
                           start_date="1997-01-01")
     return spark.sql(
