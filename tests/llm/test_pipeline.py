@@ -84,3 +84,20 @@ def test_stages_take_any_rows(spark, tmp_path):
             else:
                 assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() == step.count()
     assert step.count() == 0
+
+
+def test_encode_holds_smaller_buckets_and_gives_the_same_ids(spark, monkeypatch):
+    """The last stage's tasks hold half of what the operator's do by default; the ids do not depend on it."""
+    from tickwise.llm import sentencepiece_lattice as L
+    seen, plain = [], L.encode
+
+    def kept(docs, pieces, **options):
+        seen.append(options.get("bucket", L.BUCKET))
+        return plain(docs, pieces, **options)
+    monkeypatch.setattr(L, "encode", kept)
+    docs = spark.createDataFrame([(1, "some words, some words"), (2, None), (2, None), (None, "other words\nand more")],
+                                 "doc_id long, text string")
+    whole = sorted(map(str, corpus_pipeline.encode(spark, docs, "").collect()))
+    monkeypatch.setattr(corpus_pipeline, "ENCODE_BUCKET", 10)
+    assert sorted(map(str, corpus_pipeline.encode(spark, docs, "").collect())) == whole and len(whole) == 4
+    assert seen[0] <= L.BUCKET // 2 and seen[1] == 10
