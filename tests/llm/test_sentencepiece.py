@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -127,6 +128,33 @@ def test_lattice_equals_plain_viterbi(spark):
             best_segmentation(words[r.place], table, longest, unknown), byte_ids)
 
 
+def test_many_words_are_folded_at_once():
+    """Ties, characters without a piece and words of very different lengths, edges in any order."""
+    pieces = [("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.0, 1), ("ab", -2.0, 1), ("ba", -3.0, 1), ("aba", -3.0, 1), ("bb", -1.5, 1)]
+    table, longest, unknown = plain_table(pieces)
+    rng, byte_ids = random.Random(3), list(range(1000, 1256))
+    words = ["".join(rng.choice("abab語") for _ in range(rng.choice((1, 2, 3, 5, 9, 40)))) for _ in range(300)] + ["ab" * 700, "語"]
+    edges = [(w, end << 31 | k << 21 | (table[word[end - k:end]][0] + 1 if word[end - k:end] in table else 0))
+             for w, word in enumerate(words) for end in range(1, len(word) + 1) for k in range(1, min(end, longest) + 1)
+             if k == 1 or word[end - k:end] in table]
+    rng.shuffle(edges)
+    place, e = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+    bounds, back = lattice.best_backs(place, e, lattice.code_scores(pieces), len(words))
+    sizes, ids = lattice.read_all(bounds, back, words, byte_ids)
+    ends = np.cumsum(sizes)
+    for w, word in enumerate(words):
+        plain = spelt(best_segmentation(word, table, longest, unknown), byte_ids)
+        assert ids[ends[w] - sizes[w]:ends[w]].tolist() == plain
+        assert lattice.read_back(back[bounds[w]:bounds[w + 1]].tolist(), word, byte_ids) == plain
+
+
+def test_edges_are_not_collected_into_rows(spark):
+    """Edges go to the fold as they are: no aggregation sorts and merges a list of them per word."""
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    plan = lattice.encode(docs, lattice.model_pieces(PATH))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lattice.encode(docs, lattice.model_pieces(PATH)).count() == 0

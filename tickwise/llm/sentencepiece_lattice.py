@@ -7,11 +7,11 @@ words can be segmented apart. The distinct words are the nodes of a relation:
 * explode the substrings that begin at every character: one, two, and the lengths of the pieces that begin with
   the same three characters, so never longer than the longest of them,
 * equi-join them to the piece table (of fixed size, the vocabulary, so it is broadcast),
-* group the matches by word: the edges of its lattice,
-* fold Viterbi over them, by end, with a higher-order ``aggregate``: per end the best score, and a back pointer (the
-  last piece and its length; of equal scores the longest). Scores are kept for the last few ends, back pointers
-  in blocks, so the fold's work grows with the word and not with its square. A character without a piece may be spelt in
-  bytes (one edge, the score below every piece's, as the library's unknown character). The ids are read off the back pointers once.
+* gather the matches of a part's words (below): the edges of their lattices,
+* fold Viterbi over them, by end, in all words of a part at once: per end the best score, and a back pointer (the
+  last piece and its length; of equal scores the longest), so the fold's work grows with the edges. A character without a
+  piece may be spelt in bytes (one edge, the score below every piece's, as the library's unknown character). The ids are
+  read off the back pointers once.
 
 Scores are those of the model file, and the segmentation is the one of the largest sum of scores.
 
@@ -34,7 +34,7 @@ import math
 import re
 import zlib
 from collections import defaultdict
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,10 @@ from tickwise.llm.common import id_and_text, slices
 
 SPACE = "▁"
 BUCKET = 8_000_000  # bytes of text that one task holds
-BLOCK = 512  # ends of a word that the fold appends to at a time, more than the longest piece has characters
+BLOCK = 512  # more than the longest piece has characters
+WORDS = 20_000  # words that are folded together
 SLICE = 256  # characters of a word in one row of the lattice's input
-# An edge is one long, so that edges sort by end, then length, and a word's edges are a plain array:
+# An edge is one long:
 # end << 31 | length << 21 | code; a back pointer is code << 10 | length. The code is the piece's id + 1, 0 for none.
 CODES = 1 << 21
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -102,12 +103,12 @@ def piece_table(spark: SparkSession, pieces: list[tuple[str, float, int]]) -> Da
 
 
 def starts_table(spark: SparkSession, pieces: list[tuple[str, float, int]]) -> DataFrame:
-    """(start, lengths): the first three characters of longer pieces, and how long those pieces are."""
+    """(start, lengths): the first three characters of longer pieces, and how long pieces may be there: 1, 2, and as those are."""
     lengths: dict[str, set] = {}
     for p, _, kind in pieces:
         if kind == 1 and len(p) > 2:
             lengths.setdefault(p[:3], set()).add(len(p))
-    return spark.createDataFrame([(p, sorted(n)) for p, n in lengths.items()], "start string, lengths array<int>")
+    return spark.createDataFrame([(p, [1, 2, *sorted(n)]) for p, n in lengths.items()], "start string, lengths array<int>")
 
 
 def words_of(text: str) -> list[str]:
@@ -132,48 +133,65 @@ def sliced(place: int, word: str, longest: int):
         yield place, at, min(SLICE, len(word) - at), word[at:at + SLICE + longest - 1]
 
 
+def edges_of(words: DataFrame, keys: list[str], pieces: list[tuple[str, float, int]]) -> DataFrame:
+    """(keys..., e): the edges of the words' lattices, one row each.
+
+    ``words(keys..., at, own, chars)`` are the slices of words; ``keys`` tell words apart.
+    """
+    spark = words.sparkSession
+    slot = [*keys, "at"]
+    begins = (words.select(*slot, "chars", F.length("chars").alias("n"), F.explode(F.sequence(F.lit(1), "own")).alias("i"))
+              .join(F.broadcast(starts_table(spark, pieces)), F.expr("substring(chars, i, 3) = start"), "left"))  # the vocabulary
+    spans = (begins.select(*slot, "i", "n", "chars", F.explode(F.expr("coalesce(lengths, array(1, 2))")).alias("k"))
+             .where("i + k - 1 <= n"))
+    return (spans.select(*keys, (F.col("at") + F.col("i") + F.col("k") - 1).alias("end"), "k",
+                         F.expr("substring(chars, i, k)").alias("piece"))
+            .join(F.broadcast(piece_table(spark, pieces)), "piece", "left")  # the vocabulary
+            .where("id is not null or k = 1")
+            .select(*keys, F.expr("shiftleft(bigint(end), 31) | bigint(shiftleft(k, 21) | coalesce(id + 1, 0))").alias("e")))
+
+
+def code_scores(pieces: list[tuple[str, float, int]]) -> np.ndarray:
+    """Scores by code: a character without a piece scores below every piece."""
+    return np.array([min(s for _, s, kind in pieces if kind == 1) - 10.0, *(s for _, s, _ in pieces)])
+
+
+def best_backs(place: np.ndarray, e: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, back): Viterbi over the edges of words 0 to n - 1, an end at a time in all of them.
+
+    Word w has the back pointers ``back[bounds[w]:bounds[w + 1]]``: a 0, then code << 10 | length of the last piece per end.
+    """
+    end, length, code = (e >> 31).astype(np.int32), (e >> 21 & 1023).astype(np.int32), (e & CODES - 1).astype(np.int32)
+    # every character has an edge of one character
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(place[length == 1], minlength=n) + 1)])
+    by_end = np.argsort(end.astype(np.int16) if end.max(initial=0) < 1 << 15 else end, kind="stable")  # small numbers sort faster
+    at, length, code = (bounds[place] + end)[by_end], length[by_end], code[by_end]
+    best, back = np.full(bounds[-1], -np.inf), np.zeros(bounds[-1], np.int64)
+    best[bounds[:-1]] = 0.0
+    for a, b in pairwise(np.cumsum(np.bincount(end)).tolist()):
+        to, k = at[a:b], length[a:b]
+        total = best[to - k] + scores[code[a:b]]
+        np.maximum.at(best, to, total)
+        top = total == best[to]  # of equal sums the longest last piece
+        np.maximum.at(back, to[top], k[top].astype(np.int64) << 21 | code[a:b][top])
+    return bounds, (back & CODES - 1) << 10 | back >> 21
+
+
 def segment(words: DataFrame, keys: list[str], pieces: list[tuple[str, float, int]]) -> DataFrame:
     """(keys..., back): for each character of a word where its best segmentation up to there comes from.
 
     ``words(keys..., at, own, chars)`` are the slices of words; ``keys`` tell words apart. ``back`` holds a 0, then
     code << 10 | length of the last piece per end.
     """
-    spark, longest = words.sparkSession, longest_piece(pieces)
-    slot = [*keys, "at"]
-    begins = (words.select(*slot, "chars", F.explode(F.sequence(F.lit(1), "own")).alias("i"))
-              .join(F.broadcast(starts_table(spark, pieces)), F.expr("substring(chars, i, 3) = start"), "left"))  # the vocabulary
-    spans = begins.select(*slot, "i", "chars", F.explode(F.expr("""
-        case when i = length(chars) then array(1) when lengths is null then array(1, 2)
-             else concat(array(1, 2), filter(lengths, k -> i + k - 1 <= length(chars))) end""")).alias("k"))
-    edges = (spans.select(*keys, (F.col("at") + F.col("i") + F.col("k") - 1).alias("end"), "k",
-                          F.expr("substring(chars, i, k)").alias("piece"))
-             .join(F.broadcast(piece_table(spark, pieces)), "piece", "left")  # the vocabulary
-             .where("id is not null or k = 1")
-             .select(*keys, F.expr("shiftleft(bigint(end), 31) | bigint(shiftleft(k, 21) | coalesce(id + 1, 0))").alias("e")))
-    lattice = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("edges"))
-    # scores by code: a character without a piece scores below every piece
-    known = [s for _, s, kind in pieces if kind == 1]
-    scores = ",".join(map(repr, [min(known) - 10.0, *(s for _, s, _ in pieces)]))
-    score = f"element_at(cast(split('{scores}', ',') as array<double>), int(e & {CODES - 1}) + 1)"
-    length, last = "int(shiftright(e, 21) & 1023)", f"int(shiftleft(e & {CODES - 1}, 10) | (shiftright(e, 21) & 1023))"
-    # The first edge of an end is one character long. ``ends`` are the ends before the present one (those of the
-    # last block, after a few of the block before); the present one is ``top`` and ``last``.
-    end = "struct<sum:double,back:int>"
-    fold = f"""aggregate(edges, named_struct('blocks', cast(array() as array<array<{end}>>),
-                                         'ends', cast(array() as array<{end}>), 'top', 0.0D, 'last', 0),
-        (a, e) -> case
-            when {length} = 1 then named_struct(
-                'blocks', if(size(a.ends) < {BLOCK}, a.blocks, array_append(a.blocks, a.ends)),
-                'ends', array_append(if(size(a.ends) < {BLOCK}, a.ends, slice(a.ends, -{longest}, {longest})),
-                                     named_struct('sum', a.top, 'back', a.last)),
-                'top', a.top + {score}, 'last', {last})
-            when element_at(a.ends, -{length}).sum + {score} >= a.top then named_struct(
-                'blocks', a.blocks, 'ends', a.ends,
-                'top', element_at(a.ends, -{length}).sum + {score}, 'last', {last})
-            else a end,
-        a -> concat(flatten(transform(array_append(a.blocks, a.ends), (b, i) ->
-                 if(i = 0, b, slice(b, {longest + 1}, {BLOCK})).back)), array(a.last)))"""
-    return lattice.select(*keys, F.expr(fold).alias("back"))
+    scores = code_scores(pieces)
+    lattice = edges_of(words, keys, pieces)
+
+    def fold(t):
+        e = t.column("e").to_numpy()
+        _, back = best_backs(np.zeros(len(e), np.int64), e, scores, 1)
+        return pa.table({**{k: t.column(k).slice(0, 1) for k in keys}, "back": pa.array([back], pa.list_(pa.int32()))})
+
+    return lattice.groupBy(*keys).applyInArrow(fold, f"{lattice.select(*keys).schema.simpleString()[7:-1]}, back array<int>")
 
 
 def longest_piece(pieces: list[tuple[str, float, int]]) -> int:
@@ -197,6 +215,28 @@ def read_back(back: list[int], word: str, byte_ids: list[int]) -> list[int]:
     return ids
 
 
+def read_all(bounds: np.ndarray, back: np.ndarray, words: list[str], byte_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids of all words in a row): ``read_back`` for many words, a piece at a time in all of them."""
+    n = len(words)
+    at, where, steps = bounds[1:] - 1, np.arange(n), []
+    while len(where):
+        going = at > bounds[where]
+        at, where = at[going], where[going]
+        steps.append((where, at - bounds[where], back[at] >> 10))
+        at = at - (back[at] & 1023)
+    where, end, code = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((end, where))
+    where, end, code = where[order], end[order], code[order]
+    spelt = np.ones(len(code), np.int64)
+    unknown = {int(i): [byte_ids[b] for b in words[where[i]][end[i] - 1].encode()] for i in np.flatnonzero(code == 0)}
+    spelt[list(unknown)] = [len(x) for x in unknown.values()]
+    ids = np.repeat((code - 1).astype(np.int32), spelt)
+    first = np.cumsum(spelt) - spelt
+    for i, x in unknown.items():
+        ids[first[i]:first[i] + len(x)] = x
+    return np.bincount(where, spelt, n).astype(np.int64), ids
+
+
 def _pack(words: list[str]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(json.dumps(words, ensure_ascii=False).encode())
 
@@ -205,10 +245,8 @@ def _unpack(blob: bytes) -> list[str]:
     return json.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def _pack_ids(lists: list[list[int]]) -> bytes:
+def _pack_ids(sizes: np.ndarray, flat: np.ndarray) -> bytes:
     """Id lists in a row: their sizes, then all ids, in the smallest type that holds them."""
-    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
     wide = bool(max(sizes.max(initial=0), flat.max(initial=0)) > 65_535)
     both = np.concatenate([sizes, flat]).astype(np.int32 if wide else np.uint16)
     return bytes([wide]) + zstandard.ZstdCompressor(level=3).compress(both.tobytes())
@@ -266,7 +304,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-size // bucket))
     parts = math.ceil(16 * buckets ** 0.5)  # a list per bucket and part: fewer parts than buckets once there are many
-    longest = longest_piece(pieces)
+    longest, scores = longest_piece(pieces), code_scores(pieces)
     known = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6 and (m := BYTE.match(p))}
     byte_ids = [known.get(b, next((i for i, p in enumerate(pieces) if p[2] == 2), 0)) for b in range(256)]
     dealt = (rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
@@ -288,15 +326,24 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
                          "place": pa.array(place, pa.int32()), "at": pa.array(at, pa.int32()),
                          "own": pa.array(own, pa.int32()), "chars": pa.array(chars, pa.string())})
 
-    def answer(lists, encoded):
+    def answer(lists, edges):
         blobs = lists.column("words").to_pylist()
         words = words_of_part(blobs)
-        ids = {}
-        for b in slices(encoded.to_batches(), 1000):
-            for place, back in zip(b.column("place").to_pylist(), b.column("back").to_pylist(), strict=True):
-                ids[words[place]] = read_back(back, words[place], byte_ids)
-        return pa.table({"bucket": lists.column("bucket"), "part": lists.column("part"),
-                         "ids": pa.array([_pack_ids([ids[w] for w in _unpack(x)]) for x in blobs], pa.binary())})
+        place, e = edges.column("place").to_numpy(), edges.column("e").to_numpy()
+        found = []
+        for a in range(0, len(words), WORDS):  # so that the arrays in between stay small
+            some = words[a:a + WORDS]
+            own = (place >= a) & (place < a + WORDS)
+            found.append(read_all(*best_backs(place[own] - a, e[own], scores, len(some)), some, byte_ids))
+        sizes, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        first = np.cumsum(sizes) - sizes
+        number = {w: i for i, w in enumerate(words)}
+        out = []
+        for x in blobs:
+            asked = _unpack(x)
+            at = np.fromiter(map(number.__getitem__, asked), np.int64, len(asked))
+            out.append(_pack_ids(sizes[at], _gathered(at, first, sizes, ids)))
+        return pa.table({"bucket": lists.column("bucket"), "part": lists.column("part"), "ids": pa.array(out, pa.binary())})
 
     def assemble(texts, answers):
         number: defaultdict[str, int] = defaultdict()  # words in the order they are met
@@ -330,8 +377,8 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], id_col: str =
     # dealt by part alone, the words stay where they are through lattice, fold and answer
     words = (lists.groupBy("part").applyInArrow(unpack, "part int, place int, at int, own int, chars string")
              .repartition(parts, "part"))
-    encoded = segment(words, ["place", "part"], pieces)
-    answers = (lists.groupBy("part").cogroup(encoded.groupBy("part"))
+    edges = edges_of(words, ["place", "part"], pieces)
+    answers = (lists.groupBy("part").cogroup(edges.groupBy("part"))
                .applyInArrow(answer, "bucket int, part int, ids binary"))
     return (dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
             .applyInArrow(assemble, "doc_id long, ids array<int>"))
